@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import find_contamination
 from .line_dedup import dedup_lines
 from .near_dup import near_duplicates
 from .packing import pack
 from .ppm import score_texts
+from .quality import quality_scores
 from .shared import in_fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -41,6 +43,13 @@ FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT d, min(c) AS c FROM r GRO
 """
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = in_fold(F.col("doc_id"), 3, 1)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality_scores(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), in_fold(F.col("doc_id"), 7, 2)
     out = score_texts(docs, ~held_out)
@@ -56,6 +65,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "item_ids", "item_share")
+
+
 OP8_SQL = r"""
 WITH parts AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
@@ -72,8 +86,22 @@ FROM marked GROUP BY doc_id
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {"op2_near_dedup": op2_near_dedup, "op6_ppm_score": op6_ppm_score, "op7_packing": op7_packing, "op8_line_dedup": op8_line_dedup}
+    return {
+        "op2_near_dedup": op2_near_dedup,
+        "op5_quality": op5_quality,
+        "op6_ppm_score": op6_ppm_score,
+        "op7_packing": op7_packing,
+        "op8_line_dedup": op8_line_dedup,
+        "op10_decontamination": op10_decontamination,
+        "pipeline": pipeline,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
