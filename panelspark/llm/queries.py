@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
+from .html_text import extract_text
 from .line_dedup import dedup_lines
 from .near_dup import near_duplicates
 from .packing import pack
 from .ppm import score_texts
 from .quality import quality_scores
-from .shared import in_fold, table
+from .shared import checkpoint_dir, in_fold, table
+from .vectors import nearest
+from .warc import archive_name, read_warc, write_warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -43,6 +46,33 @@ FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT d, min(c) AS c FROM r GRO
 """
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = archive_name(checkpoint_dir(spark))
+    write_warc(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    return read_warc(spark, path, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x,
+                  min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + CAST((CAST('0x' || substr(x, 1 + 10 * CAST(i // 8 AS INT), 10) AS BIGINT) >> (35 - 5 * CAST(i % 8 AS INT))) & 31 AS INT), 1)), '') AS payload_digest,
+       CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f <> page_id THEN f END AS refers_to
+FROM p
+"""
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = in_fold(F.col("doc_id"), 3, 1)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -95,14 +125,17 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_near_dedup": op2_near_dedup,
+        "op3_nearest": op3_nearest,
+        "op4_warc": op4_warc,
         "op5_quality": op5_quality,
         "op6_ppm_score": op6_ppm_score,
         "op7_packing": op7_packing,
         "op8_line_dedup": op8_line_dedup,
+        "op9_main_text": op9_main_text,
         "op10_decontamination": op10_decontamination,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": OP2_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op2_near_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op8_line_dedup": OP8_SQL}
