@@ -34,7 +34,7 @@ from .shared import keep
 from .textblock import Words, blocks, encoded, mix, shingle_sets
 
 BANDS, ROWS, REGISTERS, MANTISSA, SMALL = 24, 4, 256, 10, 256
-BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 400_000
+BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 400_000
 _A = (mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)[:, None]
 
 
@@ -180,7 +180,7 @@ def _judge_blocks(percent: int):
                 for y in np.flatnonzero(left):
                     if docs[y] in (a, b):
                         continue
-                    others = np.flatnonzero((comps != comps[y]) & ~left & (docs != a) & (docs != b))
+                    others = np.flatnonzero((comps != comps[y]) & (~left | (docs < docs[y])) & (docs != a) & (docs != b))
                     if not len(others):
                         continue
                     near = _near(bodies.n[others], np.full(len(others), bodies.n[y]), (bodies.regs[others] == bodies.regs[y]).mean(axis=1), percent)
@@ -285,8 +285,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     lefts = inside.filter("left").groupBy("key").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("nl"))
     inside = inside.join(lefts, "key").withColumn("na", F.ceil(F.col("total") / BLOCK_MEMBERS).cast("int"))
     h = F.xxhash64("doc")
-    all_rows = inside.withColumn("li", F.explode(F.sequence(F.lit(0), F.col("nl") - 1))).withColumn("j", F.pmod(h, F.col("na")).cast("int")).withColumn("left", F.lit(False))
-    left_rows = inside.filter("left").withColumn("li", F.pmod(F.xxhash64("doc", F.lit(7)), F.col("nl")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
+    all_rows = inside.withColumn("li", F.explode(F.sequence(F.lit(0), F.col("nl") - 1))).withColumn("j", F.pmod(h, F.col("na")).cast("int")).withColumn("left", F.col("left") & (F.col("na") == 1))
+    left_rows = inside.filter("left and na > 1").withColumn("li", F.pmod(F.xxhash64("doc", F.lit(7)), F.col("nl")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
     columns = ["key", "a", "b", "li", "j", "doc", "comp", "left"]
     packed = all_rows.select(columns).union(left_rows.select(columns)).join(bodies, "doc")
     packed = packed.groupBy("key", "a", "b", "li", "j").agg(F.collect_list(F.struct("doc", "comp", "left", "n", "body")).alias("members"))
