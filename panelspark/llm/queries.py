@@ -10,6 +10,7 @@ from .html_text import extract_text
 from .line_dedup import dedup_lines
 from .near_dup import near_duplicates
 from .packing import pack
+from .pii import counts, find_pii, joined
 from .ppm import score_texts
 from .quality import quality_scores
 from .shared import checkpoint_dir, in_fold, table
@@ -25,6 +26,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return out.select("doc_id", *counts(F.col("base")), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -124,6 +130,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_pii": op1_pii,
         "op2_near_dedup": op2_near_dedup,
         "op3_nearest": op3_nearest,
         "op4_warc": op4_warc,
