@@ -98,7 +98,7 @@ def correlation_histogram(pool: DataFrame, bins: int = 30) -> DataFrame:
 
 def _ratio(mean: Column, std: Column) -> Column:
     r = mean / F.greatest(std, F.lit(SLICE_FLOOR))
-    return F.greatest(F.lit(-UTILITY_LIMIT), F.least(F.lit(UTILITY_LIMIT), r))
+    return F.when(r.isNotNull(), F.greatest(F.lit(-UTILITY_LIMIT), F.least(F.lit(UTILITY_LIMIT), r)))
 
 
 def marginal_utility(candidates: DataFrame, pool: DataFrame, *, skip_start: int = SKIP_START, skip_end: int = 0, periods: int | None = None) -> DataFrame:
