@@ -171,7 +171,10 @@ def _nystroem(model, width: int, rank: int):
             y += np.outer(a, a @ _omega(len(idf), width)) if len(idf) else 0.0
         core = _omega(len(idf), width).T @ y
         values, vectors = np.linalg.eigh((core + core.T) / 2)
-        held = values > values.max(initial=0.0) * 1e-10
+        held = values > max(values.max(initial=0.0), 0.0) * 1e-10
+        if not y.size or not held.any():
+            yield pd.DataFrame({"u": [np.zeros(len(idf), np.float32).tobytes()], "rank": [1]})
+            return
         u, _, _ = np.linalg.svd(y @ (vectors[:, held] / np.sqrt(values[held])), full_matrices=False)
         yield pd.DataFrame({"u": [u[:, :rank].astype(np.float32).tobytes()], "rank": [min(rank, u.shape[1])]})
 
@@ -263,7 +266,8 @@ def find_contamination(
         parts = docs.select(text).mapInArrow(_sketch(model, width, stride), "part int, y binary")
         sums = parts.repartition("part").mapInArrow(_add, "part int, y binary")
         fitted = sums.repartition(1).mapInPandas(_nystroem(model, width, rank), "u binary, rank int").first()
-        space = np.frombuffer(fitted.u, dtype=np.float32).reshape(len(idf), fitted.rank) * idf[:, None].astype(np.float32)
+        vectors = np.frombuffer(fitted.u, dtype=np.float32).reshape(len(idf), fitted.rank) if fitted else np.zeros((len(idf), 1), np.float32)
+        space = vectors * idf[:, None].astype(np.float32)
         final = spark.sparkContext.broadcast((items, idf, space))
         schema = ", ".join(["__items array<bigint>", "__share double", *(f"`{c}` {t.simpleString()}" for c, t in ((f.name, f.dataType) for f in out.schema.fields))])
         out = out.select(text, *out.columns).mapInArrow(_search(final, window, stride, cosine, weak, strong), schema)

@@ -76,7 +76,10 @@ def latent_space(a: np.ndarray, rank: int) -> np.ndarray:
 
 def _fit(rank: int, least_df: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames), ignore_index=True)
+        held = [f for f in frames if len(f)]
+        if not held:
+            return
+        rows = pd.concat(held, ignore_index=True)
         df = np.zeros(TERMS, dtype=np.int64)
         for t in rows["term"]:
             df[t] += 1
