@@ -111,7 +111,7 @@ def _vote(model, neighbours: int, power: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used, space, vectors, labels = model.value
         prior = float(labels.mean()) if len(labels) else 0.5
-        k = min(neighbours, len(labels))
+        k = min(neighbours, max(3, len(labels) // 20), len(labels))
         for batch in batches:
             texts, out = encoded(batch.column(0).to_pylist()), []
             for a, b in blocks(texts, (len(t) + 20_000 for t in texts)):
