@@ -14,7 +14,8 @@ A document is the set of its distinct n-word shingles (64-bit hashes of word has
    found by banding is lost.  A pair is looked at in the first band that it shares only.
 
 Documents of up to ``SMALL`` shingles carry their set itself and are confirmed in place; larger ones are confirmed
-on sets recomputed from their whole texts, in groups of bounded size.
+on sets recomputed from their whole texts, in groups of bounded size.  Only members of buckets of two or more travel;
+the list of them is broadcast if a count shows it to be short, and joined by shuffling otherwise.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; a text of fewer than n
 words is one shingle, its whole word sequence; rows that repeat a doc_id count as one document for linking.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep
+from .shared import keep, small
 from .textblock import Words, blocks, encoded, mix, shingle_sets
 
 BANDS, ROWS, REGISTERS, MANTISSA, SMALL = 24, 4, 256, 10, 256
@@ -225,7 +226,7 @@ def _confirm(words: int, percent: int):
 def _confirmed(jobs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links among ``jobs`` (gid, us, vs), confirmed on sets made from whole texts."""
     members = jobs.select(F.col("gid").alias("job"), F.explode(F.array_union("us", "vs")).alias("doc"))
-    held = members.join(texts, "doc").select("job", "doc", "text")
+    held = texts.join(small(members), "doc").select("job", "doc", "text")
     return jobs.groupBy("gid").cogroup(held.groupBy("job")).applyInPandas(_confirm(words, percent), "u long, v long")
 
 
@@ -264,7 +265,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = heads.select(F.explode("keys").alias("key"), "doc")
     buckets = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("doc").alias("a"), F.min_by("doc", F.xxhash64("doc")).alias("b")).filter("size > 1")
     members = keep(rows.join(buckets, "key"))
-    bodies = heads.select("doc", "n", "body")
+    bodies = keep(heads.select("doc", "n", "body").join(small(members.select("doc").distinct()), "doc", "left_semi"))
 
     star = members.select("doc", F.col("a").alias("lead")).union(members.select("doc", F.col("b").alias("lead"))).filter("doc <> lead").distinct()
     leads = bodies.select(F.col("doc").alias("lead"), F.col("n").alias("m"), F.col("body").alias("other"))

@@ -27,6 +27,26 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Key tables of at most so many rows (16 bytes each) may be broadcast; larger ones are joined by shuffling.
+BROADCAST_ROWS = 500_000
+
+
+def small(keys: DataFrame, rows: int | None = None) -> DataFrame:
+    """``keys``, marked for broadcast if a count shows that they are few."""
+    rows = BROADCAST_ROWS if rows is None else rows
+    return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys
+
+
+def spread_sample(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """About ``size`` of the rows (all, if they are fewer), the same on every run: those whose key's hash is low.
+
+    Only the sample moves; there is no global sort and no list of candidates from every task."""
+    total = rows.count()
+    if total <= size:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(key, F.lit(23)), F.lit(1 << 40)) < int(size / total * (1 << 40)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.llm import near_dup as nd
+from panelspark.llm import shared
 from panelspark.llm.decontaminate import find_contamination, lcs_length
 from panelspark.llm.line_dedup import dedup_lines, line_key
 from panelspark.llm.packing import WordIds, cutting_stock, pack
@@ -79,6 +80,7 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     want = brute_components(rows, 4, 80)
     for members in (2048, 8):  # whole buckets, and buckets dealt in blocks
         monkeypatch.setattr(nd, "BLOCK_MEMBERS", members)
+        monkeypatch.setattr(shared, "BROADCAST_ROWS", members - 8)  # lists broadcast, and lists joined
         got = nd.near_duplicates(spark.createDataFrame(rows, SCHEMA).withColumn("kept", F.lit("clash")), words=4).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
