@@ -2,7 +2,7 @@
 
 Writing: records are built by column functions and written as Spark text files (line ends ``\\r\\n``), so a lost
 executor leaves no half archives and any file system of Spark's serves.  Equal payloads (length and SHA-1) are found
-by one pre-aggregated grouping of digests; only groups of two or more are joined back, to make revisit records.
+by one pre-aggregated grouping of digests; only groups of two or more are joined back (broadcast if counted few), to make revisit records.
 
 Reading: whole files are dealt to partitions of about ``split_bytes``.  Equality, IN and null conditions on header
 columns are pushed down; a record's headers are parsed first, and payloads that no one wants (by condition, or
@@ -26,6 +26,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull
+from .shared import keep, small
 
 SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 _HEADERS = {"page_id": "x-page-id", "url": "warc-target-uri", "record_type": "warc-type", "payload_bytes": "x-payload-length", "payload_digest": "warc-payload-digest", "refers_to": "x-refers-to-page"}
@@ -46,7 +47,7 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.col(url_col).cast("string"), "[\\r\\n]", "").alias("url"), html.alias("html"))
     base = base.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", base32_sha1(F.col("html")))
     groups = base.filter(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = base.join(groups, ["digest", "bytes"], "left").withColumn("revisit", F.coalesce(F.col("first") != F.col("id"), F.lit(False)))
+    rows = base.join(small(keep(groups)), ["digest", "bytes"], "left").withColumn("revisit", F.coalesce(F.col("first") != F.col("id"), F.lit(False)))
     named = lambda c: F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(c.cast("string")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
     head = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(_END)))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "), F.col("bytes").cast("string"), F.lit(_END * 2))
