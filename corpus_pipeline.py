@@ -17,7 +17,7 @@ from panelspark.llm.near_dup import near_duplicates
 from panelspark.llm.packing import pack
 from panelspark.llm.quality import quality_scores
 from panelspark.llm.queries import tokenizer_path
-from panelspark.llm.shared import checkpoint_dir, table
+from panelspark.llm.shared import checkpoint_dir, keep, small, table
 
 #: A line counts as repeated if this many documents hold it and its key has this many characters.
 LINE_DOCS, LINE_CHARS = 10, 30
@@ -38,8 +38,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest doc_id."""
-    kept = near_duplicates(docs, words=5, percent=80).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    gone = keep(near_duplicates(docs, words=5, percent=80).filter("not kept").select("doc_id"))
+    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
