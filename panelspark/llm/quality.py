@@ -1,8 +1,8 @@
 """Quality scores by nearest-neighbour voting over latent-semantic vectors.
 
 A text's terms are trigrams of byte classes (letters, digits, spaces, line ends, each kind of mark) plus a few counts
-of repeated words.  From a sample of at most ``sample`` labelled rows (the smallest hashes of the id, so the sample
-is the same on every run) one task fits inverse document frequencies and a truncated singular value decomposition.
+of repeated words.  From a sample of about ``sample`` labelled rows (those of low id hash, the same on
+every run) one task fits inverse document frequencies and a truncated singular value decomposition.
 The sample's latent vectors and labels, ``sample`` x ``rank`` floats, are broadcast with the projection
 (at most ``TERMS`` x ``rank`` floats); every document of every size is projected and held, in blocks, against all of
 them by exact cosine, and the ``neighbours`` nearest vote with weight cosine ** ``power``.
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import spread_sample
 from .textblock import Words, blocks, encoded
 
 CLASSES, EXTRA = 32, 8
@@ -139,9 +140,9 @@ def quality_scores(
     on its ``id_col``) are learnt from."""
     spark = docs.sparkSession
     chosen = labels.filter(teach & F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("float").alias("label"))
-    chosen = chosen.dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(sample)
+    chosen = spread_sample(chosen.dropDuplicates(["__id"]), "__id", sample)
     texts = docs.select(F.col(id_col).alias("__id2"), F.col(text_col).cast("string").alias("text"))
-    taught = texts.join(F.broadcast(chosen), F.col("__id2") == F.col("__id")).select("text", "label")  # at most ``sample`` rows broadcast
+    taught = texts.join(F.broadcast(chosen), F.col("__id2") == F.col("__id")).select("text", "label")  # about ``sample`` rows broadcast
     fitted = taught.mapInArrow(_features, "term array<int>, value array<float>, label float").repartition(1)
     fitted = fitted.mapInPandas(_fit(rank, least_df), "used binary, space binary, vectors binary, labels binary").first()
     if fitted is None:
