@@ -2,7 +2,7 @@
 
 1. One pass brings vectors to float64, drops those that take no part and reduces bit-equal ones to classes that keep
    the ``k`` + 1 smallest ids (salted, then merged): no other of them can ever be among a query's k nearest.
-2. The tree is fitted on a bounded sample (the ``sample`` smallest id hashes) by one task: k-means with ``branch``
+2. The tree is fitted on a bounded sample (about ``sample`` rows of low id hash) by one task: k-means with ``branch``
    centres a level until a node holds at most ``leaf`` of the sample.  Every class of the whole table is then
    assigned to its leaf; nothing is left out of the index.
 3. A query walks the tree with a priority queue of unopened branches, best centre first.  How many leaves it opens is
@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import keep
+from .shared import keep, spread_sample
 
-BLOCK = 2048
+BLOCK = 1024
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -101,7 +102,7 @@ def _fit(branch: int, leaf: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pickle
 
-        x = [np.array(v) for f in frames for v in f["v"]]
+        x = [np.array(v, dtype=np.float64) for f in frames for v in f["v"]]
         if x:
             yield pd.DataFrame({"tree": [pickle.dumps(Tree(_unit(np.array(x)), branch, leaf))]})
 
@@ -111,7 +112,7 @@ def _fit(branch: int, leaf: int):
 def _assign(tree):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            leaf = tree.value.assign(_unit(np.stack(f["v"].to_numpy()))) if len(f) else np.zeros(0, np.int64)
+            leaf = tree.value.assign(_unit(np.stack(f["v"].to_numpy()).astype(np.float64))) if len(f) else np.zeros(0, np.int64)
             yield f.assign(leaf=leaf)
 
     return run
@@ -119,39 +120,49 @@ def _assign(tree):
 
 def _visits(tree, leaves: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [tree.value.visit(np.asarray(v) / np.linalg.norm(v), leaves) for v in f["v"]]
-            n = [len(x) for x in found]
-            yield pd.DataFrame(
-                {"q": np.repeat(f["id"].to_numpy(np.int64), n), "qv": np.repeat(np.array(f["v"], dtype=object), n), "leaf": np.array([y for x in found for y in x], dtype=np.int64), "turn": np.array([t for x in n for t in range(x)], dtype=np.int32)}
-            )
+        for whole in frames:
+            for at in range(0, len(whole), 128):
+                f = whole.iloc[at : at + 128]
+                units = [np.asarray(v, dtype=np.float64) for v in f["v"]]
+                found = [tree.value.visit(v / np.linalg.norm(v), leaves) for v in units]
+                n = [len(x) for x in found]
+                yield pd.DataFrame(
+                    {
+                        "q": np.repeat(f["id"].to_numpy(np.int64), n), "qv": np.repeat(np.array(f["v"], dtype=object), n),
+                        "leaf": np.array([y for x in found for y in x], dtype=np.int64), "turn": np.array([t for x in n for t in range(x)], dtype=np.int32),
+                    }
+                )
 
     return run
 
 
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Equally long lists of numbers as float64 rows."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
 def _best(k: int):
     """Per row (queries of a block, members of a block): each query's best k members."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            q_out, id_out, score_out, turn_out = [], [], [], []
-            for queries, members in zip(f["queries"], f["members"]):
-                ids = [m["ids"] for m in members]
-                x = np.array([m["v"] for m in members])
-                norm = np.sqrt((x * x).sum(axis=1))
-                qs = np.array([q["qv"] for q in queries])
-                every = qs @ x.T / (np.sqrt((qs * qs).sum(axis=1))[:, None] * norm[None, :])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                queries, members = batch.column(0)[row].values, batch.column(1)[row].values
+                q, turn, qs = queries.field("q").to_pylist(), queries.field("turn").to_pylist(), _matrix(queries.field("qv"))
+                ids, x = members.field("ids").to_pylist(), _matrix(members.field("v"))
+                norm, qnorm = np.sqrt((x * x).sum(axis=1)), np.sqrt((qs * qs).sum(axis=1))
                 n = min(k + 1, len(ids))
-                cut = np.partition(every, len(ids) - n, axis=1)[:, len(ids) - n] - 1e-9
-                for q, score, least, vector in zip(queries, every, cut, qs):
-                    near = np.flatnonzero(score >= least)
-                    exact = (x[near] * vector).sum(axis=1) / (norm[near] * np.sqrt((vector * vector).sum()))
-                    best = sorted((-s, i) for s, m in zip(exact.tolist(), near) for i in ids[m] if i != q["q"])[:k]
-                    q_out += [q["q"]] * len(best)
-                    id_out += [i for _, i in best]
-                    score_out += [-s for s, _ in best]
-                    turn_out += [q["turn"]] * len(best)
-            yield pd.DataFrame({"q": np.array(q_out, np.int64), "id": np.array(id_out, np.int64), "score": np.array(score_out, float), "turn": np.array(turn_out, np.int32)})
+                out: list[tuple] = []
+                for a in range(0, len(q), 256):
+                    every = qs[a : a + 256] @ x.T / (qnorm[a : a + 256, None] * norm[None, :])
+                    least = np.partition(every, len(ids) - n, axis=1)[:, len(ids) - n] - 1e-9
+                    for i, score in enumerate(every, a):
+                        near = np.flatnonzero(score >= least[i - a])
+                        exact = (x[near] * qs[i]).sum(axis=1) / (norm[near] * qnorm[i])
+                        best = sorted((-s, other) for s, m in zip(exact.tolist(), near.tolist()) for other in ids[m] if other != q[i])[:k]
+                        out += [(q[i], other, -s, turn[i]) for s, other in best]
+                columns = list(zip(*out)) if out else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int32()))], ["q", "id", "score", "turn"])
 
     return run
 
@@ -169,7 +180,7 @@ def _meet(queries: DataFrame, members: DataFrame, on: str, k: int) -> DataFrame:
     m = m.groupBy(on, F.pmod(F.xxhash64("id"), F.col("nm")).alias("mb")).agg(F.collect_list(F.struct("ids", "v")).alias("members"))
     q = queries.join(queries.groupBy(on).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nq")), on)
     q = q.groupBy(on, F.pmod(F.xxhash64("q"), F.col("nq")).alias("qb")).agg(F.collect_list(F.struct("q", "qv", "turn")).alias("queries"))
-    return q.join(m, on).select("queries", "members").mapInPandas(_best(k), "q long, id long, score double, turn int")
+    return q.hint("merge").join(m, on).select("queries", "members").mapInArrow(_best(k), "q long, id long, score double, turn int")
 
 
 def nearest(
@@ -178,7 +189,8 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id, score for every row whose id satisfies ``is_query`` (a function of the id column)."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null and v is not null and size(v) > 0")
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v")).filter("id is not null and v is not null and size(v) > 0")
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.filter(good)
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32)))
@@ -186,26 +198,26 @@ def nearest(
     order = Window.partitionBy("v", "salt").orderBy("id")
     classes = salted.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).groupBy("v").agg(F.collect_list(F.array("id")).alias("ids"))
     classes = keep(classes.select("v", least("ids").alias("ids")).withColumn("id", F.col("ids")[0]))
-    fitted = classes.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").repartition(1).mapInPandas(_fit(branch, leaf), "tree binary").first()
+    fitted = spread_sample(classes, "id", sample).select("v").repartition(1).mapInPandas(_fit(branch, leaf), "tree binary").first()
     if fitted is None:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     import pickle
 
     tree = pickle.loads(fitted.tree)
     shared = spark.sparkContext.broadcast(tree)
-    members = keep(classes.mapInPandas(_assign(shared), "v array<double>, ids array<long>, id long, leaf long"))
+    members = keep(classes.mapInPandas(_assign(shared), f"v {kind}, ids array<long>, id long, leaf long"))
     queries = rows.filter(is_query(F.col("id"))).dropDuplicates(["id"])
 
-    stated = keep(queries.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(calibrate))
+    stated = keep(spread_sample(queries, "id", calibrate))
     every = stated.select(F.col("id").alias("q"), F.col("v").alias("qv"), F.lit(0).alias("turn"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("slice"))
     truth = _top(_meet(every, members.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")), "slice", k), k).select("q", "id")
-    found = _meet(stated.mapInPandas(_visits(shared, len(tree.leaves)), "q long, qv array<double>, leaf long, turn int"), members, "leaf", k)
+    found = _meet(stated.mapInPandas(_visits(shared, len(tree.leaves)), f"q long, qv {kind}, leaf long, turn int"), members, "leaf", k)
     needed = truth.join(found.groupBy("q", "id").agg(F.min("turn").alias("turn")), ["q", "id"]).groupBy("turn").count().orderBy("turn").collect()
     total, sum_, leaves = sum(r["count"] for r in needed), 0, 1
     for r in needed:  # at most as many rows as leaves
         sum_, leaves = sum_ + r["count"], r["turn"] + 1
         if sum_ >= recall * total:
             break
-    visited = queries.mapInPandas(_visits(shared, leaves), "q long, qv array<double>, leaf long, turn int")
+    visited = queries.mapInPandas(_visits(shared, leaves), f"q long, qv {kind}, leaf long, turn int")
     best = _top(_meet(visited, members, "leaf", k).dropDuplicates(["q", "id"]), k)
     return best.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
