@@ -292,3 +292,40 @@ def test_lcs():
 
 def test_digest_of_an_emptied_document():
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def brute_ppm(train, text, depth):
+    """log10 of a text's probability by method D with full exclusion, straight from the definition."""
+    counts = {}
+    for t in train:
+        raw = b"\xff" * depth + t + b"\xff"
+        for i in range(depth, len(raw)):
+            for k in range(depth + 1):
+                counts.setdefault(raw[i - k : i], Counter())[raw[i]] += 1
+    raw, total = b"\xff" * depth + text + b"\xff", 0.0
+    for i in range(depth, len(raw)):
+        gone, p = set(), 1.0
+        for k in range(depth, -1, -1):
+            node = counts.get(raw[i - k : i], {})
+            left = {s: n for s, n in node.items() if s not in gone}
+            size = sum(left.values())
+            if raw[i] in left:
+                p *= (left[raw[i]] - 0.5) / size
+                break
+            p *= len(left) / 2 / size if size else 1.0
+            gone |= set(node)
+        else:
+            p /= 256 - len(gone)
+        total += math.log10(p)
+    return total
+
+
+@pytest.mark.parametrize("top", [1 << 21, 60])
+def test_deep_contexts_against_definition(spark, top):
+    rows = corpus(6, 40) + [(400, "the longer repeat"), (401, "zq"), (402, None), (403, "é the longer repeal")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    got = {r.doc_id: r.score for r in score_texts(spark.createDataFrame(rows, SCHEMA), ~in_fold(F.col("doc_id"), 3, 1), top_strings=top).collect()}
+    train = [(t or "").encode() for i, t in rows if not held(i)]
+    assert any(held(i) for i, _ in rows)
+    for i, t in rows:
+        assert got[i] == pytest.approx(brute_ppm(train, (t or "").encode(), 5), rel=1e-4)
