@@ -5,11 +5,14 @@ Only column functions are used.
 1. Base spans are the leftmost non-overlapping matches of four patterns, kept if they pass their test.  A text is
    split by a pattern and the matches are taken out of it; running lengths of pieces and matches give positions.
    The patterns are written without backtracking over repeats, so long texts neither overflow nor turn quadratic.
-2. Every identifier value c is a protected entity.  Terms t are the words of the lines that hold it.  Over the whole
-   corpus, n(c), n(t) and n(c, t) count documents; t discloses c if
+2. Every identifier value c is a protected entity, and so that values held by one or two texts count too, so is every
+   group of values: its kind, and within the kind the mail domain, network (two numbers), card issuer (six digits) or
+   phone prefix (three digits).  Terms t are the words of the lines that hold c, or a value of the group c.  Over the
+   whole corpus, n(c), n(t) and n(c, t) count documents; t discloses c if
    PMI(c; t) = log2(N n(c, t) / n(c) n(t)) >= alpha * IC(c),  IC(c) = log2(N / n(c)),
-   and at least ``min_support`` different texts hold the pair (copies of one text prove nothing).
-3. In documents that hold c, such terms in its lines are spans of kind ``term``.  ``clean`` has base spans
+   and at least ``min_support`` different texts hold the pair (copies of one text prove nothing).  For groups n(t) is
+   one more (smoothing: one document with t and without the group).
+3. In documents that hold a value of c, such terms in its lines are spans of kind ``term``.  ``clean`` has base spans
    generalised to their kind, and terms to a mark, or removed.
 
 Defined results: null and empty texts have no spans; equal rows are separate documents; a term span that touches a
@@ -96,6 +99,16 @@ def _words(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), rf"[^\p{{L}}\p{{N}}]+"), lambda w: (F.length(w) > 1) & ~w.rlike("^[0-9]+$"))
 
 
+def _groups(kind: Column, value: Column) -> Column:
+    """The entities that a value belongs to: itself, its domain or prefix, its kind."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    near = (
+        F.when(kind == "email", F.lower(F.substring_index(value, "@", -1))).when(kind == "ip", F.substring_index(value, ".", 2))
+        .when(kind == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 3))
+    )
+    return F.array(F.concat(F.lit("="), value), F.concat(kind, F.lit(":"), near), kind)
+
+
 def find_pii(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.9, min_support: int = 3, max_broadcast: int = 100_000,
     remove: bool = False, with_text: bool = True,
@@ -114,12 +127,15 @@ def find_pii(
     rows = keep(rows)
     n_docs = rows.count()
 
-    entities = rows.filter(held).select("row", "text", F.xxhash64("text").alias("copy"), F.explode(F.array_distinct(F.transform("base", lambda s: s["value"]))).alias("entity"))
+    values = F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
+    entities = rows.filter(held).select("row", "text", F.xxhash64("text").alias("copy"), F.explode(values).alias("own"))
+    entities = entities.select("row", "text", "copy", F.col("own.value").alias("entity"), _groups(F.col("own.kind"), F.col("own.value")).alias("groups"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.col("entity")))
     context = F.array_distinct(F.flatten(F.transform(lines, lambda x: _words(F.replace(x, F.col("entity"), F.lit(" "))))))
-    pairs = entities.select("row", "copy", "entity", F.explode(context).alias("term"))
-    together = pairs.groupBy("entity", "term", "copy").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count("*").alias("texts"))
-    together = keep(together.filter(F.col("texts") >= min_support).select("entity", "term", "n_ct"))
+    beside = entities.select("row", "copy", "entity", "groups", F.explode(context).alias("term"))
+    pairs = beside.select("row", "copy", F.explode("groups").alias("of"), "term").distinct()  # a document may hold several values of a group
+    together = pairs.groupBy("of", "term", "copy").agg(F.count("*").alias("n")).groupBy("of", "term").agg(F.sum("n").alias("n_ct"), F.count("*").alias("texts"))
+    together = keep(together.filter(F.col("texts") >= min_support).select("of", "term", "n_ct"))
     terms = together.select("term").distinct()
     small = terms.limit(max_broadcast + 1).count() <= max_broadcast
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text), rf"[^\p{{L}}\p{{N}}]+"))).alias("term"))
@@ -127,13 +143,16 @@ def find_pii(
         frequency = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     else:
         frequency = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    by_entity = entities.groupBy("entity").agg(F.count("*").alias("n_c"))
-    scored = together.join(frequency, "term").join(by_entity, "entity")
-    pmi = F.log2(F.lit(float(max(n_docs, 1))) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
+    by_entity = entities.select("row", F.explode("groups").alias("of")).distinct().groupBy("of").agg(F.count("*").alias("n_c"))
+    scored = together.join(frequency, "term").join(by_entity, "of")
+    n_t = F.col("n_t") + F.when(F.startswith("of", F.lit("=")), 0).otherwise(1)
+    pmi = F.log2(F.lit(float(max(n_docs, 1))) * F.col("n_ct") / (F.col("n_c") * n_t))
     content = F.log2(F.lit(float(max(n_docs, 1))) / F.col("n_c"))
-    telling = scored.filter((pmi > 0) & (pmi >= alpha * content)).select("entity", "term")
-    per_entity = telling.groupBy("entity").agg(F.collect_set("term").alias("terms"))
-    exposed = keep(entities.select("row", "entity").join(per_entity, "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "terms")).alias("exposed")))
+    telling = keep(scored.filter((pmi > 0) & (pmi >= alpha * content)).select("of", "term"))
+    some = telling.limit(max_broadcast + 1).count() <= max_broadcast
+    found = beside.select("row", "entity", F.explode("groups").alias("of"), "term").join(F.broadcast(telling) if some else telling, ["of", "term"], "left_semi")
+    per_entity = found.groupBy("row", "entity").agg(F.collect_set("term").alias("terms"))
+    exposed = keep(per_entity.groupBy("row").agg(F.collect_list(F.struct("entity", "terms")).alias("exposed")))
     few = exposed.limit(max_broadcast + 1).count() <= max_broadcast
     out = rows.join(F.broadcast(exposed) if few else exposed, "row", "left")
 

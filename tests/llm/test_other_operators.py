@@ -70,6 +70,16 @@ def test_pii_terms_by_information(spark):
     assert forced == {i: joined_py(r.spans) for i, r in out.items()}
 
 
+def test_pii_terms_of_rarely_held_values(spark):
+    kinds = [lambda i: f"name{i}@secret.org", lambda i: f"10.7.{i}.1"]  # each value stands in one text only
+    rows = [(10 * k + i, f"w{k}x{i} Zorba{k} {value(i)}\nother zorba{k} the {i}") for k, value in enumerate(kinds) for i in range(6)]
+    rows += [(90 + i, "one Copied b0@other.net") for i in range(5)] + [(100 + i, f"the common words {i} of others") for i in range(60)]
+    for bound in (100_000, 0):
+        out = {r.doc_id: [s["kind"] for s in r.spans] for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string"), max_broadcast=bound).collect()}
+        assert all(out[i] == ["term", "email"] and out[10 + i] == ["term", "ip"] for i in range(6))
+        assert all(out[90 + i] == ["email"] for i in range(5)) and not any(out[100 + i] for i in range(60))
+
+
 def joined_py(spans):
     return ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans)
 
