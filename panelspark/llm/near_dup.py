@@ -5,7 +5,8 @@ A document is the set of its distinct n-word shingles (64-bit hashes of word has
 
 1. One pass gives each document its set size, a 128-bit fingerprint of the set, and ``REGISTERS`` HyperMinHash
    registers: each bucket has a hash permutation of its own and stores its minimum as a leading-zero count and
-   ``MANTISSA`` mantissa bits (16 bits in all).  Equal sets collapse to one representative.
+   ``MANTISSA`` mantissa bits (16 bits in all).  Equal sets collapse to one representative; the list of sets held twice
+   or more is broadcast where a count shows it to be short.
 2. ``BANDS`` bands of ``ROWS`` registers give bucket keys (a pair with similarity 0.8 shares none with probability
    3e-6).  No bucket is expanded into pairs: every member is held against two leaders of its bucket, first by the
    collision-corrected estimate, then exactly; confirmed links are closed to components.
@@ -13,9 +14,11 @@ A document is the set of its distinct n-word shingles (64-bit hashes of word has
    component are held against the members of other components, again by estimate and then exactly, so no link
    found by banding is lost.  A pair is looked at in the first band that it shares only.
 
-Documents of up to ``SMALL`` shingles carry their set itself and are confirmed in place; larger ones are confirmed
-on sets recomputed from their whole texts, in groups of bounded size.  Only members of buckets of two or more travel;
-the list of them is broadcast if a count shows it to be short, and joined by shuffling otherwise.
+Only members of buckets of two or more are looked at again: those of up to ``SMALL`` shingles then carry their set
+itself and are confirmed in place; larger ones carry their registers and are confirmed on sets recomputed from their
+whole texts, in groups of bounded size.  Lists of buckets and members are broadcast if a count shows them to be
+short, and joined by shuffling otherwise.  Two kinds of link can be missed: pairs that share no band (see 2), and pairs whose
+estimate is over 4.5 standard errors too low (3e-6 of the pairs at the threshold).
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; a text of fewer than n
 words is one shingle, its whole word sequence; rows that repeat a doc_id count as one document for linking.
@@ -32,10 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import keep, small
-from .textblock import Words, blocks, encoded, mix, shingle_sets
+from .textblock import Words, blocks, encoded, mix, shingle_sets, utf8
 
 BANDS, ROWS, REGISTERS, MANTISSA, SMALL = 24, 4, 256, 10, 256
 BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 400_000
+#: Bytes of text worked on at once.
+TEXT_BLOCK = 2 << 20
 _A = (mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)[:, None]
 
 
@@ -81,28 +86,44 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _signatures(words: int):
+    """Set size, fingerprint and bucket keys of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = encoded(batch.column(1).to_pylist())
-            size, one, two, body, keys = [], [], [], [], []
-            for a, b in blocks(texts, map(len, texts)):
+            texts = utf8(batch.column(1))
+            size, one, two, keys = [], [], [], []
+            for a, b in blocks(texts, map(len, texts), TEXT_BLOCK):
                 for s in shingle_sets(Words(texts[a:b]), words):
                     size.append(len(s))
                     one.append(int(np.bitwise_xor.reduce(s).view(np.int64)) if len(s) else 0)
                     two.append(int(mix(s).sum().view(np.int64)) if len(s) else 0)
-                    regs = registers(s) if len(s) > SMALL else registers(s, BANDS * ROWS)
-                    body.append(regs.tobytes() if len(s) > SMALL else s.tobytes())
-                    keys.append(band_keys(regs[None, :])[0].view(np.int64) if len(s) else np.zeros(0, np.int64))
+                    keys.append(band_keys(registers(s, BANDS * ROWS)[None, :])[0].view(np.int64) if len(s) else np.zeros(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *keys]), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(body, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                ["doc", "n", "fp1", "fp2", "body", "keys"],
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
+                ["doc", "n", "fp1", "fp2", "keys"],
             )
 
     return run
 
 
+def _contents(words: int):
+    """Set size and body of each text: its set where that is small, else its registers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = utf8(batch.column(1))
+            size, body = [], []
+            for a, b in blocks(texts, map(len, texts), TEXT_BLOCK):
+                for s in shingle_sets(Words(texts[a:b]), words):
+                    size.append(len(s))
+                    body.append(registers(s).tobytes() if len(s) > SMALL else s.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(body, pa.binary())], ["doc", "n", "body"])
+
+    return run
+
+
 class _Bodies:
     """Rows with sets or registers, as the first pass wrote them."""
 
@@ -258,14 +279,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """A row per document row: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest doc_id reachable by links)
     and ``kept`` (whether the document is its component's smallest)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    sigs = keep(texts.mapInArrow(_signatures(words), "doc long, n long, fp1 long, fp2 long, body binary, keys array<long>"))
-    classes = sigs.filter("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc").alias("rep"))
-    heads = sigs.join(classes, (sigs.doc == classes.rep) & (sigs.fp1 == classes.fp1) & (sigs.fp2 == classes.fp2), "left_semi")
+    sigs = keep(texts.mapInArrow(_signatures(words), "doc long, n long, fp1 long, fp2 long, keys array<long>"))
+    copies = sigs.filter("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("held"))
+    copies = small(keep(copies.filter("held > 1").drop("held")))  # sets of one row only stand for themselves
+    sets = sigs.join(copies, ["fp1", "fp2", "n"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc")))
+    heads = sets.filter("rep = doc").select("doc", "keys")
     heads = heads.dropDuplicates(["doc"]) if _repeats(sigs) else heads
     rows = heads.select(F.explode("keys").alias("key"), "doc")
-    buckets = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("doc").alias("a"), F.min_by("doc", F.xxhash64("doc")).alias("b")).filter("size > 1")
-    members = keep(rows.join(buckets, "key"))
-    bodies = keep(heads.select("doc", "n", "body").join(small(members.select("doc").distinct()), "doc", "left_semi"))
+    buckets = keep(rows.groupBy("key").agg(F.count("*").alias("size"), F.min("doc").alias("a"), F.min_by("doc", F.xxhash64("doc")).alias("b")).filter("size > 1").drop("size"))
+    members = keep(rows.join(small(buckets), "key"))
+    candidates = texts.join(small(keep(members.select("doc").distinct())), "doc", "left_semi")
+    bodies = candidates.mapInArrow(_contents(words), "doc long, n long, body binary")
+    bodies = keep(bodies.dropDuplicates(["doc"]) if _repeats(sigs) else bodies)
 
     star = members.select("doc", F.col("a").alias("lead")).union(members.select("doc", F.col("b").alias("lead"))).filter("doc <> lead").distinct()
     leads = bodies.select(F.col("doc").alias("lead"), F.col("n").alias("m"), F.col("body").alias("other"))
@@ -297,8 +322,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         open_jobs = found.filter("not linked").select(F.xxhash64("key", "us").alias("gid"), "us", "vs")
         comps = components(links.union(late).union(_confirmed(open_jobs, texts, words, percent)))
 
-    out = sigs.select("doc", "n", "fp1", "fp2").join(classes, ["fp1", "fp2", "n"], "left")
-    out = out.join(comps.withColumnRenamed("doc", "rep"), "rep", "left")
+    out = sets.select("doc", "n", "rep").join(small(keep(comps.withColumnRenamed("doc", "rep"))), "rep", "left")
     component = F.coalesce("comp", "rep", "doc")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
 

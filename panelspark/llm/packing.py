@@ -6,14 +6,16 @@
    thing the driver sees.  A cutting-stock linear program over packing patterns is solved by the revised simplex
    method; columns are priced by an unbounded-knapsack dynamic program.  Pattern counts are rounded down, and
    what is left (some pieces a class at most) is filled by first fit.
-3. Pieces are ranked within their class (in salted slices, with a broadcast table of slice offsets), ranks are
-   assigned to pattern instances by a broadcast interval table, and offsets are running sums of true lengths.
+3. A full piece is a sequence by itself.  The others are ranked within their class (in slices,
+   with a table of slice offsets), ranks are assigned to pattern instances by a broadcast
+   interval table (some entries a class), and offsets are running sums of true lengths.
 
 Defined results: null or empty texts are the end id alone; equal rows are packed as separate documents.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import zlib
@@ -25,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import keep
-from .textblock import Words, blocks, encoded
+from .shared import ended, keep, small
+from .textblock import Words, blocks, utf8
 
 _TOKENIZERS: dict = {}
-_CACHE_WORDS, _CACHE_BYTES = 800_000, 160
+_CACHE_WORDS, _CACHE_PARTS = 400_000, 50_000
+#: Bytes of text worked on at once.
+_TEXT_BLOCK = 2 << 20
+_PROBE = "The QUICK don't, we'LL b\u00e9b\u00e9! a1b22  x\n\u00df\u4e2d\u6587 \u00c9t\u00e9s-- $9.50 <|endoftext|> it's\t(ok)"
 _PLAIN = re.compile("[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 _PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
 #: The byte-level spelling of bytes that are no printable Latin-1 character: the code points from 256 on, in turn.
@@ -42,7 +47,10 @@ class WordIds:
     The tokenizer lower-cases, drops white space and never joins across it, so a text's ids are those of its
     words in turn.  Words are found and told apart by hash, a block at a time.  A word of ASCII and Latin-1
     letters is split as the tokenizer's own pattern does and its parts go straight to its BPE model; all other words, and
-    those in which contractions or special tokens could occur, go through the whole tokenizer."""
+    those in which contractions or special tokens could occur, go through the whole tokenizer.
+
+    A tokenizer of another make is noticed by a probe text and then given whole texts.  What is remembered is some
+    40 bytes a word in sorted arrays, and is dropped when a task ends."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -50,16 +58,31 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[int, bytes] = {}
-        self.parts: dict[str, list[int]] = {}
-
-    def _part(self, part: str) -> list[int]:
+        self.by_word = True
+        self.forget()
+        try:
+            ids, _ = self.block([_PROBE.encode()])
+            self.by_word = ids.tolist() == self._whole(_PROBE)
+        except Exception:  # the model refuses words spelled in this way
+            self.by_word = False
+        self.forget()
+
+    def forget(self) -> None:
+        self.parts: dict[str, bytes] = {}
+        self.keys = np.zeros(0, np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            if len(self.parts) > _CACHE_WORDS:
+            if len(self.parts) > _CACHE_PARTS:
                 self.parts.clear()
             spelled = part if part.isascii() else part.encode().decode("latin-1").translate(_SPELLED)
-            ids = self.parts[part] = [t.id for t in self.model.tokenize(spelled)]
+            ids = self.parts[part] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         return ids
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
@@ -67,10 +90,7 @@ class WordIds:
         rest, texts = [], [w.decode("utf-8", "surrogatepass") for w in words]
         for i, word in enumerate(texts):
             if len(word) < 200 and _PLAIN(word):
-                ids: list[int] = []
-                for part in _PARTS(word.lower()):
-                    ids += self._part(part)
-                out[i] = array("I", ids).tobytes()
+                out[i] = b"".join(map(self._part, _PARTS(word.lower())))
             else:
                 rest.append(i)
         for a in range(0, len(rest), 512):
@@ -79,25 +99,34 @@ class WordIds:
                 out[i] = array("I", e.ids).tobytes()
         return out
 
+    def _remember(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        begin = np.cumsum(size) - size + len(self.ids)
+        at = np.searchsorted(self.keys, hashes)
+        self.keys, self.begin, self.size = np.insert(self.keys, at, hashes), np.insert(self.begin, at, begin), np.insert(self.size, at, size)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), dtype="<u4")])
+
+    def _lacking(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.arange(len(hashes))
+        return np.flatnonzero(self.keys[np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)] != hashes)
+
     def block(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, and where each text's end."""
+        if not self.by_word:
+            each = [np.array(self._whole(t.decode("utf-8", "surrogatepass")), dtype="<u4") for t in texts]
+            return np.concatenate([np.zeros(0, "<u4"), *each]), np.cumsum([len(x) for x in each])
         words = Words(texts)
         unique, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-        if len(self.known) > _CACHE_WORDS:
-            self.known.clear()
-        keys = unique.tolist()
-        found = list(map(self.known.get, keys))
-        missing = [i for i, x in enumerate(found) if x is None]
-        for i, ids in zip(missing, self._encode([words.word(first[i]) for i in missing])):
-            found[i] = ids
-            if len(ids) <= _CACHE_BYTES:
-                self.known[keys[i]] = ids
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        table = np.frombuffer(b"".join(found), dtype="<u4")
-        begin = np.cumsum(size) - size
-        each = size[inverse]
+        lacking = self._lacking(unique)
+        if len(self.keys) + len(lacking) > _CACHE_WORDS or len(self.ids) > 8 * _CACHE_WORDS:
+            self.forget()
+            lacking = np.arange(len(unique))
+        self._remember(unique[lacking], self._encode([words.word(first[i]) for i in lacking]))
+        at = np.searchsorted(self.keys, unique)
+        begin, each = self.begin[at][inverse], self.size[at][inverse]
         ends = np.cumsum(each)
-        ids = table[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[inverse] - ends + each, each)]
+        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + each, each)]
         return ids, np.concatenate([[0], ends])[words.ptr[1:]]
 
 
@@ -112,10 +141,10 @@ def _pieces(path: str, end_id: int, seq_len: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _word_ids(path)
-        for batch in batches:
+        for batch in ended(batches, ids_of.forget):
             rows: list[tuple] = []
-            docs, texts = batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist())
-            for a, b in blocks(texts, map(len, texts)):
+            docs, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
+            for a, b in blocks(texts, map(len, texts), _TEXT_BLOCK):
                 block, ends = ids_of.block(texts[a:b])
                 block, begin = memoryview(block.astype("<u4", copy=False).tobytes()), 0
                 for doc, stop in zip(docs[a:b], ends.tolist()):
@@ -234,20 +263,18 @@ def cutting_stock(demand: np.ndarray, capacity: int, rounds: int = 4000, toleran
 
 def pack(
     docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", seq_len: int = 2048,
-    end_id: int = 1, width: int = 8, slices: int = 64,
+    end_id: int = 1, width: int = 8,
 ) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     capacity = -(-seq_len // width)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = texts.mapInArrow(_pieces(tokenizer_path, end_id, seq_len), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
-    pieces = keep(pieces.withColumn("__class", F.ceil(F.col("length") / width).cast("int")).withColumn("__slice", F.pmod(F.xxhash64("doc_id", "start"), F.lit(slices)).cast("int")))
-    counts = pieces.groupBy("__class", "__slice").count().collect()  # at most capacity x slices rows
+    pieces = keep(texts.mapInArrow(_pieces(tokenizer_path, end_id, seq_len), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"))
+    parts = pieces.filter(F.col("length") < seq_len).withColumn("__class", F.ceil(F.col("length") / width).cast("int"))
+    classes = parts.groupBy("__class").count().collect()  # at most ``capacity`` rows
     demand = np.zeros(capacity, dtype=np.int64)
-    offsets = []
-    for r in sorted(counts, key=lambda r: (r["__class"], r["__slice"])):
-        offsets.append((r["__class"], r["__slice"], int(demand[r["__class"] - 1])))
-        demand[r["__class"] - 1] += r["count"]
+    for r in classes:
+        demand[r["__class"] - 1] = r["count"]
     intervals, given, base = [], np.zeros(capacity, dtype=np.int64), 0
     for pattern, times in cutting_stock(demand, capacity):
         for s in np.flatnonzero(pattern):
@@ -255,14 +282,28 @@ def pack(
             intervals.append((int(s) + 1, int(given[s]), int(given[s]) + n * times, n, base))
             given[s] += n * times
         base += times
-    offsets = F.broadcast(spark.createDataFrame(offsets, "__class int, __slice int, __before long"))
     intervals = F.broadcast(spark.createDataFrame(intervals, "__c int, __from long, __to long, __each long, __base long"))
+    slices = 1 + math.isqrt(int(demand.sum())) // 8  # so that both slices and rows of a slice grow with the root
+    parts = parts.withColumn("__slice", F.pmod(F.xxhash64("doc_id", "start"), F.lit(slices)).cast("int"))
+    before = F.sum("n").over(Window.partitionBy("__class").orderBy("__slice")) - F.col("n")
+    offsets = parts.groupBy("__class", "__slice").agg(F.count("*").alias("n")).select("__class", "__slice", before.alias("__before"))
     order = Window.partitionBy("__class", "__slice").orderBy("doc_id", "start", "ids_crc32", "length")
-    ranked = pieces.withColumn("__rank", F.row_number().over(order).cast("long")).join(offsets, ["__class", "__slice"])
+    ranked = parts.withColumn("__rank", F.row_number().over(order).cast("long")).join(small(keep(offsets)), ["__class", "__slice"])
     ranked = ranked.withColumn("__rank", F.col("__rank") - 1 + F.col("__before"))
     placed = ranked.join(intervals, (F.col("__class") == F.col("__c")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")))
     placed = placed.withColumn("sequence_id", F.col("__base") + F.floor((F.col("__rank") - F.col("__from")) / F.col("__each")).cast("long"))
     within = Window.partitionBy("sequence_id").orderBy(F.desc("__class"), "__rank").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(within), F.lit(0)).alias("offset")
-    )
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"]
+    placed = placed.select(*columns, F.coalesce(F.sum("length").over(within), F.lit(0)).alias("offset"))
+
+    # A full piece is a sequence by itself: numbered by where it stands in its written partition, without a shuffle.
+    full = pieces.filter(F.col("length") == seq_len).withColumn("__at", F.monotonically_increasing_id())
+    held = full.groupBy(F.shiftright("__at", 33).alias("__part")).agg(F.count("*").alias("n")).orderBy("__part").collect()  # a row a partition
+    starts, total = [], base
+    for r in held:
+        starts.append((r["__part"], total))
+        total += r["n"]
+    starts = F.broadcast(spark.createDataFrame(starts, "__part long, __start long"))
+    full = full.join(starts, F.shiftright("__at", 33) == F.col("__part"))
+    full = full.withColumn("sequence_id", F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    return placed.unionByName(full.select(*columns, F.lit(0).cast("long").alias("offset")))

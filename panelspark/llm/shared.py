@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,16 @@ def spread_sample(rows: DataFrame, key: str, size: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(key, F.lit(23)), F.lit(1 << 40)) < int(size / total * (1 << 40)))
 
 
+def ended(batches: Iterator, *release: Callable[[], None]) -> Iterator:
+    """The batches of a task; when they end, what the task held is released, so that reused workers stay small."""
+    try:
+        yield from batches
+    finally:
+        for f in release:
+            f()
+        pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

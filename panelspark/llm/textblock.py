@@ -7,9 +7,10 @@ all other bytes are kept.  Words are identified by a 64-bit hash of their bytes.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _MASKS = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [0xFFFFFFFFFFFFFFFF], dtype=np.uint64)
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -27,14 +28,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 class Words:
     """The words of a block of texts: ``hashes`` in text order, ``ptr[i]:ptr[i+1]`` those of text i,
-    ``starts``/``ends`` their byte ranges in ``buffer`` (lower-cased), ``base[i]`` where text i begins there."""
+    ``starts``/``ends`` their byte ranges in ``buffer`` (lower-cased), ``base[i]`` where text i begins there.
+    ``between`` marks the bytes that are in no word."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], between: np.ndarray = SPACE):
         self.buffer = buffer = (b"\n".join(texts) + b"\n" + b"\0" * 8).lower()
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
         self.base = np.concatenate([[0], np.cumsum(sizes)])
         raw = np.frombuffer(buffer, dtype=np.uint8)[:-8]
-        space = _SPACE[raw]
+        space = between[raw]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         if len(space) and not space[0]:
             edge = np.concatenate([[0], edge])
@@ -64,6 +66,11 @@ def encoded(texts) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
 
 
+def utf8(column: pa.Array) -> list[bytes]:
+    """UTF-8 bytes of a column of texts; null is empty."""
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
 def blocks(columns: list, sizes, limit: int = 4 << 20):
     """Ranges of rows whose texts together hold about ``limit`` bytes; one longer text is a range of its own."""
     begin, total = 0, 0
