@@ -1,82 +1,117 @@
 """Main text of web pages by wrapper induction.
 
-For each host a bounded sample of pages (the ``sample`` smallest id hashes, found by salted ranking) is parsed to DOM
-trees, which simple tree matching aligns one after another with a growing template.  Aligned nodes whose own text is
-the same on nearly all sampled pages are template (within the article: whole blocks only); nodes whose text varies are slots.  The wrapper of a host is the path
-of the slots' container (the deepest element that holds nearly all slot text outside menus, headers, footers,
-sidebars, notices, adverts, forms and comments) with the constant texts below it.  It is joined to the host's pages (wrappers are
-broadcast where a count shows them few; else Spark splits a hot host) and applied page by page; a page that
-lacks the container falls back to its own article, main or body element.
-
-Defined results: null and empty html and pages without main text give ""; null urls form one host; character
-references are decoded, white space inside a block becomes one space, blocks are joined by two line ends.
+1. For each host a template is grown from ``sample`` pages (those of the smallest id hashes, found by salted ranking):
+   simple tree matching aligns the DOM tree of a page with the template, and elements of kinds that the template
+   lacks are added where they stand.
+2. Every page of the host is aligned with the template.  Over all pages Spark counts, per aligned place (elements
+   without a counterpart are placed by their path of labels), the texts of its blocks, with partial sums, so a hot
+   host is no hot key.  A text found on ``share`` of the pages that have the place, three at least, is template; all other text
+   varies, so its places are slots.
+3. Templates with their constant texts and slot sizes are joined to the pages (broadcast where a count shows them few;
+   else Spark splits a hot host) and applied page by page.  Constant blocks go, unless they are most of a page: then
+   the page is a copy of others.  What is in article or main elements is the content, else all that varies.
+
+Scripts, menus, footers, sidebars, buttons and comments go by their element or name.  Forms, page headers and elements
+whose whole class name, id or role says notice, advert, sharing and the like go as well, but a name is evidence only:
+an element stays if it holds the page's main article, or, on pages without one, most of the host's slot text (for
+elements without a counterpart, of the page's text).
+
+Trees of any depth and child lists of any length are matched exactly (equal ends of two lists pair off, the rest takes
+rows of the classic recurrence).
+
+Defined results: null and empty html and pages without main text give ""; null urls form one host; copies of a row are
+pages of their own; character references are decoded, white space inside a block becomes one space, blocks are joined
+by two line ends.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import json
 import re
+import sys
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import keep, small
+from .shared import ended, keep, small
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*+>""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Elements by what they mean for reading.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = set("script style noscript template svg math iframe object textarea title select audio video canvas head".split())
 _RAW_TEXT = set("script style noscript template svg math iframe object textarea title select audio video canvas".split())
+_RAW = _RAW_TEXT | {"head"}
 _BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-_ASIDE = set("nav footer aside form header button menu dialog head".split()) | _RAW
+_HARD = set("nav footer aside button menu dialog".split())
 #: Words of class, id and role values that name something other than the article.
 _ASIDE_NAMES = set(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent footer "
-    "header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related reply replies respond share "
-    "sharing sidebar social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo disqus".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs cookie cookies consent footer "
+    "header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related share "
+    "sharing sidebar social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo".split()
 )
+_COMMENT_NAMES = set("comment comments disqus replies reply respond".split())
+#: Words that only say where such a thing stands or what it is made of.
+_FILLER = set("area bar block body bottom box button buttons container content form global inner item left links list main outer page panel primary right secondary section site text title top widget wrap wrapper".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = _BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
-_DEPTH = 150
-#: Wrappers of at most so many hosts (about a kilobyte each) are broadcast.
-HOSTS = 20_000
 _LIMITS = {"ul", "ol", "table", "dl", "div", "section", "article", "body", "html", "main", "nav", "aside", "header", "footer", "td", "th", "blockquote", "form"}
+#: Wrappers of at most so many hosts (some kilobytes each) are broadcast.
+HOSTS = 20_000
+#: Pages on which a text must be found, at least, to be template.
+LEAST_PAGES = 3
+
+
+def named(name: str, words: set[str]) -> bool:
+    """Whether a whole class name, id or role is one of the words, or a compound of them and of words that say where."""
+    parts = [p for p in re.split(r"[^a-z]+", name) if p]
+    return name in words or any(p in words for p in parts) and all(p in words or p in _FILLER or p in _ASIDE_NAMES for p in parts)
 
 
 class Node:
-    __slots__ = ("tag", "names", "parts")
+    __slots__ = ("tag", "names", "parts", "children", "label", "shape", "size", "chars", "main", "clear", "comment", "aside", "place")
 
     def __init__(self, tag: str, names: tuple[str, ...] = ()):
-        self.tag, self.names, self.parts = tag, names, []
+        self.tag, self.names, self.parts, self.children = tag, names, [], []
+        self.label = ".".join((tag, *(re.sub("[0-9]+", "#", n) for n in names)))
+        self.comment = any(named(n, _COMMENT_NAMES) for n in names)
+        self.aside = any(named(n, _ASIDE_NAMES) for n in names)
+        self.place = -1
 
-    @property
-    def children(self) -> list[Node]:
-        return [p for p in self.parts if isinstance(p, Node)]
+    def add(self, node: Node, at: int | None = None) -> None:
+        self.children.insert(len(self.children) if at is None else at, node)
 
-    @property
-    def label(self) -> str:
-        return ".".join((self.tag, *self.names))
 
-    @property
-    def own(self) -> str:
-        return " ".join(" ".join(p for p in self.parts if isinstance(p, str)).split())
+class Page:
+    """A parsed page: ``nodes`` in document order, the root first; ``chars`` of text below each, ``main`` of them in
+    articles, ``clear`` of them in articles that no aside holds."""
 
-    def is_aside(self, inside: bool) -> bool:
-        """Whether this is no part of an article; a header inside one may be its heading."""
-        if self.tag in _ASIDE and not (self.tag == "header" and inside):
-            return True
-        return any(not _ASIDE_NAMES.isdisjoint(re.split(r"[^a-z]+", n)) for n in self.names) and self.tag not in ("html", "body", "article", "main")
+    def __init__(self, root: Node, nodes: list[Node]):
+        self.root, self.nodes = root, nodes
+        for n in reversed(nodes):
+            n.shape, n.size = hash((n.label, *(c.shape for c in n.children))), 1 + sum(c.size for c in n.children)
+            n.chars = sum(len(p.strip()) for p in n.parts if isinstance(p, str)) + sum(c.chars for c in n.children if c.tag not in _RAW and c.tag not in _HARD)
+            n.main = n.chars if n.tag in ("article", "main") and not n.comment else sum(c.main for c in n.children)
+            apart = n.comment or (n.aside or n.tag in _HARD) and n.tag not in ("html", "body", "article", "main")
+            n.clear = 0 if apart else n.chars if n.tag in ("article", "main") else sum(c.clear for c in n.children)
 
 
-def parse(text: str) -> Node:
+def parse(text: str) -> Page:
     root = Node("#")
-    stack, at, low = [root], 0, None
+    nodes, stack, at, held = [root], [root], 0, Counter()
+
+    def close(upto: int) -> None:
+        for n in stack[upto:]:
+            held[n.tag] -= 1
+        del stack[upto:]
+
     while m := _TAG.search(text, at):
         if m.start() > at:
             stack[-1].parts.append(text[at : m.start()])
@@ -86,161 +121,333 @@ def parse(text: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if held[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in _LIMITS and tag not in _LIMITS:
                     break
             continue
-        names = tuple(v for n in _NAMES.finditer(m[3]) for v in ((n[1] or n[2] or n[3] or "").lower(),) if v) if "=" in m[3] else ()
+        names = tuple(v for n in _NAMES.finditer(m[3]) for v in (n[1] or n[2] or n[3] or "").lower().split()) if "=" in m[3] else ()
         node = Node(tag, names)
         if tag in _ENDS_P or tag in _CLOSES:
             closing = _CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(held[t] for t in closing) else ():
                 if stack[i].tag in closing:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in _LIMITS:
                     break
         stack[-1].parts.append(node)
+        stack[-1].children.append(node)
+        nodes.append(node)
         if tag in _RAW_TEXT and not m[3].endswith("/"):
-            low = low if low is not None else text.lower()
-            end = low.find(f"</{tag}", at)
-            close = low.find(">", end) if end >= 0 else -1
-            at = close + 1 if close >= 0 else len(text)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(text, at)
+            at = end.end() if end else len(text)
         elif tag not in _VOID and not (m[3].endswith("/") and tag not in _BLOCK):
-            if len(stack) < _DEPTH:  # what is nested deeper stays, as text of the element at this depth
-                stack.append(node)
+            stack.append(node)
+            held[tag] += 1
     if at < len(text):
         stack[-1].parts.append(text[at:])
-    return root
+    return Page(root, nodes)
 
 
-def matching(a: Node, b: Node) -> list[tuple[Node, Node]]:
+class Matcher:
     """Simple tree matching: the largest order-keeping set of node pairs with equal labels, children under matched parents."""
-    if a.label != b.label:
-        return []
-    left, right = a.children, b.children
-    if len(left) * len(right) > 40_000:  # long lists of like elements: each takes the next of its label
-        pairs, j = [(a, b)], 0
+
+    def __init__(self):
+        self.known: dict[tuple[int, int], int] = {}
+
+    def weight(self, a: Node, b: Node) -> int:
+        """How many pairs two trees have."""
+        if a.label != b.label:
+            return 0
+        if a.shape == b.shape:
+            return a.size
+        key = (a.shape, b.shape)
+        if (n := self.known.get(key)) is None:
+            n = self.known[key] = 1 + sum(self.weight(x, y) for x, y in self.align(a.children, b.children))
+        return n
+
+    def align(self, left: list[Node], right: list[Node]) -> list[tuple[Node, Node]]:
+        """The pairs of children that make the largest matching."""
+        begin, end = 0, 0
+        short = min(len(left), len(right))
+        while begin < short and left[begin].shape == right[begin].shape:
+            begin += 1
+        while end < short - begin and left[-1 - end].shape == right[-1 - end].shape:
+            end += 1
+        ends = list(zip(left[:begin], right[:begin])) + (list(zip(left[-end:], right[-end:])) if end else [])
+        left, right = left[begin : len(left) - end], right[begin : len(right) - end]
+        if not left or not right:
+            return ends
+        shapes = {y.shape: y for y in right}
+        number = {s: i for i, s in enumerate(shapes)}
+        column = np.array([number[y.shape] for y in right])
+        rows: dict[int, np.ndarray] = {}
+        best, taken, above = np.zeros(len(right) + 1, dtype=np.int64), [], []
         for x in left:
-            k = next((k for k in range(j, min(j + 50, len(right))) if right[k].label == x.label), None)
-            if k is not None:
-                pairs += matching(x, right[k])
-                j = k + 1
-        return pairs
-    best: list[list] = [[] for _ in range(len(right) + 1)]
-    for x in left:
-        row: list[list] = [[]]
-        for j, y in enumerate(right):
-            both = matching(x, y)
-            row.append(max(best[j] + both if both else [], best[j + 1], row[j], key=len))
-        best = row
-    return [(a, b), *best[-1]]
-
-
-def _walk(node: Node, path: tuple[str, ...] = (), inside: bool = False):
-    """Nodes of the page outside asides, with their paths."""
-    yield node, path
-    for child in node.children:
-        if not child.is_aside(inside):
-            yield from _walk(child, (*path, child.label), inside or child.tag in ("article", "main"))
-
-
-def induce(pages: list[Node], share: float = 0.8) -> dict:
-    """The wrapper of pages of one host: container path and constant texts below it."""
-    template = pages[0]
-    texts: dict[int, Counter] = {}
-    for page in pages:
-        for a, b in matching(template, page):
-            texts.setdefault(id(a), Counter())[b.own] += 1
-    slots, constants = Counter(), set()
-    for node, path in _walk(template):
-        seen = texts.get(id(node), Counter())
-        top, n = seen.most_common(1)[0] if seen else ("", 0)
-        if len(pages) >= 4 and top and n >= share * len(pages) and node.tag in _BLOCK and not node.children:
-            constants.add(("/".join(path), top))
-        for end in range(len(path) + 1):
-            slots[path[:end]] += sum(len(t) * k for t, k in seen.items()) if not (top and n >= share * len(pages) and len(pages) >= 4) else 0
-    total = slots[()]
-    container = max((p for p, n in slots.items() if n >= 0.9 * total and p and p[-1].split(".")[0] in ("article", "main", "section", "div", "td", "body")), key=len, default=()) if total else ()
-    marked = [p for p in slots if p and p[-1].split(".")[0] in ("article", "main") and slots[p] >= 0.5 * total]
-    container = min(marked, key=len) if marked else container
-    return {"container": list(container), "constants": sorted(c for c in constants if c[0].startswith("/".join(container)))}
-
-
-def _find(node: Node, path: list[str]) -> list[Node]:
-    found = [node]
-    for label in path:
-        found = [c for n in found for c in n.children if c.label == label]
-    return found
-
-
-def main_text(page: Node, wrapper: dict) -> str:
-    path = wrapper.get("container") or []
-    roots = _find(page, path) if path else []
-    for tag in () if roots else ("article", "main", "body"):
-        roots = [n for n, _ in _walk(page) if n.tag == tag]
-        if roots:
-            inner = {id(m) for n in roots for m, _ in _walk(n) if m is not n}
-            roots = [n for n in roots if id(n) not in inner]
-            break
-    constants = {tuple(c) for c in wrapper.get("constants", ())}
-    blocks: list[str] = []
-    pieces: list[str] = []
-
-    def flush() -> None:
-        block = " ".join(_html.unescape("".join(pieces)).split())
-        pieces.clear()
-        if block:
-            blocks.append(block)
-
-    def emit(node: Node, path: str, inside: bool) -> None:
-        block = node.tag in _BLOCK
-        if block:
-            flush()
-        skip = (path, node.own) in constants
-        for part in node.parts:
+            if x.shape not in rows:
+                rows[x.shape] = np.array([self.weight(x, y) for y in shapes.values()])
+            w = rows[x.shape][column]
+            both = np.where(w > 0, best[:-1] + w, 0)
+            new = np.concatenate([[0], np.maximum.accumulate(np.maximum(best[1:], both))])
+            taken.append(np.packbits((both == new[1:]) & (w > 0)))
+            above.append(np.packbits(best[1:] == new[1:]))
+            best = new
+        pairs, i, j = [], len(left), len(right)
+        bit = lambda rows, i, j: rows[i - 1][(j - 1) >> 3] >> (7 - ((j - 1) & 7)) & 1
+        while i and j:
+            if bit(above, i, j):
+                i -= 1
+            elif bit(taken, i, j):
+                pairs.append((left[i - 1], right[j - 1]))
+                i, j = i - 1, j - 1
+            else:
+                j -= 1
+        return ends + pairs
+
+    def pairs(self, a: Node, b: Node) -> Iterator[tuple[Node, Node]]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
+        if len(self.known) > 200_000:
+            self.known.clear()
+        open_ = [(a, b)]
+        while open_:
+            x, y = open_.pop()
+            yield x, y
+            open_ += zip(x.children, y.children) if x.shape == y.shape else self.align(x.children, y.children)
+
+
+def matching(a: Node, b: Node) -> list[tuple[Node, Node]]:
+    return list(Matcher().pairs(a, b)) if a.label == b.label else []
+
+
+class Template:
+    """The grown tree of a host: only labels; ``nodes`` in document order give the places their numbers."""
+
+    def __init__(self, root: Node):
+        self.root = root
+        self._number()
+
+    def _number(self) -> None:
+        nodes, open_ = [], [self.root]
+        while open_:
+            n = open_.pop()
+            n.place = len(nodes)
+            nodes.append(n)
+            open_ += reversed(n.children)
+        self.nodes = Page(self.root, nodes).nodes
+
+    @staticmethod
+    def _copy(node: Node) -> Node:
+        top = Node(node.tag, node.names)
+        open_ = [(node, top)]
+        while open_:
+            old, new = open_.pop()
+            for c in old.children:
+                new.children.append(Node(c.tag, c.names))
+                open_.append((c, new.children[-1]))
+        return top
+
+    @classmethod
+    def of(cls, page: Page) -> Template:
+        return cls(cls._copy(page.root))
+
+    def grow(self, page: Page) -> None:
+        """Adds elements whose label their place lacks, after what stands before them on the page."""
+        twin = {id(b): a for a, b in Matcher().pairs(self.root, page.root)}
+        for node in page.nodes:
+            if (mine := twin.get(id(node))) is None:
+                continue
+            labels, at = {c.label for c in mine.children}, 0
+            for c in node.children:
+                if id(c) in twin:
+                    at = next(i for i, x in enumerate(mine.children) if x is twin[id(c)]) + 1
+                elif c.label not in labels:
+                    mine.add(self._copy(c), at)
+                    labels.add(c.label)
+                    at += 1
+        self._number()
+
+    def dump(self) -> str:
+        up = {id(c): n.place for n in self.nodes for c in n.children}
+        return json.dumps([[up.get(id(n), -1), n.tag, *n.names] for n in self.nodes])
+
+    @classmethod
+    def load(cls, text: str) -> Template:
+        nodes: list[Node] = []
+        for up, tag, *names in json.loads(text):
+            nodes.append(Node(tag, tuple(names)))
+            if up >= 0:
+                nodes[up].children.append(nodes[-1])
+        return cls(nodes[0])
+
+
+def induce(pages: list[Page]) -> Template:
+    """The template of pages of one host."""
+    template = Template.of(pages[0])
+    for page in pages[1:]:
+        template.grow(page)
+    return template
+
+
+class Wrapper:
+    """A template with what the counts say: constant texts by place, and which places hold most slot text."""
+
+    def __init__(self, template: str | None, constants=(), slots=()):
+        self.template = Template.load(template) if template else None
+        self.constants = {(c["place"], c["text"]) for c in constants}
+        self.rich: set[int] = set()
+        self.matcher = Matcher()
+        if self.template and slots:
+            own = {s["place"]: s["chars"] for s in slots}
+            under = [own.get(n.place, 0) for n in self.template.nodes]
+            for n in reversed(self.template.nodes):
+                under[n.place] += sum(under[c.place] for c in n.children)
+            self.rich = {i for i, chars in enumerate(under) if 2 * chars > under[0]}
+
+    def align(self, page: Page) -> None:
+        if self.template:
+            for a, b in self.matcher.pairs(self.template.root, page.root):
+                b.place = a.place
+
+
+def _place(node: Node, path: int) -> int:
+    """The number of the aligned place, or a negative one that stands for the path of labels."""
+    return node.place if node.place >= 0 else -2 - path
+
+
+def text_hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def pieces(page: Page, is_aside) -> list[tuple[int, str, bool]]:
+    """The blocks of a page in order: place, text, and whether it is in an article or main element."""
+    out: list[tuple[int, str, bool]] = []
+    held: list[str] = []
+
+    def flush(place: int, inside: bool) -> None:
+        text = " ".join(_html.unescape("".join(held)).split())
+        held.clear()
+        if text:
+            out.append((place, text, inside))
+
+    open_ = [(page.root, iter(page.root.parts), 0, -1, False)]  # node, what is left of it, path, place of its block, inside
+    while open_:
+        node, left, path, place, inside = open_[-1]
+        for part in left:
             if isinstance(part, str):
-                if not skip:
-                    pieces.append(part)
+                held.append(part)
             elif part.tag == "br":
-                pieces.append(" ")
-            elif not part.is_aside(inside):
-                emit(part, f"{path}/{part.label}" if path else part.label, inside or part.tag in ("article", "main"))
-        if block:
-            flush()
+                held.append(" ")
+            elif not is_aside(part, inside):
+                own = zlib.crc32(part.label.encode(), path)
+                block = part.tag in _BLOCK
+                if block:
+                    flush(place, inside)
+                open_.append((part, iter(part.parts), own, _place(part, own) if block else place, inside or part.tag in ("article", "main")))
+                break
+        else:
+            open_.pop()
+            if node.tag in _BLOCK:
+                flush(place, inside)
+    flush(-1, False)
+    return out
+
+
+def by_element(node: Node, inside: bool) -> bool:
+    return node.tag in _RAW or node.tag in _HARD and not node.main
+
+
+def asides(page: Page, rich: set[int]):
+    """What is no part of the article: a function of a node and whether it is within one."""
+    main, clear, chars = page.root.main, page.root.clear, page.root.chars
+
+    def is_aside(node: Node, inside: bool) -> bool:
+        if node.tag in _RAW or node.comment and node.tag not in ("html", "body", "main"):
+            return True
+        if node.tag in ("html", "body", "article", "main"):
+            return False
+        hard = node.tag in _HARD
+        header = inside and (node.tag == "header" or all(not named(n, _ASIDE_NAMES) or "header" in re.split("[^a-z]+", n) for n in node.names))
+        if not (hard or node.tag in ("form", "header") and not (inside and node.tag == "header") or node.aside and not header):
+            return False
+        if 2 * node.clear > clear or node.main > 4 * clear:  # it holds the article
+            return False
+        if hard or inside or main:
+            return True
+        return not (node.place in rich if node.place >= 0 else 2 * node.chars > chars)
+
+    return is_aside
+
 
-    for root in roots or [page]:
-        emit(root, "/".join(path), root.tag in ("article", "main") or bool(path))
-        flush()
-    return "\n\n".join(blocks)
+def main_text(page: Page, wrapper: Wrapper) -> str:
+    wrapper.align(page)
+    found = pieces(page, asides(page, wrapper.rich))
+    if any(inside for *_, inside in found):
+        found = [p for p in found if p[2]]
+    kept = [text for place, text, _ in found if (place, text_hash(text)) not in wrapper.constants]
+    total = sum(len(text) for _, text, _ in found)
+    if 2 * sum(map(len, kept)) < total:  # a copy of other pages
+        kept = [text for _, text, _ in found]
+    return "\n\n".join(kept)
 
 
 def _induce(frame: pd.DataFrame) -> pd.DataFrame:
     pages = [parse(h or "") for h in frame.sort_values("page")["html"].drop_duplicates()]
-    return pd.DataFrame({"__of": frame["host"].iloc[:1], "__wrapper": [json.dumps(induce(pages))]})
+    return pd.DataFrame({"host": frame["host"].iloc[:1], "template": [induce(pages).dump()]})
+
+
+class _Wrappers:
+    """The wrappers that a task has met lately."""
+
+    def __init__(self):
+        self.known: dict = {}
+
+    def get(self, host, template, constants=(), slots=()) -> Wrapper:
+        if host not in self.known:
+            if len(self.known) > 500:
+                self.known.clear()
+            self.known[host] = Wrapper(template, constants or (), slots or ())
+        return self.known[host]
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, place, text, n, chars) of pages: how many have a text at a place, and with text -1 how many have the place."""
+    wrappers = _Wrappers()
+    for batch in ended(batches, wrappers.known.clear):
+        seen, chars = Counter(), Counter()
+        for host, template, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            page = parse(html or "")
+            wrappers.get(host, template).align(page)
+            found = {(place, text_hash(text)): len(text) for place, text, _ in pieces(page, by_element)}
+            for (place, text), n in found.items():
+                seen[host, place, text] += 1
+                chars[host, place, text] += n
+            for place in {place for place, _ in found}:
+                seen[host, place, None] += 1
+        hosts, places, texts = zip(*seen) if seen else ((), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hosts, pa.string()), pa.array(places, pa.int64()), pa.array(texts, pa.int64()), pa.array(seen.values(), pa.int64()), pa.array([chars[k] for k in seen], pa.int64())],
+            ["host", "place", "text", "n", "chars"],
+        )
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, dict] = {}
-    for batch in batches:
-        out = []
-        for text, wrapper in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if (own := known.get(wrapper or "{}")) is None:
-                if len(known) > 1000:
-                    known.clear()
-                own = known[wrapper or "{}"] = json.loads(wrapper or "{}")
-            out.append(main_text(parse(text or ""), own))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[2:]], ["__main", *batch.schema.names[2:]])
+    wrappers = _Wrappers()
+    for batch in ended(batches, wrappers.known.clear):
+        rows = zip(*(batch.column(i).to_pylist() for i in range(5)))
+        out = [main_text(parse(html or ""), wrappers.get(host, template, constants, slots)) for html, host, template, constants, slots in rows]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[5:]], ["__main", *batch.schema.names[5:]])
 
 
 def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url.cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", text_col: str = "text", sample: int = 12) -> DataFrame:
+def extract_text(
+    pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", text_col: str = "text", sample: int = 12, share: float = 0.8
+) -> DataFrame:
     """``pages`` with ``text_col``: the main text of ``html_col``."""
     keyed = pages.select(host_of(F.col(url_col)).alias("host"), F.col(id_col).alias("page"), F.col(html_col).cast("string").alias("html"))
     order = [F.xxhash64("page"), F.col("page")]
@@ -249,9 +456,24 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
         ranks = ranks.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("n") <= sample)
     chosen = keep(ranks.select(F.col("host").alias("__of"), F.col("page").alias("__page")))
     sampled = keyed.join(small(chosen), (F.col("page") == F.col("__page")) & (F.col("host") == F.col("__of")), "left_semi")
-    wrappers = keep(sampled.groupBy("host").applyInPandas(_induce, "__of string, __wrapper string"))
+    templates = keep(sampled.groupBy("host").applyInPandas(_induce, "host string, template string"))
+
+    counts = keyed.select("host", "html").join(small(templates, HOSTS), "host", "left").select("host", "template", "html")
+    counts = counts.mapInArrow(_count, "host string, place long, text long, n long, chars long")
+    texts = counts.groupBy("host", "place", "text").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    with_page = F.sum(F.when(F.col("text").isNull(), F.col("n")))
+    most = F.when(F.col("text").isNotNull(), F.col("n"))
+    places = texts.groupBy("host", "place").agg(with_page.alias("pages"), F.max(most).alias("n"), F.max_by("text", most).alias("text"), F.sum("chars").alias("chars"), F.max_by("chars", most).alias("constant"))
+    is_constant = (F.col("n") >= F.greatest(F.lit(share) * F.col("pages"), F.lit(LEAST_PAGES)))
+    slots = F.col("chars") - F.when(is_constant, F.col("constant")).otherwise(0)
+    # A row per place of the template, and per constant: as many as the template and its pages' shared blocks.
+    learnt = places.filter(is_constant | (F.col("place") >= 0)).groupBy("host").agg(
+        F.collect_list(F.when(is_constant, F.struct("place", "text"))).alias("constants"),
+        F.collect_list(F.when(F.col("place") >= 0, F.struct("place", slots.alias("chars")))).alias("slots"),
+    )
+    wrappers = keep(templates.join(learnt, "host", "left").withColumnRenamed("host", "__of"))
     rest = [c for c in pages.columns if c != text_col]
     rows = pages.withColumn("__host", host_of(F.col(url_col))).join(small(wrappers, HOSTS), F.col("__host") == F.col("__of"), "left")
-    rows = rows.select(F.col(html_col).cast("string").alias("__html"), "__wrapper", *rest)
+    rows = rows.select(F.col(html_col).cast("string").alias("__html"), "__host", F.col("template").alias("__template"), F.col("constants").alias("__constants"), F.col("slots").alias("__slots"), *rest)
     schema = ", ".join(["__main string", *(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in rest)])
     return rows.mapInArrow(_apply, schema).select(*rest, F.col("__main").alias(text_col))
