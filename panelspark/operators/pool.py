@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fin, is_inf, piecewise_score
+from ..functions import clamp, exp_utility, fin, is_inf, piecewise_score
+from ..sources.scratch import settled
 
 #: Fixed values of the pool statistics.
 STD_FLOOR, SLICE_FLOOR, UTILITY_LIMIT, DISCOUNT, SKIP_START = 1e-9, 1e-6, 10.0, 0.90, 252
@@ -48,25 +49,28 @@ def _block_pairs(frames):
     for f in frames:
         out = []
         for same, left, right in zip(f["same"], f["left"], f["right"]):
+            if len({s["dates"] for s in (*left, *right)}) > 1:
+                raise ValueError("the series of the pool have other dates than each other")
             x, y = (np.array([list(s["vals"]) for s in side], dtype=float) for side in (left, right))
             x, y = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
             sx, sy = (np.maximum(np.sqrt((z * z).mean(axis=1)), STD_FLOOR) for z in (x, y))
             c = np.einsum("it,jt->ij", x, y) / x.shape[1] / (sx[:, None] * sy[None, :])
-            for i, a in enumerate(left):
-                for j, b in enumerate(right):
-                    if not same or i < j:
-                        p, q = (a["expr"], b["expr"]) if a["expr"] < b["expr"] else (b["expr"], a["expr"])
-                        out.append((p, q, c[i, j]))
-        yield pd.DataFrame(out, columns=["expr_a", "expr_b", "corr"])
+            i, j = np.triu_indices(len(left), 1) if same else (k.ravel() for k in np.indices(c.shape))
+            a, b = (np.array([s["expr"] for s in side], dtype=object) for side in (left, right))
+            a, b = a[i], b[j]
+            swap = a > b
+            out.append(pd.DataFrame({"expr_a": np.where(swap, b, a), "expr_b": np.where(swap, a, b), "corr": c[i, j]}))
+        yield pd.concat(out) if out else pd.DataFrame({"expr_a": [], "expr_b": [], "corr": []})
 
 
 def pair_correlations(pool: DataFrame) -> DataFrame:
-    """(expr_a, expr_b, corr) of every two different series of equal length, expr_a < expr_b.
+    """(expr_a, expr_b, corr) of every two different series, expr_a < expr_b.  All must have the same dates, else this raises.
 
     Series travel as arrays in blocks of about ``SERIES_PER_BLOCK``; each pair of blocks is one small matrix product."""
-    series = pool.groupBy("expr").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "ret"))), lambda x: x["ret"]).alias("vals"))
+    series = pool.groupBy("expr").agg(F.array_sort(F.collect_list(F.struct("t", "ret"))).alias("s"))
+    series = series.select("expr", F.transform("s", lambda x: x["ret"]).alias("vals"), F.xxhash64(F.transform("s", lambda x: x["t"])).alias("dates"))
     blocks = max(1, -(-pool.select("expr").distinct().count() // SERIES_PER_BLOCK))
-    packed = series.groupBy(F.pmod(F.xxhash64("expr"), F.lit(blocks)).cast("int").alias("b")).agg(F.collect_list(F.struct("expr", "vals")).alias("left"))
+    packed = series.groupBy(F.pmod(F.xxhash64("expr"), F.lit(blocks)).cast("int").alias("b")).agg(F.collect_list(F.struct("expr", "vals", "dates")).alias("left"))
     left = packed.withColumn("c", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))))
     pairs = left.join(packed.select(F.col("b").alias("c"), F.col("left").alias("right")), "c")
     return pairs.select((F.col("b") == F.col("c")).alias("same"), "left", "right").mapInPandas(_block_pairs, "expr_a string, expr_b string, corr double")
@@ -97,8 +101,7 @@ def correlation_histogram(pool: DataFrame, bins: int = 30) -> DataFrame:
 
 
 def _ratio(mean: Column, std: Column) -> Column:
-    r = mean / F.greatest(std, F.lit(SLICE_FLOOR))
-    return F.when(r.isNotNull(), F.greatest(F.lit(-UTILITY_LIMIT), F.least(F.lit(UTILITY_LIMIT), r)))
+    return clamp(mean / F.greatest(std, F.lit(SLICE_FLOOR)), -UTILITY_LIMIT, UTILITY_LIMIT)
 
 
 def marginal_utility(candidates: DataFrame, pool: DataFrame, *, skip_start: int = SKIP_START, skip_end: int = 0, periods: int | None = None) -> DataFrame:
@@ -119,7 +122,8 @@ def marginal_utility(candidates: DataFrame, pool: DataFrame, *, skip_start: int
 
 
 def pool_stats(pool: DataFrame, **slices) -> DataFrame:
-    """(expr, utility, mu, corr, maxcorr)."""
+    """(expr, utility, mu, corr, maxcorr).  The pool is written once, so what made it is evaluated once."""
+    pool = settled(pool)
     return utility(pool).join(marginal_utility(pool, pool, **slices), "expr", "left").join(correlation_to_portfolio(pool), "expr").join(max_correlation(pool), "expr")
 
 
@@ -139,7 +143,7 @@ def potentials(scored: DataFrame) -> DataFrame:
 
     A step without candidates has potential 0 and reward -0.1; a step with a missing mu is invalid (both missing)."""
     steps = scored.groupBy("step").agg(F.max("mu").alias("best"), F.count("expr").alias("n"), F.count(F.when(F.col("expr").isNotNull() & F.col("mu").isNull(), 1)).alias("bad"))
-    potential = F.when(F.col("n") == 0, F.lit(0.0)).when(F.col("bad") == 0, F.expm1("best"))
+    potential = F.when(F.col("n") == 0, F.lit(0.0)).when(F.col("bad") == 0, exp_utility(F.col("best")))
     steps = steps.select("step", "n", potential.alias("potential"))
     # One row a step: the window's single group is as long as the search's step counter, not as the data.
     before = F.lag("potential", 1, 0.0).over(Window.partitionBy(F.lit(0)).orderBy("step"))
@@ -165,13 +169,26 @@ def data_quality(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def long_short_returns(panel: DataFrame, position: str, price: str, *, book: float = 10_000_000.0, fee: float = 0.0005) -> DataFrame:
-    """(t, pnl, turnover, log_return) of longs and shorts each scaled to ``book``, held in whole shares to the next date."""
+    """(t, pnl, turnover, position, log_return) of longs and shorts each scaled to ``book``, held in whole shares to the next date.
+
+    Turnover is the change of the positions' values as a share of ``book``, the return what is left of the gain after fees as a
+    share of the positions' values; on a date without a next price both gain and return are missing."""
     date, inst = Window.partitionBy("t"), Window.partitionBy("inst").orderBy("t")
     p = _clean(F.col(position))
     side = F.sum(F.when(p > 0, p).otherwise(0.0)).over(date), F.sum(F.when(p < 0, -p).otherwise(0.0)).over(date)
     scaled = F.when(p > 0, F.try_divide(p, side[0])).when(p < 0, F.try_divide(p, side[1])).otherwise(0.0) * book
     held = panel.select("t", "inst", F.col(price).alias("price"), scaled.alias("dollars")).withColumn("shares", F.coalesce(F.round(F.try_divide("dollars", F.col("price"))), F.lit(0.0)))
-    held = held.withColumn("gain", F.col("shares") * (F.lead("price").over(inst) - F.col("price"))).withColumn("traded", F.abs(F.col("shares") - F.coalesce(F.lag("shares").over(inst), F.lit(0.0))) * F.col("price"))
-    sums = held.groupBy("t").agg(F.coalesce(F.sum("gain"), F.lit(0.0)).alias("gain"), F.coalesce(F.sum("traded"), F.lit(0.0)).alias("turnover"))
-    pnl = F.col("gain") - fee * F.col("turnover")
-    return sums.select("t", pnl.alias("pnl"), "turnover", F.log1p(pnl / book).alias("log_return"))
+    held = held.withColumn("value", F.coalesce(F.col("shares") * F.col("price"), F.lit(0.0)))
+    held = held.withColumn("gain", F.col("shares") * F.lead("price").over(inst) - F.col("value")).withColumn("traded", F.abs(F.col("value") - F.coalesce(F.lag("value").over(inst), F.lit(0.0))))
+    sums = held.groupBy("t").agg(F.sum("gain").alias("gain"), F.sum("traded").alias("traded"), F.sum(F.abs("value")).alias("position"))
+    pnl = F.col("gain") - fee * F.col("traded")
+    return sums.select("t", pnl.alias("pnl"), (F.col("traded") / book).alias("turnover"), "position", F.log1p(F.try_divide(pnl, F.col("position"))).alias("log_return"))
+
+
+def sharpe(returns: DataFrame, *, value: str = "log_return", per_year: float = 252.0) -> DataFrame:
+    """One row (sharpe, ret, turnover) of such returns: mean over population deviation, a year's worth (0 where there is no
+    deviation), their sum, and the mean turnover."""
+    std = F.stddev_pop(value)
+    return returns.agg(
+        F.when(std > 1e-10, F.avg(value) / std * per_year**0.5).otherwise(0.0).alias("sharpe"), F.coalesce(F.sum(value), F.lit(0.0)).alias("ret"), F.coalesce(F.avg("turnover"), F.lit(0.0)).alias("turnover")
+    )

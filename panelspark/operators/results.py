@@ -67,6 +67,14 @@ def trajectory_summary(steps: DataFrame, *, key: str) -> tuple[DataFrame, DataFr
     return steps.groupBy("step").agg(F.avg("diff").alias("mean_diff")), steps.groupBy(key).agg(F.avg("diff").alias("mean_diff"))
 
 
+def trajectory_medians(steps: DataFrame, *, key: str) -> DataFrame:
+    """One row (time_median, ensemble_median): the medians of the steps' and of the trajectories' mean differences.  A
+    trajectory with a missing step has no mean."""
+    by_step, by_key = trajectory_summary(steps, key=key)
+    time = by_step.agg(F.percentile("mean_diff", 0.5).alias("time_median"))
+    return time.join(F.broadcast(by_key.agg(F.percentile("mean_diff", 0.5).alias("ensemble_median"))))  # one row each
+
+
 def huffman_bits(text: str) -> int:
     """Bits of a text in a Huffman code of its own characters; a text of one kind of character takes one bit each."""
     counts = list(Counter(text).values())
@@ -81,6 +89,7 @@ def huffman_bits(text: str) -> int:
     return bits
 
 
+# Both sizes walk a text in Python: a code's merges and a compressor's state have no column functions.
 @F.pandas_udf(T.LongType())
 def huffman_length(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: huffman_bits(t or ""))
@@ -95,11 +104,16 @@ def gzip_length(texts: pd.Series) -> pd.Series:
     return texts.map(size)
 
 
+def _md5_number(key: Column, salt: str) -> Column:
+    """The first eight hexadecimal digits of the MD5 of the key's text and a salt."""
+    return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(salt))), 1, 8), 16, 10).cast("long")
+
+
 def stage_of(key: Column, stages: int) -> Column:
-    """A fixed, disjoint assignment of rows to stages."""
-    return F.pmod(F.xxhash64(key), F.lit(stages)).cast("int")
+    """A fixed, disjoint assignment of rows to stages, by the MD5 of the key's text, so that other systems find the same."""
+    return F.pmod(_md5_number(key, ""), F.lit(stages)).cast("int")
 
 
 def sampled(key: Column, rate: float) -> Column:
     """Whether a row is in the fixed sample of this rate."""
-    return F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1_000_000)) < int(rate * 1_000_000)
+    return F.pmod(_md5_number(key, ":sample"), F.lit(1_000_000)) < int(rate * 1_000_000)

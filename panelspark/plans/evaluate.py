@@ -2,17 +2,20 @@
 
 Every distinct sub-formula becomes one column.  Columns are added in waves: all that can be had from cells and from
 instruments' histories, then all that needs whole dates, and so on.  Windows of a wave share one exchange and, over
-histories, one sort, so a plan has as many exchanges as the deepest formula has changes of view.
+histories, one sort, so a plan has as many exchanges as the deepest formula has changes of view.  Long windows are
+taken from running sums, or from whole series in Arrow (one grouping by instrument, which has that exchange already).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constant, nz
 from ..operators import operator
-from ..operators.registry import CELL, CROSS, PANEL, TRAIL
+from ..operators.registry import CELL, CROSS, LONG, PANEL, TRAIL
 from .expr import Expr
 
 
@@ -28,6 +31,31 @@ def lookback(expr: Expr) -> int | None:
     return own + max(below, default=0)
 
 
+def expanded(e: Expr) -> Expr:
+    """The formula with long windows replaced by what gives the same values in steps."""
+    if e.name == "data":
+        return e
+    args = tuple(expanded(a) if isinstance(a, Expr) else a for a in e.args)
+    other = operator(e.name).expand
+    found = other(lambda name, *own: Expr(name, own), *args) if other and isinstance(args[0], Expr) else None
+    return found or Expr(e.name, args)
+
+
+def _by_series(frame: DataFrame, todo: list[tuple]) -> DataFrame:
+    """Adds columns that are functions of an instrument's whole series: (name, function, input column, window)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("t")
+        for name, function, source, d in todo:
+            x = table.column(source).to_numpy(zero_copy_only=False).astype(float)
+            out = function(x, d)
+            table = table.append_column(name, pa.array(out, pa.float64(), mask=np.isnan(out)))
+        return table
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields), *(f"{name} double" for name, *_ in todo)])
+    return frame.groupBy("inst").applyInArrow(run, schema)
+
+
 def _distinct(exprs) -> dict[str, Expr]:
     """Sub-formulas by canonical text, inputs before what uses them."""
     out: dict[str, Expr] = {}
@@ -48,7 +76,8 @@ def evaluate(panel: DataFrame, formulas: dict[str, Expr], *, t_from: int | None
     """(t, inst, one column per formula, and the panel's columns named by ``keep``).
 
     With ``t_from`` and ``t_to`` only those rows are returned, and only they and the history they need are read."""
-    nodes = _distinct(formulas.values())
+    steps = {n: expanded(e) for n, e in formulas.items()}
+    nodes = _distinct(steps.values())
     fields = set().union(*(e.fields() for e in formulas.values())) if formulas else set()
     unknown = sorted((fields | set(keep)) - set(panel.columns))
     if unknown:
@@ -59,6 +88,7 @@ def evaluate(panel: DataFrame, formulas: dict[str, Expr], *, t_from: int | None
     if t_from is not None and None not in backs:
         panel = panel.filter(F.col("t") >= t_from - max(backs, default=0))
     held: dict[str, Column] = {}
+    column_of: dict[str, str] = {}
     names = {key: f"__e{i}" for i, key in enumerate(nodes)}
     fields_of = {f: f"__f{i}" for i, f in enumerate(sorted(fields))}
     frame = panel.select("t", "inst", *(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)), *(nz(F.col(f).cast("double")).alias(n) for f, n in fields_of.items()))
@@ -72,7 +102,7 @@ def evaluate(panel: DataFrame, formulas: dict[str, Expr], *, t_from: int | None
     waiting = []
     for key, e in nodes.items():
         if e.name == "data":
-            held[key] = F.col(fields_of[e.args[0]])
+            held[key], column_of[key] = F.col(fields_of[e.args[0]]), fields_of[e.args[0]]
         else:
             waiting.append((key, e))
     phase = (CELL, TRAIL)
@@ -83,13 +113,19 @@ def evaluate(panel: DataFrame, formulas: dict[str, Expr], *, t_from: int | None
             if not ready:
                 break
             moved = True
-            frame = frame.select("*", *(column(e).alias(names[k]) for k, e in ready))
+            whole = [(k, e) for k, e in ready if operator(e.name).series and isinstance(e.args[0], Expr) and e.args[-1] > LONG]
+            apart = {k for k, _ in whole}
+            if len(ready) > len(whole):
+                frame = frame.select("*", *(column(e).alias(names[k]) for k, e in ready if k not in apart))
+            if whole:
+                frame = _by_series(frame, [(names[k], operator(e.name).series, column_of[e.args[0].canonical()], e.args[-1]) for k, e in whole])
             held |= {k: F.col(names[k]) for k, _ in ready}
+            column_of |= {k: names[k] for k, _ in ready}
             done = {k for k, _ in ready}
             waiting = [(k, e) for k, e in waiting if k not in done]
             if phase == (CELL, CROSS):
                 break
         if moved or waiting:
             phase = (CELL, CROSS) if phase == (CELL, TRAIL) else (CELL, TRAIL)
-    out = frame.select("t", "inst", *(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)), *(held[e.canonical()].alias(n) for n, e in formulas.items()))
+    out = frame.select("t", "inst", *(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)), *(held[e.canonical()].alias(n) for n, e in steps.items()))
     return out if t_from is None else out.filter(F.col("t") >= t_from)

@@ -7,14 +7,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import pool as P
+from .operators import register
 from .operators import results as R
+from .operators.registry import INT, PANEL, TRAIL
+from .operators.time_series import trailing
 from .plans import data, evaluate, evaluate_batch, fill, grid, op, slot
+from .sources import matrices as M
 from .sources.panel import adv, day_panel, mask_universe, month_panel, reindex, with_returns
-from .streaming import bars
+from .sources.panel import members_only as panel_members
+from .sources.scratch import fresh_folder, settled
+from .streaming import bars, cross_section_stream, trailing_stream
 
 X, Y = op("divide", data("close"), 997.0), op("divide", data("open"), 997.0)
 VOLUME = data("volume")
@@ -142,7 +149,63 @@ def op_rank_div(spark: SparkSession, sf_dir: str) -> DataFrame:
 RANK_DIV_SQL = f"""{MONTH_SQL} SELECT t, inst, CASE WHEN a = 0 AND b = 0 THEN NULL WHEN b = 0 THEN -1.0 ELSE round(a / b, 6) + 0.0 END AS value
 FROM (SELECT t, inst, {_rank('close')} AS a, {_rank('volume')} AS b FROM r)"""
 
-GAPPY = {"ts_mean": (op("ts_mean", VOLUME, 10), f"avg(volume) {_over(10)}"), "ts_sum": (op("ts_sum", VOLUME, 5), f"sum(volume) {_over(5)}"), "rank": (op("rank", VOLUME), _rank("volume")), "ts_stddev": (op("ts_stddev", VOLUME, 20), f"stddev_samp(volume) {_over(20)}"), "ts_max": (op("ts_max", op("divide", data("close"), 997.0), 10), f"max(coalesce(close / 997.0, 0)) {_over(10)}"), "delta": (op("delta", VOLUME, 1), f"volume - lag(volume) {TS}"), "ts_nanmean": (op("ts_nanmean", VOLUME, 21), f"avg(volume) {_over(21)}")}
+#: The same operators over the daily panel, whose missing cells stay missing.
+_C, _Y = data("close"), op("multiply", data("close"), 1 / 997)
+GAPPY: dict[str, tuple] = {
+    "rank": (op("rank", VOLUME), _rank("volume")),
+    "cs_rank": (op("cs_rank", _C), _rank("close")),
+    "rank_add": (op("rank_add", _C, VOLUME), FORMULAS["rank_add"][1]),
+    "rank_sub": (op("rank_sub", _C, VOLUME), FORMULAS["rank_sub"][1]),
+    "rank_mul": (op("rank_mul", _C, VOLUME), FORMULAS["rank_mul"][1]),
+    "cs_zscore": (op("cs_zscore", VOLUME), FORMULAS["cs_zscore"][1]),
+    "count_valid": (op("count_valid", VOLUME), FORMULAS["count_valid"][1]),
+    "delay": (op("delay", VOLUME, 3), f"lag(volume, 3) {TS}"),
+    "delta": (op("delta", VOLUME, 1), f"volume - lag(volume) {TS}"),
+    "ts_diff": (op("ts_diff", _C, 2), f"close - lag(close, 2) {TS}"),
+    "ts_return": (op("ts_return", _C, 2), f"(close - lag(close, 2) {TS}) / lag(close, 2) {TS}"),
+    "ts_mean": (op("ts_mean", VOLUME, 10), f"avg(volume) {_over(10)}"),
+    "ts_nanmean": (op("ts_nanmean", VOLUME, 21), f"avg(volume) {_over(21)}"),
+    "ts_sum": (op("ts_sum", VOLUME, 5), f"sum(volume) {_over(5)}"),
+    "ts_mean_long": (op("ts_mean", VOLUME, 252), f"avg(volume) {_over(252)}"),
+    "ts_sum_long": (op("ts_sum", VOLUME, 100), f"sum(volume) {_over(100)}"),
+    "ts_prod": (op("ts_prod", op("multiply", VOLUME, 0.03125), 4), f"product(volume * 0.03125) {_over(4)}"),
+    "ts_max": (op("ts_max", _Y, 10), f"max(y) {_over(10)}"),
+    "ts_min": (op("ts_min", _Y, 10), f"min(y) {_over(10)}"),
+    "ts_argmax": FORMULAS["ts_argmax"],
+    "ts_argmin": FORMULAS["ts_argmin"],
+    "ts_stddev": (op("ts_stddev", VOLUME, 20), f"stddev_samp(volume) {_over(20)}"),
+    "ts_rank": FORMULAS["ts_rank"],
+    "ts_rank_long": (op("ts_rank", VOLUME, 60), FORMULAS["ts_rank"][1].replace(_over(10), _over(60))),
+    "ts_cov": (op("ts_cov", VOLUME, _Y, 10), FORMULAS["ts_cov"][1]),
+    "ts_corr": (op("ts_corr", VOLUME, _Y, 10), f"CASE WHEN var_pop({_XY[0]}) {_over(10)} > 0 AND var_pop({_XY[1]}) {_over(10)} > 0 THEN {FORMULAS['ts_corr'][1]} END"),
+    "observed_return": (op("observed_return", _C), "close / last_value(close IGNORE NULLS) OVER (PARTITION BY inst ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1"),
+}
+#: Of the daily panel x and y are volume and close / 997, missing where these are.
+_DAY_XY = f"(SELECT *, volume AS x, close * CAST('{1 / 997!r}' AS DOUBLE) AS y FROM panel)"
+
+#: A field that is infinite where the volume is 30, and what operators make of it: infinities count as 0 in sums and are
+#: left out of extremes, and rank last.
+INF = op("pow", op("subtract", VOLUME, 30.0), -1.0)
+_INF_SQL = "(SELECT *, CASE WHEN volume = 30 THEN CAST('infinity' AS DOUBLE) ELSE 1 / (volume - 30) END AS z FROM panel)"
+_FIN0, _FIN = "CASE WHEN isinf(z) THEN 0 ELSE z END", "CASE WHEN NOT isinf(z) THEN z END"
+INFINITE: dict[str, tuple] = {
+    "ts_mean": (op("ts_mean", INF, 10), f"sum({_FIN0}) {_over(10)} / count(z) {_over(10)}"),
+    "ts_sum": (op("ts_sum", INF, 40), f"sum({_FIN0}) {_over(40)}"),
+    "ts_prod": (op("ts_prod", INF, 3), f"product(CASE WHEN isinf(z) THEN 1 ELSE z END) {_over(3)}"),
+    "ts_max": (op("ts_max", INF, 10), f"max({_FIN}) {_over(10)}"),
+    "ts_min": (op("ts_min", INF, 10), f"min({_FIN}) {_over(10)}"),
+    "rank": (op("rank", INF), _rank("z")),
+    "divide": (op("divide", 1.0, op("flip", INF)), "CASE WHEN z IS NULL THEN 0 ELSE -(1 / z) END"),
+    "multiply": (op("sigmoid", op("multiply", INF, -1.0)), "CASE WHEN isinf(z) THEN 0 ELSE 1 / (1 + exp(z)) END"),
+}
+
+
+def infinite_op(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return _formula(INFINITE[name][0], day_panel)
+
+
+def infinite_op_sql(name: str) -> str:
+    return f"{DAY_SQL} SELECT t, inst, {_sql_tidy('v')} AS value FROM (SELECT t, inst, {INFINITE[name][1]} AS v FROM {_INF_SQL})"
 
 
 def gappy_op(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -153,7 +216,7 @@ def gappy_op(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def gappy_op_sql(name: str) -> str:
-    return f"{DAY_SQL} SELECT t, inst, {_sql_tidy('v')} AS value FROM (SELECT t, inst, {GAPPY[name][1]} AS v FROM panel)"
+    return f"{DAY_SQL} SELECT t, inst, {_sql_tidy('v')} AS value FROM (SELECT t, inst, {GAPPY[name][1]} AS v FROM {_DAY_XY})"
 
 
 SPIKE = op("divide", VOLUME, op("ts_mean", VOLUME, 10))
@@ -199,7 +262,7 @@ def signal_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = with_returns(month_panel(spark, sf_dir))
     found = evaluate_batch(panel, {k: e for k, (e, _) in SIGNALS.items()})
     names = F.create_map(*(F.lit(x) for pair in NAMES.items() for x in pair))
-    return found.select(names[F.col("expr")].alias("expr"), "t", "ret")
+    return settled(found.select(names[F.col("expr")].alias("expr"), "t", "ret"))  # dates x 6 rows, which most statistics read more than once
 
 
 _SUMS = ", ".join(f"sum(coalesce(s{i}, 0) * coalesce(returns_d1, 0)) / count(*) AS s{i}" for i in range(1, 7))
@@ -382,15 +445,154 @@ def potentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.potentials(steps).select("step", tidy(F.col("potential"), 5).alias("potential"), tidy(F.col("reward"), 5).alias("reward"))
 
 
-def long_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _long_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     position = evaluate(month_panel(spark, sf_dir), {"position": op("subtract", op("rank", VOLUME), 0.5)}, keep=("close",))
-    out = P.long_short_returns(position.fillna(0.0, ["close"]), "position", "close")
-    return out.select("t", tidy(F.col("pnl"), 1).alias("pnl"), tidy(F.col("turnover"), 1).alias("turnover"))
+    return P.long_short_returns(position, "position", "close")
+
+
+def long_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longs and shorts by rank of volume."""
+    out = _long_short(spark, sf_dir)
+    return out.select("t", *(tidy(F.col(c), 2).alias(c) for c in ("pnl", "position")), *(tidy(F.col(c)).alias(c) for c in ("turnover", "log_return")))
+
+
+def long_short_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annual Sharpe ratio, return and turnover of the same."""
+    return P.sharpe(_long_short(spark, sf_dir)).select(*(tidy(F.col(c)).alias(c) for c in ("sharpe", "ret", "turnover")))
+
+
+LONG_SHORT_SQL = f"""{MONTH_SQL}, p AS (SELECT t, inst, close AS price, coalesce({_rank('volume')} - 0.5, 0) AS p FROM r),
+d AS (SELECT *, CASE WHEN p > 0 THEN p / sum(CASE WHEN p > 0 THEN p END) OVER (PARTITION BY t) WHEN p < 0 THEN p / sum(CASE WHEN p < 0 THEN -p END) OVER (PARTITION BY t) ELSE 0 END * 1e7 AS usd FROM p),
+h AS (SELECT *, coalesce(round(usd / price), 0) AS shares FROM d), v AS (SELECT *, coalesce(shares * price, 0) AS v FROM h),
+g AS (SELECT t, shares * lead(price) {TS} - v AS gain, abs(v - coalesce(lag(v) {TS}, 0)) AS traded, v FROM v),
+x AS (SELECT t, sum(gain) AS gain, sum(traded) AS traded, sum(abs(v)) AS position FROM g GROUP BY t),
+y AS (SELECT t, gain - 0.0005 * traded AS pnl, position, traded / 1e7 AS turnover, CASE WHEN position > 0 AND (gain - 0.0005 * traded) / position > -1 THEN ln(1 + (gain - 0.0005 * traded) / position) END AS log_return FROM x)"""
+
+
+def trajectory_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians of the mean changes per step and per user of users' first 20 events."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("v"))
+    out = R.trajectory_medians(R.trajectory_steps(e, key="user_id", values="v"), key="user_id")
+    return out.select(*(tidy(F.col(c)).alias(c) for c in ("time_median", "ensemble_median")))
+
+
+def text_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits of every text in a Huffman code of its own characters."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", R.huffman_length("text").alias("huffman_bits"))
+
+
+def matrix_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly volumes written as a matrix and read back, shape checked; inst is the column's number."""
+    panel = month_panel(spark, sf_dir).select("t", "inst", "volume")
+    columns = [r.inst for r in panel.select("inst").distinct().orderBy("inst").collect()]  # an axis of the matrix
+    path = fresh_folder(spark, "matrix")
+    M.save_matrix(panel, "volume", columns, f"{path}/volume.csv.gz")
+    out = M.load_matrices(spark, f"{path}/volume.csv.gz", dates=panel.select("t").distinct().count(), instruments=len(columns))
+    return out.select("field", "t", "inst", tidy(F.col("value")).alias("value"))
+
+
+def panel_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily event counts written as Parquet by year and read back."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.to_date("ts").alias("date"), F.col("user_id").alias("inst")).agg(F.count("*").alias("n"))
+    path = fresh_folder(spark, "panel")
+    M.save_panel(e, path)
+    return spark.read.parquet(path).groupBy("year").agg(F.count("*").alias("cells"), F.sum("n").alias("n")).select(F.col("year").cast("long").alias("year"), "cells", "n")
+
+
+def catalogue_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily supplier volumes and prices written as dated matrices, then read by a catalogue, which also names a file that is
+    not there, for the days of 1996 and the suppliers with even keys."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("date", F.to_date("l_shipdate"))
+    cells = rows.groupBy("date", F.col("l_suppkey").alias("inst")).agg(F.sum("l_quantity").alias("volume"), F.max("l_extendedprice").alias("high"))
+    ids = [r.inst for r in cells.select("inst").distinct().orderBy("inst").collect()]  # an axis of the matrix
+    path = fresh_folder(spark, "fields")
+    for field in ("volume", "high"):
+        table = cells.groupBy("date").pivot("inst", ids).agg(F.first(field)).orderBy("date")
+        table.coalesce(1).write.option("header", True).csv(f"{path}/raw/{field}_d.csv")  # the format is one file
+    lines = [("remote_path, local_path",), ("x/volume_d.csv, volume",), ("x/high_d.csv, high",), ("x/gone_d.csv, gone",)]
+    spark.createDataFrame(lines, "value string").coalesce(1).write.text(f"{path}/catalogue")
+    days, held = cells.filter("year(date) = 1996").select("date").distinct(), cells.filter("inst % 2 = 0").select(F.col("inst").cast("string").alias("inst")).distinct()
+    kept, rejects = M.load_fields(spark, M.load_catalogue(spark, f"{path}/catalogue"), f"{path}/raw", days, held)
+    found = kept.select("field", F.col("date").cast("string").alias("date"), F.col("inst").cast("long").alias("inst"), tidy(F.col("value")).alias("value"))
+    return found.unionByName(rejects.select("field"), allowMissingColumns=True)
+
+
+def members_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly cells of the suppliers of region 1."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").filter("n_regionkey = 1")
+    held = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select(F.col("s_suppkey").alias("inst"))
+    return panel_members(month_panel(spark, sf_dir).select("t", "inst", "volume"), held)
+
+
+def candles_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars of ten users written as a CSV each, read, aligned on the union of their hours, with both axes numbered."""
+    ticks = spark.read.parquet(f"{sf_dir}/events.parquet").filter("user_id % 100 < 10").withColumnRenamed("user_id", "inst")
+    path = fresh_folder(spark, "candles")
+    rows = bars(ticks).select(F.concat(F.lit("u"), F.col("inst")).alias("file"), F.col("ts").alias("timestamp"), "open", "high", "low", "close", "volume", F.lit("").alias("source"))
+    rows.repartition("file").write.partitionBy("file").option("header", True).csv(path)
+    read = M.load_candles(spark, f"{path}/*")
+    times, ids = M.side_tables(read)
+    out = M.align_candles(read).join(F.broadcast(times), "ts").join(F.broadcast(ids), "inst")
+    return out.select("t", "column", "inst", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "open", "close", tidy(F.col("volume")).alias("volume"))
+
+
+def returns_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool written as a returns file; its first three expressions read back."""
+    path = fresh_folder(spark, "returns")
+    M.save_returns(signal_pool(spark, sf_dir), path)
+    return M.load_returns(spark, path, first=3).select("expr", "t", tidy(F.col("ret"), 7).alias("ret"))
+
+
+def search_log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool's statistics written as a search log, with a line that failed, and read back."""
+    s = P.pool_stats(signal_pool(spark, sf_dir), skip_start=SKIP)
+    pair = lambda name, c: F.concat(F.lit(f"{name}: "), F.col(c).cast("string"))
+    line = F.concat_ws("\t", pair("marginal_utility", "mu"), pair("_utility", "utility"), pair("_marginal_utility", "mu"), pair("corr", "corr"), pair("maxcorr", "maxcorr"),
+                       F.concat(F.lit("utility_traj: [0.5, "), F.col("mu").cast("string"), F.lit("]")), pair("Expr", "expr"))
+    path = fresh_folder(spark, "log")
+    failed = s.limit(1).select(F.lit("marginal_utility: failed to terminate").alias("value"))
+    s.select(line.alias("value")).union(failed).write.option("compression", "gzip").text(path)
+    out = M.load_search_log(spark, path)
+    return out.select("expr", *(tidy(F.col(c)).alias(c) for c in ("marginal_utility", "own_marginal_utility", "utility", "corr", "maxcorr")), tidy(F.col("utility_traj")[1]).alias("last"))
+
+
+def user_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An operator of the user's own, registered at run time: half the range of the last d values."""
+    register("half_range", (PANEL, INT), TRAIL, lambda x, d: (F.max(x).over(trailing(d)) - F.min(x).over(trailing(d))) / 2, lambda d: d - 1)
+    return evaluate(month_panel(spark, sf_dir), {"value": op("half_range", VOLUME, 6)}).select("t", "inst", tidy(F.col("value")).alias("value"))
+
+
+def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incremental signals: the trailing mean of five monthly volumes per instrument, then its rank across each complete date,
+    by two streams over files; the same as the batch's."""
+    path = fresh_folder(spark, "stream")
+    rows = month_panel(spark, sf_dir).select("t", "inst", F.col("volume").alias("value"))
+    rows.write.parquet(f"{path}/rows")
+    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+
+    def run(name: str, stream: DataFrame) -> DataFrame:
+        query = stream.writeStream.format("parquet").option("path", f"{path}/{name}").option("checkpointLocation", f"{path}/{name}-state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return spark.read.parquet(f"{path}/{name}")
+
+    source = lambda name, schema: spark.readStream.schema(schema).parquet(f"{path}/{name}")
+    mean = run("mean", trailing_stream(source("rows", rows.schema), lambda w: float(np.nanmean(w)) if np.isfinite(w).any() else float("nan"), lookback=4))
+    ranks = run("rank", cross_section_stream(source("mean", mean.schema).withColumnRenamed("signal", "value"), average_rank, instruments=n))
+    return ranks.select(F.col("t").cast("int").alias("t"), "inst", tidy(F.nanvl("signal", F.lit(None).cast("double"))).alias("value"))
+
+
+def average_rank(x: np.ndarray) -> np.ndarray:
+    """Average-tie rank among what is there, scaled to [0, 1]."""
+    held = np.sort(x[~np.isnan(x)])
+    low, high = np.searchsorted(held, x, "left"), np.searchsorted(held, x, "right")
+    return np.where(np.isnan(x), np.nan, ((low + 1 + high) / 2 - 1) / max(len(held) - 1, 1))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"op_{k}": panel_op(k) for k in FORMULAS},
     **{f"op_{k}_day": gappy_op(k) for k in GAPPY},
+    **{f"op_{k}_inf": infinite_op(k) for k in INFINITE},
     "op_rank_div": op_rank_div,
     "expr_volume_spike": _formula(SPIKE),
     "expr_bench_1": _formula(BENCH_1),
@@ -399,6 +601,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         grid_ts_mean, backtest, portfolio, pool_stats, pool_maxcorr, pool_marginal_utility, pool_near_copies, corr_hist, pool_dedup, pool_top, data_quality,
         slot_batch, observed_adv20, universe_mask, candles, transition_matrix, sequence_features, batch_summary, quantile_by_bucket,
         portfolio_weights, trajectory_steps, text_complexity, stage_sampling, piecewise_fitness, potentials, long_short,
+        long_short_sharpe, trajectory_medians, text_huffman, matrix_round_trip, panel_round_trip, catalogue_round_trip, members_only, candles_round_trip,
+        returns_round_trip, search_log_round_trip, user_operator, stream_signals,
     )},
     "reindex": reindexed,
 }
@@ -407,6 +611,7 @@ _SCORE = "CASE WHEN {x} > {a} AND {x} < {b} THEN {s} * abs({x} - {a}) WHEN abs({
 ORACLES: dict[str, str] = {
     **{f"op_{k}": panel_op_sql(k) for k in FORMULAS},
     **{f"op_{k}_day": gappy_op_sql(k) for k in GAPPY},
+    **{f"op_{k}_inf": infinite_op_sql(k) for k in INFINITE},
     "op_rank_div": RANK_DIV_SQL,
     "expr_volume_spike": SPIKE_SQL,
     "expr_bench_1": BENCH_1_SQL,
@@ -428,9 +633,8 @@ SELECT CAST(least(floor((c - lo) / (hi - lo) * 30), 29) AS INT) AS bin, count(*)
     "data_quality": f"""{DAY_SQL}, d AS (SELECT inst, volume - lag(volume) {TS} AS v FROM panel)
 SELECT inst, count(*) AS total, count(*) FILTER (v IS NULL) AS missing, CAST(0 AS BIGINT) AS infinite, count(*) FILTER (v = 0) AS zero FROM d GROUP BY inst""",
     "slot_batch": _slot_sql(),
-    "observed_adv20": f"""{DAY_SQL}, s AS (SELECT t, inst, CASE WHEN count(*) OVER w = 20 THEN avg(volume) OVER w END AS a FROM panel WHERE volume IS NOT NULL
-WINDOW w AS (PARTITION BY inst ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
-SELECT t, inst, round(a, 6) + 0.0 AS adv20 FROM panel LEFT JOIN s USING (t, inst)""",
+    "observed_adv20": f"""{DAY_SQL} SELECT t, inst, CASE WHEN count(volume) OVER w = 20 THEN round(avg(volume) OVER w, 6) + 0.0 END AS adv20 FROM panel
+WINDOW w AS (PARTITION BY inst, volume IS NULL ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
     "universe_mask": f"{MONTH_SQL} SELECT t, inst, CASE WHEN p > 30 THEN volume END AS volume FROM (SELECT t, inst, volume, lag(volume) {TS} AS p FROM r)",
     "candles": """SELECT user_id AS inst, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS ts, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low,
 arg_max(value, ts) AS close, round(sum(value), 6) + 0.0 AS volume FROM events GROUP BY 1, 2""",
@@ -459,4 +663,31 @@ SELECT expr, round({_SCORE.format(x='u', a='0.0', b='0.5', s='2.0')} + 0.5 * {_S
 SELECT step, round(p, 5) + 0.0 AS potential, round(p - coalesce(lag(p) OVER (ORDER BY step), 0), 5) + 0.0 AS reward FROM s""",
     "reindex": """WITH e AS (SELECT CAST(ts AS DATE) AS t, user_id AS inst FROM events), c AS (SELECT t, inst, count(*) AS n FROM e GROUP BY 1, 2)
 SELECT a.t, b.inst, n FROM (SELECT DISTINCT t FROM e) a CROSS JOIN (SELECT DISTINCT inst FROM e) b LEFT JOIN c ON c.t = a.t AND c.inst = b.inst""",
+    "long_short": f"{LONG_SHORT_SQL} SELECT t, round(pnl, 2) + 0.0 AS pnl, round(position, 2) + 0.0 AS position, round(turnover, 6) + 0.0 AS turnover, round(log_return, 6) + 0.0 AS log_return FROM y",
+    "long_short_sharpe": f"{LONG_SHORT_SQL} SELECT round(avg(log_return) / stddev_pop(log_return) * sqrt(252), 6) + 0.0 AS sharpe, round(sum(log_return), 6) + 0.0 AS ret, round(avg(turnover), 6) + 0.0 AS turnover FROM y",
+    "trajectory_medians": """WITH e AS (SELECT user_id, row_number() OVER w - 1 AS step, value - lag(value) OVER w AS diff, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+d AS (SELECT * FROM e WHERE n >= 20 AND step BETWEEN 1 AND 19)
+SELECT (SELECT round(median(m), 6) + 0.0 FROM (SELECT avg(diff) AS m FROM d GROUP BY step)) AS time_median, (SELECT round(median(m), 6) + 0.0 FROM (SELECT avg(diff) AS m FROM d GROUP BY user_id)) AS ensemble_median""",
+    "text_huffman": """WITH RECURSIVE c AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE text <> '') GROUP BY doc_id, ch),
+h(doc_id, l, bits) AS (SELECT doc_id, list_sort(list(n)), CASE WHEN count(*) = 1 THEN sum(n) ELSE 0 END FROM c GROUP BY doc_id
+  UNION ALL SELECT doc_id, list_sort(list_append(l[3:], l[1] + l[2])), bits + l[1] + l[2] FROM h WHERE len(l) > 1)
+SELECT d.doc_id, CAST(coalesce(b, 0) AS BIGINT) AS huffman_bits FROM documents d LEFT JOIN (SELECT doc_id, max(bits) AS b FROM h GROUP BY doc_id) USING (doc_id)""",
+    "stage_sampling": "SELECT CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 4 AS INT) AS stage, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1",
+    "matrix_round_trip": f"""{MONTH_SQL} SELECT 'volume' AS field, CAST(dense_rank() OVER (ORDER BY t) - 1 AS INT) AS t, CAST(dense_rank() OVER (ORDER BY inst) - 1 AS INT) AS inst, round(volume, 6) + 0.0 AS value FROM r""",
+    "panel_round_trip": "SELECT CAST(year(d) AS BIGINT) AS year, count(*) AS cells, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CAST(ts AS DATE) AS d, user_id, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1",
+    "catalogue_round_trip": """WITH c AS (SELECT CAST(l_shipdate AS DATE) AS d, l_suppkey AS inst, sum(l_quantity) AS volume, max(l_extendedprice) AS high FROM lineitem GROUP BY 1, 2),
+g AS (SELECT * FROM (SELECT DISTINCT d FROM c WHERE year(d) = 1996) CROSS JOIN (SELECT DISTINCT inst FROM c WHERE inst % 2 = 0) LEFT JOIN c USING (d, inst))
+SELECT 'volume' AS field, CAST(d AS VARCHAR) AS date, CAST(inst AS BIGINT) AS inst, round(volume, 6) + 0.0 AS value FROM g
+UNION ALL SELECT 'high', CAST(d AS VARCHAR), inst, round(high, 6) + 0.0 FROM g UNION ALL SELECT 'gone', NULL, NULL, NULL""",
+    "members_only": f"{MONTH_SQL} SELECT t, inst, volume FROM r WHERE inst IN (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1)",
+    "candles_round_trip": """WITH b AS (SELECT user_id, date_trunc('hour', ts) AS h, arg_min(value, ts) AS open, arg_max(value, ts) AS close, sum(value) AS volume FROM events WHERE user_id % 100 < 10 GROUP BY 1, 2),
+i AS (SELECT 'u' || user_id AS inst, user_id FROM (SELECT DISTINCT user_id FROM b)), g AS (SELECT * FROM (SELECT DISTINCT h FROM b) CROSS JOIN i LEFT JOIN b USING (h, user_id))
+SELECT CAST(dense_rank() OVER (ORDER BY h) - 1 AS INT) AS t, CAST(dense_rank() OVER (ORDER BY inst) - 1 AS INT) AS "column", inst, strftime(h, '%Y-%m-%d %H:%M:%S') AS ts, open, close, round(volume, 6) + 0.0 AS volume FROM g""",
+    "returns_round_trip": f"{POOL_SQL} SELECT expr, CAST(dense_rank() OVER (ORDER BY t) - 1 AS INT) AS t, round(ret, 7) + 0.0 AS ret FROM pool WHERE expr IN ('s1', 's2', 's3')",
+    "search_log_round_trip": f"""{POOL_SQL} SELECT expr, round(abs(mu), 6) + 0.0 AS marginal_utility, round(abs(mu), 6) + 0.0 AS own_marginal_utility, round(abs(u), 6) + 0.0 AS utility, round(abs(c), 6) + 0.0 AS corr, round(abs(m), 6) + 0.0 AS maxcorr, round(mu, 6) + 0.0 AS last
+FROM (SELECT expr, avg(ret) / greatest(stddev_pop(ret), 1e-9) AS u FROM pool GROUP BY expr) JOIN mu USING (expr)
+JOIN (SELECT expr, covar_pop(ret, port) / greatest(stddev_pop(ret) * stddev_pop(port), 1e-9) AS c FROM pool JOIN port USING (t) GROUP BY expr) USING (expr)
+JOIN (SELECT e AS expr, max(c) AS m FROM pairs WHERE e <> o GROUP BY e) USING (expr)""",
+    "user_operator": f"{MONTH_SQL} SELECT t, inst, round((max(volume) {_over(6)} - min(volume) {_over(6)}) / 2, 6) + 0.0 AS value FROM r",
+    "stream_signals": f"{MONTH_SQL}, m AS (SELECT t, inst, avg(volume) {_over(5)} AS v FROM r) SELECT t, inst, round({_rank('v')}, 6) + 0.0 AS value FROM m",
 }

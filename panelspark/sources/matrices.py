@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CANDLE = "timestamp timestamp, open double, high double, low double, close double, volume double, source string"
 
 
+def source_name(file: Column) -> Column:
+    """A file's name without its ending; for files in a folder that Spark wrote, the folder's (what follows "=", if any)."""
+    return F.regexp_replace(F.regexp_extract(F.regexp_replace(file, "/part-[^/]*$", ""), r"([^/]+?)(?:\.csv)?(?:\.gz)?$", 1), "^[^=]*=", "")
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(t, file, value): the lines of each file, numbered in order.  A gzip file is one partition, so ids within it ascend."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("id"), F.input_file_name().alias("file"), "value")
-    first = lines.groupBy("file").agg(F.min("id").alias("first"))
-    return lines.join(F.broadcast(first), "file").select((F.col("id") - F.col("first")).cast("int").alias("t"), "file", "value")  # a row a file
+    """(t, file, value): the lines of each file, numbered in order.
+
+    Files may be split: ids ascend within a block of a file, and blocks are put in order by where they start."""
+    lines = spark.read.text(path).select(
+        F.monotonically_increasing_id().alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"
+    )
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    blocks = blocks.withColumn("before", F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).drop("n")
+    at = (F.col("id") - F.col("first") + F.col("before")).cast("int")
+    return lines.join(F.broadcast(blocks), ["file", "block"]).select(at.alias("t"), "file", "value")  # a row a block of a file
 
 
 def load_matrices(spark: SparkSession, path: str, *, dates: int | None = None, instruments: int | None = None) -> DataFrame:
@@ -29,7 +40,7 @@ def load_matrices(spark: SparkSession, path: str, *, dates: int | None = None, i
         bad = bad | (F.col("most") != instruments)
     said = F.concat(F.lit("matrix "), F.col("file"), F.lit(" has "), F.col("rows").cast("string"), F.lit(" lines of "), F.col("least").cast("string"), F.lit(" to "), F.col("most").cast("string"), F.lit(" cells"))
     checked = shape.select(F.col("file").alias("f"), F.when(bad, F.raise_error(said).cast("boolean")).otherwise(True).alias("good"))
-    field = F.regexp_extract("file", r"([^/]+?)(?:\.csv)?(?:\.gz)?$", 1)
+    field = source_name(F.col("file"))
     cells = lines.join(F.broadcast(checked), F.col("file") == F.col("f")).filter("good")  # a row a file
     return cells.select(field.alias("field"), "t", F.posexplode("cells").alias("inst", "cell")).select("field", "t", "inst", F.expr("try_cast(trim(cell) as double)").alias("value")).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
@@ -49,13 +60,12 @@ def load_fields(spark: SparkSession, catalogue: DataFrame, folder: str, calendar
     """All dated matrices (first column the date, header the instruments) of a catalogue on (date, inst), and the rejects.
 
     A file that is missing or has no date column becomes a row of the rejects, and the others still load."""
-    files = spark.read.text(f"{folder}/*").select(F.monotonically_increasing_id().alias("id"), F.input_file_name().alias("file"), "value")
-    files = files.withColumn("name", F.regexp_extract("file", r"([^/]+)$", 1))
-    heads = files.groupBy("file").agg(F.min_by("value", "id").alias("head"), F.min("id").alias("first"))
-    body = files.join(F.broadcast(heads), "file").filter(F.col("id") > F.col("first"))  # a row a file
+    files = _lines(spark, f"{folder}/*").withColumn("name", source_name(F.col("file")))
+    heads = files.filter("t = 0").select("file", F.col("value").alias("head"))
+    body = files.filter("t > 0").join(F.broadcast(heads), "file")  # a row a file
     long = body.select("name", F.split("head", ",", -1).alias("ids"), F.split("value", ",", -1).alias("cells")).select("name", "ids", "cells", F.posexplode("cells").alias("k", "cell")).filter("k > 0")
     long = long.select("name", F.expr("try_cast(cells[0] as date)").alias("date"), F.trim(F.get("ids", F.col("k"))).alias("inst"), F.expr("try_cast(trim(cell) as double)").alias("value"))
-    wanted = catalogue.select("local_path", F.regexp_extract("remote_path", r"([^/]+)$", 1).alias("name"))
+    wanted = catalogue.select("local_path", source_name(F.col("remote_path")).alias("name"))
     rows = long.join(wanted, "name").select(F.col("local_path").alias("field"), "date", "inst", "value")
     kept = rows.join(calendar.select("date"), "date", "left_semi").join(universe.select("inst"), "inst", "left_semi")
     good = long.filter("date is not null").select("name").distinct()
@@ -77,8 +87,9 @@ def save_panel(panel: DataFrame, path: str, date: str = "date") -> None:
 def load_candles(spark: SparkSession, path: str) -> DataFrame:
     """(inst, ts, open, high, low, close, volume, source) from a CSV per instrument; the last record of a time stays."""
     rows = spark.read.schema(CANDLE).option("header", True).csv(path)
-    rows = rows.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.csv)?(?:\.gz)?$", 1).alias("inst"), F.monotonically_increasing_id().alias("id"), "*")
-    last = F.max_by(F.struct("open", "high", "low", "close", "volume", F.coalesce("source", F.lit("")).alias("source")), "id")
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")]
+    rows = rows.select(*where, "*").withColumn("inst", source_name(F.col("file")))
+    last = F.max_by(F.struct("open", "high", "low", "close", "volume", F.coalesce("source", F.lit("")).alias("source")), F.struct("block", "id"))
     return rows.groupBy("inst", F.col("timestamp").alias("ts")).agg(last.alias("c")).select("inst", "ts", "c.*")
 
 
@@ -115,13 +126,13 @@ def load_returns(spark: SparkSession, path: str, first: int | None = None) -> Da
 
 
 def load_search_log(spark: SparkSession, path: str) -> DataFrame:
-    """(marginal_utility, utility, corr, maxcorr, utility_traj, expr) from a log of tab-separated key: value pairs.
+    """(marginal_utility, utility, own_marginal_utility, corr, maxcorr, utility_traj, expr) from a log of tab-separated key: value pairs.
 
     Lines that start otherwise or that failed to terminate are left out; numbers are absolute values."""
     lines = spark.read.text(path).filter(F.col("value").startswith("marginal_utility") & ~F.contains("value", F.lit("failed to terminate")))
     pairs = lines.select(F.expr(r"str_to_map(value, '\t', ': ')").alias("m"))
     number = lambda key: F.abs(F.try_element_at("m", F.lit(key)).try_cast("double"))
     return pairs.select(
-        number("marginal_utility").alias("marginal_utility"), number("_utility").alias("utility"), number("corr").alias("corr"), number("maxcorr").alias("maxcorr"),
+        number("marginal_utility").alias("marginal_utility"), number("_utility").alias("utility"), number("_marginal_utility").alias("own_marginal_utility"), number("corr").alias("corr"), number("maxcorr").alias("maxcorr"),
         F.from_json(F.try_element_at("m", F.lit("utility_traj")), "array<double>").alias("utility_traj"), F.try_element_at("m", F.lit("Expr")).alias("expr"),
     )

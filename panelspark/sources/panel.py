@@ -40,10 +40,11 @@ def with_returns(panel: DataFrame, close: str = "close") -> DataFrame:
 
 
 def adv(panel: DataFrame, volume: str = "volume", n: int = 20, name: str = "adv20") -> DataFrame:
-    """``name``: mean of the last n observed volumes; missing until n are seen and where there is none."""
-    w = Window.partitionBy("inst").orderBy("t").rowsBetween(-(n - 1), 0)
-    seen = panel.filter(F.col(volume).isNotNull()).select("t", "inst", F.when(F.count(volume).over(w) == n, F.avg(volume).over(w)).alias(name))
-    return panel.join(seen, ["t", "inst"], "left")
+    """``name``: mean of the last n observed volumes; missing until n are seen and where there is none.
+
+    Rows with and without a volume are windows of their own, so the last n rows of a window are the last n observed."""
+    w = Window.partitionBy("inst", F.col(volume).isNull()).orderBy("t").rowsBetween(-(n - 1), 0)
+    return panel.withColumn(name, F.when(F.count(volume).over(w) == n, F.avg(volume).over(w)))
 
 
 def _lineitem_cells(spark: SparkSession, sf_dir: str, t: Column) -> DataFrame:

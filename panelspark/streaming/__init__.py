@@ -39,3 +39,27 @@ def trailing_stream(rows: DataFrame, signal, *, lookback: int, output: str = "si
     kind = rows.schema["inst"].dataType.simpleString()
     grouped = rows.select("inst", F.col("t").cast("long").alias("t"), F.col("value").cast("double").alias("value")).groupBy("inst")
     return grouped.applyInPandasWithState(run, f"inst {kind}, t long, {output} double", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def cross_section_stream(rows: DataFrame, signal, *, instruments: int, output: str = "signal") -> DataFrame:
+    """A signal across the instruments of a date over a stream of (t, inst, value): a date's rows come out once it is complete,
+    that is when ``instruments`` rows of it are there.
+
+    State is what an open date has so far; ``signal`` gets all values of the date, NaN where missing.  A further row of a date
+    that has come out is an error of the source and raises."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        inst, value = state.get if state.exists else ([], [])
+        new = pd.concat(list(frames))
+        inst, value = [*inst, *new["inst"]], [*value, *new["value"].astype(float)]
+        if len(inst) > instruments:
+            raise ValueError(f"date {key[0]} has more than {instruments} rows")
+        if len(inst) == instruments:
+            state.update(([inst[0]] * instruments, [0.0] * instruments))  # a further row makes it too many
+            yield pd.DataFrame({"t": key[0], "inst": inst, output: signal(np.array(value))})
+        else:
+            state.update((inst, value))
+
+    kind = rows.schema["inst"].dataType.simpleString()
+    grouped = rows.select(F.col("t").cast("long").alias("t"), "inst", F.col("value").cast("double").alias("value")).groupBy("t")
+    return grouped.applyInPandasWithState(run, f"t long, inst {kind}, {output} double", f"inst array<{kind}>, value array<double>", "append", GroupStateTimeout.NoTimeout)

@@ -51,6 +51,18 @@ def test_pool_edges(spark, pool):
     assert P.best(P.utility(pool), "utility", 2).count() == 2
 
 
+def test_series_of_other_dates_are_refused(spark, pool):
+    with pytest.raises(Exception, match="other dates"):
+        P.max_correlation(pool.filter("expr <> 'a' or t > 0")).collect()
+
+
+def test_sharpe(spark):
+    logs = [0.01, -0.02, 0.03, 0.005]
+    r = P.sharpe(spark.createDataFrame([(x, 0.5) for x in logs] + [(None, 1.0)], "log_return double, turnover double")).first()
+    assert r.sharpe == pytest.approx(np.mean(logs) / np.std(logs) * math.sqrt(252)) and r.ret == pytest.approx(sum(logs)) and r.turnover == pytest.approx(0.6)
+    assert P.sharpe(spark.createDataFrame([(0.1, 0.5)] * 2, "log_return double, turnover double")).first().sharpe == 0.0
+
+
 def test_potentials_and_fitness(spark):
     rows = spark.createDataFrame([(1, "a", 0.2), (1, "b", 0.5), (2, None, None), (3, "c", 0.1), (4, "d", None)], "step int, expr string, mu double")
     got = {r.step: (r.potential, r.reward) for r in P.potentials(rows).collect()}
@@ -88,4 +100,5 @@ def test_portfolios_and_trajectories(spark):
     assert r.arith == pytest.approx(0.05) and r.geo == pytest.approx(0.05) and r.std == pytest.approx(0.0, abs=1e-12)
     rows = spark.createDataFrame([("k", [float(i * i) for i in range(25)]), ("short", [1.0])], "key string, v array<double>")
     steps = R.trajectory_steps(rows, key="key", values="v")
+    assert tuple(R.trajectory_medians(steps, key="key").first()) == (19.0, 19.0)
     assert steps.count() == 19 and R.trajectory_summary(steps, key="key")[1].first().mean_diff == pytest.approx(19.0)

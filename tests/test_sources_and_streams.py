@@ -28,6 +28,24 @@ def test_matrices(spark, tmp_path):
         M.load_matrices(spark, str(tmp_path / "bad.csv.gz")).collect()
 
 
+def test_plain_matrices_may_be_split(spark, tmp_path):
+    rows = [",".join(str(t * 10 + k) for k in range(5)) for t in range(3000)]
+    (tmp_path / "wide.csv").write_text("\n".join(rows) + "\n")
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "f.csv").write_text("date,A,B\n" + "".join(f"2020-01-{1 + t % 28:02d},{t},{t + 1}\n" for t in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        cells = M.load_matrices(spark, str(tmp_path / "wide.csv"), dates=3000, instruments=5)
+        assert cells.select("t").distinct().count() == 3000 and cells.filter("value <> t * 10 + inst").count() == 0
+        cat = spark.createDataFrame([("f.csv", "f")], "remote_path string, local_path string")
+        days = spark.createDataFrame([(f"2020-01-{d:02d}",) for d in range(1, 29)], "d string").select(F.to_date("d").alias("date"))
+        got, rejects = M.load_fields(spark, cat, str(tmp_path / "raw"), days, spark.createDataFrame([("A",), ("B",)], "inst string"))
+        assert got.count() == 6000 and rejects.count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_catalogue_and_rejects(spark, tmp_path):
     (tmp_path / "cat.csv").write_text("remote_path, local_path\nd/close_x.csv, close\nd/gone.csv, gone\n")
     (tmp_path / "raw").mkdir()
@@ -48,9 +66,9 @@ def test_returns_file_round_trip(spark, tmp_path):
 
 def test_search_log(spark, tmp_path):
     with gzip.open(tmp_path / "log.gz", "wt") as f:
-        f.write("noise\nmarginal_utility: -0.5\t_utility: 0.2\tcorr: -0.1\tmaxcorr: 0.3\tutility_traj: [1.0, 2.5]\tExpr: add(a, b)\nmarginal_utility: failed to terminate\n")
+        f.write("noise\nmarginal_utility: -0.5\t_utility: 0.2\tcorr: -0.1\tmaxcorr: 0.3\t_marginal_utility: -0.4\tutility_traj: [1.0, 2.5]\tExpr: add(a, b)\nmarginal_utility: failed to terminate\n")
     (row,) = M.load_search_log(spark, str(tmp_path / "log.gz")).collect()
-    assert (row.marginal_utility, row.utility, row.corr, row.utility_traj, row.expr) == (0.5, 0.2, 0.1, [1.0, 2.5], "add(a, b)")
+    assert (row.marginal_utility, row.utility, row.corr, row.utility_traj, row.expr) == (0.5, 0.2, 0.1, [1.0, 2.5], "add(a, b)") and row.own_marginal_utility == 0.4
 
 
 def test_candles(spark, tmp_path):
@@ -80,7 +98,8 @@ def test_long_short(spark):
     rows = [(0, 1, 1.0, 10.0), (0, 2, -1.0, 20.0), (1, 1, 1.0, 11.0), (1, 2, -1.0, 19.0)]
     df = spark.createDataFrame(rows, "t int, inst int, pos double, price double")
     out = {r.t: r for r in P.long_short_returns(df, "pos", "price", book=1000.0).collect()}
-    assert out[0].turnover == 2000.0 and out[0].pnl == pytest.approx(100 + 50 - 0.0005 * 2000) and out[0].log_return == pytest.approx(math.log1p(out[0].pnl / 1000))
+    assert out[0].turnover == 2.0 and out[0].pnl == pytest.approx(100 + 50 - 0.0005 * 2000) and out[0].log_return == pytest.approx(math.log1p(out[0].pnl / 2000))
+    assert out[0].position == 2000.0 and out[1].pnl is None and out[1].log_return is None
 
 
 def test_stream_equals_batch(spark, tmp_path):
