@@ -1,18 +1,23 @@
 """Removal of lines that many documents share.
 
 A line's key is the line without white space (``\\x20``, ``\\x09-\\x0D``) at both ends and with A-Z lower-cased.
-Keys are handled by their 128-bit digest.
+Keys are handled by a digest of two 64-bit hashes, worked out for a block of texts at once.
 
-1. Every task hashes its documents' distinct keys; each hash goes, once a batch, to one of ``SHARDS`` slices.
-   A slice streams its hashes through two Bloom filters: a hash not yet in the once-seen filter enters it, one
-   that is already there enters the twice-seen filter.  Memory is fixed by ``bits``, whatever the input.
-2. The twice-seen filter (``bits`` / 8 bytes, 8 MB as given) is broadcast.  Keys that it holds are suspected;
-   only they shuffle, pre-aggregated, and are counted exactly.  A filter that fills up only makes more suspects.
-3. Confirmed keys are broadcast if at most ``max_broadcast`` digests of 16 bytes, else joined to the suspects'
-   documents; lines with those keys go, all of them or all but the first (smallest doc_id, then line).
+1. Every task runs its documents' distinct keys through two Bloom filters: a key not yet in the once-seen filter enters
+   it, one that is already there enters the twice-seen filter.  Only filters move: of two tasks' filters the merged
+   once-seen one is ``a | b``, the merged twice-seen one ``ta | tb | (a & b)``, so a key that two tasks hold is in it.  They
+   are merged in slices, first groups of tasks, then all.
+2. The twice-seen filter is broadcast.  Keys that it holds are suspected; only they shuffle, pre-aggregated, and are
+   counted exactly.
+3. Confirmed keys are broadcast if at most ``max_broadcast`` (32 bytes each), else joined to the suspects' documents;
+   lines with those keys go, all of them or all but the first (smallest doc_id, then line).
+
+The filters have ``LINE_BITS`` bits a line, counted first, and ``max_bits`` at most.  Beyond that (some 67 million lines at the
+default of 64 MB) they fill up, which makes more suspects and never other results; where all lines are suspects,
+what shuffles is one pre-aggregated digest a line and task.
 
 Defined results: null and empty texts are one empty line; empty keys are never dropped while ``min_chars`` >= 1;
-each row is a document, equal rows included; other columns pass through.
+each row is a document, equal rows included; a null id is smaller than any other; other columns pass through.
 """
 
 from __future__ import annotations
@@ -22,153 +27,237 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import keep, unused
-
-SHARDS, PROBES = 64, 4
-_BLANK = " \t\n\x0b\x0c\r"
-_LOWER = {c: c + 32 for c in range(65, 91)}
+from .shared import ended, keep, unused
+from .textblock import SPACE, blocks, mix, utf8
+
+PROBES, LINE_BITS = 4, 8
+#: Bits of a slice of a filter, and tasks whose filters are merged first.
+SLICE, GROUP = 1 << 20, 64
+_BLOCK, _LONG_LINE = 2 << 20, 4096
+_K1, _K2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [0xFFFFFFFFFFFFFFFF], dtype=np.uint64)
+NO_ID = -(1 << 63)
+
+
+class Lines:
+    """The lines of a block of texts: ``start``/``end`` in ``buffer`` (not lower-cased: ``texts`` joined by line ends),
+    ``ptr[i]:ptr[i+1]`` those of text i, ``chars`` and ``words`` of their keys, and the digest ``one``, ``two``."""
+
+    def __init__(self, texts: list[bytes]):
+        self.buffer = b"\n".join(texts) + b"\n" + b"\0" * 8
+        low = self.buffer.lower()
+        raw = np.frombuffer(low, dtype=np.uint8)[:-8]
+        self.end = np.flatnonzero(raw == 10)
+        self.start = np.concatenate([[0], self.end[:-1] + 1])
+        base = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.ptr = np.searchsorted(self.start, base)
+        solid = ~SPACE[raw]
+        at = np.flatnonzero(solid)
+        a, b = np.searchsorted(at, self.start), np.searchsorted(at, self.end)
+        full = b > a
+        begin, stop = self.start.copy(), self.start.copy()
+        begin[full], stop[full] = at[a[full]], at[b[full] - 1] + 1
+        count = lambda flags: np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
+        chars = count((raw & 0xC0) != 0x80)
+        self.chars = chars[stop] - chars[begin]
+        starts = count(solid & ~np.concatenate([[False], solid[:-1]]))
+        self.words = starts[stop] - starts[begin]
+        self._digest(low, begin, stop - begin)
+
+    def _digest(self, low: bytes, begin: np.ndarray, size: np.ndarray) -> None:
+        windows = np.ndarray((len(low) - 7,), dtype="<u8", buffer=low, strides=(1,))
+        self.one, self.two = mix(size.astype(np.uint64) + _K1), mix(size.astype(np.uint64) ^ _K2)
+        left, at = np.flatnonzero((size > 0) & (size <= _LONG_LINE)), 0
+        while len(left):
+            part = windows[begin[left] + at] & _MASKS[np.minimum(size[left] - at, 8)]
+            self.one[left] = mix(self.one[left] ^ part)
+            self.two[left] = mix((self.two[left] + part * _K1) ^ _K2)
+            at += 8
+            left = left[size[left] > at]
+        for i in np.flatnonzero(size > _LONG_LINE):
+            own = hashlib.blake2b(low[begin[i] : begin[i] + size[i]], digest_size=16).digest()
+            self.one[i], self.two[i] = np.frombuffer(own, dtype="<u8")
+
+    def text_of(self) -> np.ndarray:
+        """The text that each line is of."""
+        return np.repeat(np.arange(len(self.ptr) - 1), np.diff(self.ptr))
+
+    def first_of_each(self, wanted: np.ndarray) -> np.ndarray:
+        """Of the wanted lines, the first with its key in each text."""
+        own, text = np.flatnonzero(wanted), self.text_of()
+        order = own[np.lexsort((own, self.two[own], self.one[own], text[own]))]
+        if not len(order):
+            return order
+        same = (self.one[order][1:] == self.one[order][:-1]) & (self.two[order][1:] == self.two[order][:-1]) & (text[order][1:] == text[order][:-1])
+        return order[np.concatenate([[True], ~same])]
+
+
+def _positions(h: np.ndarray, bits: int) -> np.ndarray:
+    """Bit positions of each hash in a filter."""
+    a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(16)) & np.uint64(0xFFFFFFFF) | np.uint64(1)
+    return ((a[:, None] + b[:, None] * np.arange(PROBES, dtype=np.uint64)) % np.uint64(bits)).astype(np.int64)
 
 
-def line_key(line: str) -> str:
-    line = line.strip(_BLANK)
-    return line.lower() if line.isascii() else line.translate(_LOWER)
+def _held(bits: np.ndarray, where: np.ndarray) -> np.ndarray:
+    return (bits[where >> 3] >> (where & 7).astype(np.uint8) & 1).all(axis=1)
 
 
-def _digest(key: str) -> bytes:
-    return hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def _enter(bits: np.ndarray, where: np.ndarray) -> None:
+    np.bitwise_or.at(bits, where.ravel() >> 3, np.uint8(1) << (where.ravel() & 7).astype(np.uint8))
 
 
-def _digests(text: str | None, min_chars: int) -> list[bytes | None]:
-    """A digest for each line; None where the key is too short to count."""
-    return [_digest(k) if len(k) >= min_chars else None for k in map(line_key, (text or "").split("\n"))]
+def _filter_rows(group: int, slices: dict) -> pa.RecordBatch:
+    names = ["slice", "group", "once", "twice"]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(slices), pa.int32()), pa.array([group] * len(slices), pa.int32()), *(pa.array([s[k].tobytes() for s in slices.values()], pa.binary()) for k in (0, 1))], names
+    )
 
 
-def _positions(h: np.ndarray, size: int) -> np.ndarray:
-    """Bit positions of each hash in its slice's filter."""
-    a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(16)) & np.uint64(0xFFFFFFFF) | np.uint64(1)
-    return ((a[:, None] + b[:, None] * np.arange(PROBES, dtype=np.uint64)) % np.uint64(size)).astype(np.int64)
+_FILTER_ROWS = "slice int, group int, once binary, twice binary"
 
 
-def _shard(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(58)).astype(np.int64)
+def _filters(bits: int, min_chars: int):
+    """A task's once-seen and twice-seen filters, as slices that hold anything."""
 
-
-def _hashes(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [d for text in batch.column(0).to_pylist() for d in set(_digests(text, min_chars)) if d]
-            h, n = np.unique(np.frombuffer(b"".join(found), dtype="<u8")[::2], return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_shard(h).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(n > 1)], ["shard", "hash", "again"]
-            )
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        for batch in ended(batches):
+            texts = utf8(batch.column(0))
+            for a, b in blocks(texts, map(len, texts), _BLOCK):
+                lines = Lines(texts[a:b])
+                h, n = np.unique(lines.one[lines.first_of_each(lines.chars >= min_chars)], return_counts=True)
+                where = _positions(h, bits)
+                _enter(twice, where[(n > 1) | _held(once, where)])
+                _enter(once, where)
+        size, group = min(SLICE, bits) // 8, TaskContext.get().partitionId() // GROUP
+        for k in range(0, bits // 8 // size):
+            own = once[k * size : (k + 1) * size]
+            if own.any():
+                yield _filter_rows(group, {k: (own, twice[k * size : (k + 1) * size])})
 
     return run
 
 
-def _twice(bits: int):
-    size = bits // SHARDS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            shard = batch.column(0).to_numpy()
-            hashes, again = batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)
-            for s in np.unique(shard):
-                once, twice = filters.setdefault(int(s), (np.zeros(size, bool), np.zeros(size, bool)))
-                own = shard == s
-                h, at, n = np.unique(hashes[own], return_index=True, return_counts=True)
-                more = np.zeros(len(h), bool)
-                np.logical_or.at(more, np.searchsorted(h, hashes[own]), again[own])
-                where = _positions(h, size)
-                repeated = more | (n > 1) | once[where].all(axis=1)
-                once[where.ravel()] = True
-                twice[where[repeated].ravel()] = True
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(filters), pa.int32()), pa.array([np.packbits(t).tobytes() for _, t in filters.values()], pa.binary())],
-            ["shard", "bits"],
-        )
-
-    return run
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    merged: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in ended(batches):
+        for k, group, once, twice in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            once, twice = np.frombuffer(once, np.uint8), np.frombuffer(twice, np.uint8)
+            if (group, k) in merged:
+                o, t = merged[group, k]
+                once, twice = o | once, t | twice | (o & once)
+            merged[group, k] = once, twice
+    for (group, k), own in merged.items():
+        yield _filter_rows(group, {k: own})
 
 
 def twice_seen(docs: DataFrame, text_col: str, min_chars: int, bits: int) -> np.ndarray:
-    """The twice-seen filter, one row of bits per slice."""
-    hashes = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_hashes(min_chars), "shard int, hash long, again boolean")
-    rows = hashes.repartition("shard").mapInArrow(_twice(bits), "shard int, bits binary").toArrow()
-    out = np.zeros((SHARDS, bits // SHARDS // 8), dtype=np.uint8)
-    for s, b in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-        out[s] |= np.frombuffer(b, dtype=np.uint8)
+    """The twice-seen filter over all documents."""
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_filters(bits, min_chars), _FILTER_ROWS)
+    rows = rows.repartition("slice", "group").mapInArrow(_merge, _FILTER_ROWS)
+    rows = rows.withColumn("group", F.lit(0)).repartition("slice").mapInArrow(_merge, _FILTER_ROWS).select("slice", "twice").toArrow()
+    size, out = min(SLICE, bits) // 8, np.zeros(bits // 8, np.uint8)
+    for k, own in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+        out[k * size : (k + 1) * size] = np.frombuffer(own, np.uint8)
     return out
 
 
-def _suspects(filters, min_chars: int):
+def _suspects(filters, min_chars: int, long_words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = filters.value
-        size = held.shape[1] * 8
-        for batch in batches:
-            keys, docs, at = [], [], []
-            for row, (text, doc) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                first: dict[bytes, int] = {}
-                for i, d in enumerate(_digests(text, min_chars)):
-                    if d:
-                        first.setdefault(d, i)
-                keys += first
-                docs += [doc] * len(first)
-                at += first.values()
-            h = np.frombuffer(b"".join(keys), dtype="<u8")[::2]
-            where, shard = _positions(h, size), _shard(h)[:, None]
-            hit = np.flatnonzero((held[shard, where >> 3] >> (7 - (where & 7)).astype(np.uint8) & 1).all(axis=1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([keys[i] for i in hit], pa.binary()), pa.array([docs[i] for i in hit], pa.int64()), pa.array([at[i] for i in hit], pa.int32())],
-                ["digest", "doc", "line"],
-            )
+        for batch in ended(batches):
+            texts, docs = utf8(batch.column(0)), batch.column(1).fill_null(NO_ID).to_numpy()
+            for a, b in blocks(texts, map(len, texts), _BLOCK):
+                lines = Lines(texts[a:b])
+                own = lines.first_of_each(lines.chars >= min_chars)
+                own = own[_held(held, _positions(lines.one[own], len(held) * 8))]
+                text = lines.text_of()[own]
+                long = lines.words[own] >= long_words if long_words else np.zeros(len(own), bool)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(lines.one[own].view(np.int64)), pa.array(lines.two[own].view(np.int64)), pa.array(docs[a + text]), pa.array((own - lines.ptr[text]).astype(np.int32)), pa.array(long)],
+                    ["one", "two", "doc", "line", "long"],
+                )
 
     return run
 
 
+class _Gone:
+    """Confirmed keys, sorted, with their first occurrences."""
+
+    def __init__(self, one, two, doc, line):
+        one = one.view(np.uint64)
+        order = np.lexsort((two, one))
+        self.one, self.two, self.doc, self.line = one[order], two.view(np.uint64)[order], doc[order], line[order]
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Where each key is, or -1."""
+        at = np.searchsorted(self.one, one)
+        out, open_ = np.full(len(one), -1), np.flatnonzero(at < len(self.one))
+        while len(open_):  # further rounds only where keys agree in their first half
+            open_ = open_[self.one[at[open_]] == one[open_]]
+            hit = self.two[at[open_]] == two[open_]
+            out[open_[hit]] = at[open_[hit]]
+            open_ = open_[~hit]
+            at[open_] += 1
+            open_ = open_[at[open_] < len(self.one)]
+        return out
+
+
 def _apply(gone_from, keep_first: bool, min_chars: int, fields: list[str]):
-    """Rewrites texts; ``gone_from(own)`` gives the row's repeated digests and where each first occurs."""
+    """Rewrites texts; ``gone_from(column)`` gives the repeated keys from the rows' lists of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, lines, gone = [], [], []
-            for text, doc, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                repeated = gone_from(own)
-                parts = (text or "").split("\n")
-                stay = []
-                for i, (part, d) in enumerate(zip(parts, _digests(text, min_chars))):
-                    first = repeated.get(d) if d else None
-                    if first is None or keep_first and first == (doc, i):
-                        stay.append(part)
-                kept.append("\n".join(stay))
-                lines.append(len(parts))
-                gone.append(len(parts) - len(stay))
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), *batch.columns[3:]], fields)
+        for batch in ended(batches):
+            texts, docs, gone = utf8(batch.column(0)), batch.column(1).fill_null(NO_ID).to_numpy(), gone_from(batch.column(2))
+            kept, n_lines, n_gone = [], [], []
+            for a, b in blocks(texts, map(len, texts), _BLOCK):
+                lines = Lines(texts[a:b])
+                at = gone.find(lines.one, lines.two)
+                drop = (at >= 0) & (lines.chars >= min_chars)
+                if keep_first and drop.any():
+                    text, hit = lines.text_of(), np.flatnonzero(drop)
+                    first = (gone.doc[at[hit]] == docs[a + text[hit]]) & (gone.line[at[hit]] == hit - lines.ptr[text[hit]])
+                    drop[hit[first]] = False
+                n_lines.append(np.diff(lines.ptr))
+                n_gone.append(np.add.reduceat(drop.astype(np.int64), lines.ptr[:-1]))
+                for i, n in enumerate(n_gone[-1].tolist()):
+                    if n:
+                        own = np.flatnonzero(~drop[lines.ptr[i] : lines.ptr[i + 1]]) + lines.ptr[i]
+                        kept.append(b"\n".join(lines.buffer[lines.start[k] : lines.end[k]] for k in own.tolist()))
+                    else:
+                        kept.append(texts[a + i])
+            counts = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in (n_lines, n_gone)]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), *counts, *batch.columns[3:]], fields)
 
     return run
 
 
 def dedup_lines(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1,
-    keep_first: bool = False, bits: int = 1 << 26, max_broadcast: int = 1 << 20,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False,
+    long_words: int | None = None, long_docs: int = 2, max_bits: int = 1 << 29, max_broadcast: int = 1 << 20,
 ) -> DataFrame:
     """``docs`` with repeated lines removed from ``text_col``, plus ``n_lines`` and ``n_dropped``.
 
-    A key counts as repeated if at least ``min_docs`` documents hold it.  With ``keep_first`` the line with the
-    smallest (doc_id, line number) stays."""
-    if min_docs < 2:
-        raise ValueError("min_docs must be 2 or more")
+    A key counts as repeated if at least ``min_docs`` documents hold it, or ``long_docs`` where it has ``long_words``
+    words or more.  With ``keep_first`` the line with the smallest (doc_id, line number) stays."""
+    if min_docs < 2 or long_docs < 2:
+        raise ValueError("min_docs and long_docs must be 2 or more")
     spark = docs.sparkSession
+    text = F.col(text_col).cast("string")
+    ends = F.coalesce(F.length(text) - F.length(F.translate(text, "\n", "")), F.lit(0))
+    n_lines = docs.agg(F.coalesce(F.sum(ends + 1), F.lit(0))).first()[0]
+    bits = min(max(1 << (max(LINE_BITS * n_lines, 1) - 1).bit_length(), 1 << 12), max_bits)
     filters = spark.sparkContext.broadcast(twice_seen(docs, text_col, min_chars, bits))
-    pairs = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc"))
-    suspects = pairs.mapInArrow(_suspects(filters, min_chars), "digest binary, doc long, line int")
-    confirmed = keep(
-        suspects.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc", "line")).alias("first")).filter(F.col("n") >= min_docs).select("digest", "first")
-    )
+    pairs = docs.select(text.alias("text"), F.col(id_col).cast("long").alias("doc"))
+    suspects = pairs.mapInArrow(_suspects(filters, min_chars, long_words), "one long, two long, doc long, line int, long boolean")
+    repeated = (F.col("n") >= min_docs) | F.col("long") & (F.col("n") >= long_docs)
+    counts = suspects.groupBy("one", "two").agg(F.count("*").alias("n"), F.min(F.struct("doc", "line")).alias("first"), F.max("long").alias("long"))
+    confirmed = keep(counts.filter(repeated).select("one", "two", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line")))
     others = [c for c in docs.columns if c != text_col]
     lines_col, dropped_col = unused(docs.columns, "n_lines"), unused(docs.columns, "n_dropped")
     fields = [text_col, lines_col, dropped_col, *others]
@@ -176,14 +265,19 @@ def dedup_lines(
         [T.StructField(text_col, T.StringType()), T.StructField(lines_col, T.LongType()), T.StructField(dropped_col, T.LongType()), *(docs.schema[c] for c in others)]
     )
     rest = [F.col(c) for c in others]
-    own = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).cast("long").alias("__doc"), *rest)
+    own = docs.select(text.alias("__text"), F.col(id_col).cast("long").alias("__doc"), *rest)
     if confirmed.count() <= max_broadcast:
-        found = spark.sparkContext.broadcast({bytes(r.digest): (r.first.doc, r.first.line) for r in confirmed.toLocalIterator()})
+        table = confirmed.toArrow()
+        found = spark.sparkContext.broadcast(_Gone(*(c.to_numpy() for c in table.columns)))
         rows = own.select("__text", "__doc", F.lit(None).cast("int").alias("__gone"), *rest)
         out = rows.mapInArrow(_apply(lambda _: found.value, keep_first, min_chars, fields), schema)
     else:
-        lists = suspects.join(confirmed, "digest").groupBy("doc").agg(F.collect_set(F.struct("digest", "first")).alias("__gone"))
-        rows = own.join(lists, F.col("__doc").eqNullSafe(F.col("doc")), "left").select("__text", "__doc", "__gone", *rest)
-        listed = lambda own: {x["digest"]: (x["first"]["doc"], x["first"]["line"]) for x in own or ()}
+        lists = suspects.join(confirmed, ["one", "two"]).groupBy("doc").agg(F.collect_set(F.struct("one", "two", "first_doc", "first_line")).alias("__gone"))
+        rows = own.join(lists, F.coalesce("__doc", F.lit(NO_ID)) == F.col("doc"), "left").select("__text", "__doc", "__gone", *rest)
+
+        def listed(column) -> _Gone:  # a key that one document lists is repeated in all
+            flat = column.flatten()
+            return _Gone(*(flat.field(k).to_numpy(zero_copy_only=False) for k in ("one", "two", "first_doc", "first_line")))
+
         out = rows.mapInArrow(_apply(listed, keep_first, min_chars, fields), schema)
     return out.select(*docs.columns, lines_col, dropped_col)

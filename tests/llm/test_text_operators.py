@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from panelspark.llm import near_dup as nd
 from panelspark.llm import shared
 from panelspark.llm.decontaminate import find_contamination, lcs_length
-from panelspark.llm.line_dedup import dedup_lines, line_key
+from panelspark.llm.line_dedup import Lines, dedup_lines
 from panelspark.llm.packing import WordIds, cutting_stock, pack
 from panelspark.llm.ppm import byte_model, score_texts
 from panelspark.llm.quality import quality_scores
@@ -108,6 +109,24 @@ def test_components_of_a_path(spark):
     assert nd.components(links.limit(0)).count() == 0
 
 
+def line_key(line):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
+
+
+def test_lines_and_their_digests():
+    rng = random.Random(4)
+    texts = ["\n".join("".join(rng.choice(" \tABabÄ\x1c") for _ in range(rng.randint(0, 20))) for _ in range(rng.randint(1, 9))) for _ in range(200)] + ["", "\n\n", "x" * 5000 + "\n " + "X" * 5000, "q" * 4096]
+    lines, keys, seen = Lines(encoded(texts)), [], {}
+    for i, t in enumerate(texts):
+        own = t.split("\n")
+        assert lines.ptr[i + 1] - lines.ptr[i] == len(own)
+        keys += map(line_key, own)
+    assert lines.chars.tolist() == [len(k) for k in keys] and lines.words.tolist() == [len(words_of(k)) for k in keys]
+    for k, a, b in zip(keys, lines.one.tolist(), lines.two.tolist()):
+        assert seen.setdefault(k, (a, b)) == (a, b)
+    assert len(set(seen.values())) == len(seen) and len({a for a, _ in seen.values()}) == len(seen)
+
+
 def brute_lines(rows, least, chars, keep_first=False):
     held, first = Counter(), {}
     for i, t in rows:
@@ -131,7 +150,7 @@ def test_line_dedup_against_brute_force(spark, bound, keep_first):
     lines = [f"Line {i}" for i in range(30)] + ["", "  ", "ÄB c", "same\r"]
     rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 9)))) for i in range(50)] + ODD
     df = spark.createDataFrame(rows, SCHEMA).withColumn("n_lines", F.lit("clash"))
-    got = dedup_lines(df, min_docs=8, keep_first=keep_first, max_broadcast=bound, bits=1 << 14)
+    got = dedup_lines(df, min_docs=8, keep_first=keep_first, max_broadcast=bound, max_bits=1 << 14)
     assert got.columns == ["doc_id", "text", "n_lines", "n_lines_", "n_dropped"]
     assert {r.doc_id: (r.n_lines_, r.n_dropped, r.text) for r in got.collect()} == brute_lines(rows, 8, 1, keep_first)
 
@@ -141,7 +160,27 @@ def test_line_dedup_edges(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a")], SCHEMA)
     assert [r.text for r in dedup_lines(df, min_docs=3).collect()] == [""] * 3
     tiny = spark.createDataFrame([(i, f"k{i}\nshared") for i in range(300)], SCHEMA)
-    assert {r.text for r in dedup_lines(tiny, min_docs=2, bits=1 << 9).collect()} == {f"k{i}" for i in range(300)}  # full filters cost work, not rows
+    assert {r.text for r in dedup_lines(tiny, min_docs=2, max_bits=1 << 9).collect()} == {f"k{i}" for i in range(300)}  # full filters cost work, not rows
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+def test_long_lines_have_a_limit_of_their_own(spark, bound):
+    passage, short = " ".join(f"w{i}" for i in range(55)), "a short line of words"
+    rows = [(i, f"own {i}\n{short}\n" + (f"  {passage.upper()} " if i in (4, 2) else "") + f"\n{passage} {i}") for i in range(6)] + [(None, short)]
+    got = dedup_lines(spark.createDataFrame(rows, SCHEMA), min_docs=8, keep_first=True, long_words=50, max_broadcast=bound).collect()
+    assert {r.doc_id: r.n_dropped for r in got} == {None: 0, **{i: int(i == 4) for i in range(6)}}
+    assert next(r.text for r in got if r.doc_id == 4) == f"own 4\n{short}\n{passage} 4"
+
+
+def test_filters_of_many_tasks_are_merged(spark, monkeypatch):
+    from panelspark.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "GROUP", 2)
+    rows = [(i, f"k{i}\nk{(i + 37) % 200}\nonly {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in dedup_lines(df, min_docs=2).collect()} == brute_lines(rows, 2, 1)
+    held = line_dedup.twice_seen(df, "text", 1, 1 << 14)
+    assert 0 < np.unpackbits(held).sum() < 4 * 260  # lines of one document hardly ever get in
 
 
 def tokenizer_file():
@@ -156,17 +195,42 @@ def test_word_ids_are_the_tokenizers_own():
     own, whole = WordIds(path), Tokenizer.from_file(path)
     texts = [t or "" for _, t in ODD] + ["don't I'LL 's <|endoftext|>a<|startoftext|> ÀÉß×÷ naïve ΑΣ İ 漢字 🙂 1234 a1b2 --__ %%$$", "á ṩ"]
     ids, ends = own.block(encoded(texts))
+    assert own.by_word
     for text, got in zip(texts, np.split(ids, ends[:-1])):
         assert whole.encode(text, add_special_tokens=False).ids == got.tolist()
 
 
+@pytest.mark.parametrize("limit", [3, 400_000])
+def test_remembered_words_do_not_change_ids(monkeypatch, limit):
+    from panelspark.llm import packing
+
+    monkeypatch.setattr(packing, "_CACHE_WORDS", limit)
+    monkeypatch.setattr(packing, "_CACHE_PARTS", limit)
+    own = WordIds(tokenizer_file())
+    for _, text in corpus(9, 12) * 2:
+        ids, _ = own.block(encoded([text, "", text.upper() + "!"]))
+        assert ids.tolist() == own._whole(text) + own._whole(text.upper() + "!")
+
+
+def test_other_tokenizers_get_whole_texts():
+    tok = pytest.importorskip("public_tokenizers")
+    import glob
+    import os
+
+    for path in glob.glob(os.path.join(os.path.dirname(tok.path("word_bpe_49k.json")), "*.json")):
+        own = WordIds(path)
+        texts = ["Two words, and\n\n a THIRD  1234.", "", "naïve 漢字"]
+        ids, ends = own.block(encoded(texts))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [own._whole(t) for t in texts]
+
+
 def test_packing_covers_every_token(spark):
     from tokenizers import Tokenizer
 
     path = tokenizer_file()
     rows = corpus(4, 120) + ODD + [(5, "a repeated id")]
     whole = Tokenizer.from_file(path)
-    out = pack(spark.createDataFrame(rows, SCHEMA).withColumn("offset", F.lit("clash")), path, seq_len=256, slices=3).collect()
+    out = pack(spark.createDataFrame(rows, SCHEMA).withColumn("offset", F.lit("clash")), path, seq_len=256).collect()
     pieces = Counter()
     for i, t in rows:
         ids = np.array(whole.encode(t or "", add_special_tokens=False).ids + [1], dtype="<u4")
@@ -277,6 +341,33 @@ def test_contamination_against_alignment(spark):
     assert not any(r.contaminated for r in find_contamination(spark.createDataFrame(rows, SCHEMA), bench.limit(0)).collect())
 
 
+def test_many_items_of_all_lengths_are_found(spark):
+    """Thousands of items over one vocabulary, each planted once, whole or with words replaced; against alignment with every item."""
+    rng = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(1500)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([6, 9, 14, 22, 40, 70, 130])))) for i in range(2000)]
+    rows, planted = [], {}
+    for k in range(80):
+        host = [rng.choice(vocabulary) for _ in range(rng.randint(20, 300))]
+        i = rng.randrange(2000)
+        w = [x if rng.random() > (0.1 if k % 2 else 0) else "else" for x in items[i][1].split()]
+        at = rng.randrange(len(host))
+        rows.append((k, " ".join(host[:at] + w + host[at:])))
+        planted[k] = i
+    rows += [(100 + k, " ".join(rng.choice(vocabulary) for _ in range(200))) for k in range(20)]
+    got = {r.doc_id: set(r.item_ids) for r in find_contamination(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    texts = dict(rows)
+
+    def held(i, t):  # an item is held if a stretch of four times its length holds 0.8 of it in order
+        w, x = (np.array([hash(v) for v in y.split()]) for y in (items[i][1], t))
+        return any(lcs_length(w, x[a : a + 4 * len(w)]) >= 0.8 * len(w) for a in range(0, max(1, len(x) - len(w)), max(1, len(w) // 2)))
+
+    sure = {k for k, i in planted.items() if held(i, texts[k])}
+    assert len(sure) > 70 and all(planted[k] in got[k] for k in sure)
+    for k, found in got.items():
+        assert all(held(i, texts[k]) or len(items[i][1].split()) < 12 for i in found)
+
+
 def test_lcs():
     rng = random.Random(2)
     for _ in range(50):
