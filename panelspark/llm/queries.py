@@ -28,7 +28,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
-    return out.select("doc_id", *counts(F.col("base")), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    spans, changed = F.col("spans"), F.size("spans") > 0
+    return out.select(
+        "doc_id", *counts(F.col("base")), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(spans).alias("spans"),
+        *counts(spans, ("secret", "term")), F.size(spans).cast("long").alias("n_spans"), F.when(changed, F.sha2("clean", 256)).alias("clean_sha256"),
+    )
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.llm import queries as Q
-from panelspark.llm.html_text import extract_text, induce, main_text, matching, parse
+from panelspark.llm.html_text import Wrapper, extract_text, induce, main_text, matching, named, parse
 from panelspark.llm.pii import find_pii, joined
 from panelspark.llm.vectors import Tree, nearest
 from panelspark.llm.warc import archive_name, read_warc, write_warc
@@ -46,6 +46,7 @@ TEXTS = [
     "a@b.c+x@d.e é1.2.3.4.5.6.7.8 x@y z@@q.r a..@-.-", "1.2.3.4567 001.002.003.255 256.1.1.1 4111 1111 1111 1111 4111-1111-1111-1111 4111  1111 411111111111111111111",
     "+1 (017) 555-7713 +1 5 +49.12345678) +123456789012345678 +1+1234567890", "9" * 20_000 + "@" + "a" * 20_000, "a" * 40_000, "1 2 " * 9000,
     "🙂 me@x.io 4111111111111111+14155550100\n a@b.co", "x.y@z.w@q.r 1.1.1.1.1 0.0.0.0", None, "", "plain text",
+    "+1234567890@a.com 10.0.0.1@x.org 4111111111111111@ex.com 0000000000000000.1.1.1",  # kinds that start together
 ]
 
 
@@ -80,6 +81,69 @@ def test_pii_terms_of_rarely_held_values(spark):
         assert all(out[90 + i] == ["email"] for i in range(5)) and not any(out[100 + i] for i in range(60))
 
 
+def test_secrets_and_what_names_them(spark):
+    rng = np.random.default_rng(3)
+    key = lambda: "".join(rng.choice(list("0123456789abcdef"), 40))
+    rows = [(i, f'some words {i} here token = "{key()}" and more{i}') for i in range(5)]
+    rows += [(10, "a/long/path-of-2024/05/with-many-words and Donaudampfschifffahrtsgesellschaft1 " + "7" * 30), (11, "aaaa1111aaaa1111aaaa1111"), (12, "me@" + key() + ".org")]
+    rows += [(100 + i, f"some words of others {i} here and more") for i in range(60)]
+    for bound in (100_000, 0):
+        out = {r.doc_id: r for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string"), max_broadcast=bound).collect()}
+        for i in range(5):
+            assert [s["kind"] for s in out[i].spans] == ["term", "secret"] and out[i].clean == f'some words {i} here [TERM] = "[SECRET]" and more{i}' and out[i].base == []
+        assert [s["kind"] for s in out[12].spans] == ["email"] and not any(out[i].spans for i in (10, 11, *range(100, 160)))
+
+
+def brute_terms(rows, alpha=0.9, support=3):
+    """Spans of kind term, straight from the definition; entities are e-mail addresses, with their domain and kind."""
+    words = lambda t: [w for w in re.split(r"[^\w]+|_", t.lower()) if w]
+    held = {i: {m[0] for m in BASE["email"].finditer(t)} for i, t in rows}
+    groups = lambda v: ["=" + v, "email:" + v.lower().split("@")[-1], "email"]
+    pairs, copies, n_c, n_t = {}, {}, Counter(), Counter()
+    for i, t in rows:
+        for w in set(words(t)):
+            n_t[w] += 1
+        for g in {g for v in held[i] for g in groups(v)}:
+            n_c[g] += 1
+        for key in {(g, w) for v in held[i] for line in t.split("\n") if v in line for w in words(line.replace(v, " ")) if len(w) > 1 and not w.isdigit() for g in groups(v)}:
+            pairs[key] = pairs.get(key, 0) + 1
+            copies.setdefault(key, set()).add(t)
+    telling = set()
+    for (g, w), n in pairs.items():
+        pmi = math.log2(len(rows) * n / (n_c[g] * (n_t[w] + (not g.startswith("=")))))
+        if len(copies[g, w]) >= support and pmi > 0 and pmi >= alpha * math.log2(len(rows) / n_c[g]):
+            telling.add((g, w))
+    out = {}
+    for i, t in rows:
+        spans = []
+        for m in re.finditer(r"\w+", t):
+            line = t[: m.start()].split("\n")[-1] + t[m.start() :].split("\n")[0]
+            clear = all(m.end() <= b.start() or b.end() <= m.start() for b in BASE["email"].finditer(t))
+            if clear and any(v in line and (g, m[0].lower()) in telling and m[0].lower() in words(line.replace(v, " ")) for v in held[i] for g in groups(v)):
+                spans.append((m.start(), m.end()))
+        out[i] = spans
+    return out
+
+
+def test_pii_terms_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    vocabulary, names = [f"word{'abcdefghij'[k % 10]}{'klmnopq'[k % 7]}x" for k in range(70)], ["alice", "bob", "carol"]
+    rows = []
+    for i in range(160):
+        lines = []
+        for _ in range(rng.integers(1, 4)):
+            line = list(rng.choice(vocabulary, rng.integers(2, 8)))
+            if rng.random() < 0.2:
+                who = int(rng.integers(0, 3))
+                line += [names[who].title()] * int(rng.random() < 0.9) + [f"{'abc'[who]}{i % 5}@d{'xyz'[who]}.org"]
+            lines.append(" ".join(line))
+        rows.append((i, "\n".join(lines)))
+    want = brute_terms(rows)
+    assert sum(map(len, want.values())) > 20
+    got = find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: [(s["start"], s["end"]) for s in r.spans if s["kind"] == "term"] for r in got} == want
+
+
 def joined_py(spans):
     return ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans)
 
@@ -99,11 +163,13 @@ def vectors():
     return rows, bad
 
 
-def test_nearest_against_brute_force(spark, vectors):
+@pytest.mark.parametrize("query_bytes", [None, 0])
+def test_nearest_against_brute_force(spark, vectors, query_bytes):
     rows, bad = vectors
     rows = rows + rows[:3]  # repeated rows
+    bad = bad + [(1250, [1.0, 2.0]), (1251, [3.0] * 13)]  # of other lengths
     df = spark.createDataFrame(rows + bad + [(None, rows[0][1])], "vec_id long, embedding array<double>").withColumn("rank", F.lit(1))
-    found = nearest(df, lambda i: i % 50 == 0, k=5, sample=300, leaf=40, branch=4, recall=0.98).collect()
+    found = nearest(df, lambda i: i % 50 == 0, k=5, sample=300, leaf=40, branch=4, recall=0.98, query_bytes=query_bytes).collect()
     x, hits, total = dict(rows), 0, 0
     got = {}
     for r in found:
@@ -127,6 +193,12 @@ def test_nearest_edges(spark, vectors):
     assert nearest(spark.createDataFrame(vectors[1], df.schema), lambda i: i % 50 == 0).count() == 0
 
 
+def test_nearest_ties_go_to_smaller_ids(spark):
+    rows = [(i, [float(2 ** (i % 3)), 0.0]) for i in range(40)] + [(100 + i, [1.0, float(i + 1)]) for i in range(5)]
+    found = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i == 0, k=7).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [1, 2, 3, 4, 5, 6, 7] and all(abs(r.score - 1) < 1e-15 for r in found)
+
+
 def test_best_bin_first_reaches_every_leaf():
     x = np.random.default_rng(1).standard_normal((500, 6))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -201,44 +273,209 @@ def test_main_text_of_a_host(spark):
     assert extract_text(df.limit(0)).count() == 0
 
 
-def test_tree_matching_and_wrapper():
-    a, b = parse("<div><p>1</p><ul><li>a</ul><p>2</p></div>"), parse("<div><p>1</p><p>3</p></div>")
-    assert [(x.label, y.label) for x, y in matching(a, b)] == [("#", "#"), ("div", "div"), ("p", "p"), ("p", "p")]
-    pages = [parse(f"<body><div class=top>Site</div><div class=story><p>text {k} long enough</p><p>more {k * 7}</p></div></body>") for k in range(6)]
-    wrapper = induce(pages)
-    assert wrapper["container"] == ["body", "div.story"] and main_text(pages[2], wrapper) == "text 2 long enough\n\nmore 14"
-
-
-def test_registry_and_pipeline(spark):
+def own_text(html):
+    return main_text(parse(html), Wrapper(None))
+
+
+def test_names_are_whole_and_evidence_only(spark):
+    for name in ("content no-sidebar", "promo-free", "share-price", "entry-header", "has-sidebar layout", "nonad", "ad1ress"):
+        assert own_text(f"<body><div class='{name}'><p>all</p></div></body>") == "all", name
+    body = "<nav>menu</nav><div class='{}'>gone</div><article><h1>T</h1><p>kept</p></article>"
+    for name in ("ad", "big ad", "ad-banner", "cookie-notice", "site-header", "page-header", "sidebar-left", "related"):
+        assert own_text(body.format(name)) == "T\n\nkept", name
+    assert own_text("<article><h1 class='page-header'>T</h1><div class='article-header'>A</div><header>H</header><p>x</p></article>") == "T\n\nA\n\nH\n\nx"
+    assert own_text("<div class='sidebar'><article><p>the article</p></article></div>") == "the article"
+    assert own_text("<article><p>one</p></article><section class=related><article>teaser</article></section>") == "one"
+    assert own_text("<main><p>post</p><section id=comments><article class=comment>hi</article></section></main>") == "post"
+    assert own_text("<div class=widget><p>most of the page is in a widget</p></div><p>x</p>") == "most of the page is in a widget\n\nx"
+    assert named("ads", {"ads"}) and not named("loads", {"ads"})
+
+
+def test_nothing_of_the_content_is_lost():
+    assert own_text("<p>" + "İ" * 10 + "<SCRIPT>x('</p>')</script ><p>hello world") == "İ" * 10 + "\n\nhello world"
+    assert own_text("<form id=aspnetForm><div><h1>T</h1><p>in a form</p></div><input></form>") == "T\n\nin a form"
+    assert own_text("<form><article>in a form</article><button>send</button></form>") == "in a form"
+    assert own_text("<article><p>x</p><form>search</form></article>") == "x"
+    assert own_text("<div>" * 5000 + "deep" + "</div>" * 5000 + "<nav>" * 3000 + "menu") == "deep"
+    items = [f"item {k}" for k in range(1000)]
+    assert own_text("<article><ul>" + "".join(f"<li>{x}" for x in items) + "</ul></article>") == "\n\n".join(items)
+    assert own_text('<p title="a>b">x</p><p class="open>y</p>') == "x\n\ny"
+
+
+def test_long_and_deep_trees_are_matched_exactly():
+    row = "<p>a</p><div><b>x</b></div>"
+    left, right = parse("<ul>" + row * 300 + "</ul>"), parse("<ul>" + row * 150 + "<h2>new</h2>" * 60 + row * 150 + "<p>z</p></ul>")
+    assert len(matching(left.root, right.root)) == left.root.size
+    deep = [parse("<div>" * 4000 + x + "</div>" * 4000) for x in ("<p>a</p>", "<h1>t</h1><p>b</p>")]
+    assert len(matching(deep[0].root, deep[1].root)) == 4002
+
+
+def brute_matching(a, b):
+    if a.label != b.label:
+        return 0
+    best = [0] * (len(b.children) + 1)
+    for x in a.children:
+        row = [0]
+        for j, y in enumerate(b.children):
+            w = brute_matching(x, y)
+            row.append(max(best[j + 1], row[j], best[j] + w if w else 0))
+        best = row
+    return 1 + best[-1]
+
+
+def test_tree_matching_against_brute_force():
+    rng = np.random.default_rng(4)
+
+    def tree(depth):
+        tag = rng.choice(["div", "section", "b"])
+        return f"<{tag}>" + ("".join(tree(depth - 1) for _ in range(rng.integers(0, 5))) if depth else "") + f"</{tag}>"
+
+    for _ in range(40):
+        a, b = parse(tree(3)).root, parse(tree(3)).root
+        pairs = matching(a, b)
+        assert len(pairs) == brute_matching(a, b) and all(x.label == y.label for x, y in pairs)
+        up = {id(c): n for t in (a, b) for n in walk(t) for c in n.children}
+        assert all((id(up[id(x)]), id(up[id(y)])) in {(id(p), id(q)) for p, q in pairs} for x, y in pairs if x is not a)
+
+
+def walk(node):
+    yield node
+    for c in node.children:
+        yield from walk(c)
+
+
+def test_template_grows_with_other_layouts():
+    pages = [parse("<body><div class=top>Site</div><p>1</p><p>2</p></body>"), parse("<body><p>1</p><div class=forum><h2>q</h2></div></body>"), parse("<body><p>1</p><p>2</p><p>3</p></body>")]
+    template = induce(pages)
+    assert [n.label for n in template.nodes] == ["#", "body", "div.top", "p", "div.forum", "h2", "p"]
+    again = Wrapper(template.dump()).template
+    assert [(n.label, n.place) for n in again.nodes] == [(n.label, n.place) for n in template.nodes]
+
+
+def test_wrappers_of_hosts_with_several_layouts(spark):
+    story = "<body><div>Our site</div><div class=story><p>text {k} that is long enough to be a story</p><p>more {k}</p></div><div>All rights reserved</div></body>"
+    forum = "<body><div>Our site</div><div class=thread><ul><li>question {k} of some length<li>answer {k}</ul><p>Log in to answer</p></div></body>"
+    copy = "<body><div>Our site</div><p>the same page again and again</p></body>"
+    rows = [(k, f"http://a.example/{k}", story.format(k=k)) for k in range(40)] + [(100 + k, f"http://a.example/f{k}", forum.format(k=k)) for k in range(20)]
+    rows += [(200 + k, f"http://copies.example/{k}", copy) for k in range(6)] + [(300, "http://lone.example/", story.format(k=3)), (301, "http://wide.example/", "<div class=widget><p>x</p></div>")]
+    rows += [(400 + k, f"http://w.example/{k}", f"<div class=widget><p>the text of page {k}</p></div><p>foot {k}</p>") for k in range(4)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, PAGES)).collect()}
+    for k in range(40):  # what all pages say is template
+        assert got[k] == f"text {k} that is long enough to be a story\n\nmore {k}"
+    for k in range(20):
+        assert got[100 + k] == f"question {k} of some length\n\nanswer {k}"
+    assert got[200] == "Our site\n\nthe same page again and again"  # copies are no template of each other
+    assert got[300] == "Our site\n\ntext 3 that is long enough to be a story\n\nmore 3\n\nAll rights reserved"
+    assert got[402] == "the text of page 2\n\nfoot 2"
+
+
+def test_registry():
     import corpus_pipeline
 
     assert {re.match(r"op\d+", k)[0] for k in Q.queries() if k != "pipeline"} == {f"op{n}" for n in range(1, 11)}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "near dedup", "decontamination", "packing"]
+
+
+def clean_lines(texts, docs=10, chars=30, words=50):
+    """Line dedup of {doc_id: text}, as the pipeline has it."""
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\r\x0b\x0c"))
+    held = Counter(k for t in texts.values() for k in {key(x) for x in t.split("\n")})
+    seen, out = set(), {}
+    for i in sorted(texts):
+        stay, whole = [], texts[i].split("\n")
+        for x in whole:
+            k = key(x)
+            if len(k) >= chars and (held[k] >= docs or len(k.split()) >= words and held[k] >= 2):
+                if k in seen:
+                    continue
+                seen.add(k)
+            stay.append(x)
+        if len(stay) == len(whole) or "\n".join(stay).strip(" \t\n\r\x0b\x0c"):
+            out[i] = "\n".join(stay)
+    return out
+
+
+def near_copies(texts, n=5):
+    """Ids that are not the smallest of their group of near copies, by an inverted index of shingles."""
+    sets, index = {}, {}
+    for i in sorted(texts):
+        w = texts[i].encode().lower().split()
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+        for s in sets[i]:
+            index.setdefault(s, []).append(i)
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in sets:
+        for j, both in Counter(j for s in sets[i] for j in index[s] if j < i).items():
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return {i for i in sets if find(i) != i}
+
+
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline
+
     sf = "/root/testdata/sf0.01"
     if not os.path.isdir(sf):
         pytest.skip("no test tables here")
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = docs
-    texts = []
+    docs = kept = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = [{r.doc_id: r.text for r in docs.collect()}]
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        kept = spark.createDataFrame(stage(spark, kept, sf).collect(), docs.schema)
-        assert kept.columns == docs.columns
-        texts.append({r.doc_id: r.text for r in kept.collect()})
-    source = {r.doc_id: r.text for r in docs.collect()}
-    bad = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 0").collect()}
-    assert len(bad & set(texts[0])) <= 1 and len(source) - len(texts[0]) < 0.25 * len(source) and all(t == source[i] for i, t in texts[0].items())
-    lines = Counter(k for t in texts[1].values() for k in {x.strip(" \t\n\r\x0b\x0c").lower() for x in t.split("\n")} if len(k) >= 30)
-    before = Counter(k for t in texts[0].values() for k in {x.strip(" \t\n\r\x0b\x0c").lower() for x in t.split("\n")} if len(k) >= 30)
-    assert all(lines[k] == (1 if n >= 10 else n) for k, n in before.items())
+        rows = stage(spark, kept, sf).collect()
+        assert len({r.doc_id for r in rows}) == len(rows)
+        kept = spark.createDataFrame(rows, docs.schema)
+        texts.append({r.doc_id: r.text for r in rows})
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    bad, toxic = {r.doc_id for r in labels if r.quality == 0}, {r.doc_id for r in labels if r.toxic == 1}
+    clean = {r.doc_id for r in labels} - bad - toxic
+    assert all(t == texts[0][i] for i, t in texts[1].items())
+    assert len(bad & set(texts[1])) <= 0.05 * len(bad) and len(clean - set(texts[1])) <= 0.02 * len(clean) and len(toxic & set(texts[1])) < 0.6 * len(toxic)
+    assert texts[2] == clean_lines(texts[1])
+    assert set(texts[3]) == set(texts[2]) - near_copies(texts[2]) and all(texts[2][i] == t for i, t in texts[3].items())
     bench = [(r.text or "").lower().split() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    for t in texts[3].values():
-        low = " ".join(t.lower().split())
-        assert not any(" ".join(b) in low for b in bench)
+    whole = {i: " ".join(t.lower().split()) for i, t in texts[3].items()}
+    leaks = {i for i, t in whole.items() if any(b and " ".join(b) in t for b in bench)}
+    assert leaks and not leaks & set(texts[4]) and len(texts[4]) >= len(texts[3]) - 2 * len(leaks)
     out = corpus_pipeline.run(spark, sf).collect()
-    assert {r.doc_id for r in out} == set(texts[3])
+    assert {r.doc_id for r in out} == set(texts[4])
     assert sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values())
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(30)] + [(None, 1, None), (31, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, "which words are asked for in this item of the test here"), (2, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    long = " ".join(f"w{k}" for k in range(60))
+    text = lambda i: f"A text number {i} that has some words {i * 7}." if i % 3 else f"BAD!! {i} ### $$$"
+    rows = [(i, text(i), "en", "s", len(text(i)), 1.0, "x") for i in range(30)]
+    odd = [(40, None), (41, ""), (42, " \n\t"), (43, long), (44, "\n" + long + "\n\t"), (45, long + "\nown words are here too, quite many of them for this"), (None, "no id"), (40, "a repeated id")]
+    rows += [(i, t, None, None, None, None, None) for i, t in odd]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, n_dropped string").withColumn("contaminated", F.lit(1)).withColumn("kept", F.lit("k"))
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.limit(0), sf)
+        assert none.count() == 0 and (name == "packing" or none.columns == docs.columns)
+        got = stage(spark, docs, sf).collect()
+        ids = Counter(r.doc_id for r in got)
+        if name == "line dedup":
+            assert 44 not in ids and {r.doc_id: r.text for r in got}[45] == odd[5][1].split("\n")[1] and ids[43] == 1 and ids[40] == 2 and ids[None] == 1
+        if name == "near dedup":
+            assert ids[43] == 1 and 44 not in ids and ids[41] == ids[42] == ids[None] == 1
+        if name == "decontamination":
+            assert sum(ids.values()) == len(rows)
+        if name == "packing":
+            assert sum(r.length for r in got) > len(rows)
+        else:
+            assert all(r.kept == "k" and r.contaminated == 1 for r in got)
+
+
 def test_folds_use_the_ids_text(spark):
     from panelspark.llm.shared import in_fold
 
