@@ -5,7 +5,11 @@
 2. One pass sketches the TF-IDF matrix A of all passages (``stride``-word steps) for a single-pass randomised
    singular value decomposition: tasks add up A^T (A Omega), at most ``slice_items`` items' terms times ``rank`` + 8
    numbers, they are summed by group of terms, and one task takes the Nystroem form's singular vectors.
-3. One pass projects overlapping ``window``-word passages and holds them against the items by cosine.  Candidates
+3. One pass projects overlapping passages and holds them against the items by cosine.  Items are dealt in classes of
+   length, and a class's passages are ``SLACK`` to twice ``SLACK`` times as long as its items and overlap by three quarters, so
+   a passage that holds the share f of an item's weight has a cosine of about f / sqrt(length ratio), whatever the item's
+   length; ``cosine`` is below that for f = ``weak``.  It must also have ``HELD`` of the item's vector, which passages of one or
+   two terms have not.  Only the class's own terms count.  Candidates
    are confirmed on whole words around the passage: the longest common subsequence must cover ``strong`` of the
    item, or ``weak`` of it and ``strong`` of its answer (its last sentence).
 
@@ -21,17 +25,20 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import unused
-from .textblock import Words, blocks, encoded
+from .shared import ended, unused
+from .textblock import Words, blocks, encoded, utf8
 
 
 #: Terms whose sketch rows travel together.
 GROUP = 256
+#: Passages are at least so much longer than items, and have so many words.
+SLACK, SHORTEST = 1.25, 16
+#: A passage's component along an item's vector is this part of that vector at least.
+HELD = 0.3
 
 
 class Items:
@@ -83,7 +90,7 @@ def _document_frequency(items):
         own = items.value
         df, docs = np.zeros(len(own.vocabulary), dtype=np.int64), 0
         for batch in batches:
-            texts = encoded(batch.column(0).to_pylist())
+            texts = utf8(batch.column(0))
             docs += len(texts)
             for a, b in blocks(texts, map(len, texts)):
                 words = Words(texts[a:b])
@@ -136,7 +143,7 @@ def _sketch(model, width: int, stride: int):
             y[t] += sums
 
         for batch in batches:
-            texts = encoded(batch.column(0).to_pylist())
+            texts = utf8(batch.column(0))
             for a, b in blocks(texts, map(len, texts)):
                 add(texts[a:b])
         parts = [(k, y[k * GROUP : (k + 1) * GROUP]) for k in range(-(-len(y) // GROUP))]
@@ -159,11 +166,15 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _nystroem(model, width: int, rank: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, idf = model.value
         y = np.zeros((len(idf), width))
-        for frame in frames:
-            for k, part in zip(frame["part"], frame["y"]):
+
+        def fitted(u: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([u.astype(np.float32).tobytes()], pa.binary()), pa.array([u.shape[1]], pa.int32())], ["u", "rank"])
+
+        for batch in ended(batches):
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 y[k * GROUP : (k + 1) * GROUP] += np.frombuffer(part).reshape(-1, width)
         for words in items.words:  # the items are passages too
             t = items.terms(words)[1]
@@ -173,63 +184,97 @@ def _nystroem(model, width: int, rank: int):
         values, vectors = np.linalg.eigh((core + core.T) / 2)
         held = values > max(values.max(initial=0.0), 0.0) * 1e-10
         if not y.size or not held.any():
-            yield pd.DataFrame({"u": [np.zeros(len(idf), np.float32).tobytes()], "rank": [1]})
+            yield fitted(np.zeros((len(idf), 1)))
             return
         u, _, _ = np.linalg.svd(y @ (vectors[:, held] / np.sqrt(values[held])), full_matrices=False)
-        yield pd.DataFrame({"u": [u[:, :rank].astype(np.float32).tobytes()], "rank": [min(rank, u.shape[1])]})
+        yield fitted(u[:, :rank])
 
     return run
 
 
-def _search(model, window: int, stride: int, cosine: float, weak: float, strong: float):
+class _Class:
+    """Items of like length: the passages that are held against them, their vectors, and which terms they have."""
+
+    def __init__(self, window: int, own: list[int], items: Items, idf: np.ndarray, space: np.ndarray):
+        self.window, self.stride = window, window // 4
+        self.own = np.array(own)
+        self.vectors = np.zeros((len(own), space.shape[1]), dtype=np.float32)
+        self.used = np.zeros(len(idf), dtype=bool)
+        for i, item in enumerate(own):
+            terms = items.terms(items.words[item])[1]
+            self.used[terms[idf[terms] > 0]] = True
+            self.vectors[i] = space[terms].sum(axis=0)
+        self.norms = np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-9)
+        self.vectors /= self.norms
+
+    def candidates(self, words: Words, at: np.ndarray, term: np.ndarray, space: np.ndarray, cosine: float):
+        """(text, item, first word) of passages near an item: of that cosine, and holding ``HELD`` of the item's own vector."""
+        at, term = at[self.used[term]], term[self.used[term]]
+        if not len(at):
+            return
+        spread = 4
+        doc = np.searchsorted(words.ptr, at, side="right") - 1
+        step = (at - words.ptr[doc]) // self.stride
+        steps = len(words.hashes) // self.stride + 2
+        first = (doc[:, None] * steps + np.maximum(step[:, None] - np.arange(spread), 0)).ravel()
+        once = np.ones((len(at), spread), dtype=bool)
+        once[:, 1:] = step[:, None] >= np.arange(1, spread)
+        once = once.ravel()
+        names, sums = _sums(space[np.repeat(term, spread)[once]], first[once])
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        for i in range(0, len(names), 4096):
+            along = sums[i : i + 4096] @ self.vectors.T
+            for p, item in zip(*np.nonzero((along >= cosine * size[i : i + 4096]) & (along >= HELD * self.norms.T))):
+                yield int(names[i + p] // steps), int(self.own[item]), int(names[i + p] % steps) * self.stride
+
+
+def classes(items: Items, idf: np.ndarray, space: np.ndarray) -> list[_Class]:
+    by_window: dict[int, list[int]] = {}
+    for i, words in enumerate(items.words):
+        if len(words):
+            window = SHORTEST
+            while window < SLACK * len(words):
+                window *= 2
+            by_window.setdefault(window, []).append(i)
+    return [_Class(w, own, items, idf, space) for w, own in sorted(by_window.items())]
+
+
+def matched(items: Items, h: np.ndarray, places: dict[int, set], weak: float, strong: float) -> dict[int, float]:
+    """Of the items that may stand in a document at some places (first word, passage length), those that do: the largest
+    share of each that is held in order."""
+    best: dict[int, float] = {}
+    for item, at in sorted(places.items()):
+        words, answer = items.words[item], items.answers[item]
+        listed = words.tolist()
+        for start, window in sorted(at):
+            region = h[max(0, start - len(words)) : start + window + len(words)]
+            seen = set(region.tolist())
+            if sum(w in seen for w in listed) < weak * len(words):  # no subsequence is longer
+                continue
+            share = lcs_length(words, region) / len(words)
+            if share >= strong or share >= weak and answer.size and lcs_length(answer, region) >= strong * len(answer):
+                best[item] = max(best.get(item, 0.0), share)
+                if share >= 1.0:
+                    break
+    return best
+
+
+def _search(model, cosine: float, weak: float, strong: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, idf, space = model.value
-        used = idf > 0
-        vectors = np.zeros((len(items.words), space.shape[1]), dtype=np.float32)
-        for i, words in enumerate(items.words):
-            vectors[i] = space[items.terms(words)[1]].sum(axis=0)
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-        spread = -(-window // stride)
-
-        def candidates(words: Words) -> dict[int, set]:
-            at, term = items.terms(words.hashes)
-            at, term = at[used[term]], term[used[term]]
-            found: dict[int, set] = {}
-            if not len(at):
-                return found
-            doc = np.searchsorted(words.ptr, at, side="right") - 1
-            step = (at - words.ptr[doc]) // stride
-            steps = len(words.hashes) // stride + 2
-            first = (doc[:, None] * steps + np.maximum(step[:, None] - np.arange(spread), 0)).ravel()
-            once = np.ones((len(at), spread), dtype=bool)
-            once[:, 1:] = step[:, None] >= np.arange(1, spread)
-            once = once.ravel()
-            names, sums = _sums(space[np.repeat(term, spread)[once]], first[once])
-            sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-            for i in range(0, len(names), 4096):
-                for p, item in zip(*np.nonzero(sums[i : i + 4096] @ vectors.T >= cosine)):
-                    found.setdefault(int(names[i + p] // steps), set()).add((int(item), int(names[i + p] % steps) * stride))
-            return found
-
-        def matched(h: np.ndarray, pairs: set) -> dict[int, float]:
-            best: dict[int, float] = {}
-            for item, start in sorted(pairs):
-                words = items.words[item]
-                if best.get(item, 0.0) >= 1.0:
-                    continue
-                region = h[max(0, start - len(words)) : start + window + len(words)]
-                share = lcs_length(words, region) / len(words)
-                if share >= strong or share >= weak and (answer := items.answers[item]).size and lcs_length(answer, region) >= strong * len(answer):
-                    best[item] = max(best.get(item, 0.0), share)
-            return best
-
-        for batch in batches:
-            texts = encoded(batch.column(0).to_pylist())
+        by_length = classes(items, idf, space)
+        for batch in ended(batches):
+            texts = utf8(batch.column(0))
             ids, shares = [[] for _ in texts], [0.0] * len(texts)
             for a, b in blocks(texts, map(len, texts)):
                 words = Words(texts[a:b])
-                for doc, pairs in candidates(words).items():
-                    best = matched(words.hashes[words.ptr[doc] : words.ptr[doc + 1]], pairs)
+                at, term = items.terms(words.hashes)
+                found: dict[int, dict[int, set]] = {}
+                for c in by_length:
+                    for doc, item, start in c.candidates(words, at, term, space, cosine):
+                        found.setdefault(doc, {}).setdefault(item, set()).add((start, c.window))
+                for doc, places in found.items():
+                    best = matched(items, words.hashes[words.ptr[doc] : words.ptr[doc + 1]], places, weak, strong)
                     ids[a + doc] = sorted(int(items.ids[i]) for i in best)
                     shares[a + doc] = max(best.values(), default=0.0)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int64())), pa.array(shares, pa.float64()), *batch.columns[1:]], ["__items", "__share", *batch.schema.names[1:]])
@@ -239,7 +284,7 @@ def _search(model, window: int, stride: int, cosine: float, weak: float, strong:
 
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    window: int = 64, stride: int = 16, rank: int = 64, cosine: float = 0.5, weak: float = 0.6, strong: float = 0.8,
+    stride: int = 16, rank: int = 64, cosine: float = 0.35, weak: float = 0.6, strong: float = 0.8,
     max_share: float = 0.02, least_terms: int = 8, slice_items: int = 20_000,
 ) -> DataFrame:
     """``docs`` with ``contaminated``, ``item_ids`` (matched benchmark items, ascending) and ``item_share`` (the largest
@@ -265,11 +310,11 @@ def find_contamination(
         model = spark.sparkContext.broadcast((items, idf))
         parts = docs.select(text).mapInArrow(_sketch(model, width, stride), "part int, y binary")
         sums = parts.repartition("part").mapInArrow(_add, "part int, y binary")
-        fitted = sums.repartition(1).mapInPandas(_nystroem(model, width, rank), "u binary, rank int").first()
+        fitted = sums.repartition(1).mapInArrow(_nystroem(model, width, rank), "u binary, rank int").first()
         vectors = np.frombuffer(fitted.u, dtype=np.float32).reshape(len(idf), fitted.rank) if fitted else np.zeros((len(idf), 1), np.float32)
         space = vectors * idf[:, None].astype(np.float32)
         final = spark.sparkContext.broadcast((items, idf, space))
         schema = ", ".join(["__items array<bigint>", "__share double", *(f"`{c}` {t.simpleString()}" for c, t in ((f.name, f.dataType) for f in out.schema.fields))])
-        out = out.select(text, *out.columns).mapInArrow(_search(final, window, stride, cosine, weak, strong), schema)
+        out = out.select(text, *out.columns).mapInArrow(_search(final, cosine, weak, strong), schema)
         out = out.withColumn(listed, F.array_sort(F.array_union(listed, "__items"))).withColumn(share, F.greatest(share, "__share")).drop("__items", "__share")
     return out.withColumn(flag, F.size(listed) > 0)
