@@ -161,7 +161,7 @@ GAPPY: dict[str, tuple] = {
     "count_valid": (op("count_valid", VOLUME), FORMULAS["count_valid"][1]),
     "delay": (op("delay", VOLUME, 3), f"lag(volume, 3) {TS}"),
     "delta": (op("delta", VOLUME, 1), f"volume - lag(volume) {TS}"),
-    "ts_diff": (op("ts_diff", _C, 2), f"close - lag(close, 2) {TS}"),
+    "ts_diff": (op("ts_diff", VOLUME, 2), f"volume - lag(volume, 2) {TS}"),
     "ts_return": (op("ts_return", _C, 2), f"(close - lag(close, 2) {TS}) / lag(close, 2) {TS}"),
     "ts_mean": (op("ts_mean", VOLUME, 10), f"avg(volume) {_over(10)}"),
     "ts_nanmean": (op("ts_nanmean", VOLUME, 21), f"avg(volume) {_over(21)}"),
@@ -176,7 +176,7 @@ GAPPY: dict[str, tuple] = {
     "ts_stddev": (op("ts_stddev", VOLUME, 20), f"stddev_samp(volume) {_over(20)}"),
     "ts_rank": FORMULAS["ts_rank"],
     "ts_rank_long": (op("ts_rank", VOLUME, 60), FORMULAS["ts_rank"][1].replace(_over(10), _over(60))),
-    "ts_cov": (op("ts_cov", VOLUME, _Y, 10), FORMULAS["ts_cov"][1]),
+    "ts_cov": (op("multiply", op("ts_cov", VOLUME, _Y, 10), 0.0009765625), f"({FORMULAS['ts_cov'][1]}) * CAST(0.0009765625 AS DOUBLE)"),
     "ts_corr": (op("ts_corr", VOLUME, _Y, 10), f"CASE WHEN var_pop({_XY[0]}) {_over(10)} > 0 AND var_pop({_XY[1]}) {_over(10)} > 0 THEN {FORMULAS['ts_corr'][1]} END"),
     "observed_return": (op("observed_return", _C), "close / last_value(close IGNORE NULLS) OVER (PARTITION BY inst ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1"),
 }
