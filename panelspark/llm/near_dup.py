@@ -21,7 +21,8 @@ short, and joined by shuffling otherwise.  Two kinds of link can be missed: pair
 estimate is over 4.5 standard errors too low (3e-6 of the pairs at the threshold).
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; a text of fewer than n
-words is one shingle, its whole word sequence; rows that repeat a doc_id count as one document for linking.
+words is one shingle, its whole word sequence; rows that repeat a doc_id are one document, linked by the text that sorts
+first, and each row has its own set size; a row without a doc_id is linked with nothing.
 """
 
 from __future__ import annotations
@@ -29,13 +30,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import keep, small
-from .textblock import Words, blocks, encoded, mix, shingle_sets, utf8
+from .textblock import Words, blocks, mix, shingle_sets, utf8
 
 BANDS, ROWS, REGISTERS, MANTISSA, SMALL = 24, 4, 256, 10, 256
 BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 400_000
@@ -187,6 +187,19 @@ class _Union:
         return x != y
 
 
+def _bounded(pairs: list[tuple], size: dict[int, int]) -> Iterator[list[tuple]]:
+    """The pairs in groups whose texts have about ``BLOCK_SHINGLES`` shingles together."""
+    held, docs = [], set()
+    for p in pairs:
+        if held and sum(size[d] for d in docs | set(p)) > BLOCK_SHINGLES:
+            yield held
+            held, docs = [], set()
+        held.append(p)
+        docs |= set(p)
+    if held:
+        yield held
+
+
 def _judge_blocks(percent: int):
     """Rows (key, a, b, members): links confirmed here, and pairs that need whole texts as two parallel lists."""
 
@@ -219,27 +232,28 @@ def _judge_blocks(percent: int):
                             linked.append((int(docs[y]), int(docs[x])))
                 if linked:
                     out.append((key, [p[0] for p in linked], [p[1] for p in linked], True))
-                if unsure:
-                    out.append((key, [p[0] for p in unsure], [p[1] for p in unsure], False))
+                size = dict(zip(docs.tolist(), bodies.n.tolist()))
+                for pairs in _bounded(unsure, size):
+                    out.append((key, [p[0] for p in pairs], [p[1] for p in pairs], False))
             yield _table(out, [("key", pa.int64()), ("us", pa.list_(pa.int64())), ("vs", pa.list_(pa.int64())), ("linked", pa.bool_())])
 
     return run
 
 
 def _confirm(words: int, percent: int):
-    def run(pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        texts = texts.drop_duplicates("doc")
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        docs, first = np.unique(texts.column("doc").to_numpy(), return_index=True)
+        raw = utf8(texts.column("text").take(pa.array(first)).combine_chunks())
         sets: dict[int, np.ndarray] = {}
-        raw = encoded(texts["text"])
-        for a, b in blocks(raw, map(len, raw)):
-            sets |= dict(zip(texts["doc"].iloc[a:b], shingle_sets(Words(raw[a:b]), words)))
+        for a, b in blocks(raw, map(len, raw), TEXT_BLOCK):
+            sets |= dict(zip(docs[a:b].tolist(), shingle_sets(Words(raw[a:b]), words)))
         known, out = _Union(), []
-        for us, vs in zip(pairs["us"], pairs["vs"]):
+        for us, vs in zip(pairs.column("us").to_pylist(), pairs.column("vs").to_pylist()):
             for u, v in zip(us, vs):
                 if u in sets and v in sets and known.find(u) != known.find(v) and _linked(sets[u], sets[v], percent):
                     known.join(u, v)
                     out.append((u, v))
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+        return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
     return run
 
@@ -248,7 +262,7 @@ def _confirmed(jobs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     """Links among ``jobs`` (gid, us, vs), confirmed on sets made from whole texts."""
     members = jobs.select(F.col("gid").alias("job"), F.explode(F.array_union("us", "vs")).alias("doc"))
     held = texts.join(small(members), "doc").select("job", "doc", "text")
-    return jobs.groupBy("gid").cogroup(held.groupBy("job")).applyInPandas(_confirm(words, percent), "u long, v long")
+    return jobs.groupBy("gid").cogroup(held.groupBy("job")).applyInArrow(_confirm(words, percent), "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -279,18 +293,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """A row per document row: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest doc_id reachable by links)
     and ``kept`` (whether the document is its component's smallest)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    sigs = keep(texts.mapInArrow(_signatures(words), "doc long, n long, fp1 long, fp2 long, keys array<long>"))
+    signed = lambda rows: keep(rows.mapInArrow(_signatures(words), "doc long, n long, fp1 long, fp2 long, keys array<long>"))
+    sigs = rows_of_all = signed(texts)
+    repeats = not sigs.groupBy("doc").count().filter("count > 1").isEmpty()
+    if repeats:
+        texts = texts.groupBy("doc").agg(F.min("text").alias("text"))
+        sigs = signed(texts)
     copies = sigs.filter("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("held"))
     copies = small(keep(copies.filter("held > 1").drop("held")))  # sets of one row only stand for themselves
     sets = sigs.join(copies, ["fp1", "fp2", "n"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc")))
     heads = sets.filter("rep = doc").select("doc", "keys")
-    heads = heads.dropDuplicates(["doc"]) if _repeats(sigs) else heads
     rows = heads.select(F.explode("keys").alias("key"), "doc")
     buckets = keep(rows.groupBy("key").agg(F.count("*").alias("size"), F.min("doc").alias("a"), F.min_by("doc", F.xxhash64("doc")).alias("b")).filter("size > 1").drop("size"))
     members = keep(rows.join(small(buckets), "key"))
     candidates = texts.join(small(keep(members.select("doc").distinct())), "doc", "left_semi")
-    bodies = candidates.mapInArrow(_contents(words), "doc long, n long, body binary")
-    bodies = keep(bodies.dropDuplicates(["doc"]) if _repeats(sigs) else bodies)
+    bodies = keep(candidates.mapInArrow(_contents(words), "doc long, n long, body binary"))
 
     star = members.select("doc", F.col("a").alias("lead")).union(members.select("doc", F.col("b").alias("lead"))).filter("doc <> lead").distinct()
     leads = bodies.select(F.col("doc").alias("lead"), F.col("n").alias("m"), F.col("body").alias("other"))
@@ -319,14 +336,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = keep(packed.select("key", "a", "b", "members").mapInArrow(_judge_blocks(percent), "key long, us array<long>, vs array<long>, linked boolean"))
     if not found.isEmpty():
         late = found.filter("linked").select(F.explode(F.arrays_zip("us", "vs")).alias("p")).select(F.col("p.us").alias("u"), F.col("p.vs").alias("v"))
-        open_jobs = found.filter("not linked").select(F.xxhash64("key", "us").alias("gid"), "us", "vs")
+        open_jobs = found.filter("not linked").select(F.xxhash64("key", "us", "vs").alias("gid"), "us", "vs")
         comps = components(links.union(late).union(_confirmed(open_jobs, texts, words, percent)))
 
     out = sets.select("doc", "n", "rep").join(small(keep(comps.withColumnRenamed("doc", "rep"))), "rep", "left")
-    component = F.coalesce("comp", "rep", "doc")
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
-
-
-def _repeats(sigs: DataFrame) -> bool:
-    """Whether any doc_id repeats."""
-    return not sigs.groupBy("doc").count().filter("count > 1").isEmpty()
+    out = out.select("doc", "n", F.coalesce("comp", "rep", "doc").alias("comp"))
+    if repeats:
+        out = rows_of_all.select(F.col("doc").alias("own"), "n").join(out.drop("n"), F.col("own").eqNullSafe(F.col("doc"))).drop("own")
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("doc") == F.col("comp"), F.lit(True)).alias("kept"))

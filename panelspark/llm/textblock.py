@@ -71,7 +71,7 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def blocks(columns: list, sizes, limit: int = 4 << 20):
+def blocks(columns: list, sizes, limit: int = 1 << 20):
     """Ranges of rows whose texts together hold about ``limit`` bytes; one longer text is a range of its own."""
     begin, total = 0, 0
     for i, n in enumerate(sizes):

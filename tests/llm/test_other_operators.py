@@ -237,6 +237,21 @@ def test_archives_round_trip(spark, tmp_path):
     assert read_warc(spark, none).count() == 0
 
 
+def test_archives_of_gzip_members(spark, tmp_path):
+    import gzip
+
+    path = archive_name(str(tmp_path))
+    rows = [(i, f"http://h/{i}", f"<p>{i % 4} é</p>") for i in range(20)]
+    write_warc(spark.createDataFrame(rows, PAGES).coalesce(1), path)
+    plain = b"".join(open(os.path.join(path, n), "rb").read() for n in sorted(os.listdir(path)) if n.startswith("part"))
+    records = [b"WARC/1.1\r\n" + r for r in plain.split(b"WARC/1.1\r\n") if r]
+    os.makedirs(tmp_path / "gz")
+    for name, data in (("a.warc.gz", b"".join(map(gzip.compress, records[:9]))), ("b.warc.gz", gzip.compress(b"".join(records[9:])))):
+        (tmp_path / "gz" / name).write_bytes(data)
+    assert len(records) == 20 and sorted(map(tuple, read_warc(spark, str(tmp_path / "gz")).collect()), key=str) == sorted(map(tuple, read_warc(spark, path).collect()), key=str)
+    assert read_warc(spark, str(tmp_path / "gz"), "page_id long, record_type string").filter("record_type = 'revisit'").count() == 16
+
+
 def test_damaged_archive(spark, tmp_path):
     path = archive_name(str(tmp_path))
     write_warc(spark.createDataFrame([(1, "u", "payload")], PAGES).coalesce(1), path)

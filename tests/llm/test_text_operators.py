@@ -17,7 +17,7 @@ from panelspark.llm import shared
 from panelspark.llm.decontaminate import find_contamination, lcs_length
 from panelspark.llm.line_dedup import Lines, dedup_lines
 from panelspark.llm.packing import WordIds, cutting_stock, pack
-from panelspark.llm.ppm import byte_model, score_texts
+from panelspark.llm.ppm import Low, score_texts
 from panelspark.llm.quality import quality_scores
 from panelspark.llm.shared import in_fold
 from panelspark.llm.textblock import Words, encoded, shingle_sets
@@ -88,6 +88,8 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert nd.near_duplicates(empty(spark)).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, None)], SCHEMA)
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in nd.near_duplicates(twice).collect()) == [(-1, -1, True), (1, 1, True), (1, 1, True), (2, 1, False)]
+    other = spark.createDataFrame([(5, "z z z z z y y"), (5, "a b c d e f"), (2, "a b c d e f"), (9, "z z z z z y y")], SCHEMA)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in nd.near_duplicates(other).collect()) == [(2, 2, 2), (5, 2, 2), (5, 3, 2), (9, 3, 9)]
 
 
 def test_hyperminhash_estimate():
@@ -279,12 +281,14 @@ def test_scores_against_definition(spark):
     assert (none.n_known, none.train_tokens) == (0, 0) and none.score == pytest.approx(3 * math.log10(1 / 256))
 
 
-def test_byte_model_is_a_distribution():
+def test_low_orders_are_a_distribution():
     rng = np.random.default_rng(2)
-    code = np.unique(rng.integers(97, 101, 300) * 65536 + rng.integers(97, 101, 300) * 256 + rng.integers(97, 103, 300))
-    table = byte_model(code, rng.integers(1, 9, len(code)))
-    assert (10.0 ** table.reshape(65536, 256).astype(float)).sum(axis=1) == pytest.approx(np.ones(65536), abs=1e-4)
-    assert table[code].mean() > table.mean()
+    code, n = np.unique(rng.integers(97, 101, 300) * 65536 + rng.integers(97, 101, 300) * 256 + rng.integers(97, 103, 300), return_counts=True)
+    low = Low(code, n)
+    for a, b in ((97, 98), (97, 200), (200, 97), (200, 201)):
+        assert sum(10 ** low.log10(a << 16 | b << 8 | c, None) for c in range(256)) == pytest.approx(1)
+        gone = {97, 98}
+        assert sum(10 ** low.log10(a << 16 | b << 8 | c, gone) for c in range(256) if c not in gone) == pytest.approx(1)
 
 
 def junk_corpus(n=240):
@@ -310,6 +314,41 @@ def test_quality_on_held_out_labels(spark):
     assert quality_scores(empty(spark), marks, F.lit(True)).count() == 0
 
 
+def test_votes_against_brute_force():
+    from panelspark.llm.quality import votes
+
+    rng = np.random.default_rng(6)
+    vectors = rng.standard_normal((60, 5))
+    vectors[20:30] = vectors[3]  # copies tie
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    labels, x = (rng.random(60) < 0.6).astype(np.float32), rng.standard_normal((40, 5))
+    x[7], x[8] = 0.0, vectors[3] * 4
+    got = votes(x, vectors, labels, 6, 4.0)
+    for row, v in zip(x, got):
+        norm = math.sqrt(sum(a * a for a in row))
+        cosine = [round(float(row @ w) / norm, 5) if norm else 0.0 for w in vectors]
+        least = sorted(cosine)[-6]
+        held = [(max(c, 0.0) ** 4, y) for c, y in zip(cosine, labels) if c >= least]
+        want = sum(w * y for w, y in held) / sum(w for w, _ in held) if norm and sum(w for w, _ in held) else float("nan")
+        assert v == pytest.approx(want, abs=1e-3, nan_ok=True)
+    order = rng.permutation(60)
+    assert votes(x, vectors[order], labels[order], 6, 4.0) == pytest.approx(got, nan_ok=True)
+
+
+def test_words_that_tell_the_label(spark):
+    """Shapes alike, one word tells: held-out texts go with it."""
+    rows, labels = corpus(12, 300), []
+    for k, (i, t) in enumerate(rows):
+        bad = k % 4 == 0
+        w = t.split()
+        rows[k] = (i, " ".join(w[:3] + ["gfadbe" if bad else "cbbhaf"] + w[3:]))
+        labels.append((i, int(not bad), 0))
+    held = in_fold(F.col("doc_id"), 3, 1)
+    out = {r.doc_id: r.score for r in quality_scores(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), ~held, rank=16, neighbours=5).collect()}
+    right = [(out[i] >= 0.5) == bool(q) for i, q, _ in labels if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(right) / len(right) > 0.95
+
+
 def test_quality_keeps_other_columns(spark):
     rows, labels = junk_corpus(60)
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, score string")
