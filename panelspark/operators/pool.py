@@ -104,27 +104,51 @@ def _ratio(mean: Column, std: Column) -> Column:
     return clamp(mean / F.greatest(std, F.lit(SLICE_FLOOR)), -UTILITY_LIMIT, UTILITY_LIMIT)
 
 
-def marginal_utility(candidates: DataFrame, pool: DataFrame, *, skip_start: int = SKIP_START, skip_end: int = 0, periods: int | None = None) -> DataFrame:
-    """(expr, mu): what adding each candidate to the pool's portfolio does to its utility, on the dates from
-    ``skip_start`` on, without the last ``skip_end`` of ``periods``."""
+def _in_slice(skip_start: int, skip_end: int, periods: int | None) -> Column:
     held = F.col("t") >= skip_start
     if skip_end:
         if periods is None:
             raise ValueError("skip_end needs the number of periods")
         held = held & (F.col("t") < periods - skip_end)
+    return held
+
+
+def _old_utility(base: DataFrame) -> DataFrame:
+    """One row (old) from (t, port)."""
+    return base.agg(F.coalesce(_ratio(F.avg("port"), F.stddev_pop("port")), F.lit(0.0)).alias("old"))
+
+
+def _mixed(size: int) -> Column:
+    """The portfolio's return with one more series in it."""
+    return F.coalesce(F.col("port"), F.lit(0.0)) * (size / (size + 1)) + F.col("ret") / (size + 1) if size else F.col("ret")
+
+
+def _gain(size: int) -> Column:
+    return (F.col("new") - DISCOUNT * F.col("old")) * (size + 1)
+
+
+def marginal_utility(candidates: DataFrame, pool: DataFrame, *, skip_start: int = SKIP_START, skip_end: int = 0, periods: int | None = None) -> DataFrame:
+    """(expr, mu): what adding each candidate to the pool's portfolio does to its utility, on the dates from
+    ``skip_start`` on, without the last ``skip_end`` of ``periods``."""
+    held = _in_slice(skip_start, skip_end, periods)
     size = pool.select("expr").distinct().count()
     base = portfolio(pool).filter(held)
-    old = base.agg(F.coalesce(_ratio(F.avg("port"), F.stddev_pop("port")), F.lit(0.0)).alias("old"))
-    mixed = candidates.filter(held).join(base, "t", "left")
-    new = F.coalesce(F.col("port"), F.lit(0.0)) * (size / (size + 1)) + F.col("ret") / (size + 1) if size else F.col("ret")
-    new = mixed.groupBy("expr").agg(_ratio(F.avg(new), F.stddev_pop(new)).alias("new"))
-    return new.join(F.broadcast(old)).select("expr", ((F.col("new") - DISCOUNT * F.col("old")) * (size + 1)).alias("mu"))  # old is one row
+    new = candidates.filter(held).join(base, "t", "left").groupBy("expr").agg(_ratio(F.avg(_mixed(size)), F.stddev_pop(_mixed(size))).alias("new"))
+    return new.join(F.broadcast(_old_utility(base))).select("expr", _gain(size).alias("mu"))  # old is one row
 
 
-def pool_stats(pool: DataFrame, **slices) -> DataFrame:
-    """(expr, utility, mu, corr, maxcorr).  The pool is written once, so what made it is evaluated once."""
-    pool = settled(pool)
-    return utility(pool).join(marginal_utility(pool, pool, **slices), "expr", "left").join(correlation_to_portfolio(pool), "expr").join(max_correlation(pool), "expr")
+def pool_stats(pool: DataFrame, *, skip_start: int = SKIP_START, skip_end: int = 0, periods: int | None = None) -> DataFrame:
+    """(expr, utility, mu, corr, maxcorr).  The pool is written once, so what made it is evaluated once; then one window by
+    date and one aggregation by expression give all but the pair correlations."""
+    pool, held = settled(pool), _in_slice(skip_start, skip_end, periods)
+    size = pool.select("expr").distinct().count()
+    marked = pool.withColumn("port", F.avg("ret").over(Window.partitionBy("t")))
+    mixed = F.when(held, _mixed(size))
+    stats = marked.groupBy("expr").agg(
+        (F.avg("ret") / F.greatest(F.stddev_pop("ret"), F.lit(STD_FLOOR))).alias("utility"), _correlation("ret", "port").alias("corr"), _ratio(F.avg(mixed), F.stddev_pop(mixed)).alias("new")
+    )
+    stats = stats.join(F.broadcast(_old_utility(portfolio(pool).filter(held)))).withColumn("mu", _gain(size))  # old is one row
+    return stats.join(max_correlation(pool), "expr").select("expr", "utility", "mu", "corr", "maxcorr")
 
 
 def add_new(pool: DataFrame, candidates: DataFrame) -> DataFrame:
