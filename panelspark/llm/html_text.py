@@ -63,6 +63,10 @@ _FILLER = set("area bar block body bottom box button buttons container content f
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = _BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 _LIMITS = {"ul", "ol", "table", "dl", "div", "section", "article", "body", "html", "main", "nav", "aside", "header", "footer", "td", "th", "blockquote", "form"}
+#: Open elements that a start tag ends.
+_CLOSING = {t: _CLOSES.get(t, set()) | ({"p"} if t in _ENDS_P else set()) for t in _ENDS_P | set(_CLOSES)}
+_NO_TEXT = _RAW | _HARD
+_RAW_ENDS = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in _RAW_TEXT}
 #: Wrappers of at most so many hosts (some kilobytes each) are broadcast.
 HOSTS = 20_000
 #: Pages on which a text must be found, at least, to be template.
@@ -75,18 +79,27 @@ def named(name: str, words: set[str]) -> bool:
     return name in words or any(p in words for p in parts) and all(p in words or p in _FILLER or p in _ASIDE_NAMES for p in parts)
 
 
+_KINDS: dict[tuple[str, str], tuple] = {}
+
+
+def _kind(tag: str, attributes: str) -> tuple:
+    """Names, label and what the names say of an element; remembered, as pages repeat few."""
+    if (found := _KINDS.get((tag, attributes))) is None:
+        names = tuple(v for n in _NAMES.finditer(attributes) for v in (n[1] or n[2] or n[3] or "").lower().split())
+        comment = any(named(n, _COMMENT_NAMES) for n in names)
+        aside = any(named(n, _ASIDE_NAMES) for n in names)
+        if len(_KINDS) > 20_000:
+            _KINDS.clear()
+        found = _KINDS[tag, attributes] = (names, ".".join((tag, *(re.sub("[0-9]+", "#", n) for n in names))), comment, aside)
+    return found
+
+
 class Node:
     __slots__ = ("tag", "names", "parts", "children", "label", "shape", "size", "chars", "main", "clear", "comment", "aside", "place")
 
-    def __init__(self, tag: str, names: tuple[str, ...] = ()):
-        self.tag, self.names, self.parts, self.children = tag, names, [], []
-        self.label = ".".join((tag, *(re.sub("[0-9]+", "#", n) for n in names)))
-        self.comment = any(named(n, _COMMENT_NAMES) for n in names)
-        self.aside = any(named(n, _ASIDE_NAMES) for n in names)
-        self.place = -1
-
-    def add(self, node: Node, at: int | None = None) -> None:
-        self.children.insert(len(self.children) if at is None else at, node)
+    def __init__(self, tag: str, attributes: str = ""):
+        self.tag, self.parts, self.children, self.place = tag, [], [], -1
+        self.names, self.label, self.comment, self.aside = _kind(tag, attributes)
 
 
 class Page:
@@ -96,57 +109,77 @@ class Page:
     def __init__(self, root: Node, nodes: list[Node]):
         self.root, self.nodes = root, nodes
         for n in reversed(nodes):
-            n.shape, n.size = hash((n.label, *(c.shape for c in n.children))), 1 + sum(c.size for c in n.children)
-            n.chars = sum(len(p.strip()) for p in n.parts if isinstance(p, str)) + sum(c.chars for c in n.children if c.tag not in _RAW and c.tag not in _HARD)
-            n.main = n.chars if n.tag in ("article", "main") and not n.comment else sum(c.main for c in n.children)
-            apart = n.comment or (n.aside or n.tag in _HARD) and n.tag not in ("html", "body", "article", "main")
-            n.clear = 0 if apart else n.chars if n.tag in ("article", "main") else sum(c.clear for c in n.children)
+            shape, size, chars, main, clear = [n.label], 1, 0, 0, 0
+            for c in n.children:
+                shape.append(c.shape)
+                size += c.size
+                main += c.main
+                clear += c.clear
+                if c.tag not in _NO_TEXT:
+                    chars += c.chars
+            for p in n.parts:
+                if type(p) is str:
+                    chars += len(p.strip())
+            if n.tag == "article" or n.tag == "main":
+                main, clear = (main, 0) if n.comment else (chars, chars)
+            elif n.comment or (n.aside or n.tag in _HARD) and n.tag != "html" and n.tag != "body":
+                clear = 0
+            n.shape, n.size, n.chars, n.main, n.clear = hash(tuple(shape)), size, chars, main, clear
 
 
 def parse(text: str) -> Page:
     root = Node("#")
-    nodes, stack, at, held = [root], [root], 0, Counter()
+    nodes, stack, at, held = [root], [root], 0, dict.fromkeys(_CLOSES, 0)
+    held["p"] = 0
 
     def close(upto: int) -> None:
         for n in stack[upto:]:
             held[n.tag] -= 1
         del stack[upto:]
 
-    while m := _TAG.search(text, at):
-        if m.start() > at:
-            stack[-1].parts.append(text[at : m.start()])
+    for m in iter(lambda: _TAG.search(text, at), None):
+        begin = m.start()
+        if begin > at:
+            stack[-1].parts.append(text[at:begin])
         at = m.end()
-        tag = m[2]
+        end_tag, tag, attributes = m.groups()
         if not tag:
             continue
         tag = tag.lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1) if held[tag] else ():
+        if end_tag:
+            if not held.get(tag):
+                continue
+            if stack[-1].tag == tag:
+                held[tag] -= 1
+                stack.pop()
+                continue
+            for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     close(i)
                     break
                 if stack[i].tag in _LIMITS and tag not in _LIMITS:
                     break
             continue
-        names = tuple(v for n in _NAMES.finditer(m[3]) for v in (n[1] or n[2] or n[3] or "").lower().split()) if "=" in m[3] else ()
-        node = Node(tag, names)
-        if tag in _ENDS_P or tag in _CLOSES:
-            closing = _CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
-            for i in range(len(stack) - 1, 0, -1) if any(held[t] for t in closing) else ():
+        node = Node(tag, attributes if "=" in attributes else "")
+        closing = _CLOSING.get(tag)
+        if closing and any([held[t] for t in closing]):
+            for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in closing:
                     close(i)
                     break
                 if stack[i].tag in _LIMITS:
                     break
-        stack[-1].parts.append(node)
-        stack[-1].children.append(node)
+        above = stack[-1]
+        above.parts.append(node)
+        above.children.append(node)
         nodes.append(node)
-        if tag in _RAW_TEXT and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(text, at)
+        alone = attributes.endswith("/")
+        if tag in _RAW_TEXT and not alone:
+            end = _RAW_ENDS[tag].search(text, at)
             at = end.end() if end else len(text)
-        elif tag not in _VOID and not (m[3].endswith("/") and tag not in _BLOCK):
+        elif tag not in _VOID and not (alone and tag not in _BLOCK):
             stack.append(node)
-            held[tag] += 1
+            held[tag] = held.get(tag, 0) + 1
     if at < len(text):
         stack[-1].parts.append(text[at:])
     return Page(root, nodes)
@@ -222,6 +255,12 @@ def matching(a: Node, b: Node) -> list[tuple[Node, Node]]:
     return list(Matcher().pairs(a, b)) if a.label == b.label else []
 
 
+def _like(tag: str, names) -> Node:
+    """An element with these names and no content."""
+    quoted = " ".join(names).replace('"', "")
+    return Node(tag, f'class="{quoted}"' if names else "")
+
+
 class Template:
     """The grown tree of a host: only labels; ``nodes`` in document order give the places their numbers."""
 
@@ -240,12 +279,12 @@ class Template:
 
     @staticmethod
     def _copy(node: Node) -> Node:
-        top = Node(node.tag, node.names)
+        top = _like(node.tag, node.names)
         open_ = [(node, top)]
         while open_:
             old, new = open_.pop()
             for c in old.children:
-                new.children.append(Node(c.tag, c.names))
+                new.children.append(_like(c.tag, c.names))
                 open_.append((c, new.children[-1]))
         return top
 
@@ -264,7 +303,7 @@ class Template:
                 if id(c) in twin:
                     at = next(i for i, x in enumerate(mine.children) if x is twin[id(c)]) + 1
                 elif c.label not in labels:
-                    mine.add(self._copy(c), at)
+                    mine.children.insert(at, self._copy(c))
                     labels.add(c.label)
                     at += 1
         self._number()
@@ -277,7 +316,7 @@ class Template:
     def load(cls, text: str) -> Template:
         nodes: list[Node] = []
         for up, tag, *names in json.loads(text):
-            nodes.append(Node(tag, tuple(names)))
+            nodes.append(_like(tag, names))
             if up >= 0:
                 nodes[up].children.append(nodes[-1])
         return cls(nodes[0])
