@@ -9,10 +9,10 @@ estimated by method D (a symbol seen c times in n gets (c - 1/2) / n, the escape
 symbol exclusion (what a longer context has seen is no longer expected after its escape).  The probability of a symbol
 is a function of its byte string, so it is worked out once for each distinct string that the documents hold: strings
 seen in training need their context's counts only; the others are joined with the nodes of their contexts of three bytes
-and more, and below these take the tables of two, one and no bytes, which are bounded (2^24 codes) and broadcast.
+and more, and below these take the counts of two, one and no bytes, which are bounded (2^24 strings) and broadcast.
 
 Neither word nor byte-string tables have a bound: the most frequent entries, at most ``top_words`` and ``top_strings`` (16
-and 12 bytes each), found by a histogram of counts, are broadcast; the remaining occurrences join their table and are
+bytes each), found by a histogram of counts, are broadcast; the remaining occurrences join their table and are
 summed per document.
 
 Defined results: null is the empty text, whose only token is the end; equal rows are scored alike and each counts
@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import keep
-from .textblock import Words, blocks, encoded, mix
+from .shared import ended, keep
+from .textblock import Words, blocks, mix, utf8
 
 _MARK = b"\xff"
 #: Bytes of text worked on at once: codes take eight times as much.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 _MODELS: dict = {}
 
 
@@ -61,7 +61,7 @@ def _add_up(parts: list) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _gather(depth: int, held: int = 1 << 21):
+def _gather(depth: int, held: int = 1 << 20):
     """(kind, key, n): byte strings are kind 0 (n counts training only and may be 0), words 1, documents 2."""
 
     def out(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -69,8 +69,8 @@ def _gather(depth: int, held: int = 1 << 21):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, docs = [], 0
-        for batch in batches:
-            all_texts, train = encoded(batch.column(0).to_pylist()), np.array(batch.column(1).to_pylist(), dtype=bool)
+        for batch in ended(batches):
+            all_texts, train = utf8(batch.column(0)), np.array(batch.column(1).to_pylist(), dtype=bool)
             for own in (True, False):
                 texts = [all_texts[i] for i in np.flatnonzero(train == own)]
                 docs += own * len(texts)
@@ -90,60 +90,57 @@ def _gather(depth: int, held: int = 1 << 21):
     return run
 
 
-def byte_model(code: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """log10 probability of every trigram code's last byte after its first two."""
-    n3 = np.zeros(1 << 24, dtype=np.float64)
-    n3[code] = n
-    n3 = n3.reshape(256, 256, 256)
-    n2 = n3.sum(axis=0)
-    n1 = n2.sum(axis=0)
-    total, kinds = n1.sum(), (n1 > 0).sum()
-    order0 = np.full(256, 1 / 256)
-    if total:
-        order0 = np.where(n1 > 0, (n1 - 0.5) / total, kinds / 2 / total / max(256 - kinds, 1))
-    table = np.empty((256, 256, 256), dtype=np.float32)
-    for b in range(256):
-        seen = n2[b] > 0
-        lower = np.where(seen, 0.0, order0)  # after an escape from context b, what b has seen is excluded
-        below = np.where(seen, 0.0, n1)
-        left, left_kinds = below.sum(), ((n1 > 0) & ~seen).sum()
-        unseen = max(256 - seen.sum() - left_kinds, 1)
-        if seen.any():
-            known = (below - 0.5) / left if left else below
-            lower = np.where(seen, 0.0, np.where(n1 > 0, known, (left_kinds / 2 / left if left else 1.0) / unseen))
-        c = n3[:, b, :]
-        held = c > 0
-        size, kinds3 = c.sum(axis=1, keepdims=True), held.sum(axis=1, keepdims=True)
-        rest = n2[b].sum() - (n2[b] * held).sum(axis=1, keepdims=True)
-        rest_kinds = seen.sum() - kinds3
-        safe, safe_rest = np.maximum(size, 1), np.maximum(rest, 1)
-        escape = np.where(size > 0, kinds3 / 2 / safe, 1.0)
-        escape_rest = np.where(rest > 0, rest_kinds / 2 / safe_rest, 1.0)
-        p = np.where(held, (c - 0.5) / safe, escape * np.where(seen[None, :], (n2[b] - 0.5) / safe_rest, escape_rest * lower[None, :]))
-        table[:, b, :] = np.log10(np.maximum(p, 1e-300))
-    return table.ravel()
-
-
-def _model(broadcast) -> np.ndarray:
-    """The expanded model, made once in a worker."""
+class Low:
+    """Counts of contexts of two, one and no bytes, from those of strings of three."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray):
+        self.counts = {2: (code, n)}
+        for k in (1, 0):
+            self.counts[k] = _add_up([(self.counts[k + 1][0] & ((1 << 8 * (k + 1)) - 1), self.counts[k + 1][1])])
+        self.known: dict[int, float] = {}
+
+    def log10(self, last: int, gone: set | None) -> float:
+        """log10 probability of the last of three bytes after the two before it, without the symbols that are gone."""
+        if gone is None and (p := self.known.get(last)) is not None:
+            return p
+        symbol, p, out = last & 255, 0.0, set(gone or ())
+        for k in (2, 1, 0):
+            context = (last >> 8 & ((1 << 8 * k) - 1)) << 8
+            code, n = self.counts[k]
+            a, b = np.searchsorted(code, (context, context + 256))
+            symbols = (code[a:b] & 255).tolist()
+            left = {s: c for s, c in zip(symbols, n[a:b].tolist()) if s not in out}
+            total = sum(left.values())
+            if symbol in left:
+                p += np.log10((left[symbol] - 0.5) / total)
+                break
+            p += np.log10(len(left) / 2 / total) if total else 0.0
+            out |= set(symbols)
+        else:
+            p -= np.log10(256 - len(out))
+        if gone is None:
+            self.known[last] = p
+        return p
+
+
+def _low(broadcast) -> Low:
+    """The low orders, made once in a worker."""
     key = broadcast.value[0]
     if key not in _MODELS:
         _MODELS.clear()
-        _MODELS[key] = byte_model(*broadcast.value[1:3])
+        _MODELS[key] = Low(*broadcast.value[1:3])
     return _MODELS[key]
 
 
-def _unseen(model, depth: int):
+def _unseen(model):
     """(key, p) of byte strings that training lacks, from the nodes of their contexts, longest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _model(model)
-        code, n = model.value[1:3]
-        size, kinds = (np.bincount(code >> 8, w, 1 << 16) for w in (n, None))
-        for batch in batches:
+        low = _low(model)
+        for batch in ended(batches, _MODELS.clear):
             keys, nodes, out = batch.column(0).to_pylist(), [c.to_pylist() for c in batch.columns[1:]], []
             for i, key in enumerate(keys):
-                symbol, last, p, gone = key & 255, key & 0xFFFFFF, 0.0, None
+                symbol, p, gone = key & 255, 0.0, None
                 for node in (column[i] for column in nodes):
                     if node is None:
                         continue
@@ -155,17 +152,7 @@ def _unseen(model, depth: int):
                     p += np.log10(len(counts) / 2 / total) if total else 0.0
                     gone = {e["symbol"] for e in node}
                 else:
-                    if gone is None:
-                        p += table[last]
-                    else:  # a context of two bytes, less what the longer one has seen
-                        context = last & ~255
-                        a, b = np.searchsorted(code, (context, context + 256))
-                        counts = {c & 255: m for c, m in zip(code[a:b].tolist(), n[a:b].tolist()) if c & 255 not in gone}
-                        total = sum(counts.values())
-                        if symbol in counts:
-                            p += np.log10((counts[symbol] - 0.5) / total)
-                        else:  # the table holds the escape of the whole context, which is not the one taken here
-                            p += (np.log10(len(counts) / 2 / total) if total else 0.0) + table[last] - np.log10(kinds[last >> 8] / 2 / size[last >> 8])
+                    p += low.log10(key & 0xFFFFFF, gone)
                 out.append(p)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["key", "p"])
 
@@ -178,14 +165,14 @@ class Slots:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.shift = np.uint64(64 - max(4, 1 + int(len(keys)).bit_length()))
         self.keys = np.full(1 << (64 - int(self.shift)), -1, dtype=np.int64)
-        self.values = np.zeros(len(self.keys), dtype=np.float32)
+        self.values = np.zeros(len(self.keys))
         at = self._at(keys)
         self.keys[at] = keys
         own = self.keys[at] == keys
         self.values[at[own]] = values[own]
         lost = np.flatnonzero(~own)
         lost = lost[np.argsort(keys[lost])]
-        self.lost, self.lost_values = keys[lost], values[lost].astype(np.float32)
+        self.lost, self.lost_values = keys[lost], values[lost]
 
     def _at(self, keys: np.ndarray) -> np.ndarray:
         return (mix(keys.astype(np.uint64)) >> self.shift).astype(np.int64)
@@ -193,7 +180,7 @@ class Slots:
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values of the keys (0 where there is none) and which were found."""
         at = self._at(keys)
-        held, out = self.keys[at] == keys, self.values[at].astype(np.float64)
+        held, out = self.keys[at] == keys, self.values[at]
         out[~held] = 0.0
         if len(self.lost):
             left = np.flatnonzero(~held)
@@ -211,38 +198,33 @@ def _strings(broadcast) -> Slots:
     return _MODELS[key]
 
 
-def _lists(rows: list, kind) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, kind), *rows])))
+def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    """Lists that end at these places of ``flat``."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
 
 
 def _score(model, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings = _strings(model)
         top, log_count = model.value[3:5]
-        for batch in batches:
-            texts = encoded(batch.column(1).to_pylist())
-            tokens, known, base, score, rare, deep = [], [], [], [], [], []
+        for batch in ended(batches, _MODELS.clear):
+            texts = utf8(batch.column(1))
             for a, b in blocks(texts, map(len, texts), _BLOCK):
                 codes, begin = _codes(texts[a:b], depth)
                 p, found = strings.find(codes)
-                score.append(np.add.reduceat(p, begin))
-                deep += np.split(codes[~found], np.cumsum(np.add.reduceat((~found).astype(np.int64), begin))[:-1])
+                lost = np.add.reduceat((~found).astype(np.int64), begin)
                 words = Words(texts[a:b])
                 at = np.minimum(np.searchsorted(top, words.hashes), max(len(top) - 1, 0))
                 hit = top[at] == words.hashes if len(top) else np.zeros(len(words.hashes), bool)
                 sums = np.concatenate([[0.0], np.cumsum(np.where(hit, log_count[at], 0.0) if len(top) else hit * 0.0)])
                 hits = np.concatenate([[0], np.cumsum(hit)])
                 lo, hi = words.ptr[:-1], words.ptr[1:]
-                tokens.append(hi - lo + 1)
-                known.append(hits[hi] - hits[lo])
-                base.append(sums[hi] - sums[lo])
                 missed = words.hashes.view(np.int64)[~hit]
-                ends = hi - hits[hi]
-                rare += np.split(missed, ends[:-1]) if len(ends) else []
-            joined = [np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.int64, tokens), (np.int64, known), (np.float64, base), (np.float64, score))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x) for x in joined), _lists(rare, np.int64), _lists(deep, np.int64)], ["doc", "tokens", "known", "base", "score", "rare", "deep"]
-            )
+                columns = [hi - lo + 1, hits[hi] - hits[lo], sums[hi] - sums[lo], np.add.reduceat(p, begin)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), *map(pa.array, columns), _lists(missed, hi - hits[hi]), _lists(codes[~found], np.cumsum(lost))],
+                    ["doc", "tokens", "known", "base", "score", "rare", "deep"],
+                )
 
     return run
 
@@ -294,13 +276,13 @@ def score_texts(
     for k in range(depth, 2, -1):
         nodes = orders[k].groupBy(context.alias("of")).agg(F.collect_list(F.struct(F.col("key").bitwiseAND(F.lit(255).cast("long")).cast("int").alias("symbol"), "n")).alias(f"node{k}"))
         lacking = lacking.join(nodes, F.shiftright(low(8 * (k + 1)), 8) == F.col("of"), "left").drop("of")
-    unseen = lacking.mapInArrow(_unseen(model, depth), "key long, p double")
+    unseen = lacking.mapInArrow(_unseen(model), "key long, p double")
     strings = keep(seen.unionByName(unseen.withColumn("n", F.lit(0).cast("long"))))
 
     top = _most(words, top_words).select("key", "n").toArrow()
     top_hash, top_n = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
     order = np.argsort(top_hash)
-    often = _most(strings.filter("n > 0"), top_strings).select("key", F.col("p").cast("float").alias("p")).toArrow()
+    often = _most(strings.filter("n > 0"), top_strings).select("key", "p").toArrow()
     lists = spark.sparkContext.broadcast((name, often.column(0).to_numpy(), often.column(1).to_numpy(), top_hash[order], np.log10(top_n[order] + 1.0)))
     scored = docs.select(F.col(id_col).cast("long").alias("doc"), text)
     scored = scored.mapInArrow(_score(lists, depth), "doc long, tokens long, known long, base double, score double, rare array<long>, deep array<long>")
