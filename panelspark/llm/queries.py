@@ -63,7 +63,9 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = archive_name(checkpoint_dir(spark))
     write_warc(table(spark, sf_dir, "pages"), path, min_bytes=0)
-    return read_warc(spark, path, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    columns = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    found = read_warc(spark, path, columns).filter("record_type = 'response'")  # payloads are read and digested again
+    return found.unionByName(read_warc(spark, path, columns, verify=False).filter("record_type = 'revisit'"))  # headers only
 
 
 OP4_SQL = """

@@ -8,6 +8,9 @@ Reading: whole files are dealt to partitions of about ``split_bytes``.  Equality
 columns are pushed down; a record's headers are parsed first, and payloads that no one wants (by condition, or
 because the schema asked for has no ``payload``) are skipped by seeking.
 
+Archives whose names end in .gz (a gzip member a record, or one for all) are read as well; of those, payloads that no one
+wants are unpacked but not kept.
+
 Defined results: null html is the empty payload; null urls and ids have no header and come back as null; rows with
 equal id and payload are all the response.  Damaged archives raise ValueError.
 """
@@ -15,6 +18,7 @@ equal id and payload are all the response.  Damaged archives raise ValueError.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import uuid
@@ -143,7 +147,8 @@ class WarcReader(DataSourceReader):
 
         for path in partition.paths:
             with files.open_input_file(path) as raw:
-                for row in self._records(io.BufferedReader(_Stream(raw), 1 << 20)):
+                stream = io.BufferedReader(_Stream(raw), 1 << 20)
+                for row in self._records(gzip.GzipFile(fileobj=stream) if path.endswith(".gz") else stream):
                     rows.append(row)
                     held += len(row["payload"] or b"") + 200
                     if held > 8 << 20:
