@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
 from .html_text import extract_text
+from .integer_codes import code_vectors
 from .line_dedup import dedup_lines
 from .near_dup import near_duplicates
 from .packing import pack
@@ -14,6 +15,8 @@ from .pii import counts, find_pii, joined
 from .ppm import score_texts
 from .quality import quality_scores
 from .shared import checkpoint_dir, in_fold, table
+from .spelling import spelling_groups
+from .url_filter import judge_urls
 from .vectors import nearest
 from .warc import archive_name, read_warc, write_warc
 
@@ -128,6 +131,96 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: crc32 runs over a text's bits, lowest of each byte first; near words share what is left when a letter is taken out
+#: of both at one place, or are what is left of each other.
+OP11_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents) GROUP BY ALL),
+steps AS (SELECT list(s ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS s
+  FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256)))),
+hexed AS (SELECT doc_id, run, times, hex(encode(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', run))) AS x FROM runs),
+hashed AS (
+  SELECT run, times, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: CAST('0x' || x[i:i + 1] AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) AS h
+  FROM hexed, steps),
+words AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+    SELECT times, CASE WHEN h % 97 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+cuts AS (SELECT word, n, i, CASE WHEN i = 1 THEN '' ELSE word[1:i - 1] END || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word AS w, a.n AS w_n, b.word AS o, b.n AS o_n FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word),
+near AS (SELECT w, w_n, count(*) AS n_near, min({'k': -o_n, 'o': o}) AS best FROM pairs GROUP BY w, w_n),
+formed AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.k >= 2 * n THEN best.o END AS form, CASE WHEN -best.k >= 2 * n THEN -best.k END AS form_n
+           FROM words LEFT JOIN near ON w = words.word),
+walk(word, root, step) AS (SELECT word, word, 0 FROM formed UNION ALL SELECT k.word, f.form, step + 1 FROM walk k JOIN formed f ON f.word = k.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n
+FROM formed f JOIN (SELECT word, arg_max(root, step) AS root FROM walk GROUP BY word) USING (word)
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = code_vectors(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _op12_sql(rounds: int = 4) -> str:
+    far = "list_sum(list_transform(list_zip(v.x, c.y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    nearest = "SELECT r, p, best.e AS e, best.d AS d FROM (SELECT r, p, min({{'d': {far}, 'e': e}}) AS best FROM v JOIN c{k} c USING (p) GROUP BY r, p)"
+    steps = ""
+    for k in range(rounds):
+        steps += f"""
+a{k} AS MATERIALIZED ({nearest.format(far=far, k=k)}),
+c{k + 1} AS MATERIALIZED (
+  SELECT c.p, c.e, coalesce(m.y, c.y) AS y FROM c{k} c LEFT JOIN (
+    SELECT p, e, list(f ORDER BY i) AS y FROM (
+      SELECT p, e, i, CAST(sum(q) - (((sum(q) % count(*)) + count(*)) % count(*)) AS BIGINT) // count(*) AS f
+      FROM (SELECT a.p, a.e, unnest(v.x) AS q, unnest(range(len(v.x))) AS i FROM a{k} a JOIN v USING (r, p)) GROUP BY p, e, i) GROUP BY p, e) m USING (p, e)),"""
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * x) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT r, p, x[p * (len(x) // 4) + 1:(p + 1) * (len(x) // 4)] AS x FROM kept, (SELECT unnest(range(4)) AS p)),
+c0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS y FROM v WHERE r <= 256),{steps}
+last AS MATERIALIZED ({nearest.format(far=far, k=rounds)}),
+coded AS (SELECT r, string_agg(printf('%02x', CAST(e AS INT)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM last GROUP BY r),
+book AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS h FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM kept JOIN coded USING (r), book
+"""
+
+
+#: Fixed values of the contract: (host, path, verdict).
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP13_SQL = f"""
+WITH rules(rule_host, rule_path, verdict) AS (VALUES {", ".join(map(str, URL_RULES))}),
+rest AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h, rest FROM rest),
+urls AS (SELECT row_number() OVER () AS r, page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM parts),
+hits AS (SELECT r, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS verdict
+         FROM urls JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls LEFT JOIN hits USING (r)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -146,9 +239,15 @@ def queries() -> dict:
         "op8_line_dedup": op8_line_dedup,
         "op9_main_text": op9_main_text,
         "op10_decontamination": op10_decontamination,
+        "op11_spelling": op11_spelling,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_url_filter": op13_url_filter,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op8_line_dedup": OP8_SQL}
+    return {
+        "op2_near_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op8_line_dedup": OP8_SQL, "op11_spelling": OP11_SQL,
+        "op12_vector_codes": _op12_sql(), "op13_url_filter": OP13_SQL,
+    }

@@ -25,6 +25,9 @@ CONTRACTS = {
     "op8_line_dedup": "doc_id n_lines n_dropped kept_sha256",
     "op9_main_text": "page_id url text n_chars",
     "op10_decontamination": "doc_id contaminated item_ids item_share",
+    "op11_spelling": "word form root n n_near form_n",
+    "op12_vector_codes": "vec_id code error label_error codebooks_sha256",
+    "op13_url_filter": "page_id host path rule verdict",
 }
 
 
@@ -46,9 +49,11 @@ def test_contract_columns_and_rows(found, tables, name):
     df = found(name)
     assert df.columns[: len(CONTRACTS[name].split())] == CONTRACTS[name].split() or set(CONTRACTS[name].split()) <= set(df.columns)
     rows = df.collect()
-    if name in ("op4_warc", "op9_main_text"):
+    if name in ("op4_warc", "op9_main_text", "op13_url_filter"):
         assert sorted(r.page_id for r in rows) == sorted(r.page_id for r in tables["pages"])
-    elif name not in ("op3_nearest", "op7_packing"):
+    elif name == "op12_vector_codes":
+        assert sorted(r.vec_id for r in rows) == sorted(r.vec_id for r in tables["embeddings"])
+    elif name not in ("op3_nearest", "op7_packing", "op11_spelling"):
         assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in tables["documents"])
     texts = {r.doc_id: r.text or "" for r in tables["documents"]}
     if name == "op1_pii":
@@ -134,5 +139,17 @@ def test_pages_of_known_text(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("name", [n for n in Q.oracle_sql()])
+def test_same_rows_as_sql(found, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want, df = con.sql(Q.oracle_sql()[name]), found(name)
+    order = [want.columns.index(c) for c in df.columns]
+    assert sorted(map(repr, (tuple(r) for r in df.collect()))) == sorted(repr(tuple(w[i] for i in order)) for w in want.fetchall())
+
+
 def test_every_query_has_a_contract():
     assert set(Q.queries()) == {*CONTRACTS, "pipeline"} and set(Q.oracle_sql()) <= set(Q.queries())
