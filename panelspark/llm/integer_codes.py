@@ -105,7 +105,7 @@ def cut(vectors: pa.Array, parts: int, scale: int) -> np.ndarray:
 
 
 def _sums(books: list[np.ndarray], column: int, parts: int, scale: int):
-    """What the rows of a task add to each entry, as decimal texts where sums could pass 64 bits elsewhere."""
+    """What the rows of a task add to each entry; decimal texts, since sums can pass 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros(b.shape, dtype=object) for b in books]
@@ -127,6 +127,13 @@ def _sums(books: list[np.ndarray], column: int, parts: int, scale: int):
     return lambda batches: ended(run(batches))
 
 
+def _added(table: pa.Table) -> pa.Table:
+    """All tasks' sums of one entry (a row a task) as its new components, rounded down."""
+    n = sum(table.column("n").to_pylist())
+    total = [sum(map(int, own)) // n for own in zip(*table.column("sums").to_pylist())]
+    return pa.table({"part": table.column("part")[:1], "entry": table.column("entry")[:1], "mean": pa.array([[str(v) for v in total]], pa.list_(pa.string()))})
+
+
 def _codes(books: list[np.ndarray], column: int, parts: int, scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,13 +157,12 @@ def fit_codebooks(vectors: DataFrame, vector_col: str, *, parts: int, entries: i
         return []
     block = cut(first, parts, scale)
     books = [block[:, p] for p in range(parts)]
-    length = books[0].shape[1]
     for _ in range(rounds):
         sums = vectors.select(vector_col).mapInArrow(_sums(books, 0, parts, scale), "part int, entry int, n long, sums array<string>")
-        whole = [F.sum(F.col("sums")[i].cast("decimal(38,0)")).cast("string").alias(f"s{i}") for i in range(length)]
         books = [b.astype(object) for b in books]
-        for r in sums.groupBy("part", "entry").agg(F.sum("n").alias("n"), F.array(*whole).alias("sums")).toLocalIterator():  # parts x entries rows at most
-            books[r["part"]][r["entry"]] = [int(s) // r["n"] for s in r["sums"]]
+        means = sums.groupBy("part", "entry").applyInArrow(_added, "part int, entry int, mean array<string>")
+        for r in means.toLocalIterator():  # parts x entries rows at most
+            books[r["part"]][r["entry"]] = [int(v) for v in r["mean"]]
         books = [b.astype(np.int64) if max(map(abs, b.ravel())) < WIDE else b for b in books]
     return books
 
