@@ -19,22 +19,21 @@ class Operator:
     build: Callable
     #: Earlier rows that the value needs, from the scalar arguments; None: all of them.
     lookback: Callable[..., int | None] = lambda *_: 0
-    #: For long windows: another formula of the same value, from the arguments (None: as it is) ...
-    expand: Callable | None = None
-    #: ... or a function of an instrument's whole series and the window's length.
+    #: For long windows: the same values as a function of (cache, whole series of an instrument ..., window's length);
+    #: ``cache`` is one dict for all formulas of a wave over that instrument.
     series: Callable | None = None
 
 
 OPERATORS: dict[str, Operator] = {}
-#: Windows of more rows than this are long.
+#: Windows of more rows than this are long: they are worked off by series instead of by frames, with equal values.
 LONG = 32
 
 
-def register(name: str, kinds: tuple[str, ...], sees: str, build: Callable, lookback: Callable[..., int | None] = lambda *_: 0, *, expand: Callable | None = None, series: Callable | None = None) -> Operator:
+def register(name: str, kinds: tuple[str, ...], sees: str, build: Callable, lookback: Callable[..., int | None] = lambda *_: 0, *, series: Callable | None = None) -> Operator:
     """Adds an operator (users' own ones too).  ``build`` gets a Column per panel argument and Python scalars."""
     if sees not in (CELL, CROSS, TRAIL):
         raise ValueError(f"unknown view {sees!r}")
-    OPERATORS[name] = made = Operator(name, tuple(kinds), sees, build, lookback, expand, series)
+    OPERATORS[name] = made = Operator(name, tuple(kinds), sees, build, lookback, series)
     return made
 
 

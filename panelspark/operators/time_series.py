@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions import fin, fin0, ieee_div, is_inf, nz, valid
 from .cross_section import sum_of_squares
-from .registry import CELL, INT, LONG, PANEL, TRAIL, register
+from .registry import INT, PANEL, TRAIL, register
+from .series import long_age, long_corr, long_cov, long_extreme, long_mean, long_prod, long_rank, long_stddev, long_sum
 
 
 def history():
@@ -91,18 +90,6 @@ def ts_rank(x: Column, d: int) -> Column:
     return F.when(x.isNotNull(), F.try_divide(below.cast("double"), F.count(x).over(w)))
 
 
-def rank_series(x: np.ndarray, d: int) -> np.ndarray:
-    """ts_rank of a whole series (NaN is missing), with the window kept sorted."""
-    out, held, values = np.full(len(x), np.nan), [], x.tolist()
-    for i, v in enumerate(values):
-        if i >= d and (old := values[i - d]) == old:
-            del held[bisect_left(held, old)]
-        if v == v:
-            insort(held, v)
-            out[i] = bisect_right(held, v) / len(held)
-    return out
-
-
 def _pairs(x: Column, y: Column, d: int):
     w = trailing(d)
     both = valid(x, y)
@@ -117,7 +104,7 @@ def ts_cov(x: Column, y: Column, d: int) -> Column:
 
 def ts_corr(x: Column, y: Column, d: int) -> Column:
     w, a, b, bad = _pairs(x, y, d)
-    return F.when(~bad, nz(F.try_divide(F.covar_pop(a, b).over(w), F.sqrt(F.var_pop(a).over(w) * F.var_pop(b).over(w)))))
+    return F.when(~bad, nz(F.try_divide(F.covar_pop(a, b).over(w), F.sqrt(F.var_pop(a).over(w)) * F.sqrt(F.var_pop(b).over(w)))))
 
 
 def observed_return(x: Column) -> Column:
@@ -135,32 +122,16 @@ register("delta", ONE, TRAIL, lambda x, d: x - delay(x, d), back)
 register("ts_diff", ONE, TRAIL, lambda x, d: x - delay(x, d), back)
 register("ts_return", ONE, TRAIL, lambda x, d: nz(ieee_div(x - delay(x, d), delay(x, d))), back)
 
-#: Sums over long windows are differences of running sums, which windows of all lengths share.
-EVERY = lambda: history().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-register("_running_sum", (PANEL,), TRAIL, lambda x: F.coalesce(F.sum(fin0(x)).over(EVERY()), F.lit(0.0)), lambda: None)
-register("_running_count", (PANEL,), TRAIL, lambda x: F.count(x).over(EVERY()).cast("double"), lambda: None)
-register("_of_window", ONE, TRAIL, lambda total, d: total - F.coalesce(F.lag(total, d).over(history()), F.lit(0.0)), back)
-register("_sum_of", (PANEL, PANEL), CELL, lambda total, n: F.when(n > 0, total))
-register("_mean_of", (PANEL, PANEL), CELL, lambda total, n: F.try_divide(total, n))
-
-
-def by_running_sums(name: str) -> Callable:
-    def expand(call: Callable, x, d: int):
-        return call(name, call("_of_window", call("_running_sum", x), d), call("_of_window", call("_running_count", x), d)) if d > LONG else None
-
-    return expand
-
-
-register("ts_mean", ONE, TRAIL, ts_mean, span, expand=by_running_sums("_mean_of"))
-register("ts_nanmean", ONE, TRAIL, guarded(1, ts_mean), span, expand=by_running_sums("_mean_of"))
-register("ts_sum", ONE, TRAIL, guarded(1, ts_sum), span, expand=by_running_sums("_sum_of"))
-register("ts_prod", ONE, TRAIL, guarded(1, ts_prod), span)
-register("ts_max", ONE, TRAIL, guarded(1, lambda x, d: F.max(fin(x)).over(trailing(d))), span)
-register("ts_min", ONE, TRAIL, guarded(1, lambda x, d: F.min(fin(x)).over(trailing(d))), span)
-register("ts_argmax", ONE, TRAIL, ts_argmax, back)
-register("ts_argmin", ONE, TRAIL, ts_argmin, back)
-register("ts_stddev", ONE, TRAIL, guarded(2, ts_stddev, False), span)
-register("ts_rank", ONE, TRAIL, ts_rank, span, series=rank_series)
-register("ts_cov", PAIR, TRAIL, guarded(2, ts_cov, False), span)
-register("ts_corr", PAIR, TRAIL, guarded(2, ts_corr, False), span)
+register("ts_mean", ONE, TRAIL, ts_mean, span, series=long_mean)
+register("ts_nanmean", ONE, TRAIL, guarded(1, ts_mean), span, series=long_mean)
+register("ts_sum", ONE, TRAIL, guarded(1, ts_sum), span, series=long_sum)
+register("ts_prod", ONE, TRAIL, guarded(1, ts_prod), span, series=long_prod)
+register("ts_max", ONE, TRAIL, guarded(1, lambda x, d: F.max(fin(x)).over(trailing(d))), span, series=long_extreme(1.0))
+register("ts_min", ONE, TRAIL, guarded(1, lambda x, d: F.min(fin(x)).over(trailing(d))), span, series=long_extreme(-1.0))
+register("ts_argmax", ONE, TRAIL, ts_argmax, back, series=long_age(1.0))
+register("ts_argmin", ONE, TRAIL, ts_argmin, back, series=long_age(-1.0))
+register("ts_stddev", ONE, TRAIL, guarded(2, ts_stddev, False), span, series=long_stddev)
+register("ts_rank", ONE, TRAIL, ts_rank, span, series=long_rank)
+register("ts_cov", PAIR, TRAIL, guarded(2, ts_cov, False), span, series=long_cov)
+register("ts_corr", PAIR, TRAIL, guarded(2, ts_corr, False), span, series=long_corr)
 register("observed_return", (PANEL,), TRAIL, observed_return, lambda *_: None)

@@ -3,7 +3,7 @@
 Every distinct sub-formula becomes one column.  Columns are added in waves: all that can be had from cells and from
 instruments' histories, then all that needs whole dates, and so on.  Windows of a wave share one exchange and, over
 histories, one sort, so a plan has as many exchanges as the deepest formula has changes of view.  Long windows are
-taken from running sums, or from whole series in Arrow (one grouping by instrument, which has that exchange already).
+worked off by whole series in Arrow (one grouping by instrument, which has that exchange already).
 """
 
 from __future__ import annotations
@@ -24,31 +24,26 @@ def lookback(expr: Expr) -> int | None:
     if expr.name == "data":
         return 0
     spec = operator(expr.name)
-    own = spec.lookback(*(a for a in expr.args if not isinstance(a, Expr)))
+    own = spec.lookback(*(a for a, kind in zip(expr.args, spec.kinds) if kind != PANEL))
     below = [lookback(a) for a in expr.inputs]
     if own is None or None in below:
         return None
     return own + max(below, default=0)
 
 
-def expanded(e: Expr) -> Expr:
-    """The formula with long windows replaced by what gives the same values in steps."""
-    if e.name == "data":
-        return e
-    args = tuple(expanded(a) if isinstance(a, Expr) else a for a in e.args)
-    other = operator(e.name).expand
-    found = other(lambda name, *own: Expr(name, own), *args) if other and isinstance(args[0], Expr) else None
-    return found or Expr(e.name, args)
-
-
 def _by_series(frame: DataFrame, todo: list[tuple]) -> DataFrame:
-    """Adds columns that are functions of an instrument's whole series: (name, function, input column, window)."""
+    """Adds columns that are functions of an instrument's whole series: (name, function, inputs, window), where an input
+    is a column's name or a number that stands for a constant series."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("t")
-        for name, function, source, d in todo:
-            x = table.column(source).to_numpy(zero_copy_only=False).astype(float)
-            out = function(x, d)
+        table, cache = table.sort_by("t"), {}
+        series = {}
+        for *_, inputs, _ in todo:
+            for i in inputs:
+                if i not in series:
+                    series[i] = table.column(i).to_numpy(zero_copy_only=False).astype(float) if isinstance(i, str) else np.full(table.num_rows, float(i))
+        for name, function, inputs, d in todo:
+            out = function(cache, *(series[i] for i in inputs), d)
             table = table.append_column(name, pa.array(out, pa.float64(), mask=np.isnan(out)))
         return table
 
@@ -76,8 +71,7 @@ def evaluate(panel: DataFrame, formulas: dict[str, Expr], *, t_from: int | None
     """(t, inst, one column per formula, and the panel's columns named by ``keep``).
 
     With ``t_from`` and ``t_to`` only those rows are returned, and only they and the history they need are read."""
-    steps = {n: expanded(e) for n, e in formulas.items()}
-    nodes = _distinct(steps.values())
+    nodes = _distinct(formulas.values())
     fields = set().union(*(e.fields() for e in formulas.values())) if formulas else set()
     unknown = sorted((fields | set(keep)) - set(panel.columns))
     if unknown:
@@ -99,6 +93,7 @@ def evaluate(panel: DataFrame, formulas: dict[str, Expr], *, t_from: int | None
             args.append(held[a.canonical()] if isinstance(a, Expr) else constant(a) if kind == PANEL else a)
         return operator(e.name).build(*args)
 
+    wanted, kept = {e.canonical() for e in formulas.values()}, [f"__k{i}" for i in range(len(keep))]
     waiting = []
     for key, e in nodes.items():
         if e.name == "data":
@@ -113,12 +108,15 @@ def evaluate(panel: DataFrame, formulas: dict[str, Expr], *, t_from: int | None
             if not ready:
                 break
             moved = True
-            whole = [(k, e) for k, e in ready if operator(e.name).series and isinstance(e.args[0], Expr) and e.args[-1] > LONG]
+            whole = [(k, e) for k, e in ready if operator(e.name).series and e.inputs and e.args[-1] > LONG]
             apart = {k for k, _ in whole}
             if len(ready) > len(whole):
                 frame = frame.select("*", *(column(e).alias(names[k]) for k, e in ready if k not in apart))
             if whole:
-                frame = _by_series(frame, [(names[k], operator(e.name).series, column_of[e.args[0].canonical()], e.args[-1]) for k, e in whole])
+                asked = wanted | {a.canonical() for _, e in waiting for a in e.inputs}  # no other column travels to the workers
+                own = [c for k, c in column_of.items() if k in asked] + [names[k] for k, _ in ready if k not in apart and k in asked]
+                todo = [(names[k], operator(e.name).series, tuple(column_of[a.canonical()] if isinstance(a, Expr) else a for a in e.args[:-1]), e.args[-1]) for k, e in whole]
+                frame = _by_series(frame.select("t", "inst", *kept, *dict.fromkeys(own)), todo)
             held |= {k: F.col(names[k]) for k, _ in ready}
             column_of |= {k: names[k] for k, _ in ready}
             done = {k for k, _ in ready}
@@ -127,5 +125,5 @@ def evaluate(panel: DataFrame, formulas: dict[str, Expr], *, t_from: int | None
                 break
         if moved or waiting:
             phase = (CELL, CROSS) if phase == (CELL, TRAIL) else (CELL, TRAIL)
-    out = frame.select("t", "inst", *(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)), *(held[e.canonical()].alias(n) for n, e in steps.items()))
+    out = frame.select("t", "inst", *(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)), *(held[e.canonical()].alias(n) for n, e in formulas.items()))
     return out if t_from is None else out.filter(F.col("t") >= t_from)

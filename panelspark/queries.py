@@ -5,6 +5,7 @@ Values are rounded on both sides and never NaN or negative zero, so that sums of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -60,6 +61,20 @@ def _sql_tidy(x: str, digits: int = 6) -> str:
     return f"round(CASE WHEN isnan({x}) THEN NULL ELSE {x} END, {digits}) + 0.0"
 
 
+#: Values are multiplied by this before digits are cut, since halves of binary fractions are rounded up by one engine
+#: and to even by the other.
+UNTIE = math.pi / 3
+
+
+def significant(x: Column) -> Column:
+    """Seven significant digits (times ``UNTIE``), so that values of any size are compared alike; without negative zero."""
+    return F.when(x.isNotNull(), F.format_string("%.6e", x * UNTIE).cast("double") + F.lit(0.0))
+
+
+def _sql_significant(x: str) -> str:
+    return f"CASE WHEN NOT isnan({x}) THEN CAST(printf('%.6e', {x} * CAST('{UNTIE!r}' AS DOUBLE)) AS DOUBLE) + 0.0 END"
+
+
 def _over(d: int) -> str:
     return f"OVER (PARTITION BY inst ORDER BY t ROWS BETWEEN {d - 1} PRECEDING AND CURRENT ROW)"
 
@@ -161,7 +176,7 @@ GAPPY: dict[str, tuple] = {
     "count_valid": (op("count_valid", VOLUME), FORMULAS["count_valid"][1]),
     "delay": (op("delay", VOLUME, 3), f"lag(volume, 3) {TS}"),
     "delta": (op("delta", VOLUME, 1), f"volume - lag(volume) {TS}"),
-    "ts_diff": (op("ts_diff", VOLUME, 2), f"volume - lag(volume, 2) {TS}"),
+    "ts_diff": (op("ts_diff", _C, 2), f"close - lag(close, 2) {TS}"),
     "ts_return": (op("ts_return", _C, 2), f"(close - lag(close, 2) {TS}) / lag(close, 2) {TS}"),
     "ts_mean": (op("ts_mean", VOLUME, 10), f"avg(volume) {_over(10)}"),
     "ts_nanmean": (op("ts_nanmean", VOLUME, 21), f"avg(volume) {_over(21)}"),
@@ -176,10 +191,27 @@ GAPPY: dict[str, tuple] = {
     "ts_stddev": (op("ts_stddev", VOLUME, 20), f"stddev_samp(volume) {_over(20)}"),
     "ts_rank": FORMULAS["ts_rank"],
     "ts_rank_long": (op("ts_rank", VOLUME, 60), FORMULAS["ts_rank"][1].replace(_over(10), _over(60))),
-    "ts_cov": (op("multiply", op("ts_cov", VOLUME, _Y, 10), 0.0009765625), f"({FORMULAS['ts_cov'][1]}) * CAST(0.0009765625 AS DOUBLE)"),
+    "ts_cov": (op("ts_cov", VOLUME, _Y, 10), FORMULAS["ts_cov"][1]),
     "ts_corr": (op("ts_corr", VOLUME, _Y, 10), f"CASE WHEN var_pop({_XY[0]}) {_over(10)} > 0 AND var_pop({_XY[1]}) {_over(10)} > 0 THEN {FORMULAS['ts_corr'][1]} END"),
     "observed_return": (op("observed_return", _C), "close / last_value(close IGNORE NULLS) OVER (PARTITION BY inst ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1"),
 }
+#: Long windows, with values of all sizes compared alike; ``spike`` is the volume with 1e17 more where it is 30.
+_SPIKE = op("add", VOLUME, op("multiply", op("subtract", 1.0, op("pow", op("sign", op("subtract", VOLUME, 30.0)), 2.0)), 1e17))
+_SPIKE_SQL = "(volume + CASE WHEN volume = 30 THEN 1e17 ELSE 0 END)"
+_VAR = [f"var_pop({v}) {_over(100)}" for v in _XY]
+GAPPY |= {
+    "ts_sum_spike": (op("ts_sum", _SPIKE, 40), f"sum({_SPIKE_SQL}) {_over(40)}"),
+    "ts_mean_spike": (op("ts_mean", _SPIKE, 252), f"avg({_SPIKE_SQL}) {_over(252)}"),
+    "ts_nanmean_long": (op("ts_nanmean", _C, 100), f"avg(close) {_over(100)}"),
+    "ts_prod_long": (op("ts_prod", op("multiply", VOLUME, 0.03125), 40), f"product(volume * 0.03125) {_over(40)}"),
+    "ts_max_long": (op("ts_max", _C, 252), f"max(close) {_over(252)}"),
+    "ts_min_long": (op("ts_min", _C, 252), f"min(close) {_over(252)}"),
+    "ts_argmax_long": (op("ts_argmax", VOLUME, 252), FORMULAS["ts_argmax"][1].replace("10 PRECEDING", "252 PRECEDING")),
+    "ts_argmin_long": (op("ts_argmin", VOLUME, 252), FORMULAS["ts_argmin"][1].replace("10 PRECEDING", "252 PRECEDING")),
+    "ts_stddev_long": (op("ts_stddev", _C, 100), f"stddev_samp(close) {_over(100)}"),
+    "ts_cov_long": (op("ts_cov", VOLUME, _C, 100), f"covar_samp({_XY[0]}, {_XY[1].replace('THEN y', 'THEN close')}) {_over(100)}"),
+    "ts_corr_long": (op("ts_corr", VOLUME, _Y, 100), f"CASE WHEN {_VAR[0]} > 0 AND {_VAR[1]} > 0 THEN {FORMULAS['ts_corr'][1].replace(_over(10), _over(100))} END"),
+}
 #: Of the daily panel x and y are volume and close / 997, missing where these are.
 _DAY_XY = f"(SELECT *, volume AS x, close * CAST('{1 / 997!r}' AS DOUBLE) AS y FROM panel)"
 
@@ -188,7 +220,28 @@ _DAY_XY = f"(SELECT *, volume AS x, close * CAST('{1 / 997!r}' AS DOUBLE) AS y F
 INF = op("pow", op("subtract", VOLUME, 30.0), -1.0)
 _INF_SQL = "(SELECT *, CASE WHEN volume = 30 THEN CAST('infinity' AS DOUBLE) ELSE 1 / (volume - 30) END AS z FROM panel)"
 _FIN0, _FIN = "CASE WHEN isinf(z) THEN 0 ELSE z END", "CASE WHEN NOT isinf(z) THEN z END"
+_N, _NF = f"count(z) {_over(10)}", f"count({_FIN}) {_over(10)}"
+
+
+def _squares_sql(w: str) -> str:
+    """Squared deviations of the finite values from the mean in which infinities count as 0."""
+    mean = f"sum({_FIN0}) {w} / nullif(count(z) {w}, 0)"
+    return f"coalesce(count({_FIN}) {w} * (var_pop({_FIN}) {w} + (avg({_FIN}) {w} - {mean}) ** 2), 0)"
+
+
+_BY_DATE = "OVER (PARTITION BY t)"
+_ZSCORE = f"(z - sum({_FIN0}) {_BY_DATE} / count(z) {_BY_DATE}) / (sqrt({_squares_sql(_BY_DATE)} / count(z) {_BY_DATE}) + 1e-10)"
+_BAD = f"coalesce(max(CASE WHEN z IS NOT NULL AND close IS NOT NULL THEN CAST(isinf(z) AS INT) END) {_over(10)}, 0) = 0"
+_ZC = ["CASE WHEN NOT isinf(z) AND close IS NOT NULL THEN z END", "CASE WHEN NOT isinf(z) THEN close END"]
+_BACK = "OVER (PARTITION BY inst ORDER BY t ROWS BETWEEN 10 PRECEDING AND CURRENT ROW)"
+_AGE = f"coalesce(t - {{sign}}({{best}}(CASE WHEN NOT isinf(z) THEN {{{{'z': z, 't': {{sign}}t}}}} END) {_BACK}).t, CASE WHEN count(z) {_BACK} > 0 THEN 0 END)"
 INFINITE: dict[str, tuple] = {
+    "ts_stddev": (op("ts_stddev", INF, 10), f"CASE WHEN {_N} > 1 THEN sqrt({_squares_sql(_over(10))} / ({_N} - 1)) END"),
+    "cs_zscore": (op("divide", op("cs_zscore", INF), 1.0), f"CASE WHEN z IS NULL THEN 0 WHEN isinf(z) THEN sign(z) * 1e9 ELSE {_ZSCORE} END"),
+    "ts_argmax": (op("ts_argmax", INF, 10), f"CAST({_AGE.format(best='max', sign='')} AS DOUBLE)"),
+    "ts_argmin": (op("ts_argmin", INF, 10), f"CAST({_AGE.format(best='min', sign='-')} AS DOUBLE)"),
+    "ts_cov": (op("ts_cov", INF, _C, 10), f"CASE WHEN {_BAD} THEN covar_samp({_ZC[0]}, {_ZC[1]}) {_over(10)} END"),
+    "ts_corr": (op("ts_corr", INF, _C, 10), f"CASE WHEN {_BAD} AND var_pop({_ZC[0]}) {_over(10)} > 0 AND var_pop({_ZC[1]}) {_over(10)} > 0 THEN corr({_ZC[0]}, {_ZC[1]}) {_over(10)} END"),
     "ts_mean": (op("ts_mean", INF, 10), f"sum({_FIN0}) {_over(10)} / count(z) {_over(10)}"),
     "ts_sum": (op("ts_sum", INF, 40), f"sum({_FIN0}) {_over(40)}"),
     "ts_prod": (op("ts_prod", INF, 3), f"product(CASE WHEN isinf(z) THEN 1 ELSE z END) {_over(3)}"),
@@ -201,22 +254,24 @@ INFINITE: dict[str, tuple] = {
 
 
 def infinite_op(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return _formula(INFINITE[name][0], day_panel)
+    show = tidy if name == "ts_sum" else significant  # sums of both signs come near 0, where only decimals can be compared
+    return lambda spark, sf_dir: evaluate(day_panel(spark, sf_dir), {"value": INFINITE[name][0]}).select("t", "inst", show(F.col("value")).alias("value"))
 
 
 def infinite_op_sql(name: str) -> str:
-    return f"{DAY_SQL} SELECT t, inst, {_sql_tidy('v')} AS value FROM (SELECT t, inst, {INFINITE[name][1]} AS v FROM {_INF_SQL})"
+    show = _sql_tidy if name == "ts_sum" else _sql_significant
+    return f"{DAY_SQL} SELECT t, inst, {show('v')} AS value FROM (SELECT t, inst, CAST({INFINITE[name][1]} AS DOUBLE) AS v FROM {_INF_SQL})"
 
 
 def gappy_op(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return evaluate(day_panel(spark, sf_dir), {"value": GAPPY[name][0]}).select("t", "inst", tidy(F.col("value")).alias("value"))
+        return evaluate(day_panel(spark, sf_dir), {"value": GAPPY[name][0]}).select("t", "inst", significant(F.col("value")).alias("value"))
 
     return run
 
 
 def gappy_op_sql(name: str) -> str:
-    return f"{DAY_SQL} SELECT t, inst, {_sql_tidy('v')} AS value FROM (SELECT t, inst, {GAPPY[name][1]} AS v FROM {_DAY_XY})"
+    return f"{DAY_SQL} SELECT t, inst, {_sql_significant('v')} AS value FROM (SELECT t, inst, CAST({GAPPY[name][1]} AS DOUBLE) AS v FROM {_DAY_XY})"
 
 
 SPIKE = op("divide", VOLUME, op("ts_mean", VOLUME, 10))
@@ -320,7 +375,8 @@ def pool_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def data_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = evaluate(day_panel(spark, sf_dir), {"v": op("delta", VOLUME, 1)})
+    """Missing, infinite and zero values per supplier of the field that is infinite where the volume is 30, times the volume's change."""
+    cells = evaluate(day_panel(spark, sf_dir), {"v": op("multiply", INF, op("delta", VOLUME, 1))})
     return P.data_quality(cells, "inst", "v")
 
 
@@ -526,8 +582,8 @@ def members_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candles_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly bars of ten users written as a CSV each, read, aligned on the union of their hours, with both axes numbered."""
-    ticks = spark.read.parquet(f"{sf_dir}/events.parquet").filter("user_id % 100 < 10").withColumnRenamed("user_id", "inst")
+    """Hourly bars of all users written as a CSV each, read, aligned on the union of their hours, with both axes numbered."""
+    ticks = spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("user_id", "inst")
     path = fresh_folder(spark, "candles")
     rows = bars(ticks).select(F.concat(F.lit("u"), F.col("inst")).alias("file"), F.col("ts").alias("timestamp"), "open", "high", "low", "close", "volume", F.lit("").alias("source"))
     rows.repartition("file").write.partitionBy("file").option("header", True).csv(path)
@@ -538,7 +594,14 @@ def candles_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def returns_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pool written as a returns file; its first three expressions read back."""
+    """The pool written as a returns file and read back."""
+    path = fresh_folder(spark, "returns")
+    M.save_returns(signal_pool(spark, sf_dir), path)
+    return M.load_returns(spark, path).select("expr", "t", tidy(F.col("ret"), 7).alias("ret"))
+
+
+def returns_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three expressions of such a file."""
     path = fresh_folder(spark, "returns")
     M.save_returns(signal_pool(spark, sf_dir), path)
     return M.load_returns(spark, path, first=3).select("expr", "t", tidy(F.col("ret"), 7).alias("ret"))
@@ -602,7 +665,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         slot_batch, observed_adv20, universe_mask, candles, transition_matrix, sequence_features, batch_summary, quantile_by_bucket,
         portfolio_weights, trajectory_steps, text_complexity, stage_sampling, piecewise_fitness, potentials, long_short,
         long_short_sharpe, trajectory_medians, text_huffman, matrix_round_trip, panel_round_trip, catalogue_round_trip, members_only, candles_round_trip,
-        returns_round_trip, search_log_round_trip, user_operator, stream_signals,
+        returns_round_trip, returns_first, search_log_round_trip, user_operator, stream_signals,
     )},
     "reindex": reindexed,
 }
@@ -630,8 +693,8 @@ JOIN (SELECT e AS expr, max(c) AS m FROM pairs WHERE e <> o GROUP BY e) USING (e
 SELECT CAST(least(floor((c - lo) / (hi - lo) * 30), 29) AS INT) AS bin, count(*) AS n FROM u, b GROUP BY 1""",
     "pool_dedup": f"{POOL_SQL} SELECT expr, t, round(ret, 7) + 0.0 AS ret FROM pool",
     "pool_top": f"{POOL_SQL} SELECT expr, round(avg(ret) / greatest(stddev_pop(ret), 1e-9), 6) + 0.0 AS utility FROM pool GROUP BY expr ORDER BY avg(ret) / greatest(stddev_pop(ret), 1e-9) DESC LIMIT 3",
-    "data_quality": f"""{DAY_SQL}, d AS (SELECT inst, volume - lag(volume) {TS} AS v FROM panel)
-SELECT inst, count(*) AS total, count(*) FILTER (v IS NULL) AS missing, CAST(0 AS BIGINT) AS infinite, count(*) FILTER (v = 0) AS zero FROM d GROUP BY inst""",
+    "data_quality": f"""{DAY_SQL}, d AS (SELECT inst, z * (volume - lag(volume) {TS}) AS v FROM {_INF_SQL})
+SELECT inst, count(*) AS total, count(*) FILTER (v IS NULL OR isnan(v)) AS missing, count(*) FILTER (isinf(v)) AS infinite, count(*) FILTER (v = 0) AS zero FROM d GROUP BY inst""",
     "slot_batch": _slot_sql(),
     "observed_adv20": f"""{DAY_SQL} SELECT t, inst, CASE WHEN count(volume) OVER w = 20 THEN round(avg(volume) OVER w, 6) + 0.0 END AS adv20 FROM panel
 WINDOW w AS (PARTITION BY inst, volume IS NULL ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
@@ -680,10 +743,11 @@ g AS (SELECT * FROM (SELECT DISTINCT d FROM c WHERE year(d) = 1996) CROSS JOIN (
 SELECT 'volume' AS field, CAST(d AS VARCHAR) AS date, CAST(inst AS BIGINT) AS inst, round(volume, 6) + 0.0 AS value FROM g
 UNION ALL SELECT 'high', CAST(d AS VARCHAR), inst, round(high, 6) + 0.0 FROM g UNION ALL SELECT 'gone', NULL, NULL, NULL""",
     "members_only": f"{MONTH_SQL} SELECT t, inst, volume FROM r WHERE inst IN (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1)",
-    "candles_round_trip": """WITH b AS (SELECT user_id, date_trunc('hour', ts) AS h, arg_min(value, ts) AS open, arg_max(value, ts) AS close, sum(value) AS volume FROM events WHERE user_id % 100 < 10 GROUP BY 1, 2),
+    "candles_round_trip": """WITH b AS (SELECT user_id, date_trunc('hour', ts) AS h, arg_min(value, ts) AS open, arg_max(value, ts) AS close, sum(value) AS volume FROM events GROUP BY 1, 2),
 i AS (SELECT 'u' || user_id AS inst, user_id FROM (SELECT DISTINCT user_id FROM b)), g AS (SELECT * FROM (SELECT DISTINCT h FROM b) CROSS JOIN i LEFT JOIN b USING (h, user_id))
 SELECT CAST(dense_rank() OVER (ORDER BY h) - 1 AS INT) AS t, CAST(dense_rank() OVER (ORDER BY inst) - 1 AS INT) AS "column", inst, strftime(h, '%Y-%m-%d %H:%M:%S') AS ts, open, close, round(volume, 6) + 0.0 AS volume FROM g""",
-    "returns_round_trip": f"{POOL_SQL} SELECT expr, CAST(dense_rank() OVER (ORDER BY t) - 1 AS INT) AS t, round(ret, 7) + 0.0 AS ret FROM pool WHERE expr IN ('s1', 's2', 's3')",
+    "returns_round_trip": f"{POOL_SQL} SELECT expr, CAST(dense_rank() OVER (ORDER BY t) - 1 AS INT) AS t, round(ret, 7) + 0.0 AS ret FROM pool",
+    "returns_first": f"{POOL_SQL} SELECT expr, CAST(dense_rank() OVER (ORDER BY t) - 1 AS INT) AS t, round(ret, 7) + 0.0 AS ret FROM pool WHERE expr IN ('s1', 's2', 's3')",
     "search_log_round_trip": f"""{POOL_SQL} SELECT expr, round(abs(mu), 6) + 0.0 AS marginal_utility, round(abs(mu), 6) + 0.0 AS own_marginal_utility, round(abs(u), 6) + 0.0 AS utility, round(abs(c), 6) + 0.0 AS corr, round(abs(m), 6) + 0.0 AS maxcorr, round(mu, 6) + 0.0 AS last
 FROM (SELECT expr, avg(ret) / greatest(stddev_pop(ret), 1e-9) AS u FROM pool GROUP BY expr) JOIN mu USING (expr)
 JOIN (SELECT expr, covar_pop(ret, port) / greatest(stddev_pop(ret) * stddev_pop(port), 1e-9) AS c FROM pool JOIN port USING (t) GROUP BY expr) USING (expr)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -145,7 +146,7 @@ def test_long_windows_against_brute_force(spark):
     cell = lambda: rng.choice([None, float("inf"), 0.0]) if rng.random() < 0.1 else round(rng.uniform(-1e4, 1e4), 3)
     x = {i: [cell() for _ in range(160)] for i in range(3)}
     x[3] = [None] * 160
-    names, spans = ["ts_mean", "ts_nanmean", "ts_sum", "ts_rank"], (33, 50, 400)
+    names, spans = ["ts_mean", "ts_nanmean", "ts_sum", "ts_rank", "ts_max", "ts_min", "ts_argmax", "ts_argmin", "ts_stddev"], (33, 50, 64, 400)
     formulas = {f"{n}{d}": op(n, data("x"), d) for n in names for d in spans} | {"nested": op("ts_rank", op("ts_mean", data("x"), 40), 35), "short": op("ts_mean", data("x"), 5)}
     frame = evaluate(panel(spark, x, x), formulas)
     mean = {i: [brute("ts_mean", 40, x[i], x[i], t) for t in range(160)] for i in x}
@@ -161,6 +162,44 @@ def test_long_windows_against_brute_force(spark):
     assert all(same([r.v], [want[r.t, r.inst]], 1e-9) for r in part.collect())
 
 
+def test_long_pairs_and_products_against_brute_force(spark):
+    """Covariances about far-off means with few infinities, flat stretches, and products that neither vanish nor overflow."""
+    rng = random.Random(6)
+    x = {i: [None if rng.random() < 0.1 else 1e6 + rng.uniform(-1, 1) for _ in range(200)] for i in range(3)}
+    y = {i: [None if rng.random() < 0.1 else rng.choice([0.5, 2.0, -1.0]) for _ in range(200)] for i in range(3)}
+    x[0][50], y[1][90] = math.inf, -math.inf
+    x[2][60:140] = [7.0] * 80
+    formulas = {f"{n}{d}": op(n, data("x"), data("y"), d) for n in ("ts_cov", "ts_corr") for d in (33, 100)} | {"prod": op("ts_prod", data("y"), 48), "flat": op("ts_cov", data("y"), 3.0, 40)}
+    for r in evaluate(panel(spark, x, y), formulas).collect():
+        for d in (33, 100):
+            cov, corr = (brute(n, d, x[r.inst], y[r.inst], r.t) for n in ("ts_cov", "ts_corr"))
+            assert same([r[f"ts_cov{d}"]], [cov], 1e-9), (d, r.inst, r.t)
+            assert same([r[f"ts_corr{d}"]], [corr], 1e-8), (d, r.inst, r.t)
+        assert same([r["prod"]], [brute("ts_prod", 48, y[r.inst], y[r.inst], r.t)], 1e-12)
+        assert r["flat"] in (None, 0.0)
+
+
+@pytest.mark.parametrize("spike", [1e17, 1e9, -1e300])
+def test_a_spike_leaves_no_trace(spark, spike, monkeypatch):
+    """Windows of 32 and 33 rows after huge values: what has left a window changes nothing, and LONG changes nothing."""
+    rng = random.Random(2)
+    x = {0: [1.0] * 200, 1: [rng.uniform(0, 3) for _ in range(200)]}
+    for i in x:
+        x[i][100] = x[i][103] = spike
+    formulas = {f"{n}{d}": op(n, data("x"), d) for n in ("ts_sum", "ts_mean", "ts_stddev", "ts_max", "ts_rank") for d in (32, 33, 47)}
+    found = {}
+    for long in (32, 1000, 2):
+        monkeypatch.setattr(sys.modules[evaluate.__module__], "LONG", long)
+        found[long] = {(r.t, r.inst): r for r in evaluate(panel(spark, x), formulas).collect()}
+    for (t, i), r in found[32].items():
+        for key in formulas:
+            name, d = key[:-2], int(key[-2:])
+            if name == "ts_sum" or not any(abs(v) > 1e8 for v in x[i][max(0, t - d + 1) : t + 1]):
+                assert same([r[key]], [brute(name, d, x[i], x[i], t)], 1e-12), (key, t, i)
+            assert same([r[key]], [found[1000][t, i][key]], 1e-12) and same([r[key]], [found[2][t, i][key]], 1e-12), (key, t, i)
+    assert found[32][199, 0]["ts_sum33"] == 33 and found[32][199, 0]["ts_mean33"] == 1
+
+
 def calls():
     """One call of every operator."""
     for name, spec in sorted((n, s) for n, s in OPERATORS.items() if n[0] != "_"):
