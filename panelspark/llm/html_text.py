@@ -8,8 +8,9 @@
    host is no hot key.  A text found on ``share`` of the pages that have the place, three at least, is template; all other text
    varies, so its places are slots.
 3. Templates with their constant texts and slot sizes are joined to the pages (broadcast where a count shows them few;
-   else Spark splits a hot host) and applied page by page.  Constant blocks go, unless they are most of a page: then
-   the page is a copy of others.  What is in article or main elements is the content, else all that varies.
+   else Spark splits a hot host) and applied page by page.  Constant blocks go, but for headings within article and
+   main elements.  Of what varies, that in article and main elements is the content, or that
+   outside of them if it is longer.  A page all of whose blocks are constant is a copy of others and keeps them.
 
 Scripts, menus, footers, sidebars, buttons and comments go by their element or name.  Forms, page headers and elements
 whose whole class name, id or role says notice, advert, sharing and the like go as well, but a name is evidence only:
@@ -43,7 +44,9 @@ from pyspark.sql import functions as F
 
 from .shared import ended, keep, small
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*+>""", re.S)
+#: Comments, tags and declarations.  A quote opens a value only behind ``=``; what the page's end cuts off ends there, so
+#: every match is final and a page is read in one pass.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Elements by what they mean for reading.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,9 +60,14 @@ _ASIDE_NAMES = set(
     "header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related share "
     "sharing sidebar social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo".split()
 )
-_COMMENT_NAMES = set("comment comments disqus replies reply respond".split())
+_COMMENT_NAMES = set("comment comments commentlist commentform commentarea commentsection disqus replies reply respond".split())
+#: Words for the article itself; its header is part of it.
+_OWN = set("article entry post story".split())
 #: Words that only say where such a thing stands or what it is made of.
-_FILLER = set("area bar block body bottom box button buttons container content form global inner item left links list main outer page panel primary right secondary section site text title top widget wrap wrapper".split())
+_FILLER = set(
+    "area bar block body bottom box button buttons container content form global inner item items left links list main outer page panel "
+    "posts primary reader readers right secondary section signup site slot text title top unit user users widget wrap wrapper".split()
+) | _OWN
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = _BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 _LIMITS = {"ul", "ol", "table", "dl", "div", "section", "article", "body", "html", "main", "nav", "aside", "header", "footer", "td", "th", "blockquote", "form"}
@@ -76,6 +84,8 @@ LEAST_PAGES = 3
 def named(name: str, words: set[str]) -> bool:
     """Whether a whole class name, id or role is one of the words, or a compound of them and of words that say where."""
     parts = [p for p in re.split(r"[^a-z]+", name) if p]
+    if "header" in parts and not _OWN.isdisjoint(parts):
+        return False
     return name in words or any(p in words for p in parts) and all(p in words or p in _FILLER or p in _ASIDE_NAMES for p in parts)
 
 
@@ -173,8 +183,8 @@ def parse(text: str) -> Page:
         above.parts.append(node)
         above.children.append(node)
         nodes.append(node)
-        alone = attributes.endswith("/")
-        if tag in _RAW_TEXT and not alone:
+        alone = attributes.endswith("/") and (len(attributes) == 1 or attributes[-2] in " \t\n\r\f\"'")  # else the end of a value
+        if tag in _RAW_TEXT and not (alone and tag in ("svg", "math")):
             end = _RAW_ENDS[tag].search(text, at)
             at = end.end() if end else len(text)
         elif tag not in _VOID and not (alone and tag not in _BLOCK):
@@ -360,20 +370,25 @@ def text_hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def pieces(page: Page, is_aside) -> list[tuple[int, str, bool]]:
-    """The blocks of a page in order: place, text, and whether it is in an article or main element."""
-    out: list[tuple[int, str, bool]] = []
+#: Elements whose text in an article is the author's, even where pages share it ("Summary").
+_READING = set("h1 h2 h3 h4 h5 h6".split())
+
+
+def pieces(page: Page, is_aside) -> list[tuple[int, str, bool, bool]]:
+    """The blocks of a page in order: place, text, whether it is in an article or main element, and whether there it is
+    of a kind that is read."""
+    out: list[tuple[int, str, bool, bool]] = []
     held: list[str] = []
 
-    def flush(place: int, inside: bool) -> None:
+    def flush(place: int, inside: bool, reading: bool) -> None:
         text = " ".join(_html.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append((place, text, inside))
+            out.append((place, text, inside, inside and reading))
 
-    open_ = [(page.root, iter(page.root.parts), 0, -1, False)]  # node, what is left of it, path, place of its block, inside
+    open_ = [(page.root, iter(page.root.parts), 0, -1, False, False)]  # node, what is left of it, path, place of its block, inside, reading
     while open_:
-        node, left, path, place, inside = open_[-1]
+        node, left, path, place, inside, reading = open_[-1]
         for part in left:
             if isinstance(part, str):
                 held.append(part)
@@ -383,14 +398,14 @@ def pieces(page: Page, is_aside) -> list[tuple[int, str, bool]]:
                 own = zlib.crc32(part.label.encode(), path)
                 block = part.tag in _BLOCK
                 if block:
-                    flush(place, inside)
-                open_.append((part, iter(part.parts), own, _place(part, own) if block else place, inside or part.tag in ("article", "main")))
+                    flush(place, inside, reading)
+                open_.append((part, iter(part.parts), own, _place(part, own) if block else place, inside or part.tag in ("article", "main"), reading or part.tag in _READING))
                 break
         else:
             open_.pop()
             if node.tag in _BLOCK:
-                flush(place, inside)
-    flush(-1, False)
+                flush(place, inside, reading)
+    flush(-1, False, False)
     return out
 
 
@@ -408,6 +423,8 @@ def asides(page: Page, rich: set[int]):
         if node.tag in ("html", "body", "article", "main"):
             return False
         hard = node.tag in _HARD
+        if node.tag == "header" and any(not _OWN.isdisjoint(re.split("[^a-z]+", n)) for n in node.names):
+            return False
         header = inside and (node.tag == "header" or all(not named(n, _ASIDE_NAMES) or "header" in re.split("[^a-z]+", n) for n in node.names))
         if not (hard or node.tag in ("form", "header") and not (inside and node.tag == "header") or node.aside and not header):
             return False
@@ -421,15 +438,15 @@ def asides(page: Page, rich: set[int]):
 
 
 def main_text(page: Page, wrapper: Wrapper) -> str:
+    """Slot text of the article and main elements or of all else, whichever holds more of it (teasers beside a main text
+    are articles too); a page that has no slot text at all is a copy of others and gives its shared text."""
     wrapper.align(page)
     found = pieces(page, asides(page, wrapper.rich))
-    if any(inside for *_, inside in found):
-        found = [p for p in found if p[2]]
-    kept = [text for place, text, _ in found if (place, text_hash(text)) not in wrapper.constants]
-    total = sum(len(text) for _, text, _ in found)
-    if 2 * sum(map(len, kept)) < total:  # a copy of other pages
-        kept = [text for _, text, _ in found]
-    return "\n\n".join(kept)
+    slots = [p for p in found if p[3] or (p[0], text_hash(p[1])) not in wrapper.constants]
+    kept = slots or found
+    within = sum(len(text) for _, text, inside, _ in kept if inside)
+    inside_wins = 2 * within >= sum(len(text) for _, text, *_ in kept) and within
+    return "\n\n".join(text for _, text, inside, _ in kept if inside == bool(inside_wins))
 
 
 def _induce(frame: pd.DataFrame) -> pd.DataFrame:
@@ -459,7 +476,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, template, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
             page = parse(html or "")
             wrappers.get(host, template).align(page)
-            found = {(place, text_hash(text)): len(text) for place, text, _ in pieces(page, by_element)}
+            found = {(place, text_hash(text)): len(text) for place, text, *_ in pieces(page, by_element)}
             for (place, text), n in found.items():
                 seen[host, place, text] += 1
                 chars[host, place, text] += n
