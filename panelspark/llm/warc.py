@@ -5,7 +5,7 @@ executor leaves no half archives and any file system of Spark's serves.  Equal p
 by one pre-aggregated grouping of digests; only groups of two or more are joined back (broadcast if counted few), to make revisit records.
 
 Reading: whole files are dealt to partitions of about ``split_bytes``.  Equality, IN and null conditions on header
-columns are pushed down; a record's headers are parsed first, and payloads that no one wants (by condition, or
+columns are pushed down (as in SQL, null equals nothing and passes IS NULL and <=> null only); a record's headers are parsed first, and payloads that no one wants (by condition, or
 because the schema asked for has no ``payload``) are skipped by seeking.
 
 Archives whose names end in .gz (a gzip member a record, or one for all) are read as well; of those, payloads that no one
@@ -30,6 +30,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull
+
 from .shared import keep, small
 
 SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -81,7 +82,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, path: str, schema, split_bytes: int, verify: bool):
         self.path, self.fields, self.split_bytes, self.verify = path, [f.name for f in schema.fields], split_bytes, verify
         self.arrow = pa.schema([(f.name, {"long": pa.int64(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.dataType.simpleString()]) for f in schema.fields])
-        self.tests: list[tuple[str, tuple]] = []
+        self.tests: list[tuple[str, frozenset | None, bool]] = []  # column, values that pass (None: all), whether null passes
 
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
@@ -89,9 +90,12 @@ class WarcReader(DataSourceReader):
             if name not in _HEADERS:
                 yield f
             elif isinstance(f, IsNotNull):
-                self.tests.append((name, ()))
-            else:
-                self.tests.append((name, tuple(f.value) if isinstance(f, In) else (None,) if isinstance(f, IsNull) else (f.value,)))
+                self.tests.append((name, None, False))
+            elif isinstance(f, IsNull) or isinstance(f, EqualNullSafe) and f.value is None:
+                self.tests.append((name, frozenset(), True))
+            else:  # a comparison with null is never true
+                values = f.value if isinstance(f, In) else [f.value]
+                self.tests.append((name, frozenset(v for v in values if v is not None), False))
 
     def partitions(self) -> list[Archives]:
         files, folder = pyarrow.fs.FileSystem.from_uri(self.path)
@@ -106,7 +110,7 @@ class WarcReader(DataSourceReader):
         return out
 
     def _wanted(self, row: dict) -> bool:
-        return all(row[name] is not None if not values else row[name] in values for name, values in self.tests)
+        return all(null if row[name] is None else values is None or row[name] in values for name, values, null in self.tests)
 
     def _records(self, stream) -> Iterator[dict]:
         while line := stream.readline():

@@ -237,6 +237,20 @@ def test_archives_round_trip(spark, tmp_path):
     assert read_warc(spark, none).count() == 0
 
 
+def test_pushed_conditions_equal_sparks_own(spark, tmp_path):
+    rows = [(1, "u1", "a"), (2, None, "a"), (None, "u3", "b"), (4, "u1", "b"), (5, "", "c")]
+    path = archive_name(str(tmp_path))
+    write_warc(spark.createDataFrame(rows, PAGES), path)
+    columns = "page_id long, url string, record_type string, refers_to long, payload_bytes long"
+    plain = spark.createDataFrame(read_warc(spark, path, columns).collect(), columns)
+    for condition in (
+        "refers_to in (1, null)", "url in ('u1', null)", "page_id in (null)", "refers_to = 1", "refers_to = null", "refers_to <=> null", "refers_to <=> 1", "not (refers_to <=> 1)", "url is null", "url is not null",
+        "refers_to is not null and url = 'u1'", "url not in ('u1', 'u3')", "record_type in ('response') and page_id is null", "page_id = 1 or refers_to = 1", "payload_bytes in (1, 2) and url is not null", "refers_to is null and refers_to = 1",
+    ):
+        key = lambda df: sorted(map(repr, (tuple(r) for r in df.filter(condition).collect())))
+        assert key(read_warc(spark, path, columns)) == key(plain), condition
+
+
 def test_archives_of_gzip_members(spark, tmp_path):
     import gzip
 
