@@ -21,8 +21,8 @@ short, and joined by shuffling otherwise.  Two kinds of link can be missed: pair
 estimate is over 4.5 standard errors too low (3e-6 of the pairs at the threshold).
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; a text of fewer than n
-words is one shingle, its whole word sequence; rows that repeat a doc_id are one document, linked by the text that sorts
-first, and each row has its own set size; a row without a doc_id is linked with nothing.
+words is one shingle, its whole word sequence; rows that repeat a doc_id are one document with the links of all their
+texts, and each row has its own set size; a row without a doc_id is linked with nothing, its component is null.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ from .textblock import Words, blocks, mix, shingle_sets, utf8
 
 BANDS, ROWS, REGISTERS, MANTISSA, SMALL = 24, 4, 256, 10, 256
 BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 400_000
+#: Members of a bucket that are held against its lead in one group.
+LEAD_MEMBERS = 4096
 #: Bytes of text worked on at once.
 TEXT_BLOCK = 2 << 20
 _A = (mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -289,16 +291,8 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("doc"), F.col("v").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """A row per document row: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest doc_id reachable by links)
-    and ``kept`` (whether the document is its component's smallest)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    signed = lambda rows: keep(rows.mapInArrow(_signatures(words), "doc long, n long, fp1 long, fp2 long, keys array<long>"))
-    sigs = rows_of_all = signed(texts)
-    repeats = not sigs.groupBy("doc").count().filter("count > 1").isEmpty()
-    if repeats:
-        texts = texts.groupBy("doc").agg(F.min("text").alias("text"))
-        sigs = signed(texts)
+def _classes(texts: DataFrame, sigs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc, n, comp) of texts with ids of their own and their signatures."""
     copies = sigs.filter("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("held"))
     copies = small(keep(copies.filter("held > 1").drop("held")))  # sets of one row only stand for themselves
     sets = sigs.join(copies, ["fp1", "fp2", "n"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc")))
@@ -310,8 +304,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bodies = keep(candidates.mapInArrow(_contents(words), "doc long, n long, body binary"))
 
     star = members.select("doc", F.col("a").alias("lead")).union(members.select("doc", F.col("b").alias("lead"))).filter("doc <> lead").distinct()
-    leads = bodies.select(F.col("doc").alias("lead"), F.col("n").alias("m"), F.col("body").alias("other"))
-    judged = star.join(bodies, "doc").join(leads, "lead").select("doc", "lead", "n", "body", "m", "other")
+    # the members of a large bucket share a lead: they are dealt to parts, and each part gets the lead's body
+    parts = small(keep(star.groupBy("lead").agg(F.ceil(F.count("*") / LEAD_MEMBERS).cast("int").alias("np"))))
+    star = star.join(parts, "lead").withColumn("part", F.pmod(F.xxhash64("doc", F.lit(3)), F.col("np")).cast("int")).drop("np")
+    leads = bodies.withColumnRenamed("doc", "lead").join(parts, "lead").select("lead", F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("part"), F.col("n").alias("m"), F.col("body").alias("other"))
+    judged = star.join(bodies, "doc").join(leads, ["lead", "part"]).select("doc", "lead", "n", "body", "m", "other")
     judged = keep(judged.mapInArrow(_judge_star(percent), "doc long, lead long, n long, linked boolean"))
     unsure = judged.filter("not linked")
     sizes = unsure.groupBy("lead").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("nb"))
@@ -340,7 +337,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         comps = components(links.union(late).union(_confirmed(open_jobs, texts, words, percent)))
 
     out = sets.select("doc", "n", "rep").join(small(keep(comps.withColumnRenamed("doc", "rep"))), "rep", "left")
-    out = out.select("doc", "n", F.coalesce("comp", "rep", "doc").alias("comp"))
-    if repeats:
-        out = rows_of_all.select(F.col("doc").alias("own"), "n").join(out.drop("n"), F.col("own").eqNullSafe(F.col("doc"))).drop("own")
+    return out.select("doc", "n", F.coalesce("comp", "rep", "doc").alias("comp"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """A row per document row: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest doc_id reachable by links)
+    and ``kept`` (whether the document is its component's smallest).
+
+    Rows that repeat a doc_id are one document that has the links of all their texts.  Rows without a doc_id are linked
+    with nothing: ``component_id`` null, ``kept`` true."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    signed = lambda rows: keep(rows.mapInArrow(_signatures(words), "doc long, n long, fp1 long, fp2 long, keys array<long>"))
+    sigs = signed(texts)
+    texts, own = texts.filter("doc is not null"), sigs.filter("doc is not null")
+    if own.groupBy("doc").count().filter("count > 1").isEmpty():
+        out = _classes(texts, own, words, percent)
+    else:
+        rows = keep(texts.withColumn("row", F.monotonically_increasing_id()))
+        texts = rows.select(F.col("row").alias("doc"), "text")
+        found = keep(_classes(texts, signed(texts), words, percent).withColumnRenamed("doc", "row").join(rows.select("row", "doc"), "row"))
+        heads = found.groupBy("comp").agg(F.min("doc").alias("head"), F.count("*").alias("held")).filter("held > 1").drop("held")
+        ids = found.join(small(keep(heads)), "comp").select(F.col("doc").alias("u"), F.col("head").alias("v")).filter("u <> v").distinct()
+        comps = components(keep(ids))
+        out = found.select("doc", "n").join(small(keep(comps.withColumnRenamed("doc", "of"))), F.col("doc") == F.col("of"), "left").select("doc", "n", F.coalesce("comp", "doc").alias("comp"))
+    out = out.unionByName(sigs.filter("doc is null").select("doc", "n", F.lit(None).cast("long").alias("comp")))
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("doc") == F.col("comp"), F.lit(True)).alias("kept"))

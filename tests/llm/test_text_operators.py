@@ -81,6 +81,7 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     want = brute_components(rows, 4, 80)
     for members in (2048, 8):  # whole buckets, and buckets dealt in blocks
         monkeypatch.setattr(nd, "BLOCK_MEMBERS", members)
+        monkeypatch.setattr(nd, "LEAD_MEMBERS", members // 2)
         monkeypatch.setattr(shared, "BROADCAST_ROWS", members - 8)  # lists broadcast, and lists joined
         got = nd.near_duplicates(spark.createDataFrame(rows, SCHEMA).withColumn("kept", F.lit("clash")), words=4).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
@@ -88,8 +89,33 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert nd.near_duplicates(empty(spark)).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, None)], SCHEMA)
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in nd.near_duplicates(twice).collect()) == [(-1, -1, True), (1, 1, True), (1, 1, True), (2, 1, False)]
+    ids = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f")], SCHEMA)
+    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1, r.kept) for r in nd.near_duplicates(ids).collect()) == [(-1, 2, -1, True)] * 2 + [(5, 2, 5, True), (7, 2, 5, False)]
     other = spark.createDataFrame([(5, "z z z z z y y"), (5, "a b c d e f"), (2, "a b c d e f"), (9, "z z z z z y y")], SCHEMA)
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in nd.near_duplicates(other).collect()) == [(2, 2, 2), (5, 2, 2), (5, 3, 2), (9, 3, 9)]
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in nd.near_duplicates(other).collect()) == [(2, 2, 2), (5, 2, 2), (5, 3, 2), (9, 3, 2)]
+
+
+def test_repeated_ids_have_the_links_of_all_their_texts(spark):
+    rng = random.Random(12)
+    texts = [t for _, t in corpus(3, 30)]
+    rows = [(rng.randint(0, 40), rng.choice(texts) + rng.choice(["", "", " tail"])) for _ in range(90)] + [(41, None), (41, ""), (41, texts[0])]
+    by_row = brute_components(list(enumerate(t for _, t in rows)), 5, 80)
+    up = {("id", i): ("id", i) for i, _ in rows} | {("c", c): ("c", c) for _, c in by_row.values()}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, (i, _) in enumerate(rows):
+        up[find(("id", i))] = find(("c", by_row[k][1]))
+    smallest = {}
+    for i in sorted({i for i, _ in rows}):
+        smallest.setdefault(find(("id", i)), i)
+    want = Counter((i, by_row[k][0], smallest[find(("id", i))]) for k, (i, _) in enumerate(rows))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()) == want
+
+
 
 
 def test_hyperminhash_estimate():
