@@ -36,6 +36,8 @@ _MARK = b"\xff"
 #: Bytes of text worked on at once: codes take eight times as much.
 _BLOCK = 1 << 19
 _MODELS: dict = {}
+#: Probabilities that a worker remembers.
+KNOWN = 100_000
 
 
 def _codes(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +121,8 @@ class Low:
         else:
             p -= np.log10(256 - len(out))
         if gone is None:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
             self.known[last] = p
         return p
 
