@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +15,7 @@ from ..sources.scratch import settled
 #: Fixed values of the pool statistics.
 STD_FLOOR, SLICE_FLOOR, UTILITY_LIMIT, DISCOUNT, SKIP_START = 1e-9, 1e-6, 10.0, 0.90, 252
 SERIES_PER_BLOCK = 128
+OTHER_DATES = "the series of the pool have other dates than each other"
 
 
 def _clean(x: Column) -> Column:
@@ -45,59 +48,145 @@ def correlation_to_portfolio(pool: DataFrame) -> DataFrame:
     return pool.join(portfolio(pool), "t").groupBy("expr").agg(_correlation("ret", "port").alias("corr"))
 
 
-def _block_pairs(frames):
-    for f in frames:
-        out = []
-        for same, left, right in zip(f["same"], f["left"], f["right"]):
-            if len({s["dates"] for s in (*left, *right)}) > 1:
-                raise ValueError("the series of the pool have other dates than each other")
-            x, y = (np.array([list(s["vals"]) for s in side], dtype=float) for side in (left, right))
-            x, y = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
-            sx, sy = (np.maximum(np.sqrt((z * z).mean(axis=1)), STD_FLOOR) for z in (x, y))
-            c = np.einsum("it,jt->ij", x, y) / x.shape[1] / (sx[:, None] * sy[None, :])
-            i, j = np.triu_indices(len(left), 1) if same else (k.ravel() for k in np.indices(c.shape))
-            a, b = (np.array([s["expr"] for s in side], dtype=object) for side in (left, right))
-            a, b = a[i], b[j]
-            swap = a > b
-            out.append(pd.DataFrame({"expr_a": np.where(swap, b, a), "expr_b": np.where(swap, a, b), "corr": c[i, j]}))
-        yield pd.concat(out) if out else pd.DataFrame({"expr_a": [], "expr_b": [], "corr": []})
+class _Block:
+    """Series as rows, without their means; ``scale`` holds their deviations."""
 
+    def __init__(self, series):
+        self.dates = {s["dates"] for s in series}
+        if len(self.dates) > 1:
+            raise ValueError(OTHER_DATES)
+        self.expr = np.array([s["expr"] for s in series], dtype=object)
+        x = np.array([list(s["vals"]) for s in series], dtype=float)
+        self.x = x - x.mean(axis=1, keepdims=True)
+        self.scale = np.maximum(np.sqrt((self.x * self.x).mean(axis=1)), STD_FLOOR)
 
-def pair_correlations(pool: DataFrame) -> DataFrame:
-    """(expr_a, expr_b, corr) of every two different series, expr_a < expr_b.  All must have the same dates, else this raises.
 
-    Series travel as arrays in blocks of about ``SERIES_PER_BLOCK``; each pair of blocks is one small matrix product."""
+def _block_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[_Block, _Block, bool]]:
+    """The pairs of blocks of a task, and whether they are one and the same."""
+    for f in frames:
+        for same, left, right in zip(f["same"], f["left"], f["right"]):
+            a = _Block(left)
+            b = a if same else _Block(right)
+            if a.dates != b.dates:
+                raise ValueError(OTHER_DATES)
+            yield a, b, same
+
+
+def _product(a: _Block, b: _Block) -> np.ndarray:
+    """Correlations of every series of one block with every one of the other."""
+    return np.einsum("it,jt->ij", a.x, b.x) / a.x.shape[1] / (a.scale[:, None] * b.scale[None, :])
+
+
+def _largest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(expr, corr): of each series that a task has met, the largest correlation there."""
+    best: dict[str, float] = {}
+    for a, b, same in _block_pairs(frames):
+        c = _product(a, b)
+        if same:
+            np.fill_diagonal(c, -np.inf)
+        for expr, found in ((a.expr, c.max(axis=1)), (b.expr, c.max(axis=0))):
+            for e, v in zip(expr.tolist(), found.tolist()):
+                best[e] = max(v, best.get(e, -np.inf))
+    if best:
+        yield pd.DataFrame({"expr": list(best), "corr": list(best.values())})
+
+
+def _matches(least: float, signed: bool):
+    """(expr_a, expr_b, corr) of the pairs whose correlation (its size, if not ``signed``) is ``least`` or more.
+
+    A quarter of the dates is multiplied first; what the other dates can add to a pair is bounded by the lengths of what
+    is left of its two series, so only pairs that can still reach ``least`` are finished."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for a, b, same in _block_pairs(frames):
+            n = a.x.shape[1]
+            head = n // 4
+            rest = [np.sqrt((k.x[:, head:] ** 2).sum(axis=1)) for k in (a, b)]
+            first = np.einsum("it,jt->ij", a.x[:, :head], b.x[:, :head])
+            reach = (first if signed else np.abs(first)) + rest[0][:, None] * rest[1][None, :]
+            alive = reach / n / (a.scale[:, None] * b.scale[None, :]) >= least - 1e-9
+            if same:
+                alive &= ~np.tri(len(a.expr), dtype=bool)
+            i, j = np.nonzero(alive)
+            if len(i) > alive.size // 8:
+                c = _product(a, b)[i, j]
+            else:
+                c = np.array([a.x[p] @ b.x[q] for p, q in zip(i, j)]) / n / (a.scale[i] * b.scale[j])
+            stays = (c if signed else np.abs(c)) >= least
+            i, j, c = i[stays], j[stays], c[stays]
+            swap = a.expr[i] > b.expr[j]
+            yield pd.DataFrame({"expr_a": np.where(swap, b.expr[j], a.expr[i]), "expr_b": np.where(swap, a.expr[i], b.expr[j]), "corr": c})
+
+    return run
+
+
+def _upper(a: _Block, b: _Block, same: bool) -> np.ndarray:
+    """The pair's part of the correlation matrix's upper triangle with its diagonal, rounded."""
+    c = _product(a, b)
+    return np.round(c[np.triu_indices(len(c))] if same else c.ravel(), 9)
+
+
+def _range(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(lo, hi): the ends of a task's correlations, if it has any."""
+    ends = [(c.min(), c.max()) for c in (_upper(*pair) for pair in _block_pairs(frames)) if c.size]
+    if ends:
+        yield pd.DataFrame({"lo": [min(x for x, _ in ends)], "hi": [max(x for _, x in ends)]})
+
+
+def _binned(lo: float, hi: float, bins: int):
+    """(bin, n) of a task's correlations."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(bins, dtype=np.int64)
+        for pair in _block_pairs(frames):
+            c = _upper(*pair)
+            at = np.floor((c - lo) / (hi - lo) * bins).astype(np.int64) if hi > lo else np.zeros(len(c), dtype=np.int64)
+            total += np.bincount(np.minimum(at, bins - 1), minlength=bins)
+        held = np.flatnonzero(total)
+        yield pd.DataFrame({"bin": held.astype(np.int32), "n": total[held]})
+
+    return run
+
+
+def _pairs_of_blocks(pool: DataFrame, size: int | None = None) -> DataFrame:
+    """(same, left, right): every pair of blocks of about ``SERIES_PER_BLOCK`` series that travel as arrays; ``size`` is how
+    many series there are, if that is known.  What the pairs give is reduced where they are multiplied."""
     series = pool.groupBy("expr").agg(F.array_sort(F.collect_list(F.struct("t", "ret"))).alias("s"))
     series = series.select("expr", F.transform("s", lambda x: x["ret"]).alias("vals"), F.xxhash64(F.transform("s", lambda x: x["t"])).alias("dates"))
-    blocks = max(1, -(-pool.select("expr").distinct().count() // SERIES_PER_BLOCK))
+    blocks = max(1, -(-(pool.select("expr").distinct().count() if size is None else size) // SERIES_PER_BLOCK))
     packed = series.groupBy(F.pmod(F.xxhash64("expr"), F.lit(blocks)).cast("int").alias("b")).agg(F.collect_list(F.struct("expr", "vals", "dates")).alias("left"))
     left = packed.withColumn("c", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))))
     pairs = left.join(packed.select(F.col("b").alias("c"), F.col("left").alias("right")), "c")
-    return pairs.select((F.col("b") == F.col("c")).alias("same"), "left", "right").mapInPandas(_block_pairs, "expr_a string, expr_b string, corr double")
+    return pairs.select((F.col("b") == F.col("c")).alias("same"), "left", "right")
+
+
+def pair_correlations(pool: DataFrame) -> DataFrame:
+    """(expr_a, expr_b, corr) of every two different series, expr_a < expr_b: as many rows as there are pairs.  All must have
+    the same dates, else this and all that is made of pairs raises."""
+    return _pairs_of_blocks(pool).mapInPandas(_matches(-np.inf, True), "expr_a string, expr_b string, corr double")
 
 
-def max_correlation(pool: DataFrame) -> DataFrame:
-    """(expr, maxcorr): the largest signed correlation with another series; missing for a lone one."""
-    pairs = pair_correlations(pool)
-    both = pairs.select(F.col("expr_a").alias("expr"), "corr").union(pairs.select("expr_b", "corr"))
-    return pool.select("expr").distinct().join(both.groupBy("expr").agg(F.max("corr").alias("maxcorr")), "expr", "left")
+def max_correlation(pool: DataFrame, size: int | None = None) -> DataFrame:
+    """(expr, maxcorr): the largest signed correlation with another series; missing for a lone one.  Tasks give the maxima of
+    the series that they have met, not pairs."""
+    found = _pairs_of_blocks(pool, size).mapInPandas(_largest, "expr string, corr double")
+    return found.groupBy("expr").agg(F.max(F.when(F.col("corr") > float("-inf"), F.col("corr"))).alias("maxcorr"))
 
 
 def near_copies(pool: DataFrame, distance: float, *, signed: bool = False) -> DataFrame:
-    """Pairs of series whose distance 1 - |corr| (1 - corr if ``signed``) is at most ``distance``."""
+    """Pairs of series whose distance 1 - |corr| (1 - corr if ``signed``) is at most ``distance``; only they leave the tasks."""
     c = F.col("corr") if signed else F.abs("corr")
-    return pair_correlations(pool).withColumn("dist", 1 - c).filter(F.col("dist") <= distance)
+    found = _pairs_of_blocks(pool).mapInPandas(_matches(1 - distance - 1e-12, signed), "expr_a string, expr_b string, corr double")
+    return found.withColumn("dist", 1 - c).filter(F.col("dist") <= distance)
 
 
 def correlation_histogram(pool: DataFrame, bins: int = 30) -> DataFrame:
-    """(bin, n): equal-width counts of the correlation matrix's upper triangle with its diagonal."""
-    pairs = pair_correlations(pool).select("corr")
-    diagonal = pool.groupBy("expr").agg(F.stddev_pop("ret").alias("s")).select(F.pow("s", F.lit(2.0)).alias("v"))
-    diagonal = diagonal.select((F.col("v") / F.pow(F.greatest(F.sqrt("v"), F.lit(STD_FLOOR)), F.lit(2.0))).alias("corr"))
-    every = pairs.union(diagonal).select(F.round("corr", 9).alias("corr"))
-    edges = every.agg(F.min("corr").alias("lo"), F.max("corr").alias("hi"))
-    at = F.least(F.floor((F.col("corr") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(bins - 1))
-    return every.join(F.broadcast(edges)).groupBy(F.coalesce(at, F.lit(0)).cast("int").alias("bin")).agg(F.count("*").alias("n"))  # edges are one row
+    """(bin, n): equal-width counts of the correlation matrix's upper triangle with its diagonal.  A first pass finds the
+    ends, a second counts; both give a row or some bins for each task."""
+    pairs = settled(_pairs_of_blocks(pool))
+    ends = pairs.mapInPandas(_range, "lo double, hi double").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    counts = pairs.mapInPandas(_binned(ends["lo"] or 0.0, ends["hi"] or 0.0, bins), "bin int, n long")
+    return counts.groupBy("bin").agg(F.sum("n").alias("n"))
 
 
 def _ratio(mean: Column, std: Column) -> Column:
@@ -137,10 +226,10 @@ def marginal_utility(candidates: DataFrame, pool: DataFrame, *, skip_start: int
     return new.join(F.broadcast(_old_utility(base))).select("expr", _gain(size).alias("mu"))  # old is one row
 
 
-def pool_stats(pool: DataFrame, *, skip_start: int = SKIP_START, skip_end: int = 0, periods: int | None = None) -> DataFrame:
-    """(expr, utility, mu, corr, maxcorr).  The pool is written once, so what made it is evaluated once; then one window by
-    date and one aggregation by expression give all but the pair correlations."""
-    pool, held = settled(pool), _in_slice(skip_start, skip_end, periods)
+def pool_stats(pool: DataFrame, *, skip_start: int = SKIP_START, skip_end: int = 0, periods: int | None = None, written: bool = False) -> DataFrame:
+    """(expr, utility, mu, corr, maxcorr).  The pool is written once, so what made it is evaluated once (``written``: it has been
+    already); then one window by date and one aggregation by expression give all but the pair correlations."""
+    pool, held = pool if written else settled(pool), _in_slice(skip_start, skip_end, periods)
     size = pool.select("expr").distinct().count()
     marked = pool.withColumn("port", F.avg("ret").over(Window.partitionBy("t")))
     mixed = F.when(held, _mixed(size))
@@ -148,7 +237,7 @@ def pool_stats(pool: DataFrame, *, skip_start: int = SKIP_START, skip_end: int =
         (F.avg("ret") / F.greatest(F.stddev_pop("ret"), F.lit(STD_FLOOR))).alias("utility"), _correlation("ret", "port").alias("corr"), _ratio(F.avg(mixed), F.stddev_pop(mixed)).alias("new")
     )
     stats = stats.join(F.broadcast(_old_utility(portfolio(pool).filter(held)))).withColumn("mu", _gain(size))  # old is one row
-    return stats.join(max_correlation(pool), "expr").select("expr", "utility", "mu", "corr", "maxcorr")
+    return stats.join(max_correlation(pool, size), "expr").select("expr", "utility", "mu", "corr", "maxcorr")
 
 
 def add_new(pool: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -5,12 +5,16 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections import Counter
+from functools import reduce
+from itertools import cycle
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import few, settled
+
 
 def transitions(sequences: DataFrame, *, seq: str = "seq_id", step: str = "step", token: str = "token", start: str = "0") -> DataFrame:
     """(prev, next, n, p): counts of successors, and their share among all successors of ``prev``."""
@@ -40,10 +44,48 @@ def batch_summary(episodes: DataFrame, *, batch: str = "iteration", reward: str
     return episodes.groupBy(batch).agg(F.avg(reward).alias("mean_reward"), F.stddev_pop(reward).alias("std_reward"), F.avg(length).alias("mean_length"), F.count(reward).alias("n_valid"))
 
 
-def quantile_by_bucket(rows: DataFrame, bucket: Column, value: str, q: float, *, exact: bool = True) -> DataFrame:
-    """(bucket, q): the value's quantile in each bucket, interpolated; approximate where ``exact`` is not asked for."""
-    pick = F.percentile(value, q) if exact else F.percentile_approx(value, q, 10_000)
-    return rows.groupBy(bucket.alias("bucket")).agg(pick.alias("q"))
+def quantile_by_bucket(rows: DataFrame, bucket: Column, value: str, q: float, *, exact: bool = True, bins: int = 1024, enough: int = 10_000) -> DataFrame:
+    """(bucket, q): the value's quantile in each bucket, interpolated; approximate where ``exact`` is not asked for.
+
+    The exact form brings no bucket into one task: rounds of partial counts over ``bins`` parts of a bucket's range find the
+    part that holds the wanted place, and only its rows go on, until they are ``enough`` or fewer or all equal.  The parts
+    are equal in logarithms and in values by turns, so that neither long tails nor narrow clusters need many rounds.
+    Missing values and NaN are left out; buckets without values have a missing quantile."""
+    x = rows.select(bucket.alias("bucket"), F.col(value).cast("double").alias("v"))
+    if not exact:
+        return x.groupBy("bucket").agg(F.percentile_approx(F.when(~F.isnan("v"), F.col("v")), q, 10_000).alias("q"))
+    x = settled(x)
+    every, x = x.select("bucket").distinct(), x.filter("v is not null and not isnan(v)")
+    finite = F.when(F.abs("v") != float("inf"), F.col("v"))
+    span = [F.min("v").alias("lo"), F.max("v").alias("hi"), F.min(finite).alias("from"), F.max(finite).alias("to"), F.min(F.when(F.col("v") != 0, F.abs(finite))).alias("least")]
+    by_size = lambda c: F.when(F.col(c) == 0, 0.0).otherwise(F.signum(c) * (F.log(F.abs(F.col(c))) - F.log("least") + 1))
+    by_value = lambda c: F.col(c) / 2  # noqa: E731  half, so that no width overflows
+    at = (F.col("n") - 1) * q
+    # of a bucket (``of``) the values from lo to hi, n of them, hold the wanted place k and, a share ``part`` on, the next
+    open_ = x.groupBy("bucket").agg(F.count("*").alias("n"), *span).select(F.col("bucket").alias("of"), "n", F.floor(at).alias("k"), (at - F.floor(at)).alias("part"), "lo", "hi", "from", "to", "least")
+    found = []
+    for scale in cycle((by_size, by_value)):
+        open_ = settled(open_)
+        inside = lambda state: x.join(few(state), F.col("bucket").eqNullSafe(F.col("of")) & F.col("v").between(F.col("lo"), F.col("hi")))
+        last = inside(open_.filter(F.col("n") <= enough)).groupBy("of", "k", "part").agg(F.array_sort(F.collect_list("v")).alias("a"))
+        found.append(last.select("of", "part", F.element_at("a", (F.col("k") + 1).cast("int")).alias("v1"), F.try_element_at("a", (F.col("k") + 2).cast("int")).alias("v2")))
+        wide = open_.filter(F.col("n") > enough)
+        if wide.isEmpty():
+            break
+        share = F.coalesce(F.try_divide(scale("v") - scale("from"), scale("to") - scale("from")), F.lit(0.0))
+        piece = F.least(F.floor(share * bins), F.lit(bins - 1))
+        piece = F.when(F.col("v") == float("-inf"), -1).when(F.col("v") == float("inf"), bins).otherwise(piece)
+        parts = inside(wide).groupBy("of", "k", "part", piece.alias("piece")).agg(F.count("*").alias("n"), *span)
+        order = Window.partitionBy("of").orderBy("piece")  # as many rows as there are pieces
+        parts = parts.withColumn("before", F.sum("n").over(order) - F.col("n")).withColumn("next", F.lead("lo").over(order))
+        hit = settled(parts.filter("before <= k and k < before + n").withColumn("k", F.col("k") - F.col("before")))
+        both = (F.col("part") == 0) | (F.col("k") + 1 < F.col("n"))
+        done = ~both | (F.col("lo") == F.col("hi"))
+        found.append(hit.filter(done).select("of", "part", F.col("hi").alias("v1"), F.when(both, F.col("hi")).otherwise(F.col("next")).alias("v2")))
+        open_ = hit.filter(~done).select("of", "n", "k", "part", "lo", "hi", "from", "to", "least")
+    values = reduce(DataFrame.unionByName, found)
+    value = F.when((F.col("part") == 0) | (F.col("v1") == F.col("v2")), F.col("v1")).otherwise((1 - F.col("part")) * F.col("v1") + F.col("part") * F.col("v2"))
+    return every.join(few(values.select("of", value.alias("q"))), F.col("bucket").eqNullSafe(F.col("of")), "left").select("bucket", "q")
 
 
 def weighted_portfolios(returns: DataFrame, weights: DataFrame) -> DataFrame:
@@ -71,8 +113,8 @@ def trajectory_medians(steps: DataFrame, *, key: str) -> DataFrame:
     """One row (time_median, ensemble_median): the medians of the steps' and of the trajectories' mean differences.  A
     trajectory with a missing step has no mean."""
     by_step, by_key = trajectory_summary(steps, key=key)
-    time = by_step.agg(F.percentile("mean_diff", 0.5).alias("time_median"))
-    return time.join(F.broadcast(by_key.agg(F.percentile("mean_diff", 0.5).alias("ensemble_median"))))  # one row each
+    median = lambda means, name: quantile_by_bucket(means, F.lit(0), "mean_diff", 0.5).select(F.col("q").alias(name))
+    return median(by_step, "time_median").join(F.broadcast(median(by_key, "ensemble_median")))  # one row each
 
 
 def huffman_bits(text: str) -> int:
@@ -117,3 +159,35 @@ def stage_of(key: Column, stages: int) -> Column:
 def sampled(key: Column, rate: float) -> Column:
     """Whether a row is in the fixed sample of this rate."""
     return F.pmod(_md5_number(key, ":sample"), F.lit(1_000_000)) < int(rate * 1_000_000)
+
+
+#: Rows of a bin, about, that are put in order in one task.
+RANKED = 100_000
+
+
+def exact_stages(rows: DataFrame, key: Column, stages: int, rate: float) -> DataFrame:
+    """The rows drawn into ``stages`` stages of exactly floor(rate x rows) each, without replacement, with their ``stage``.
+
+    Rows stand in the order of their key's MD5 number, then of the key's text, and the stages are cut off from the front.
+    Counts over ranges of that number tell the place of every range; only ranges across which a cut goes are put in order,
+    each in a task of its own.  Keys must be distinct for that: rows of one key are in one range."""
+    taken = {c.lower() for c in rows.columns}
+    h, text = (next(n for n in (name, name + "_", name + "__") if n not in taken) for name in ("__h", "__text"))
+    rows = rows.withColumn(h, _md5_number(key, "")).withColumn(text, key.cast("string"))
+    total = rows.count()
+    size = int(total * rate + 1e-9)
+    if size * stages > total:
+        raise ValueError(f"{stages} stages of {size} rows are more than the {total} rows")
+    if not size:
+        return rows.drop(h, text).withColumn("stage", F.lit(0)).limit(0)
+    bits = min(24, max(4, (total // RANKED).bit_length()))
+    of = F.shiftright(F.col(h), 32 - bits)
+    counts = rows.groupBy(of.alias("of")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("of"))  # a row for each RANKED rows
+    ranges = settled(counts.select("of", (upto - F.col("n")).alias("first"), (upto - 1).alias("last")))
+    placed = rows.join(few(ranges), of == F.col("of"))
+    whole = F.floor(F.col("first") / size) == F.floor(F.col("last") / size)
+    rank = F.row_number().over(Window.partitionBy("of").orderBy(h, text)) - 1 + F.col("first")
+    known = placed.filter(whole).withColumn("stage", F.floor(F.col("first") / size).cast("int"))
+    cut = placed.filter(~whole).withColumn("stage", F.floor(rank / size).cast("int"))
+    return known.unionByName(cut).filter(F.col("stage") < stages).drop(h, text, "of", "first", "last")

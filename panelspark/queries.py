@@ -343,7 +343,7 @@ def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pool_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = P.pool_stats(signal_pool(spark, sf_dir), skip_start=SKIP)
+    out = P.pool_stats(signal_pool(spark, sf_dir), skip_start=SKIP, written=True)
     return out.select("expr", *(tidy(F.col(c)).alias(c) for c in ("utility", "mu", "corr", "maxcorr")))
 
 
@@ -480,6 +480,19 @@ def text_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", R.huffman_length("text").alias("huffman_bits"), R.gzip_length("text").alias("gzip_bytes"))
 
 
+def exact_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn without replacement into three stages of exactly a fifth each."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return R.exact_stages(d, F.col("doc_id"), 3, 0.2)
+
+
+def quantile_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 0.999 quantile of line prices by return flag and status, narrowed down by histograms."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    out = R.quantile_by_bucket(rows, F.concat("l_returnflag", "l_linestatus"), "l_extendedprice", 0.999, enough=100)
+    return out.select("bucket", significant(F.col("q")).alias("q"))
+
+
 def stage_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents dealt to four disjoint stages: rows and characters of each."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -488,7 +501,7 @@ def stage_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def piecewise_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted piecewise scores of the pool's statistics."""
-    stats = P.pool_stats(signal_pool(spark, sf_dir), skip_start=SKIP).unpivot("expr", ["utility", "corr", "maxcorr"], "metric", "value")
+    stats = P.pool_stats(signal_pool(spark, sf_dir), skip_start=SKIP, written=True).unpivot("expr", ["utility", "corr", "maxcorr"], "metric", "value")
     out = P.fitness(stats, {"utility": (1.0, 0.0, 0.5), "corr": (0.5, -1.0, 1.0), "absent": (2.0, 0.0, 1.0)})
     return out.select("expr", tidy(F.col("fitness")).alias("fitness"))
 
@@ -609,7 +622,7 @@ def returns_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pool's statistics written as a search log, with a line that failed, and read back."""
-    s = P.pool_stats(signal_pool(spark, sf_dir), skip_start=SKIP)
+    s = P.pool_stats(signal_pool(spark, sf_dir), skip_start=SKIP, written=True)
     pair = lambda name, c: F.concat(F.lit(f"{name}: "), F.col(c).cast("string"))
     line = F.concat_ws("\t", pair("marginal_utility", "mu"), pair("_utility", "utility"), pair("_marginal_utility", "mu"), pair("corr", "corr"), pair("maxcorr", "maxcorr"),
                        F.concat(F.lit("utility_traj: [0.5, "), F.col("mu").cast("string"), F.lit("]")), pair("Expr", "expr"))
@@ -663,7 +676,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f.__name__: f for f in (
         grid_ts_mean, backtest, portfolio, pool_stats, pool_maxcorr, pool_marginal_utility, pool_near_copies, corr_hist, pool_dedup, pool_top, data_quality,
         slot_batch, observed_adv20, universe_mask, candles, transition_matrix, sequence_features, batch_summary, quantile_by_bucket,
-        portfolio_weights, trajectory_steps, text_complexity, stage_sampling, piecewise_fitness, potentials, long_short,
+        portfolio_weights, trajectory_steps, text_complexity, stage_sampling, exact_stages, quantile_prices, piecewise_fitness, potentials, long_short,
         long_short_sharpe, trajectory_medians, text_huffman, matrix_round_trip, panel_round_trip, catalogue_round_trip, members_only, candles_round_trip,
         returns_round_trip, returns_first, search_log_round_trip, user_operator, stream_signals,
     )},
@@ -736,6 +749,10 @@ h(doc_id, l, bits) AS (SELECT doc_id, list_sort(list(n)), CASE WHEN count(*) = 1
   UNION ALL SELECT doc_id, list_sort(list_append(l[3:], l[1] + l[2])), bits + l[1] + l[2] FROM h WHERE len(l) > 1)
 SELECT d.doc_id, CAST(coalesce(b, 0) AS BIGINT) AS huffman_bits FROM documents d LEFT JOIN (SELECT doc_id, max(bits) AS b FROM h GROUP BY doc_id) USING (doc_id)""",
     "stage_sampling": "SELECT CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 4 AS INT) AS stage, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1",
+    "exact_stages": """WITH o AS (SELECT doc_id, count(*) OVER () // 5 AS m,
+row_number() OVER (ORDER BY CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT), CAST(doc_id AS VARCHAR)) - 1 AS r FROM documents)
+SELECT doc_id, CAST(r // m AS INT) AS stage FROM o WHERE r < 3 * m""",
+    "quantile_prices": f"SELECT b AS bucket, {_sql_significant('q')} AS q FROM (SELECT l_returnflag || l_linestatus AS b, quantile_cont(l_extendedprice, 0.999) AS q FROM lineitem GROUP BY 1)",
     "matrix_round_trip": f"""{MONTH_SQL} SELECT 'volume' AS field, CAST(dense_rank() OVER (ORDER BY t) - 1 AS INT) AS t, CAST(dense_rank() OVER (ORDER BY inst) - 1 AS INT) AS inst, round(volume, 6) + 0.0 AS value FROM r""",
     "panel_round_trip": "SELECT CAST(year(d) AS BIGINT) AS year, count(*) AS cells, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CAST(ts AS DATE) AS d, user_id, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1",
     "catalogue_round_trip": """WITH c AS (SELECT CAST(l_shipdate AS DATE) AS d, l_suppkey AS inst, sum(l_quantity) AS volume, max(l_extendedprice) AS high FROM lineitem GROUP BY 1, 2),

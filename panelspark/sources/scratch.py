@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,3 +29,12 @@ def settled(df: DataFrame) -> DataFrame:
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+#: Tables of at most so many rows, of a few numbers each, may be broadcast.
+FEW = 500_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """The table, marked for broadcast if a count shows that its rows are few."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df

@@ -1,7 +1,10 @@
+import hashlib
 import math
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelspark.operators import pool as P
 from panelspark.operators import results as R
@@ -102,3 +105,72 @@ def test_portfolios_and_trajectories(spark):
     steps = R.trajectory_steps(rows, key="key", values="v")
     assert tuple(R.trajectory_medians(steps, key="key").first()) == (19.0, 19.0)
     assert steps.count() == 19 and R.trajectory_summary(steps, key="key")[1].first().mean_diff == pytest.approx(19.0)
+
+
+def many_series(spark, n=40, dates=60, seed=4):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(6, dates))
+    x = {f"e{i}": base[i % 6] * rng.choice([1, -1]) + rng.normal(size=dates) * rng.choice([0.01, 0.3, 3]) for i in range(n)}
+    x["flat"] = np.zeros(dates)
+    return x, spark.createDataFrame([(e, t, float(v)) for e, s in x.items() for t, v in enumerate(s)], "expr string, t int, ret double")
+
+
+def correlations(x):
+    names = sorted(x)
+    centred = {e: v - v.mean() for e, v in x.items()}
+    std = {e: max(np.sqrt((v * v).mean()), 1e-9) for e, v in centred.items()}
+    return {(a, b): (centred[a] * centred[b]).mean() / (std[a] * std[b]) for i, a in enumerate(names) for b in names[i + 1 :]}
+
+
+def test_pairs_are_reduced_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(P, "SERIES_PER_BLOCK", 7)
+    x, pool = many_series(spark)
+    want = correlations(x)
+    got = {(r.expr_a, r.expr_b): r.corr for r in P.pair_correlations(pool).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - c) < 1e-12 for k, c in want.items())
+    best = {e: max(c for k, c in want.items() if e in k) for e in x}
+    assert all(abs(r.maxcorr - best[r.expr]) < 1e-12 for r in P.max_correlation(pool).collect())
+    for signed in (False, True):
+        for distance in (0.05, 0.5, 1.2):
+            near = {k for k, c in want.items() if 1 - (c if signed else abs(c)) <= distance}
+            assert {(r.expr_a, r.expr_b) for r in P.near_copies(pool, distance, signed=signed).collect()} == near
+    every = np.round([*want.values(), *[1.0 if x[e].any() else 0.0 for e in x]], 9)
+    at = np.minimum(np.floor((every - every.min()) / (every.max() - every.min()) * 20), 19).astype(int)
+    assert {r.bin: r.n for r in P.correlation_histogram(pool, 20).collect()} == {int(b): int((at == b).sum()) for b in set(at)}
+    alone = pool.filter("expr = 'e1'")
+    assert [tuple(r) for r in P.max_correlation(alone).collect()] == [("e1", None)] and P.near_copies(alone, 1.0).isEmpty()
+    with pytest.raises(Exception, match="other dates"):
+        P.max_correlation(pool.filter("expr <> 'e1' or t > 3")).collect()
+
+
+@pytest.mark.parametrize("q, enough", [(0.25, 10), (0.999, 10), (0.5, 10_000), (1.0, 10_000)])
+def test_quantiles_by_narrowing(spark, q, enough):
+    rng = random.Random(9)
+    inf = math.inf
+    rows = [("a", rng.uniform(0, 1)) for _ in range(500)] + [("b", rng.choice([1.0, 2.0, 1e300, -1e300])) for _ in range(200)] + [(None, 10.0**k) for k in range(-150, 150)]
+    rows += [("c", 5.0)] * 90 + [("d", rng.choice([inf, -inf, 0.0, 3.5])) for _ in range(99)] + [("e", None), ("f", math.nan), ("a", None), ("g", 1.0), ("h", 1.0), ("h", 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    want = {}
+    for k in {k for k, _ in rows}:
+        v = sorted(v for own, v in rows if own == k and v is not None and v == v)
+        at = (len(v) - 1) * q
+        low = math.floor(at)
+        want[k] = None if not v else v[low] if at == low or v[low] == v[low + 1] else (1 - (at - low)) * v[low] + (at - low) * v[low + 1]
+    got = {r.bucket: r.q for r in R.quantile_by_bucket(df, F.col("k"), "v", q, bins=64, enough=enough).collect()}
+    assert set(got) == set(want)
+    for k, v in want.items():
+        assert got[k] == v or v is not None and (v != v and got[k] != got[k] or abs(got[k] - v) <= 1e-12 * abs(v)), (k, got[k], v)
+    assert R.quantile_by_bucket(df.limit(0), F.col("k"), "v", q).isEmpty()
+
+
+def test_exact_stages(spark, monkeypatch):
+    monkeypatch.setattr(R, "RANKED", 10)
+    df = spark.createDataFrame([(i, "x") for i in range(1000)], "id long, __h string")
+    got = R.exact_stages(df, F.col("id"), 7, 0.13)
+    assert got.columns == ["id", "__h", "stage"]
+    rows = got.collect()
+    order = sorted(range(1000), key=lambda i: (int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16), str(i)))
+    assert {r.id: r.stage for r in rows} == {i: k // 130 for k, i in enumerate(order) if k < 910} and len(rows) == 910
+    assert R.exact_stages(df, F.col("id"), 3, 0.0001).isEmpty() and R.exact_stages(df.limit(0), F.col("id"), 3, 0.1).isEmpty()
+    with pytest.raises(ValueError):
+        R.exact_stages(df, F.col("id"), 3, 0.5)
