@@ -118,8 +118,8 @@ back = lambda d: max(0, d)
 span = lambda d: max(0, d - 1)
 
 register("delay", ONE, TRAIL, delay, back)
-register("delta", ONE, TRAIL, lambda x, d: x - delay(x, d), back)
-register("ts_diff", ONE, TRAIL, lambda x, d: x - delay(x, d), back)
+register("delta", ONE, TRAIL, lambda x, d: nz(x - delay(x, d)), back)
+register("ts_diff", ONE, TRAIL, lambda x, d: nz(x - delay(x, d)), back)
 register("ts_return", ONE, TRAIL, lambda x, d: nz(ieee_div(x - delay(x, d), delay(x, d))), back)
 
 register("ts_mean", ONE, TRAIL, ts_mean, span, series=long_mean)

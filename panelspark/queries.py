@@ -23,6 +23,8 @@ from .sources.panel import adv, day_panel, mask_universe, month_panel, reindex,
 from .sources.panel import members_only as panel_members
 from .sources.scratch import fresh_folder, settled
 from .streaming import bars, cross_section_stream, trailing_stream
+from .streaming.arrays import average_rank
+from .streaming.formulas import STORE, run_waves
 
 X, Y = op("divide", data("close"), 997.0), op("divide", data("open"), 997.0)
 VOLUME = data("volume")
@@ -658,11 +660,61 @@ def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.select(F.col("t").cast("int").alias("t"), "inst", tidy(F.nanvl("signal", F.lit(None).cast("double"))).alias("value"))
 
 
-def average_rank(x: np.ndarray) -> np.ndarray:
-    """Average-tie rank among what is there, scaled to [0, 1]."""
-    held = np.sort(x[~np.isnan(x)])
-    low, high = np.searchsorted(held, x, "left"), np.searchsorted(held, x, "right")
-    return np.where(np.isnan(x), np.nan, ((low + 1 + high) / 2 - 1) / max(len(held) - 1, 1))
+#: Formulas of the stream query, with a change of view in the middle and at the end, and their SQL.
+STREAMED = {
+    "deep": op("ts_mean", op("rank", op("delta", VOLUME, 1)), 5),
+    "spread": op("subtract", op("cs_zscore", op("ts_sum", VOLUME, 40)), op("ts_max", op("ts_return", VOLUME, 1), 3)),
+    "place": op("rank_add", op("ts_rank", VOLUME, 12), VOLUME),
+}
+STREAMED_SQL = f"""{MONTH_SQL}, a AS (SELECT t, inst, volume, volume - lag(volume) {TS} AS d, sum(volume) {_over(40)} AS s, volume / lag(volume) {TS} - 1 AS g, {FORMULAS['ts_rank'][1].replace(_over(10), _over(12))} AS q FROM r),
+b AS (SELECT t, inst, {_rank('d')} AS k, (s - avg(s) {_BY_DATE}) / (stddev_pop(s) {_BY_DATE} + 1e-10) AS z, max(g) {_over(3)} AS m, {_rank('q')} + {_rank('volume')} AS place FROM a)
+SELECT t, inst, round(avg(k) {_over(5)}, 6) + 0.0 AS deep, round(z - m, 6) + 0.0 AS spread, round(place, 6) + 0.0 AS place FROM b"""
+
+
+def stream_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas kept up to date over a stream of monthly volumes that comes in three parts; the same as the batch's."""
+    path, rows = fresh_folder(spark, "formulas"), settled(month_panel(spark, sf_dir).select("t", "inst", "volume"))
+    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+    first, last = rows.agg(F.min("t"), F.max("t")).first()
+    before = spark.conf.get(STORE[0])
+    spark.conf.set(*STORE)
+    try:
+        for k in range(3):
+            part = F.floor((F.col("t") - first) * 3 / (last - first + 1)) == k
+            rows.filter(part).write.mode("append").parquet(f"{path}/rows")
+            out = run_waves(spark, spark.readStream.schema(rows.schema).parquet(f"{path}/rows"), STREAMED, f"{path}/out", instruments=n)
+    finally:
+        spark.conf.set(STORE[0], before)
+    return out.select(F.col("t").cast("int").alias("t"), "inst", *(tidy(F.col(c)).alias(c) for c in STREAMED))
+
+
+#: Hours that ticks may lag behind the latest one, in the query of late ticks.
+LAG_HOURS = 6
+_ARRIVES = "greatest(least(CAST((us - a) * 4 // (b - a + 1) AS BIGINT) + CASE WHEN event_id % 20 = 7 THEN 1 WHEN event_id % 50 = 3 THEN 3 ELSE 0 END, 3), 0)"
+STREAM_BARS_SQL = f"""WITH e AS (SELECT *, epoch_us(ts) AS us FROM events), s AS (SELECT min(us) AS a, max(us) AS b FROM e),
+x AS (SELECT user_id, ts, us, value, {_ARRIVES} AS part FROM e, s),
+w AS (SELECT part, max(max(us)) OVER (ORDER BY part) // 1000 * 1000 - {LAG_HOURS} * 3600000000 AS mark FROM x GROUP BY part),
+y AS (SELECT x.*, coalesce((SELECT max(mark) FROM w WHERE w.part < x.part), 0) AS mark FROM x)
+SELECT user_id AS inst, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS ts, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close,
+round(sum(value), 6) + 0.0 AS volume FROM y WHERE epoch_us(date_trunc('hour', ts)) + 3600000000 > mark AND epoch_us(date_trunc('hour', ts)) + 3600000000 <= (SELECT max(mark) FROM w) GROUP BY 1, 2"""
+
+
+def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars over a stream of ticks in four parts, one in twenty of which comes a part later and one in fifty in the
+    last: ticks within the lag are merged, later ones go, and a bar comes out once, when its hour is over for good."""
+    path = fresh_folder(spark, "ticks")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "value").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    first, last = rows.agg(F.min("us"), F.max("us")).first()
+    late = F.when(F.col("event_id") % 20 == 7, 1).when(F.col("event_id") % 50 == 3, 3).otherwise(0)
+    part = F.least(F.floor((F.col("us") - first) * 4 / (last - first + 1)) + late, F.lit(3))
+    ticks = settled(rows.select(F.col("user_id").alias("inst"), F.col("ts").cast("timestamp").alias("ts"), "value", part.alias("part")))
+    schema = ticks.drop("part").schema
+    for k in range(4):
+        ticks.filter(F.col("part") == k).drop("part").write.mode("append").parquet(f"{path}/rows")
+        made = bars(spark.readStream.schema(schema).parquet(f"{path}/rows"), every="1 hour", late=f"{LAG_HOURS} hours")
+        made.writeStream.format("parquet").option("path", f"{path}/bars").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{path}/bars")
+    return out.select("inst", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "open", "high", "low", "close", tidy(F.col("volume")).alias("volume"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -678,7 +730,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         slot_batch, observed_adv20, universe_mask, candles, transition_matrix, sequence_features, batch_summary, quantile_by_bucket,
         portfolio_weights, trajectory_steps, text_complexity, stage_sampling, exact_stages, quantile_prices, piecewise_fitness, potentials, long_short,
         long_short_sharpe, trajectory_medians, text_huffman, matrix_round_trip, panel_round_trip, catalogue_round_trip, members_only, candles_round_trip,
-        returns_round_trip, returns_first, search_log_round_trip, user_operator, stream_signals,
+        returns_round_trip, returns_first, search_log_round_trip, user_operator, stream_signals, stream_formulas, stream_bars,
     )},
     "reindex": reindexed,
 }
@@ -770,5 +822,7 @@ FROM (SELECT expr, avg(ret) / greatest(stddev_pop(ret), 1e-9) AS u FROM pool GRO
 JOIN (SELECT expr, covar_pop(ret, port) / greatest(stddev_pop(ret) * stddev_pop(port), 1e-9) AS c FROM pool JOIN port USING (t) GROUP BY expr) USING (expr)
 JOIN (SELECT e AS expr, max(c) AS m FROM pairs WHERE e <> o GROUP BY e) USING (expr)""",
     "user_operator": f"{MONTH_SQL} SELECT t, inst, round((max(volume) {_over(6)} - min(volume) {_over(6)}) / 2, 6) + 0.0 AS value FROM r",
+    "stream_formulas": STREAMED_SQL,
+    "stream_bars": STREAM_BARS_SQL,
     "stream_signals": f"{MONTH_SQL}, m AS (SELECT t, inst, avg(volume) {_over(5)} AS v FROM r) SELECT t, inst, round({_rank('v')}, 6) + 0.0 AS value FROM m",
 }

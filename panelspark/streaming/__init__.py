@@ -51,11 +51,13 @@ def cross_section_stream(rows: DataFrame, signal, *, instruments: int, output: s
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         inst, value = state.get if state.exists else ([], [])
         new = pd.concat(list(frames))
+        if value and not inst:
+            raise ValueError(f"date {key[0]} has more than {instruments} rows")
         inst, value = [*inst, *new["inst"]], [*value, *new["value"].astype(float)]
         if len(inst) > instruments:
             raise ValueError(f"date {key[0]} has more than {instruments} rows")
         if len(inst) == instruments:
-            state.update(([inst[0]] * instruments, [0.0] * instruments))  # a further row makes it too many
+            state.update(([], [0.0]))  # a mark that the date has come out
             yield pd.DataFrame({"t": key[0], "inst": inst, output: signal(np.array(value))})
         else:
             state.update((inst, value))
