@@ -5,10 +5,12 @@ Values are rounded on both sides and never NaN or negative zero, so that sums of
 
 from __future__ import annotations
 
+import gzip
 import math
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -573,15 +575,18 @@ def panel_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalogue_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily supplier volumes and prices written as dated matrices, then read by a catalogue, which also names a file that is
-    not there, for the days of 1996 and the suppliers with even keys."""
+    not there and one that was cut off, for the days of 1996 and the suppliers with even keys."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("date", F.to_date("l_shipdate"))
     cells = rows.groupBy("date", F.col("l_suppkey").alias("inst")).agg(F.sum("l_quantity").alias("volume"), F.max("l_extendedprice").alias("high"))
     ids = [r.inst for r in cells.select("inst").distinct().orderBy("inst").collect()]  # an axis of the matrix
     path = fresh_folder(spark, "fields")
     for field in ("volume", "high"):
         table = cells.groupBy("date").pivot("inst", ids).agg(F.first(field)).orderBy("date")
-        table.coalesce(1).write.option("header", True).csv(f"{path}/raw/{field}_d.csv")  # the format is one file
-    lines = [("remote_path, local_path",), ("x/volume_d.csv, volume",), ("x/high_d.csv, high",), ("x/gone_d.csv, gone",)]
+        table.write.option("header", True).csv(f"{path}/raw/{field}_d.csv")
+    files, folder = pyarrow.fs.FileSystem.from_uri(f"{path}/raw")
+    with files.open_output_stream(f"{folder}/cut_d.csv.gz", compression=None) as out:
+        out.write(gzip.compress(b"date,2\n1996-01-02,1\n" * 99)[:-9])
+    lines = [("remote_path, local_path",), ("x/volume_d.csv, volume",), ("x/high_d.csv, high",), ("x/gone_d.csv, gone",), ("x/cut_d.csv.gz, cut",)]
     spark.createDataFrame(lines, "value string").coalesce(1).write.text(f"{path}/catalogue")
     days, held = cells.filter("year(date) = 1996").select("date").distinct(), cells.filter("inst % 2 = 0").select(F.col("inst").cast("string").alias("inst")).distinct()
     kept, rejects = M.load_fields(spark, M.load_catalogue(spark, f"{path}/catalogue"), f"{path}/raw", days, held)
@@ -810,7 +815,7 @@ SELECT doc_id, CAST(r // m AS INT) AS stage FROM o WHERE r < 3 * m""",
     "catalogue_round_trip": """WITH c AS (SELECT CAST(l_shipdate AS DATE) AS d, l_suppkey AS inst, sum(l_quantity) AS volume, max(l_extendedprice) AS high FROM lineitem GROUP BY 1, 2),
 g AS (SELECT * FROM (SELECT DISTINCT d FROM c WHERE year(d) = 1996) CROSS JOIN (SELECT DISTINCT inst FROM c WHERE inst % 2 = 0) LEFT JOIN c USING (d, inst))
 SELECT 'volume' AS field, CAST(d AS VARCHAR) AS date, CAST(inst AS BIGINT) AS inst, round(volume, 6) + 0.0 AS value FROM g
-UNION ALL SELECT 'high', CAST(d AS VARCHAR), inst, round(high, 6) + 0.0 FROM g UNION ALL SELECT 'gone', NULL, NULL, NULL""",
+UNION ALL SELECT 'high', CAST(d AS VARCHAR), inst, round(high, 6) + 0.0 FROM g UNION ALL SELECT 'gone', NULL, NULL, NULL UNION ALL SELECT 'cut', NULL, NULL, NULL""",
     "members_only": f"{MONTH_SQL} SELECT t, inst, volume FROM r WHERE inst IN (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1)",
     "candles_round_trip": """WITH b AS (SELECT user_id, date_trunc('hour', ts) AS h, arg_min(value, ts) AS open, arg_max(value, ts) AS close, sum(value) AS volume FROM events GROUP BY 1, 2),
 i AS (SELECT 'u' || user_id AS inst, user_id FROM (SELECT DISTINCT user_id FROM b)), g AS (SELECT * FROM (SELECT DISTINCT h FROM b) CROSS JOIN i LEFT JOIN b USING (h, user_id))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .matrix_source import read_matrices
+
 CANDLE = "timestamp timestamp, open double, high double, low double, close double, volume double, source string"
 
 
@@ -14,16 +16,19 @@ def source_name(file: Column) -> Column:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(t, file, value): the lines of each file, numbered in order.
+    """(t, file, value): the lines of each matrix, numbered in order; ``file`` is the matrix's file, or its folder if it was
+    written in parts.
 
-    Files may be split: ids ascend within a block of a file, and blocks are put in order by where they start."""
+    Files may be split and matrices may be in parts: ids ascend within a block of a file, and blocks are put in order by
+    their part's name and by where they start."""
     lines = spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"
+        F.monotonically_increasing_id().alias("id"), F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("block"), "value"
     )
-    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    blocks = blocks.withColumn("before", F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).drop("n")
+    blocks = lines.groupBy("part", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    blocks = blocks.withColumn("file", F.regexp_replace("part", "/part-[^/]*$", ""))
+    blocks = blocks.withColumn("before", F.sum("n").over(Window.partitionBy("file").orderBy("part", "block")) - F.col("n")).drop("n")
     at = (F.col("id") - F.col("first") + F.col("before")).cast("int")
-    return lines.join(F.broadcast(blocks), ["file", "block"]).select(at.alias("t"), "file", "value")  # a row a block of a file
+    return lines.join(F.broadcast(blocks), ["part", "block"]).select(at.alias("t"), "file", "value")  # a row a block of a file
 
 
 def load_matrices(spark: SparkSession, path: str, *, dates: int | None = None, instruments: int | None = None) -> DataFrame:
@@ -59,24 +64,23 @@ def load_catalogue(spark: SparkSession, path: str) -> DataFrame:
 def load_fields(spark: SparkSession, catalogue: DataFrame, folder: str, calendar: DataFrame, universe: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All dated matrices (first column the date, header the instruments) of a catalogue on (date, inst), and the rejects.
 
-    A file that is missing or has no date column becomes a row of the rejects, and the others still load."""
-    files = _lines(spark, f"{folder}/*").withColumn("name", source_name(F.col("file")))
-    heads = files.filter("t = 0").select("file", F.col("value").alias("head"))
-    body = files.filter("t > 0").join(F.broadcast(heads), "file")  # a row a file
-    long = body.select("name", F.split("head", ",", -1).alias("ids"), F.split("value", ",", -1).alias("cells")).select("name", "ids", "cells", F.posexplode("cells").alias("k", "cell")).filter("k > 0")
-    long = long.select("name", F.expr("try_cast(cells[0] as date)").alias("date"), F.trim(F.get("ids", F.col("k"))).alias("inst"), F.expr("try_cast(trim(cell) as double)").alias("value"))
-    wanted = catalogue.select("local_path", source_name(F.col("remote_path")).alias("name"))
-    rows = long.join(wanted, "name").select(F.col("local_path").alias("field"), "date", "inst", "value")
+    A file that is missing, cannot be read or has no dated row becomes a row of the rejects (field, reason), and the others
+    still load."""
+    cells = read_matrices(spark, folder)
+    wanted = catalogue.select("local_path", source_name(F.col("remote_path")).alias("field"))
+    rows = cells.filter("error is null").join(wanted, "field").select(F.col("local_path").alias("field"), "date", "inst", "value")
     kept = rows.join(calendar.select("date"), "date", "left_semi").join(universe.select("inst"), "inst", "left_semi")
-    good = long.filter("date is not null").select("name").distinct()
-    rejects = wanted.join(good, "name", "left_anti").select(F.col("local_path").alias("field"), F.lit("no dated rows").alias("reason"))
-    return kept, rejects
+    files = cells.groupBy("field").agg(F.max("error").alias("error"), F.count_if(F.col("error").isNull()).alias("n"))
+    rejects = wanted.join(files, "field", "left").filter("n is null or n = 0 or error like 'cannot%'")  # a part of a matrix may be empty
+    return kept, rejects.select(F.col("local_path").alias("field"), F.coalesce("error", F.lit("no file")).alias("reason"))
 
 
 def save_matrix(panel: DataFrame, field: str, instruments: list, path: str) -> None:
-    """The field as header-less gzip CSV, dates in order, one column per instrument; missing cells are empty."""
-    table = panel.groupBy("t").pivot("inst", instruments).agg(F.first(field)).orderBy("t").drop("t")
-    table.coalesce(1).write.option("compression", "gzip").option("header", False).csv(path)  # the format is one file
+    """The field as header-less gzip CSV, dates in order, one column per instrument; missing cells are empty.
+
+    Ranges of dates are parts with names in their order, each a gzip file of its own: tasks write them side by side, readers
+    put them together, and so does appending the files, since gzip members may follow each other."""
+    panel.groupBy("t").pivot("inst", instruments).agg(F.first(field)).orderBy("t").drop("t").write.option("compression", "gzip").option("header", False).csv(path)
 
 
 def save_panel(panel: DataFrame, path: str, date: str = "date") -> None:

@@ -57,6 +57,27 @@ def test_catalogue_and_rejects(spark, tmp_path):
     assert rows.count() == 4 and rows.filter("value is null").count() == 1 and [r.field for r in rejects.collect()] == ["gone"]
 
 
+def test_matrix_source(spark, tmp_path):
+    """Files that are damaged, cut off, empty or of several gzip members; conditions narrow what is read and change nothing."""
+    from panelspark.sources.matrix_source import read_matrices
+
+    text = "date, A,B ,C\n" + "".join(f"2020-01-{d:02d},{d},x,{'' if d % 2 else d * 2}\r\n" for d in range(1, 29))
+    lines = text.encode().splitlines(keepends=True)
+    whole = gzip.compress(text.encode())
+    for name, content in {"a.csv": text.encode(), "b.csv.gz": b"".join(gzip.compress(x) for x in lines), "cut.csv.gz": whole[:-12], "bad.csv.gz": whole[:40] + b"\xff" * 30 + whole[70:], "empty.csv": b"", "undated.csv": b"x,y\n1,2\n", "_hidden": b"?", "c.csv": text.encode().rstrip()}.items():
+        (tmp_path / name).write_bytes(content)
+    rows = read_matrices(spark, str(tmp_path), split_bytes=100).collect()
+    assert {r.field for r in rows if r.error and r.error.startswith("cannot be read")} == {"cut", "bad"}
+    assert {r.field for r in rows if r.error == "no dated rows"} == {"empty", "undated"} and sum(r.error is not None for r in rows) == 4
+    for field in "abc":
+        own = {(r.date.day, r.inst): r.value for r in rows if r.field == field}
+        assert own == {(d, i): {"A": float(d), "B": None, "C": None if d % 2 else d * 2.0}[i] for d in range(1, 29) for i in "ABC"}
+    plain = spark.createDataFrame(rows, "field string, date date, inst string, value double, error string")
+    for condition in ("field = 'a' and inst in ('A', 'C')", "date >= '2020-01-20' and date < '2020-01-22'", "inst = 'B' or inst is null", "date = '2020-01-03' and field in ('b', 'cut', null)", "error is not null", "inst in (null)", "date > '2020-01-27' and inst = 'A'"):
+        key = lambda df: sorted(map(repr, (tuple(r) for r in df.filter(condition).collect())))
+        assert key(read_matrices(spark, str(tmp_path))) == key(plain), condition
+
+
 def test_returns_file_round_trip(spark, tmp_path):
     pool = spark.createDataFrame([('f("a", 1)', 0, 0.5), ('f("a", 1)', 1, None), ("g", 0, 1.0), ("g", 1, -2.0)], "expr string, t int, ret double")
     M.save_returns(pool, str(tmp_path / "r"))
