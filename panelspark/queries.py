@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .operators import pool as P
 from .operators import register
 from .operators import results as R
+from .operators.cross_section import rank_by_ranges as ranked_by_ranges
 from .operators.registry import INT, PANEL, TRAIL
 from .operators.time_series import trailing
 from .plans import data, evaluate, evaluate_batch, fill, grid, op, slot
@@ -278,6 +279,12 @@ def gappy_op_sql(name: str) -> str:
     return f"{DAY_SQL} SELECT t, inst, {_sql_significant('v')} AS value FROM (SELECT t, inst, CAST({GAPPY[name][1]} AS DOUBLE) AS v FROM {_DAY_XY})"
 
 
+def rank_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily rank of volume with every date's values dealt to eight ranges."""
+    out = ranked_by_ranges(day_panel(spark, sf_dir).select("t", "inst", "volume"), "volume", "value", ranges=8)
+    return out.select("t", "inst", significant(F.col("value")).alias("value"))
+
+
 SPIKE = op("divide", VOLUME, op("ts_mean", VOLUME, 10))
 BENCH_1 = op("add", op("ts_rank", data("close"), 10), op("rank", data("close")))
 DEEP = op("ts_mean", op("rank", op("delta", VOLUME, 1)), 5)
@@ -735,7 +742,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         slot_batch, observed_adv20, universe_mask, candles, transition_matrix, sequence_features, batch_summary, quantile_by_bucket,
         portfolio_weights, trajectory_steps, text_complexity, stage_sampling, exact_stages, quantile_prices, piecewise_fitness, potentials, long_short,
         long_short_sharpe, trajectory_medians, text_huffman, matrix_round_trip, panel_round_trip, catalogue_round_trip, members_only, candles_round_trip,
-        returns_round_trip, returns_first, search_log_round_trip, user_operator, stream_signals, stream_formulas, stream_bars,
+        returns_round_trip, returns_first, search_log_round_trip, user_operator, rank_by_ranges, stream_signals, stream_formulas, stream_bars,
     )},
     "reindex": reindexed,
 }
@@ -827,6 +834,7 @@ FROM (SELECT expr, avg(ret) / greatest(stddev_pop(ret), 1e-9) AS u FROM pool GRO
 JOIN (SELECT expr, covar_pop(ret, port) / greatest(stddev_pop(ret) * stddev_pop(port), 1e-9) AS c FROM pool JOIN port USING (t) GROUP BY expr) USING (expr)
 JOIN (SELECT e AS expr, max(c) AS m FROM pairs WHERE e <> o GROUP BY e) USING (expr)""",
     "user_operator": f"{MONTH_SQL} SELECT t, inst, round((max(volume) {_over(6)} - min(volume) {_over(6)}) / 2, 6) + 0.0 AS value FROM r",
+    "rank_by_ranges": gappy_op_sql("rank"),
     "stream_formulas": STREAMED_SQL,
     "stream_bars": STREAM_BARS_SQL,
     "stream_signals": f"{MONTH_SQL}, m AS (SELECT t, inst, avg(volume) {_over(5)} AS v FROM r) SELECT t, inst, round({_rank('v')}, 6) + 0.0 AS value FROM m",

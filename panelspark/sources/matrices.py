@@ -106,9 +106,9 @@ def align_candles(candles: DataFrame) -> DataFrame:
 
 def side_tables(candles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(t, ts) and (column, inst), numbered from 0 in order."""
-    from .panel import ordinals
+    from .panel import wide_ordinals
 
-    return ordinals(candles, "ts", "t"), ordinals(candles, "inst", "column")
+    return wide_ordinals(candles, "ts", "t"), wide_ordinals(candles, "inst", "column")
 
 
 def save_returns(pool: DataFrame, path: str) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ieee_div, nz
+from .scratch import settled
 
 
 def reindex(observed: DataFrame, calendar: DataFrame, universe: DataFrame, keys: tuple[str, str] = ("t", "inst")) -> DataFrame:
@@ -26,11 +27,25 @@ def mask_universe(panel: DataFrame, membership: DataFrame, fields: list[str]) ->
 
 
 def ordinals(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """(name, key): distinct keys numbered from 0 in order.  Only an axis of the panel passes through one task."""
+    """(name, key): distinct keys numbered from 0 in order.  Only an axis of the panel passes through one task; for keys
+    without such a bound there is ``wide_ordinals``."""
     distinct = rows.select(key).distinct()
     return distinct.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)) - 1).cast("int").alias(name), key)
 
 
+def wide_ordinals(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """The same numbers for any number of keys: ranges of them are sorted side by side and written, and each is numbered
+    from what the ranges before it hold."""
+    ordered = settled(rows.select(F.col(key).alias("key")).distinct().orderBy("key"))
+    placed = ordered.select("key", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    before, total = [], 0
+    for r in sorted(placed.groupBy("part").count().collect()):  # a row a range
+        before.append((r["part"], total))
+        total += r["count"]
+    held = F.broadcast(rows.sparkSession.createDataFrame(before, "part int, before long"))
+    return placed.join(held, "part").select((F.col("at") + F.col("before")).cast("int").alias(name), F.col("key").alias(key))
+
+
 def with_returns(panel: DataFrame, close: str = "close") -> DataFrame:
     """``returns`` (on the row before) and ``returns_d1`` (the next row's) from ``close``."""
     w = Window.partitionBy("inst").orderBy("t")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.operators import OPERATORS
+from panelspark.operators.cross_section import rank_by_ranges
 from panelspark.operators.registry import FLOAT, INT, PANEL, TRAIL
 from panelspark.plans import data, evaluate, op
 
@@ -200,6 +201,18 @@ def test_a_spike_leaves_no_trace(spark, spike, monkeypatch):
     assert found[32][199, 0]["ts_sum33"] == 33 and found[32][199, 0]["ts_mean33"] == 1
 
 
+@pytest.mark.parametrize("ranges", [2, 16])
+def test_rank_by_ranges_equals_rank(spark, ranges):
+    rng = random.Random(11)
+    rows = [(t, i, rng.choice([None, math.inf, -math.inf, 3.0, math.nan, rng.uniform(-5, 5)]), 0.0) for t in range(5) for i in range(120)] + [(9, i, 1.0, 0.0) for i in range(50)] + [(10, 0, None, 0.0), (11, 0, 2.0, 0.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {(r.t, r.inst): r.v for r in evaluate(df, {"v": op("rank", data("x"))}).collect()}
+    out = rank_by_ranges(df, "x", "v", ranges=ranges)
+    assert out.columns == ["t", "inst", "x", "y", "v"]
+    got = {(r.t, r.inst): r.v for r in out.collect()}
+    assert set(got) == set(want) and all(same([got[k]], [w], 1e-12) for k, w in want.items())
+
+
 def calls():
     """One call of every operator."""
     for name, spec in sorted((n, s) for n, s in OPERATORS.items() if n[0] != "_"):

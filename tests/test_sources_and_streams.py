@@ -78,6 +78,15 @@ def test_matrix_source(spark, tmp_path):
         assert key(read_matrices(spark, str(tmp_path))) == key(plain), condition
 
 
+def test_wide_ordinals(spark):
+    from panelspark.sources.panel import ordinals, wide_ordinals
+
+    rows = spark.createDataFrame([((k * 7919) % 503,) for k in range(2000)] + [(None,)], "k long").repartition(7)
+    assert sorted(map(tuple, wide_ordinals(rows, "k", "n").collect())) == sorted(map(tuple, ordinals(rows, "k", "n").collect()))
+    assert "SinglePartition" not in wide_ordinals(rows, "k", "n")._jdf.queryExecution().executedPlan().toString()
+    assert wide_ordinals(rows.limit(0), "k", "n").isEmpty()
+
+
 def test_returns_file_round_trip(spark, tmp_path):
     pool = spark.createDataFrame([('f("a", 1)', 0, 0.5), ('f("a", 1)', 1, None), ("g", 0, 1.0), ("g", 1, -2.0)], "expr string, t int, ret double")
     M.save_returns(pool, str(tmp_path / "r"))
