@@ -72,12 +72,13 @@ UNTIE = math.pi / 3
 
 
 def significant(x: Column) -> Column:
-    """Seven significant digits (times ``UNTIE``), so that values of any size are compared alike; without negative zero."""
-    return F.when(x.isNotNull(), F.format_string("%.6e", x * UNTIE).cast("double") + F.lit(0.0))
+    """Seven significant digits (times ``UNTIE``), so that values of any size are compared alike; what sums have cancelled
+    down to less than 1e-9 is 0."""
+    return F.when(F.abs(x) < 1e-9, F.lit(0.0)).when(x.isNotNull(), F.format_string("%.6e", x * UNTIE).cast("double"))
 
 
 def _sql_significant(x: str) -> str:
-    return f"CASE WHEN NOT isnan({x}) THEN CAST(printf('%.6e', {x} * CAST('{UNTIE!r}' AS DOUBLE)) AS DOUBLE) + 0.0 END"
+    return f"CASE WHEN isnan({x}) THEN NULL WHEN abs({x}) < 1e-9 THEN 0.0 ELSE CAST(printf('%.6e', {x} * CAST('{UNTIE!r}' AS DOUBLE)) AS DOUBLE) END"
 
 
 def _over(d: int) -> str:
