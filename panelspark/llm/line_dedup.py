@@ -3,19 +3,17 @@
 A line's key is the line without white space (``\\x20``, ``\\x09-\\x0D``) at both ends and with A-Z lower-cased.
 Keys are handled by a digest of two 64-bit hashes, worked out for a block of texts at once.
 
-1. Every task runs its documents' distinct keys through two Bloom filters: a key not yet in the once-seen filter enters
-   it, one that is already there enters the twice-seen filter.  Only filters move: of two tasks' filters the merged
-   once-seen one is ``a | b``, the merged twice-seen one ``ta | tb | (a & b)``, so a key that two tasks hold is in it.  They
-   are merged in slices, first groups of tasks, then all.
-2. The twice-seen filter is broadcast.  Keys that it holds are suspected; only they shuffle, pre-aggregated, and are
-   counted exactly.
-3. Confirmed keys are broadcast if at most ``max_broadcast`` (32 bytes each), else joined to the suspects' documents;
+1. Two Bloom filters: a key seen once enters the first, one that is already there enters the second.  As filters are sent
+   about, they are compressed ones: one probe into ``SPREAD`` places a line, of which few are taken, cost less to send
+   than many probes into a dense bitmap, and make fewer false suspects.  A task gives out the places of its own keys, sorted
+   and packed (Elias-Fano: about 2 + log2(``SPREAD`` * tasks) bits a key, where a digest has 128), in slices of the filter.
+   Where slices are merged, a place that two of them hold is in the twice-seen filter.
+2. The twice-seen filter is broadcast.  Keys whose place it holds are suspected; only they shuffle, pre-aggregated, and are
+   counted exactly.  A filter of over ``max_bits`` is broadcast in up to ``MAX_PASSES`` ranges of slices, and the documents are
+   read once for each; beyond that every line is a suspect.  Neither changes the rows that result.
+3. Confirmed keys are broadcast if at most ``max_broadcast`` (32 bytes each), else joined to the documents that hold suspects;
    lines with those keys go, all of them or all but the first (smallest doc_id, then line).
 
-The filters have ``LINE_BITS`` bits a line, counted first, and ``max_bits`` at most.  Beyond that (some 67 million lines at the
-default of 64 MB) they fill up, which makes more suspects and never other results; where all lines are suspects,
-what shuffles is one pre-aggregated digest a line and task.
-
 Defined results: null and empty texts are one empty line; empty keys are never dropped while ``min_chars`` >= 1;
 each row is a document, equal rows included; a null id is smaller than any other; other columns pass through.
 """
@@ -24,10 +22,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,9 +33,10 @@ from pyspark.sql import types as T
 from .shared import ended, keep, unused
 from .textblock import SPACE, blocks, mix, utf8
 
-PROBES, LINE_BITS = 4, 8
-#: Bits of a slice of a filter, and tasks whose filters are merged first.
-SLICE, GROUP = 1 << 20, 64
+#: Places of the filters for each line, and for each slice of them (of a million lines).
+SPREAD, SLICE_BITS = 128, 27
+#: Places that a task gathers before it gives them out, slices that a task merges, and passes with a part of the filter each.
+PART, MERGED, MAX_PASSES = 1 << 21, 16, 8
 _BLOCK, _LONG_LINE = 2 << 20, 4096
 _K1, _K2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _MASKS = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [0xFFFFFFFFFFFFFFFF], dtype=np.uint64)
@@ -97,90 +96,145 @@ class Lines:
         return order[np.concatenate([[True], ~same])]
 
 
-def _positions(h: np.ndarray, bits: int) -> np.ndarray:
-    """Bit positions of each hash in a filter."""
-    a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(16)) & np.uint64(0xFFFFFFFF) | np.uint64(1)
-    return ((a[:, None] + b[:, None] * np.arange(PROBES, dtype=np.uint64)) % np.uint64(bits)).astype(np.int64)
+def packed(values: np.ndarray, bits: int) -> bytes:
+    """Distinct ascending integers of ``bits`` bits: low bits as they are, the others as the gaps between ones."""
+    n = len(values)
+    low = bits - max(n - 1, 0).bit_length()
+    high = np.zeros((1 << bits - low) + n, np.uint8)
+    high[(values >> low) + np.arange(n)] = 1
+    lows = (values[:, None] >> np.arange(low) & 1).astype(np.uint8)
+    return n.to_bytes(4, "little") + np.packbits(high).tobytes() + np.packbits(lows).tobytes()
 
 
-def _held(bits: np.ndarray, where: np.ndarray) -> np.ndarray:
-    return (bits[where >> 3] >> (where & 7).astype(np.uint8) & 1).all(axis=1)
+def unpacked(data: bytes, bits: int) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    low = bits - max(n - 1, 0).bit_length()
+    size = ((1 << bits - low) + n + 7) // 8
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, size, 4))) - np.arange(n)
+    lows = np.unpackbits(np.frombuffer(data, np.uint8, offset=4 + size), count=n * low).reshape(n, low)
+    return (high << low) + lows @ (1 << np.arange(low))
 
 
-def _enter(bits: np.ndarray, where: np.ndarray) -> None:
-    np.bitwise_or.at(bits, where.ravel() >> 3, np.uint8(1) << (where.ravel() & 7).astype(np.uint8))
+def _slices(places: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The slices of sorted places: their number and the places within."""
+    number = places >> bits
+    for own in np.split(np.arange(len(places)), np.flatnonzero(number[1:] != number[:-1]) + 1) if len(places) else ():
+        yield int(number[own[0]]), places[own] - (number[own[0]] << bits)
 
 
-def _filter_rows(group: int, slices: dict) -> pa.RecordBatch:
-    names = ["slice", "group", "once", "twice"]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(slices), pa.int32()), pa.array([group] * len(slices), pa.int32()), *(pa.array([s[k].tobytes() for s in slices.values()], pa.binary()) for k in (0, 1))], names
-    )
+def _repeated(places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The places, and those that are there more than once."""
+    at, n = np.unique(np.concatenate([np.zeros(0, np.int64), *places]), return_counts=True)
+    return at, at[n > 1]
+
+
+class _Size:
+    """The number of places (2 ** ``bits``) for so many lines, and that of a slice (2 ** ``slice``)."""
+
+    def __init__(self, n_lines: int):
+        self.bits = max((SPREAD * n_lines - 1).bit_length(), 12)
+        self.slice = min(SLICE_BITS, self.bits)
+        self.slices = 1 << self.bits - self.slice
 
+    def place(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
 
-_FILTER_ROWS = "slice int, group int, once binary, twice binary"
 
+def _filters(size: _Size, min_chars: int):
+    """The once-seen and twice-seen filters of a part of a task's lines, in slices that hold anything."""
 
-def _filters(bits: int, min_chars: int):
-    """A task's once-seen and twice-seen filters, as slices that hold anything."""
+    def rows(places: list[np.ndarray]) -> pa.RecordBatch:
+        once, twice = _repeated(places)
+        twice = dict(_slices(twice, size.slice))
+        out = [(k, packed(own, size.slice), packed(twice.get(k, own[:0]), size.slice)) for k, own in _slices(once, size.slice)]
+        columns = zip(*out) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["slice", "once", "twice"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        held: list[np.ndarray] = []
         for batch in ended(batches):
             texts = utf8(batch.column(0))
             for a, b in blocks(texts, map(len, texts), _BLOCK):
                 lines = Lines(texts[a:b])
-                h, n = np.unique(lines.one[lines.first_of_each(lines.chars >= min_chars)], return_counts=True)
-                where = _positions(h, bits)
-                _enter(twice, where[(n > 1) | _held(once, where)])
-                _enter(once, where)
-        size, group = min(SLICE, bits) // 8, TaskContext.get().partitionId() // GROUP
-        for k in range(0, bits // 8 // size):
-            own = once[k * size : (k + 1) * size]
-            if own.any():
-                yield _filter_rows(group, {k: (own, twice[k * size : (k + 1) * size])})
+                held.append(size.place(lines.one[lines.first_of_each(lines.chars >= min_chars)]))
+                if sum(map(len, held)) > PART:
+                    yield rows(held)
+                    held.clear()
+        yield rows(held)
+
+    return run
+
+
+def _merge(size: _Size):
+    """The twice-seen filter of each slice, from rows in the order of slices."""
+
+    def row(k: int, once: list[np.ndarray], twice: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.union1d(_repeated(once)[1], np.concatenate(twice))
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(both)], pa.int64()), pa.array([packed(both, size.slice)], pa.binary())], ["slice", "n", "twice"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, once, twice = -1, [], []
+        for batch in ended(batches):
+            for k, o, t in zip(*(column.to_pylist() for column in batch.columns)):
+                if k != last and once:
+                    yield row(last, once, twice)
+                    once, twice = [], []
+                last = k
+                once.append(unpacked(o, size.slice))
+                twice.append(unpacked(t, size.slice))
+        if once:
+            yield row(last, once, twice)
 
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    merged: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in ended(batches):
-        for k, group, once, twice in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            once, twice = np.frombuffer(once, np.uint8), np.frombuffer(twice, np.uint8)
-            if (group, k) in merged:
-                o, t = merged[group, k]
-                once, twice = o | once, t | twice | (o & once)
-            merged[group, k] = once, twice
-    for (group, k), own in merged.items():
-        yield _filter_rows(group, {k: own})
+def twice_seen(docs: DataFrame, text_col: str, min_chars: int, size: _Size) -> DataFrame:
+    """The twice-seen filter over all documents: slice, number of places taken, packed places."""
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_filters(size, min_chars), "slice int, once binary, twice binary")
+    rows = rows.repartition(-(-size.slices // MERGED), "slice").sortWithinPartitions("slice")
+    return keep(rows.mapInArrow(_merge(size), "slice int, n long, twice binary"))
+
+
+def _ranges(filters: DataFrame, most: int) -> list[tuple[int, int]]:
+    """First and last slice of ranges that have ``most`` places taken, or a single slice."""
+    out, held = [], 0
+    for k, n in sorted(map(tuple, filters.select("slice", "n").collect())):
+        if out and held + n <= most:
+            out[-1], held = (out[-1][0], k), held + n
+        else:
+            out.append((k, k))
+            held = n
+    return out or [(0, 0)]
+
+
+def _places(filters: DataFrame, size: _Size, first: int, last: int) -> np.ndarray:
+    """The places taken in a range of slices, sorted."""
+    rows = filters.filter(F.col("slice").between(first, last)).select("slice", "twice").toArrow().sort_by("slice")
+    return np.concatenate([np.zeros(0, np.int64), *((k << size.slice) + unpacked(own, size.slice) for k, own in zip(*(c.to_pylist() for c in rows.columns)))])
+
 
+_SUSPECTS = "one long, two long, doc long, line int, long boolean, row long"
 
-def twice_seen(docs: DataFrame, text_col: str, min_chars: int, bits: int) -> np.ndarray:
-    """The twice-seen filter over all documents."""
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_filters(bits, min_chars), _FILTER_ROWS)
-    rows = rows.repartition("slice", "group").mapInArrow(_merge, _FILTER_ROWS)
-    rows = rows.withColumn("group", F.lit(0)).repartition("slice").mapInArrow(_merge, _FILTER_ROWS).select("slice", "twice").toArrow()
-    size, out = min(SLICE, bits) // 8, np.zeros(bits // 8, np.uint8)
-    for k, own in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-        out[k * size : (k + 1) * size] = np.frombuffer(own, np.uint8)
-    return out
 
+def _suspects(filters, size: _Size, min_chars: int, long_words: int | None):
+    """Lines whose place the broadcast filter holds (all without one), the first of each key in a text."""
 
-def _suspects(filters, min_chars: int, long_words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = filters.value
+        held = None if filters is None else filters.value
         for batch in ended(batches):
-            texts, docs = utf8(batch.column(0)), batch.column(1).fill_null(NO_ID).to_numpy()
+            texts, docs, rows = utf8(batch.column(0)), batch.column(1).fill_null(NO_ID).to_numpy(), batch.column(2).to_numpy()
             for a, b in blocks(texts, map(len, texts), _BLOCK):
                 lines = Lines(texts[a:b])
                 own = lines.first_of_each(lines.chars >= min_chars)
-                own = own[_held(held, _positions(lines.one[own], len(held) * 8))]
+                if held is not None:
+                    place = size.place(lines.one[own])
+                    at = np.searchsorted(held, place)
+                    own = own[held[np.minimum(at, len(held) - 1)] == place] if len(held) else own[:0]
                 text = lines.text_of()[own]
                 long = lines.words[own] >= long_words if long_words else np.zeros(len(own), bool)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lines.one[own].view(np.int64)), pa.array(lines.two[own].view(np.int64)), pa.array(docs[a + text]), pa.array((own - lines.ptr[text]).astype(np.int32)), pa.array(long)],
-                    ["one", "two", "doc", "line", "long"],
+                    [pa.array(lines.one[own].view(np.int64)), pa.array(lines.two[own].view(np.int64)), pa.array(docs[a + text]), pa.array((own - lines.ptr[text]).astype(np.int32)), pa.array(long), pa.array(rows[a + text])],
+                    ["one", "two", "doc", "line", "long", "row"],
                 )
 
     return run
@@ -251,10 +305,13 @@ def dedup_lines(
     text = F.col(text_col).cast("string")
     ends = F.coalesce(F.length(text) - F.length(F.translate(text, "\n", "")), F.lit(0))
     n_lines = docs.agg(F.coalesce(F.sum(ends + 1), F.lit(0))).first()[0]
-    bits = min(max(1 << (max(LINE_BITS * n_lines, 1) - 1).bit_length(), 1 << 12), max_bits)
-    filters = spark.sparkContext.broadcast(twice_seen(docs, text_col, min_chars, bits))
-    pairs = docs.select(text.alias("text"), F.col(id_col).cast("long").alias("doc"))
-    suspects = pairs.mapInArrow(_suspects(filters, min_chars, long_words), "one long, two long, doc long, line int, long boolean")
+    size = _Size(n_lines)
+    filters = twice_seen(docs, text_col, min_chars, size)
+    ranges = _ranges(filters, max_bits // 64)
+    held = [spark.sparkContext.broadcast(_places(filters, size, *r)) for r in ranges] if len(ranges) <= MAX_PASSES else [None]
+    doc = F.col(id_col).cast("long")
+    pairs = docs.select(text.alias("text"), doc.alias("doc"), F.xxhash64(doc, text).alias("row"))
+    suspects = reduce(DataFrame.unionAll, [pairs.mapInArrow(_suspects(h, size, min_chars, long_words), _SUSPECTS) for h in held])
     repeated = (F.col("n") >= min_docs) | F.col("long") & (F.col("n") >= long_docs)
     counts = suspects.groupBy("one", "two").agg(F.count("*").alias("n"), F.min(F.struct("doc", "line")).alias("first"), F.max("long").alias("long"))
     confirmed = keep(counts.filter(repeated).select("one", "two", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line")))
@@ -272,8 +329,8 @@ def dedup_lines(
         rows = own.select("__text", "__doc", F.lit(None).cast("int").alias("__gone"), *rest)
         out = rows.mapInArrow(_apply(lambda _: found.value, keep_first, min_chars, fields), schema)
     else:
-        lists = suspects.join(confirmed, ["one", "two"]).groupBy("doc").agg(F.collect_set(F.struct("one", "two", "first_doc", "first_line")).alias("__gone"))
-        rows = own.join(lists, F.coalesce("__doc", F.lit(NO_ID)) == F.col("doc"), "left").select("__text", "__doc", "__gone", *rest)
+        lists = suspects.join(confirmed, ["one", "two"]).groupBy("row").agg(F.collect_set(F.struct("one", "two", "first_doc", "first_line")).alias("__gone"))
+        rows = own.join(lists, F.xxhash64("__doc", "__text") == F.col("row"), "left").select("__text", "__doc", "__gone", *rest)
 
         def listed(column) -> _Gone:  # a key that one document lists is repeated in all
             flat = column.flatten()

@@ -10,6 +10,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from panelspark.llm import near_dup as nd
@@ -200,15 +202,42 @@ def test_long_lines_have_a_limit_of_their_own(spark, bound):
     assert next(r.text for r in got if r.doc_id == 4) == f"own 4\n{short}\n{passage} 4"
 
 
-def test_filters_of_many_tasks_are_merged(spark, monkeypatch):
+@pytest.mark.parametrize("passes, bound", [(1, 1 << 20), (1000, 1 << 20), (1000, 0)])
+def test_filters_of_many_tasks_are_merged(spark, monkeypatch, passes, bound):
     from panelspark.llm import line_dedup
 
-    monkeypatch.setattr(line_dedup, "GROUP", 2)
+    monkeypatch.setattr(line_dedup, "SLICE_BITS", 12)
+    monkeypatch.setattr(line_dedup, "MAX_PASSES", 8 if passes == 1 else passes)
     rows = [(i, f"k{i}\nk{(i + 37) % 200}\nonly {i}") for i in range(200)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(7)
-    assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in dedup_lines(df, min_docs=2).collect()} == brute_lines(rows, 2, 1)
-    held = line_dedup.twice_seen(df, "text", 1, 1 << 14)
-    assert 0 < np.unpackbits(held).sum() < 4 * 260  # lines of one document hardly ever get in
+    most = 64 * 20 if passes > 1 else 1 << 29
+    got = dedup_lines(df, min_docs=2, max_bits=most, max_broadcast=bound).collect()
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in got} == brute_lines(rows, 2, 1)
+    size = line_dedup._Size(600)
+    filters = line_dedup.twice_seen(df, "text", 1, size)
+    assert size.slices > 4 and 195 <= filters.agg(F.sum("n")).first()[0] <= 215  # lines of one document hardly ever get in
+    assert len(line_dedup._ranges(filters, most // 64)) == 1 if passes == 1 else len(line_dedup._ranges(filters, most // 64)) > 8
+    monkeypatch.setattr(line_dedup, "PART", 5)  # a task's filters may come in parts
+    again = line_dedup.twice_seen(df, "text", 1, size)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, filters.collect()))
+
+
+@given(st.sets(st.integers(0, (1 << 14) - 1)), st.integers(14, 40))
+def test_packed_places_come_back(values, bits):
+    from panelspark.llm.line_dedup import packed, unpacked
+
+    values = np.array(sorted(values), dtype=np.int64) << (bits - 14)
+    data = packed(values, bits)
+    assert unpacked(data, bits).tolist() == values.tolist()
+    n = len(values)
+    assert len(data) <= 6 + (n * (3 + max(bits - max(n - 1, 0).bit_length(), 0)) + 7) // 8 + 1
+
+
+def test_lines_of_rows_without_ids_stay_apart(spark):
+    """In the joined form a row's list holds the keys of its own text, whatever its id."""
+    rows = [(None, f"a{i % 9}\nb{i}\nc{i % 3}") for i in range(60)] + [(7, f"a{i % 9}\nd{i}") for i in range(20)]
+    got = dedup_lines(spark.createDataFrame(rows, SCHEMA), min_docs=4, max_broadcast=0).collect()
+    assert sorted(r.text for r in got) == sorted([f"b{i}" for i in range(60)] + [f"d{i}" for i in range(20)])
 
 
 def tokenizer_file():
