@@ -303,8 +303,8 @@ def dedup_lines(
         raise ValueError("min_docs and long_docs must be 2 or more")
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
-    ends = F.coalesce(F.length(text) - F.length(F.translate(text, "\n", "")), F.lit(0))
-    n_lines = docs.agg(F.coalesce(F.sum(ends + 1), F.lit(0))).first()[0]
+    ends = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    n_lines = docs.agg(F.coalesce(F.sum(F.coalesce(ends, F.lit(0)) + 1), F.lit(0))).first()[0]
     size = _Size(n_lines)
     filters = twice_seen(docs, text_col, min_chars, size)
     ranges = _ranges(filters, max_bits // 64)
