@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from functools import reduce
 from itertools import cycle
 
@@ -165,29 +166,64 @@ def sampled(key: Column, rate: float) -> Column:
 RANKED = 100_000
 
 
-def exact_stages(rows: DataFrame, key: Column, stages: int, rate: float) -> DataFrame:
-    """The rows drawn into ``stages`` stages of exactly floor(rate x rows) each, without replacement, with their ``stage``.
-
-    Rows stand in the order of their key's MD5 number, then of the key's text, and the stages are cut off from the front.
-    Counts over ranges of that number tell the place of every range; only ranges across which a cut goes are put in order,
-    each in a task of its own.  Keys must be distinct for that: rows of one key are in one range."""
+def _hidden(rows: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that the rows do not have."""
     taken = {c.lower() for c in rows.columns}
-    h, text = (next(n for n in (name, name + "_", name + "__") if n not in taken) for name in ("__h", "__text"))
-    rows = rows.withColumn(h, _md5_number(key, "")).withColumn(text, key.cast("string"))
+    made = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        made.append(name)
+    return made
+
+
+def _cut_off(rows: DataFrame, key: Column, order: Column, part: Callable[[Column, int], Column], stages: int, rate: float) -> DataFrame:
+    """The rows in the order of a number, then of the key's text, cut from the front into stages of floor(rate x rows) each.
+
+    Counts over ranges of that number (``part``, of the number and of how many ranges there may be at least) tell the place of
+    every range; only ranges across which a cut goes are put in order, each in a task of its own."""
+    o, text, of, at, first, last = _hidden(rows, "__o", "__text", "__of", "__at", "__first", "__last")
+    kept = rows.columns
+    rows = rows.filter(key.isNotNull()).withColumn(o, order).withColumn(text, key.cast("string"))
     total = rows.count()
     size = int(total * rate + 1e-9)
     if size * stages > total:
         raise ValueError(f"{stages} stages of {size} rows are more than the {total} rows")
     if not size:
-        return rows.drop(h, text).withColumn("stage", F.lit(0)).limit(0)
-    bits = min(24, max(4, (total // RANKED).bit_length()))
-    of = F.shiftright(F.col(h), 32 - bits)
-    counts = rows.groupBy(of.alias("of")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("of"))  # a row for each RANKED rows
-    ranges = settled(counts.select("of", (upto - F.col("n")).alias("first"), (upto - 1).alias("last")))
-    placed = rows.join(few(ranges), of == F.col("of"))
-    whole = F.floor(F.col("first") / size) == F.floor(F.col("last") / size)
-    rank = F.row_number().over(Window.partitionBy("of").orderBy(h, text)) - 1 + F.col("first")
-    known = placed.filter(whole).withColumn("stage", F.floor(F.col("first") / size).cast("int"))
-    cut = placed.filter(~whole).withColumn("stage", F.floor(rank / size).cast("int"))
-    return known.unionByName(cut).filter(F.col("stage") < stages).drop(h, text, "of", "first", "last")
+        return rows.select(*kept, F.lit(0).alias("stage")).limit(0)
+    rows = rows.withColumn(of, part(F.col(o), total // RANKED))
+    upto = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(at))  # a few rows for each RANKED rows
+    counts = rows.groupBy(F.col(of).alias(at)).agg(F.count("*").alias("n"))
+    ranges = settled(counts.select(at, (upto - F.col("n")).alias(first), (upto - 1).alias(last)))
+    placed = rows.join(few(ranges), F.col(of) == F.col(at))
+    stage = lambda place: F.floor(place / size).cast("int")
+    whole = stage(F.col(first)) == stage(F.col(last))
+    rank = F.row_number().over(Window.partitionBy(of).orderBy(o, text)) - 1 + F.col(first)
+    known, cut = placed.filter(whole).withColumn("stage", stage(F.col(first))), placed.filter(~whole).withColumn("stage", stage(rank))
+    return known.unionByName(cut).filter(F.col("stage") < stages).select(*kept, "stage")
+
+
+def exact_stages(rows: DataFrame, key: Column, stages: int, rate: float) -> DataFrame:
+    """The rows drawn into ``stages`` stages of exactly floor(rate x rows) each, without replacement, with their ``stage``.
+
+    Rows stand in the order of their key's MD5 number, then of the key's text, and the stages are cut off from the front.
+    Keys must be distinct for that: rows of one key are in one range.  Rows without a key take no part."""
+    return _cut_off(rows, key, _md5_number(key, ""), lambda h, n: F.shiftright(h, 32 - min(24, max(4, n.bit_length()))), stages, rate)
+
+
+def weighted_stages(rows: DataFrame, key: Column, weight: Column, stages: int, rate: float) -> DataFrame:
+    """As ``exact_stages``, but rows are drawn one after the other with chances in proportion to their weights.
+
+    Each row waits an exponential time, -ln(u) / weight with u from its key's MD5 number, and the first come first.  Ranges
+    are slices of an octave of that time, so whatever the weights are, none holds more than about a quarter of an octave's
+    rate: 0.26 / slices of the rows on average.  Rows whose weight is missing, not finite or not above 0, or without a
+    key, take no part and do not count."""
+    w = weight.cast("double")
+    u = (_md5_number(key, "") + F.lit(0.5)) / F.lit(float(2**32))
+
+    def part(wait: Column, ranges: int) -> Column:
+        inside = F.least(F.greatest(wait, F.lit(1e-300)), F.lit(1e300))
+        return F.floor(F.log2(inside) * F.lit(float(max(4, ranges)))).cast("long")
+
+    held = rows.filter((w > 0) & (w < float("inf")))
+    return _cut_off(held, key, F.try_divide(-F.log(u), w), part, stages, rate)

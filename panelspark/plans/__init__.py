@@ -3,5 +3,6 @@
 from .batch import evaluate_batch, fill, grid, slot
 from .expr import Expr, data, op
 from .evaluate import evaluate, lookback
+from .weights import SlotWeights, draw, weighted_fill
 
-__all__ = ["Expr", "data", "evaluate", "evaluate_batch", "fill", "grid", "lookback", "op", "slot"]
+__all__ = ["Expr", "SlotWeights", "data", "draw", "evaluate", "evaluate_batch", "fill", "grid", "lookback", "op", "slot", "weighted_fill"]

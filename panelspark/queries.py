@@ -20,7 +20,7 @@ from .operators import results as R
 from .operators.cross_section import rank_by_ranges as ranked_by_ranges
 from .operators.registry import INT, PANEL, TRAIL
 from .operators.time_series import trailing
-from .plans import data, evaluate, evaluate_batch, fill, grid, op, slot
+from .plans import SlotWeights, data, draw, evaluate, evaluate_batch, fill, grid, op, slot, weighted_fill
 from .sources import matrices as M
 from .sources.panel import adv, day_panel, mask_universe, month_panel, reindex, with_returns
 from .sources.panel import members_only as panel_members
@@ -413,6 +413,33 @@ def _slot_sql() -> str:
     return f"{MONTH_SQL}, a AS (SELECT t, inst, returns_d1, {inner} FROM r), b AS (SELECT t, returns_d1, {ranks} FROM a), d AS (SELECT t, {days} FROM b GROUP BY t) {rows}"
 
 
+def slot_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fillings of a slot drawn without replacement, by the mean of two sets of operator weights, into two stages of 30 % each,
+    and the mean return of each; one operator has weight 0."""
+    weights = SlotWeights({"ts_mean": 0.7, "ts_max": 0.6, "sigmoid": 0.0}, 0.05).mixed(SlotWeights({"ts_mean": 0.5, "delay": 0.3, "sigmoid": 0.0}, 0.05))
+    template = op("rank", op("add", slot(), data("close")))
+    found = {e.canonical(): (e, w) for e, w in weighted_fill(template, [VOLUME], ["flip", "delay", "ts_mean", "ts_max", "sigmoid"], weights, ints=[2, 5])}
+    drawn = draw(spark, found.values(), 2, 0.3)
+    chosen = [r.expr for r in drawn.select("expr").collect()]  # as many as are evaluated
+    means = evaluate_batch(with_returns(month_panel(spark, sf_dir)), {k: found[k][0] for k in chosen}).groupBy("expr").agg(tidy(F.avg("ret"), 7).alias("mean_ret"))
+    return means.join(F.broadcast(drawn), "expr").select("expr", "stage", tidy(F.col("weight")).alias("weight"), "mean_ret")
+
+
+#: The waiting time of a row in SQL, by its key's MD5 number.
+def _wait(key: str, weight: str) -> str:
+    return f"-ln((CAST('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8) AS BIGINT) + 0.5) / 4294967296.0) / {weight}"
+
+
+def _slot_weighted_sql() -> str:
+    weights = {'flip(data("volume"))': 0.05}
+    for d in (2, 5):
+        weights |= {f'delay(data("volume"), {d})': 0.175, f'ts_mean(data("volume"), {d})': 0.6, f'ts_max(data("volume"), {d})': 0.325}
+    rows = ", ".join(f"""('rank(add({k}, data("close")))', CAST({w} AS DOUBLE))""" for k, w in weights.items())
+    return f"""WITH s AS ({_slot_sql()}), w(expr, weight) AS (VALUES {rows}),
+o AS (SELECT expr, weight, row_number() OVER (ORDER BY {_wait('expr', 'weight')}, expr) - 1 AS r FROM w)
+SELECT expr, CAST(r // 2 AS INT) AS stage, round(weight, 6) + 0.0 AS weight, mean_ret FROM o JOIN s USING (expr) WHERE r < 4"""
+
+
 def reindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily event counts on every day x user."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.to_date("ts").alias("t"), F.col("user_id").alias("inst"))
@@ -498,6 +525,12 @@ def exact_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.exact_stages(d, F.col("doc_id"), 3, 0.2)
 
 
+def weighted_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn without replacement, with chances in proportion to their length, into three stages of exactly a tenth each."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
+    return R.weighted_stages(d, F.col("doc_id"), F.col("n_chars"), 3, 0.1).select("doc_id", "stage")
+
+
 def quantile_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 0.999 quantile of line prices by return flag and status, narrowed down by histograms."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -740,8 +773,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "expr_mixed_deep": _formula(DEEP),
     **{f.__name__: f for f in (
         grid_ts_mean, backtest, portfolio, pool_stats, pool_maxcorr, pool_marginal_utility, pool_near_copies, corr_hist, pool_dedup, pool_top, data_quality,
-        slot_batch, observed_adv20, universe_mask, candles, transition_matrix, sequence_features, batch_summary, quantile_by_bucket,
-        portfolio_weights, trajectory_steps, text_complexity, stage_sampling, exact_stages, quantile_prices, piecewise_fitness, potentials, long_short,
+        slot_batch, slot_weighted, observed_adv20, universe_mask, candles, transition_matrix, sequence_features, batch_summary, quantile_by_bucket,
+        portfolio_weights, trajectory_steps, text_complexity, stage_sampling, exact_stages, weighted_stages, quantile_prices, piecewise_fitness, potentials, long_short,
         long_short_sharpe, trajectory_medians, text_huffman, matrix_round_trip, panel_round_trip, catalogue_round_trip, members_only, candles_round_trip,
         returns_round_trip, returns_first, search_log_round_trip, user_operator, rank_by_ranges, stream_signals, stream_formulas, stream_bars,
     )},
@@ -774,6 +807,7 @@ SELECT CAST(least(floor((c - lo) / (hi - lo) * 30), 29) AS INT) AS bin, count(*)
     "data_quality": f"""{DAY_SQL}, d AS (SELECT inst, z * (volume - lag(volume) {TS}) AS v FROM {_INF_SQL})
 SELECT inst, count(*) AS total, count(*) FILTER (v IS NULL OR isnan(v)) AS missing, count(*) FILTER (isinf(v)) AS infinite, count(*) FILTER (v = 0) AS zero FROM d GROUP BY inst""",
     "slot_batch": _slot_sql(),
+    "slot_weighted": _slot_weighted_sql(),
     "observed_adv20": f"""{DAY_SQL} SELECT t, inst, CASE WHEN count(volume) OVER w = 20 THEN round(avg(volume) OVER w, 6) + 0.0 END AS adv20 FROM panel
 WINDOW w AS (PARTITION BY inst, volume IS NULL ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
     "universe_mask": f"{MONTH_SQL} SELECT t, inst, CASE WHEN p > 30 THEN volume END AS volume FROM (SELECT t, inst, volume, lag(volume) {TS} AS p FROM r)",
@@ -816,6 +850,8 @@ SELECT d.doc_id, CAST(coalesce(b, 0) AS BIGINT) AS huffman_bits FROM documents d
     "stage_sampling": "SELECT CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 4 AS INT) AS stage, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1",
     "exact_stages": """WITH o AS (SELECT doc_id, count(*) OVER () // 5 AS m,
 row_number() OVER (ORDER BY CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT), CAST(doc_id AS VARCHAR)) - 1 AS r FROM documents)
+SELECT doc_id, CAST(r // m AS INT) AS stage FROM o WHERE r < 3 * m""",
+    "weighted_stages": f"""WITH o AS (SELECT doc_id, count(*) OVER () // 10 AS m, row_number() OVER (ORDER BY {_wait('doc_id', 'n_chars')}, CAST(doc_id AS VARCHAR)) - 1 AS r FROM documents WHERE n_chars > 0)
 SELECT doc_id, CAST(r // m AS INT) AS stage FROM o WHERE r < 3 * m""",
     "quantile_prices": f"SELECT b AS bucket, {_sql_significant('q')} AS q FROM (SELECT l_returnflag || l_linestatus AS b, quantile_cont(l_extendedprice, 0.999) AS q FROM lineitem GROUP BY 1)",
     "matrix_round_trip": f"""{MONTH_SQL} SELECT 'volume' AS field, CAST(dense_rank() OVER (ORDER BY t) - 1 AS INT) AS t, CAST(dense_rank() OVER (ORDER BY inst) - 1 AS INT) AS inst, round(volume, 6) + 0.0 AS value FROM r""",

@@ -10,7 +10,7 @@ from panelspark.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHOSEN = ["op_divide", "op_rank", "op_rank_div", "op_cs_zscore", "op_ts_argmin", "op_ts_corr", "op_ts_sum_day", "expr_mixed_deep", "pool_stats", "slot_batch", "transition_matrix", "candles", "portfolio_weights", "quantile_by_bucket", "observed_adv20", "op_ts_corr_day", "op_ts_rank_long_day", "op_ts_sum_spike_day", "op_ts_mean_spike_day", "op_ts_max_long_day", "op_ts_argmin_long_day", "op_ts_stddev_long_day", "op_ts_cov_long_day", "op_ts_corr_long_day", "op_ts_cov_day", "op_ts_stddev_inf", "op_cs_zscore_inf", "op_ts_corr_inf", "data_quality", "op_ts_max_inf", "long_short", "long_short_sharpe", "trajectory_medians", "text_huffman", "stage_sampling", "exact_stages", "quantile_prices", "corr_hist", "matrix_round_trip", "catalogue_round_trip", "candles_round_trip", "search_log_round_trip", "stream_signals", "stream_formulas", "stream_bars", "user_operator"]
+CHOSEN = ["op_divide", "op_rank", "op_rank_div", "op_cs_zscore", "op_ts_argmin", "op_ts_corr", "op_ts_sum_day", "expr_mixed_deep", "pool_stats", "slot_batch", "slot_weighted", "transition_matrix", "candles", "portfolio_weights", "quantile_by_bucket", "observed_adv20", "op_ts_corr_day", "op_ts_rank_long_day", "op_ts_sum_spike_day", "op_ts_mean_spike_day", "op_ts_max_long_day", "op_ts_argmin_long_day", "op_ts_stddev_long_day", "op_ts_cov_long_day", "op_ts_corr_long_day", "op_ts_cov_day", "op_ts_stddev_inf", "op_cs_zscore_inf", "op_ts_corr_inf", "data_quality", "op_ts_max_inf", "long_short", "long_short_sharpe", "trajectory_medians", "text_huffman", "stage_sampling", "exact_stages", "weighted_stages", "quantile_prices", "corr_hist", "matrix_round_trip", "catalogue_round_trip", "candles_round_trip", "search_log_round_trip", "stream_signals", "stream_formulas", "stream_bars", "user_operator"]
 
 
 @pytest.fixture(scope="module")

@@ -174,3 +174,35 @@ def test_exact_stages(spark, monkeypatch):
     assert R.exact_stages(df, F.col("id"), 3, 0.0001).isEmpty() and R.exact_stages(df.limit(0), F.col("id"), 3, 0.1).isEmpty()
     with pytest.raises(ValueError):
         R.exact_stages(df, F.col("id"), 3, 0.5)
+
+
+def test_exact_stages_with_clashing_names_and_missing_keys(spark):
+    df = spark.createDataFrame([(i if i % 10 else None, 1, 2, 3, 4) for i in range(300)], "id long, `of` int, first int, last int, __at int")
+    rows = R.exact_stages(df, F.col("id"), 3, 0.2).collect()
+    order = sorted((i for i in range(300) if i % 10), key=lambda i: (int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16), str(i)))
+    assert {r.id: r.stage for r in rows} == {i: k // 54 for k, i in enumerate(order) if k < 162} and rows[0]["of"] == 1 and rows[0]["__at"] == 4
+
+
+@pytest.mark.parametrize("ranked", [10, 100_000])
+def test_weighted_stages(spark, monkeypatch, ranked):
+    monkeypatch.setattr(R, "RANKED", ranked)
+    odd = {0: None, 1: 0.0, 2: -1.0, 3: float("nan"), 4: float("inf")}
+    weights = {i: odd.get(i, [1e-200, 0.5, 1.0, 3.0, 1e200][i % 5]) for i in range(1000)}
+    df = spark.createDataFrame([(i, w, i) for i, w in weights.items()] + [(None, 1.0, 0)], "id long, w double, stage_of long")
+    wait = lambda i: -math.log((int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) + 0.5) / 2**32) / weights[i]
+    order = sorted((i for i in range(5, 1000)), key=lambda i: (wait(i), str(i)))
+    size = int(995 * 0.13)
+    got = R.weighted_stages(df, F.col("id"), F.col("w"), 7, 0.13)
+    assert got.columns == ["id", "w", "stage_of", "stage"]
+    rows = got.collect()
+    assert {r.id: r.stage for r in rows} == {i: k // size for k, i in enumerate(order) if k < 7 * size} and len(rows) == 7 * size
+    assert R.weighted_stages(df.limit(0), F.col("id"), F.col("w"), 2, 0.5).isEmpty()
+    with pytest.raises(ValueError):
+        R.weighted_stages(df, F.col("id"), F.col("w"), 3, 0.5)
+
+
+def test_weights_are_chances(spark):
+    df = spark.range(8000).withColumn("w", F.when(F.col("id") % 2 == 0, 3.0).otherwise(1.0))
+    first = R.weighted_stages(df, F.col("id"), F.col("w"), 1, 0.05).groupBy("w").count().collect()
+    n = {r.w: r["count"] for r in first}
+    assert n[3.0] + n[1.0] == 400 and abs(n[3.0] / 400 - 0.75) < 0.07
