@@ -401,7 +401,7 @@ def test_wrappers_of_hosts_with_several_layouts(spark):
 def test_registry():
     import corpus_pipeline
 
-    assert {re.match(r"op\d+", k)[0] for k in Q.queries() if k != "pipeline"} == {f"op{n}" for n in range(1, 11)}
+    assert {re.match(r"op\d+", k)[0] for k in Q.queries() if k != "pipeline"} == {f"op{n}" for n in range(1, 14)}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "near dedup", "decontamination", "packing"]
 
 
