@@ -22,7 +22,7 @@ from .operators.registry import INT, PANEL, TRAIL
 from .operators.time_series import trailing
 from .plans import SlotWeights, data, draw, evaluate, evaluate_batch, fill, grid, op, slot, weighted_fill
 from .sources import matrices as M
-from .sources.panel import adv, day_panel, mask_universe, month_panel, reindex, with_returns
+from .sources.panel import adv, day_panel, mask_universe, month_panel, reindex, wide_ordinals, with_returns
 from .sources.panel import members_only as panel_members
 from .sources.scratch import fresh_folder, settled
 from .streaming import bars, cross_section_stream, trailing_stream
@@ -598,11 +598,11 @@ def text_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matrix_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly volumes written as a matrix and read back, shape checked; inst is the column's number."""
-    panel = month_panel(spark, sf_dir).select("t", "inst", "volume")
-    columns = [r.inst for r in panel.select("inst").distinct().orderBy("inst").collect()]  # an axis of the matrix
+    panel = settled(month_panel(spark, sf_dir).select("t", "inst", "volume"))
+    columns = settled(wide_ordinals(panel, "inst", "column"))
     path = fresh_folder(spark, "matrix")
     M.save_matrix(panel, "volume", columns, f"{path}/volume.csv.gz")
-    out = M.load_matrices(spark, f"{path}/volume.csv.gz", dates=panel.select("t").distinct().count(), instruments=len(columns))
+    out = M.load_matrices(spark, f"{path}/volume.csv.gz", dates=panel.select("t").distinct().count(), instruments=columns.count())
     return out.select("field", "t", "inst", tidy(F.col("value")).alias("value"))
 
 

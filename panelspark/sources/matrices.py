@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .matrix_source import read_matrices
+from .scratch import few
 
 CANDLE = "timestamp timestamp, open double, high double, low double, close double, volume double, source string"
 
@@ -44,10 +45,10 @@ def load_matrices(spark: SparkSession, path: str, *, dates: int | None = None, i
     if instruments is not None:
         bad = bad | (F.col("most") != instruments)
     said = F.concat(F.lit("matrix "), F.col("file"), F.lit(" has "), F.col("rows").cast("string"), F.lit(" lines of "), F.col("least").cast("string"), F.lit(" to "), F.col("most").cast("string"), F.lit(" cells"))
-    checked = shape.select(F.col("file").alias("f"), F.when(bad, F.raise_error(said).cast("boolean")).otherwise(True).alias("good"))
-    field = source_name(F.col("file"))
+    named = source_name(F.col("file")).alias("field")  # once a file: patterns over paths cost more than the cells
+    checked = shape.select(F.col("file").alias("f"), named, F.when(bad, F.raise_error(said).cast("boolean")).otherwise(True).alias("good"))
     cells = lines.join(F.broadcast(checked), F.col("file") == F.col("f")).filter("good")  # a row a file
-    return cells.select(field.alias("field"), "t", F.posexplode("cells").alias("inst", "cell")).select("field", "t", "inst", F.expr("try_cast(trim(cell) as double)").alias("value")).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    return cells.select("field", "t", F.posexplode("cells").alias("inst", "cell")).select("field", "t", "inst", F.expr("try_cast(trim(cell) as double)").alias("value")).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
 def wide(cells: DataFrame, fields: list[str]) -> DataFrame:
@@ -75,12 +76,32 @@ def load_fields(spark: SparkSession, catalogue: DataFrame, folder: str, calendar
     return kept, rejects.select(F.col("local_path").alias("field"), F.coalesce("error", F.lit("no file")).alias("reason"))
 
 
-def save_matrix(panel: DataFrame, field: str, instruments: list, path: str) -> None:
+def matrix_lines(cells: DataFrame, field: str, axis: DataFrame, *, row: str = "t", width: int | None = None) -> DataFrame:
+    """(row, line): the field's cells of each row as one line, in the order of ``axis`` (inst, column); missing cells are empty.
+
+    Cells become pieces of text that begin with the commas since the piece before, so that a plan has one expression for all
+    columns, whatever their number, and a row's shuffle holds only the cells that are there."""
+    width = axis.count() if width is None else width
+    once = cells.groupBy(row, "inst").agg(F.first(field).alias("x")).join(few(axis), "inst", "left")
+    there = F.when(F.col("x").isNotNull(), F.col("column"))
+    earlier = Window.partitionBy(row).orderBy("column").rowsBetween(Window.unboundedPreceding, -1)
+    commas = there - F.coalesce(F.last(there, ignorenulls=True).over(earlier), F.lit(0))
+    pieces = once.select(row, there.alias("column"), F.concat(F.repeat(F.lit(","), commas), F.col("x").cast("string")).alias("piece"))
+    held = pieces.groupBy(row).agg(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("column", "piece"))).alias("held"), F.max("column").alias("last"))
+    text = F.array_join(F.transform(F.array_sort("held"), lambda p: p["piece"]), "")
+    return held.select(row, F.concat(text, F.repeat(F.lit(","), F.lit(width - 1) - F.coalesce("last", F.lit(0)))).alias("line"))
+
+
+def save_matrix(panel: DataFrame, field: str, instruments: list | DataFrame, path: str) -> None:
     """The field as header-less gzip CSV, dates in order, one column per instrument; missing cells are empty.
 
-    Ranges of dates are parts with names in their order, each a gzip file of its own: tasks write them side by side, readers
-    put them together, and so does appending the files, since gzip members may follow each other."""
-    panel.groupBy("t").pivot("inst", instruments).agg(F.first(field)).orderBy("t").drop("t").write.option("compression", "gzip").option("header", False).csv(path)
+    ``instruments`` is a list in the columns' order, or a table (inst, column) for any number of them.  Ranges of dates are
+    parts with names in their order, each a gzip file of its own: tasks write them side by side, readers put them together,
+    and so does appending the files, since gzip members may follow each other."""
+    if isinstance(instruments, list):
+        kind = panel.schema["inst"].dataType.simpleString()
+        instruments = panel.sparkSession.createDataFrame([(inst, k) for k, inst in enumerate(instruments)], f"inst {kind}, column int")
+    matrix_lines(panel, field, instruments).orderBy("t").select("line").write.option("compression", "gzip").text(path)
 
 
 def save_panel(panel: DataFrame, path: str, date: str = "date") -> None:

@@ -46,6 +46,20 @@ def test_plain_matrices_may_be_split(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_wide_matrices_have_small_plans(spark, tmp_path):
+    """Gaps at both ends and in the middle, an empty line, instruments out of the list; the plan does not grow with the columns."""
+    cells = spark.createDataFrame([(0, 2, 1.5), (0, 4, 2.0), (1, 0, None), (2, 5, -3.0), (2, 0, 7.0), (3, 99, 1.0)], "t int, inst long, x double")
+    M.save_matrix(cells, "x", list(range(6)), str(tmp_path / "m"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "m")).collect()] == [",,1.5,,2.0,", ",,,,,", "7.0,,,,,-3.0", ",,,,,"]
+    plans = []
+    for n in (10, 20000):
+        axis = spark.range(n).select(F.col("id").alias("inst"), F.col("id").cast("int").alias("column"))
+        lines = M.matrix_lines(spark.range(n).select(F.lit(0).alias("t"), F.col("id").alias("inst"), F.lit(1.0).alias("x")), "x", axis)
+        plans.append(len(lines._jdf.queryExecution().optimizedPlan().toString()))
+        assert lines.first().line == ",".join(["1.0"] * n)
+    assert plans[1] < plans[0] + 100
+
+
 def test_catalogue_and_rejects(spark, tmp_path):
     (tmp_path / "cat.csv").write_text("remote_path, local_path\nd/close_x.csv, close\nd/gone.csv, gone\n")
     (tmp_path / "raw").mkdir()
