@@ -34,11 +34,12 @@ def rank_by_ranges(panel: DataFrame, field: str, name: str, *, ranges: int = 64)
     """``panel`` with ``name``, the rank of ``field`` in its date, for dates with more cells than one task should sort.
 
     Equal values of a date are counted first; each date's distinct values are dealt to ranges between its approximate
-    quantiles, and a rank is what lies below the range plus the place inside.  The caller chooses this form; it gives what
+    quantiles, and a rank is what lies below the range plus the place inside.  Cuts are written, since approximate quantiles
+    depend on the order in which parts arrive: worked out again they could differ from those that the sums below used.  The caller chooses this form; it gives what
     the operator ``rank`` gives."""
     v = nz(F.col(field).cast("double"))
     counts = settled(panel.select("t", v.alias("v")).filter("v is not null").groupBy("t", "v").agg(F.count("*").alias("c")))
-    cuts = counts.groupBy("t").agg(F.percentile_approx("v", [k / ranges for k in range(1, ranges)], 10 * ranges).alias("cuts"), F.sum("c").alias("n"))
+    cuts = settled(counts.groupBy("t").agg(F.percentile_approx("v", [k / ranges for k in range(1, ranges)], 10 * ranges).alias("cuts"), F.sum("c").alias("n")))
     placed = counts.join(few(cuts), "t").withColumn("r", F.size(F.filter("cuts", lambda s: s < F.col("v")))).drop("cuts")
     below = Window.partitionBy("t").orderBy("r")  # as many rows as there are ranges
     sums = placed.groupBy("t", "r").agg(F.sum("c").alias("held")).withColumn("below", F.sum("held").over(below) - F.col("held")).drop("held")

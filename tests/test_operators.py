@@ -213,6 +213,13 @@ def test_rank_by_ranges_equals_rank(spark, ranges):
     assert set(got) == set(want) and all(same([got[k]], [w], 1e-12) for k, w in want.items())
 
 
+def test_rank_by_ranges_has_one_set_of_cuts(spark):
+    """Approximate quantiles are not worked out again by what reads them."""
+    rows = spark.range(2000).select((F.col("id") % 2).cast("int").alias("t"), F.col("id").alias("inst"), F.rand(3).alias("x"))
+    plan = rank_by_ranges(rows, "x", "v", ranges=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx" not in plan
+
+
 def calls():
     """One call of every operator."""
     for name, spec in sorted((n, s) for n, s in OPERATORS.items() if n[0] != "_"):
