@@ -619,11 +619,11 @@ def catalogue_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     not there and one that was cut off, for the days of 1996 and the suppliers with even keys."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("date", F.to_date("l_shipdate"))
     cells = rows.groupBy("date", F.col("l_suppkey").alias("inst")).agg(F.sum("l_quantity").alias("volume"), F.max("l_extendedprice").alias("high"))
-    ids = [r.inst for r in cells.select("inst").distinct().orderBy("inst").collect()]  # an axis of the matrix
+    cells = settled(cells)
+    axis = settled(wide_ordinals(cells, "inst", "column"))
     path = fresh_folder(spark, "fields")
     for field in ("volume", "high"):
-        table = cells.groupBy("date").pivot("inst", ids).agg(F.first(field)).orderBy("date")
-        table.write.option("header", True).csv(f"{path}/raw/{field}_d.csv")
+        M.save_dated_matrix(cells, field, axis, f"{path}/raw/{field}_d.csv")
     files, folder = pyarrow.fs.FileSystem.from_uri(f"{path}/raw")
     with files.open_output_stream(f"{folder}/cut_d.csv.gz", compression=None) as out:
         out.write(gzip.compress(b"date,2\n1996-01-02,1\n" * 99)[:-9])

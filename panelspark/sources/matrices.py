@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .matrix_source import read_matrices
-from .scratch import few
+from .scratch import few, settled
 
 CANDLE = "timestamp timestamp, open double, high double, low double, close double, volume double, source string"
 
@@ -67,11 +67,12 @@ def load_fields(spark: SparkSession, catalogue: DataFrame, folder: str, calendar
 
     A file that is missing, cannot be read or has no dated row becomes a row of the rejects (field, reason), and the others
     still load."""
-    cells = read_matrices(spark, folder)
+    first, last = calendar.agg(F.min("date"), F.max("date")).first()
+    cells = read_matrices(spark, folder).filter(F.col("date").between(F.lit(first), F.lit(last)))  # other lines are not taken apart
     wanted = catalogue.select("local_path", source_name(F.col("remote_path")).alias("field"))
-    rows = cells.filter("error is null").join(wanted, "field").select(F.col("local_path").alias("field"), "date", "inst", "value")
+    rows = cells.join(wanted, "field").select(F.col("local_path").alias("field"), "date", "inst", "value")
     kept = rows.join(calendar.select("date"), "date", "left_semi").join(universe.select("inst"), "inst", "left_semi")
-    files = cells.groupBy("field").agg(F.max("error").alias("error"), F.count_if(F.col("error").isNull()).alias("n"))
+    files = read_matrices(spark, folder, cells=False).groupBy("field").agg(F.max("error").alias("error"), F.count_if(F.col("error").isNull()).alias("n"))
     rejects = wanted.join(files, "field", "left").filter("n is null or n = 0 or error like 'cannot%'")  # a part of a matrix may be empty
     return kept, rejects.select(F.col("local_path").alias("field"), F.coalesce("error", F.lit("no file")).alias("reason"))
 
@@ -104,6 +105,24 @@ def save_matrix(panel: DataFrame, field: str, instruments: list | DataFrame, pat
     matrix_lines(panel, field, instruments).orderBy("t").select("line").write.option("compression", "gzip").text(path)
 
 
+#: Dates of a part of a dated matrix.
+PART_DATES = 64
+
+
+def save_dated_matrix(cells: DataFrame, field: str, axis: DataFrame, path: str) -> None:
+    """The field of (date, inst, field) as CSV with a header of the instruments of ``axis`` (inst, column) and the date first.
+
+    Runs of dates are parts, and each begins with the header: it sorts before the dates of its run, which stay together."""
+    lines = matrix_lines(cells, field, axis, row="date")
+    runs = few(settled(lines.select("date").distinct().orderBy("date")).select("date", F.floor(F.row_number().over(Window.orderBy("date")) / F.lit(PART_DATES)).alias("run")))  # dates only
+    dated = lines.join(runs, "date").select("run", "date", F.concat_ws(",", F.col("date").cast("string"), "line").alias("line"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("column", F.col("inst").cast("string").alias("inst")))), lambda c: c["inst"])
+    head = axis.agg(F.concat(F.lit("date,"), F.array_join(names, ",")).alias("line"))  # one line of the file
+    heads = runs.select("run").distinct().crossJoin(F.broadcast(head)).select("run", F.lit(None).cast("date").alias("date"), "line")
+    whole = dated.unionByName(heads).repartitionByRange("run").sortWithinPartitions("run", F.col("date").asc_nulls_first())
+    whole.select("line").write.text(path)
+
+
 def save_panel(panel: DataFrame, path: str, date: str = "date") -> None:
     """Parquet, partitioned by year."""
     panel.withColumn("year", F.year(date)).write.partitionBy("year").parquet(path)

@@ -52,8 +52,8 @@ def number(cell: str) -> float | None:
 
 
 class MatrixReader(DataSourceReader):
-    def __init__(self, path: str, split_bytes: int):
-        self.path, self.split_bytes = path, split_bytes
+    def __init__(self, path: str, split_bytes: int, cells: bool):
+        self.path, self.split_bytes, self.cells = path, split_bytes, cells
         self.fields: set[str] | None = None
         self.insts: set[str] | None = None
         self.from_, self.to = datetime.date.min, datetime.date.max
@@ -141,6 +141,9 @@ class MatrixReader(DataSourceReader):
             if said := self._problem(files, path):
                 yield pa.RecordBatch.from_pylist([{"field": field, "error": said}], schema=ARROW)
                 continue
+            if not self.cells:
+                yield pa.RecordBatch.from_pylist([{"field": field}], schema=ARROW)
+                continue
             lines = self._lines(files, path)
             head = [c.strip() for c in next(lines).split(",")][1:]
             wanted = [k for k, inst in enumerate(head) if self.insts is None or inst in self.insts]
@@ -165,11 +168,12 @@ class MatrixReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array([field] * n), pa.array(dates, pa.date32()), pa.array(insts, pa.string()), pa.array(values, pa.float64()), pa.nulls(n, pa.string())], schema=ARROW)
 
 
-def read_matrices(spark: SparkSession, folder: str, *, split_bytes: int = 64 << 20) -> DataFrame:
-    """(field, date, inst, value, error) of the dated matrices below a folder."""
+def read_matrices(spark: SparkSession, folder: str, *, split_bytes: int = 64 << 20, cells: bool = True) -> DataFrame:
+    """(field, date, inst, value, error) of the dated matrices below a folder; without ``cells`` a row a file, which has an
+    error or nothing but the field."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(MatrixSource)
-    return spark.read.format("dated_matrix").option("splitBytes", split_bytes).load(folder if ":" in folder else f"file://{folder}")
+    return spark.read.format("dated_matrix").option("splitBytes", split_bytes).option("cells", str(cells).lower()).load(folder if ":" in folder else f"file://{folder}")
 
 
 class MatrixSource(DataSource):
@@ -181,4 +185,4 @@ class MatrixSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> MatrixReader:
-        return MatrixReader(self.options["path"], int(self.options.get("splitBytes", 64 << 20)))
+        return MatrixReader(self.options["path"], int(self.options.get("splitBytes", 64 << 20)), self.options.get("cells", "true") == "true")

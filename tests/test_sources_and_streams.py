@@ -71,6 +71,22 @@ def test_catalogue_and_rejects(spark, tmp_path):
     assert rows.count() == 4 and rows.filter("value is null").count() == 1 and [r.field for r in rejects.collect()] == ["gone"]
 
 
+def test_dated_matrices_in_parts(spark, tmp_path, monkeypatch):
+    """Every part begins with the header, and a file whose dates are all outside of the calendar is no reject."""
+    monkeypatch.setattr(M, "PART_DATES", 3)
+    cells = spark.range(40).select(F.expr("date_add(date'2020-01-01', cast(id div 4 as int))").alias("date"), (F.col("id") % 5).alias("inst"), F.col("id").cast("double").alias("x"))
+    axis = spark.range(5).select(F.col("id").alias("inst"), F.col("id").cast("int").alias("column"))
+    M.save_dated_matrix(cells, "x", axis, str(tmp_path / "raw" / "x.csv"))
+    parts = [p.read_text().splitlines() for p in (tmp_path / "raw" / "x.csv").glob("part-*") if p.stat().st_size]
+    assert parts and all(p[0] == "date,0,1,2,3,4" for p in parts) and sorted(x for p in parts for x in p if x[0] == "2")[0] == "2020-01-01,0.0,1.0,2.0,3.0,"
+    (tmp_path / "raw" / "old.csv").write_text("date,0\n1999-01-01,1\n")
+    cat = spark.createDataFrame([("x.csv", "x"), ("old.csv", "old"), ("gone.csv", "gone")], "remote_path string, local_path string")
+    days, held = cells.select("date").distinct(), axis.select(F.col("inst").cast("string").alias("inst"))
+    got, rejects = M.load_fields(spark, cat, str(tmp_path / "raw"), days, held)
+    want = {(r.date, str(r.inst)): r.x for r in cells.collect()}
+    assert {(r.date, r.inst): r.value for r in got.collect() if r.value is not None} == want and got.count() == 50 and [r.field for r in rejects.collect()] == ["gone"]
+
+
 def test_matrix_source(spark, tmp_path):
     """Files that are damaged, cut off, empty or of several gzip members; conditions narrow what is read and change nothing."""
     from panelspark.sources.matrix_source import read_matrices
