@@ -6,14 +6,35 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ieee_div, nz
-from .scratch import settled
+from .scratch import few, settled
+
+
+def dense(cells: DataFrame, universe: DataFrame, n: int, t: str = "t", inst: str = "inst") -> DataFrame:
+    """Every ordinal 0 ... n - 1 with every instrument of the universe; ordinals without cells are missing, cells of other
+    instruments go.
+
+    Only the cells are shuffled, by instrument: each makes the missing rows up to the next one where it is, so that what
+    looks along instruments next needs no exchange."""
+    fields = [c for c in cells.columns if c not in (t, inst)]
+    at, following, start = "__at", "__next", "__start"
+    starts = universe.select(inst).distinct().withColumn(t, F.lit(-1))
+    held = cells.filter(F.col(inst).isNotNull()).withColumn(t, F.col(t).cast("int"))
+    rows = starts.unionByName(held, allowMissingColumns=True)
+    w = Window.partitionBy(inst).orderBy(t)
+    rows = rows.withColumns({following: F.lead(t).over(w), start: F.first(t).over(w)}).filter(F.col(start) == -1)
+    first, last = F.greatest(F.col(t), F.lit(0)), F.greatest(F.coalesce(following, F.lit(n)) - 1, F.col(t))
+    rows = rows.withColumn(at, F.explode(F.when(first <= last, F.sequence(first, last))))
+    return rows.select(F.col(at).alias(t), inst, *(F.when(F.col(at) == F.col(t), F.col(c)).alias(c) for c in fields))
 
 
 def reindex(observed: DataFrame, calendar: DataFrame, universe: DataFrame, keys: tuple[str, str] = ("t", "inst")) -> DataFrame:
     """Every date of the calendar with every instrument of the universe; cells without rows are missing, rows of
     other dates or instruments go.  The panel is dates x instruments by definition; both lists are its axes."""
-    grid = calendar.select(keys[0]).distinct().crossJoin(universe.select(keys[1]).distinct())
-    return grid.join(observed, list(keys), "left")
+    date, inst = keys
+    days = few(settled(wide_ordinals(calendar, date, "__day")))
+    placed = observed.join(days, date).drop(date)
+    whole = dense(placed, universe, days.count(), "__day", inst).join(days, "__day")
+    return whole.select(date, inst, *(c for c in observed.columns if c not in keys))
 
 
 def members_only(rows: DataFrame, universe: DataFrame, key: str = "inst") -> DataFrame:
@@ -74,18 +95,26 @@ def _lineitem_cells(spark: SparkSession, sf_dir: str, t: Column) -> DataFrame:
     return cells.select("t", "inst", "volume", (F.col("amount") / F.col("volume")).alias("close"), F.col("first.p").alias("open"), "high", "low")
 
 
+def _universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("inst"))
+
+
 def month_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months x suppliers from ``lineitem``; t counts months from January 1995."""
     day = F.col("l_shipdate")
-    cells = _lineitem_cells(spark, sf_dir, ((F.year(day) - 1995) * 12 + F.month(day) - 1).cast("int"))
-    universe = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("inst"))
-    return reindex(cells, cells, universe)
+    t = ((F.year(day) - 1995) * 12 + F.month(day) - 1).cast("int")
+    months = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(t.alias("t"))
+    return reindex(_lineitem_cells(spark, sf_dir, t), months, _universe(spark, sf_dir))
+
+
+def day_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """The cells that ``day_panel`` has rows for, its universe and its number of days."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.to_date("l_shipdate").alias("date"))
+    days = settled(ordinals(rows, "date", "t"))
+    cells = _lineitem_cells(spark, sf_dir, F.to_date("l_shipdate")).withColumnRenamed("t", "date").join(few(days), "date").drop("date")
+    return cells, _universe(spark, sf_dir), days.count()
 
 
 def day_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shipping days x suppliers from ``lineitem``; t is the day's ordinal among all that occur."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.to_date("l_shipdate").alias("date"))
-    days = ordinals(rows, "date", "t")
-    cells = _lineitem_cells(spark, sf_dir, F.to_date("l_shipdate")).withColumnRenamed("t", "date").join(days, "date").drop("date")
-    universe = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("inst"))
-    return reindex(cells, days, universe)
+    return dense(*day_cells(spark, sf_dir))

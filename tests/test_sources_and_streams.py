@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelspark.operators import pool as P
 from panelspark.plans import data, evaluate, op
 from panelspark.sources import matrices as M
-from panelspark.sources.panel import adv, mask_universe, reindex, with_returns
+from panelspark.sources.panel import adv, dense, mask_universe, reindex, with_returns
 from panelspark.streaming import bars, trailing_stream
 
 
@@ -154,6 +154,19 @@ def test_panel_helpers(spark):
     assert [x["returns"] for x in r] == [None, 1.0, 0.5] and [x.returns_d1 for x in r] == [1.0, 0.5, None]
 
 
+def test_dense_panels_shuffle_cells_only(spark):
+    """Repeated cells stay, gaps at both ends are filled, instruments without cells or without a key have a row a date, and
+    windows along instruments need no further exchange."""
+    obs = spark.createDataFrame([(2, "a", 1.0), (2, "a", 2.0), (5, "a", 3.0), (7, "a", 9.0), (0, "zz", 3.0), (None, "a", 4.0), (2, None, 5.0)], "t int, inst string, x double")
+    cal, uni = spark.createDataFrame([(5,), (2,), (0,), (9,), (2,)], "t int"), spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "inst string")
+    grid = cal.distinct().crossJoin(uni.distinct())
+    got = reindex(obs, cal, uni)
+    assert got.columns == ["t", "inst", "x"] and sorted(map(str, got.collect())) == sorted(map(str, grid.join(obs, ["t", "inst"], "left").collect()))
+    panel = dense(spark.range(50).select(F.col("id").cast("int").alias("t"), (F.col("id") % 3).alias("inst"), F.rand(1).alias("x")), spark.range(4).select(F.col("id").alias("inst")), 60)
+    mean = evaluate(panel, {"v": op("ts_mean", data("x"), 3)})
+    assert mean.count() == 240 and mean._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(inst") == 1
+
+
 def test_long_short(spark):
     rows = [(0, 1, 1.0, 10.0), (0, 2, -1.0, 20.0), (1, 1, 1.0, 11.0), (1, 2, -1.0, 19.0)]
     df = spark.createDataFrame(rows, "t int, inst int, pos double, price double")
