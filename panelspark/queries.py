@@ -22,7 +22,7 @@ from .operators.registry import INT, PANEL, TRAIL
 from .operators.time_series import trailing
 from .plans import SlotWeights, data, draw, evaluate, evaluate_batch, fill, grid, op, slot, weighted_fill
 from .sources import matrices as M
-from .sources.panel import adv, day_panel, mask_universe, month_panel, reindex, wide_ordinals, with_returns
+from .sources.panel import adv, day_cells, day_panel, dense, mask_universe, month_panel, reindex, wide_ordinals, with_returns
 from .sources.panel import members_only as panel_members
 from .sources.scratch import fresh_folder, settled
 from .streaming import bars, cross_section_stream, trailing_stream
@@ -269,8 +269,16 @@ def infinite_op_sql(name: str) -> str:
     return f"{DAY_SQL} SELECT t, inst, {show('v')} AS value FROM (SELECT t, inst, CAST({INFINITE[name][1]} AS DOUBLE) AS v FROM {_INF_SQL})"
 
 
+#: Operators across a date that leave missing cells out and missing: they need the cells that are there only.
+SPARSE = {"rank", "cs_rank", "rank_add", "rank_sub", "rank_mul", "cs_zscore"}
+
+
 def gappy_op(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if name in SPARSE:
+            cells, universe, n = day_cells(spark, sf_dir)
+            held = evaluate(panel_members(cells, universe), {"value": GAPPY[name][0]}).withColumn("value", significant(F.col("value")))
+            return dense(held, universe, n)
         return evaluate(day_panel(spark, sf_dir), {"value": GAPPY[name][0]}).select("t", "inst", significant(F.col("value")).alias("value"))
 
     return run

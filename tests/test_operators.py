@@ -220,6 +220,23 @@ def test_rank_by_ranges_has_one_set_of_cuts(spark):
     assert "percentile_approx" not in plan
 
 
+@pytest.mark.parametrize("name", ["rank_add", "rank_sub", "rank_mul", "rank", "cs_rank", "cs_zscore"])
+def test_daily_ranks_sort_cells_only(spark, tmp_path, name):
+    """Cells that are missing take no part in the sort by date; suppliers that are not in the universe do not count."""
+    from panelspark.queries import GAPPY, QUERIES, significant
+    from panelspark.sources.panel import day_panel
+
+    rows = [(k, k, k % 7, 1, float(k % 11 + 1), 100.0 * (k % 13 + 1), f"2020-01-{k * k % 28 + 1:02d}") for k in range(90)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, d string")
+    lines.withColumn("l_shipdate", F.to_timestamp("d")).drop("d").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(1, 9).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    out = QUERIES[f"op_{name}_day"](spark, str(tmp_path))
+    whole = evaluate(day_panel(spark, str(tmp_path)), {"value": GAPPY[name][0]}).select("t", "inst", significant(F.col("value")).alias("value"))
+    assert sorted(map(str, out.collect())) == sorted(map(str, whole.collect())) and out.filter("inst = 8 and value is not null").isEmpty()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("rank(" if name != "cs_zscore" else "sum(")
+
+
 def calls():
     """One call of every operator."""
     for name, spec in sorted((n, s) for n, s in OPERATORS.items() if n[0] != "_"):
