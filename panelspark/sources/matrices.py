@@ -13,7 +13,8 @@ CANDLE = "timestamp timestamp, open double, high double, low double, close doubl
 
 def source_name(file: Column) -> Column:
     """A file's name without its ending; for files in a folder that Spark wrote, the folder's (what follows "=", if any)."""
-    return F.regexp_replace(F.regexp_extract(F.regexp_replace(file, "/part-[^/]*$", ""), r"([^/]+?)(?:\.csv)?(?:\.gz)?$", 1), "^[^=]*=", "")
+    last = F.substring_index(F.regexp_replace(file, "/part-[^/]*$", ""), "/", -1)  # first, as a pattern tries every place of a path
+    return F.regexp_replace(F.regexp_replace(last, r"(?<=.)(?:\.csv)?(?:\.gz)?$", ""), "^[^=]*=", "")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:

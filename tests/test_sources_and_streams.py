@@ -1,5 +1,6 @@
 import gzip
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,16 @@ def test_candles(spark, tmp_path):
     assert [r.t for r in times.orderBy("ts").collect()] == [0, 1] and [r.inst for r in ids.orderBy("column").collect()] == ["AA", "BB"]
 
 
+def test_names_of_files_are_cheap(spark):
+    """The time does not grow with the square of a path's length."""
+    names = {"file:/a/b/AA.csv": "AA", "/a/b.csv.gz": "b", "/x/inst=u7/part-0-1.csv": "u7", "/x/close.csv.gz/part-00001.csv.gz": "close", "a.csv.csv": "a.csv", "/d/.csv": ".csv", "/d/x.gz": "x", "/d/": ""}
+    rows = spark.createDataFrame([(k,) for k in names], "file string")
+    assert {r.file: r.name for r in rows.select("file", M.source_name(F.col("file")).alias("name")).collect()} == names
+    start = time.time()
+    long = spark.range(40).select(M.source_name(F.concat(F.repeat(F.lit("d"), F.lit(60000)), F.lit("/"), F.col("id").cast("string"), F.lit("/AA.csv"))).alias("name"))
+    assert long.filter("name = 'AA'").count() == 40 and time.time() - start < 20
+
+
 def test_panel_helpers(spark):
     obs = spark.createDataFrame([(0, "a", 1.0), (9, "a", 2.0), (1, "zz", 3.0)], "t int, inst string, volume double")
     cal, uni = spark.createDataFrame([(0,), (1,)], "t int"), spark.createDataFrame([("a",), ("b",)], "inst string")
