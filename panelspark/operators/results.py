@@ -9,7 +9,7 @@ from collections.abc import Callable
 from functools import reduce
 from itertools import cycle
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,18 +133,19 @@ def huffman_bits(text: str) -> int:
 
 
 # Both sizes walk a text in Python: a code's merges and a compressor's state have no column functions.
-@F.pandas_udf(T.LongType())
-def huffman_length(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: huffman_bits(t or ""))
+# A batch stays in Arrow and gives out one text at a time, so a worker holds no second copy of it.
+@F.arrow_udf(T.LongType())
+def huffman_length(texts: pa.Array) -> pa.Array:
+    return pa.array((huffman_bits(t.as_py() or "") for t in texts), pa.int64())
 
 
-@F.pandas_udf(T.LongType())
-def gzip_length(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.LongType())
+def gzip_length(texts: pa.Array) -> pa.Array:
     def size(t: str | None) -> int:
         packer = zlib.compressobj(9, zlib.DEFLATED, 31)
         return len(packer.compress((t or "").encode()) + packer.flush())
 
-    return texts.map(size)
+    return pa.array((size(t.as_py()) for t in texts), pa.int64())
 
 
 def _md5_number(key: Column, salt: str) -> Column:

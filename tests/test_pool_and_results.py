@@ -96,6 +96,20 @@ def test_text_sizes(spark):
     assert row[0].h == 6 and row[1].h == 0 and row[1].g == 20
 
 
+def test_text_sizes_hold_one_text_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([chr(97 + k % 20) * 50_000 for k in range(200)] + [None, ""])
+    for size in (R.huffman_length, R.gzip_length):
+        tracemalloc.start()
+        found = size.func(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(found) == 202 and found[0].as_py() > 0 and peak < 2_000_000
+
+
 def test_portfolios_and_trajectories(spark):
     returns = spark.createDataFrame([(0, 1, 0.1), (0, 2, 0.0), (1, 1, -0.1), (1, 2, 0.2), (2, 1, None), (2, 2, 0.5)], "t int, inst int, ret double")
     weights = spark.createDataFrame([("p", 1, 0.5), ("p", 2, 0.5)], "pid string, inst int, w double")
