@@ -5,8 +5,8 @@ need whole dates, and so on.  Each wave is one stateful operator:
 
 * by instrument, with a ring buffer for every trailing sub-formula: the rows of its inputs that later values can depend
   on, and no more;
-* by date, with the rows of dates that are still open.  A date is worked off when all its instruments are there; its rows
-  go at once, and what is left is a mark that turns away repeats.  Dates are event time: once a later one has come by so
+* by date, with the rows of dates that are still open.  A date is worked off when all its instruments are there, without
+  being kept if they come together; its rows go at once, and what is left is a mark that turns away repeats.  Dates are event time: once a later one has come by so
   much that the watermark is past a date, its rows are late and left out, and a timer removes its mark, or its rows if it
   never was complete.
 
@@ -148,6 +148,12 @@ class _ByDate(StatefulProcessor):
             return
         self.handle.registerTimer(DAY_MS * (int(key[0]) + DAY_0) + 1)
         columns = list(dict.fromkeys([*self.carried, *self.wave.inputs.values()]))
+        if not self.open.exists():
+            new = pd.concat(frames).drop_duplicates("inst")
+            if len(new) >= self.instruments:  # complete at once: nothing to keep
+                self.closed.update((True,))
+                yield self.finished(int(key[0]), new["inst"].tolist(), new[columns].astype(float))
+                return
         for frame in frames:
             for inst, *cells in zip(frame["inst"].tolist(), *(frame[c].to_numpy(dtype=float).tolist() for c in columns)):
                 if not self.open.containsKey((inst,)):
@@ -155,11 +161,13 @@ class _ByDate(StatefulProcessor):
         held = {k[0]: v[0] for k, v in self.open.iterator()}
         if len(held) < self.instruments:
             return
-        table = pd.DataFrame([[*cells] for cells in held.values()], columns=columns, dtype=float)
-        found, _ = self.wave.run(table, {})
         self.open.clear()
         self.closed.update((True,))
-        yield _table([int(key[0])] * len(held), list(held), {c: table[c].to_numpy() for c in self.carried} | dict(zip(self.names, found.values())))
+        yield self.finished(int(key[0]), list(held), pd.DataFrame([[*cells] for cells in held.values()], columns=columns, dtype=float))
+
+    def finished(self, t: int, insts: list, table: pd.DataFrame) -> pd.DataFrame:
+        found, _ = self.wave.run(table, {})
+        return _table([t] * len(insts), insts, {c: table[c].to_numpy() for c in self.carried} | dict(zip(self.names, found.values())))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.closed.clear()

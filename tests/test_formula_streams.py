@@ -98,3 +98,51 @@ def test_what_cannot_be_kept_up_to_date(spark):
     spark.conf.unset(STORE[0])
     with pytest.raises(ValueError):
         run_waves(spark, None, {"a": data("x")}, "/tmp", instruments=1)
+
+
+def test_dates_that_come_whole_are_not_kept():
+    """Repeats do not make a date whole, the first of them counts, and a whole date makes no call of the store for a row."""
+    import pandas as pd
+
+    from panelspark.streaming.formulas import _ByDate, _Wave
+
+    class Store:
+        def __init__(self):
+            self.rows, self.calls = {}, 0
+
+        def exists(self):
+            return bool(self.rows)
+
+        def containsKey(self, k):
+            self.calls += 1
+            return k in self.rows
+
+        def updateValue(self, k, v):
+            self.calls += 1
+            self.rows[k] = v
+
+        def iterator(self):
+            return ((k, v) for k, v in self.rows.items())
+
+        def update(self, v):
+            self.rows["done"] = v
+
+        def clear(self):
+            self.rows.clear()
+
+        def registerTimer(self, at):
+            pass
+
+    e = op("rank", data("x"))
+    for n in (4, 5):
+        made = _ByDate(_Wave({e.canonical(): e}, {data("x").canonical(): "f_x"}, [e.canonical()]), ["w"], ["f_x"], n, 30, "long")
+        made.handle, made.open, made.closed = Store(), Store(), Store()
+        frames = [pd.DataFrame({"inst": [0, 1, 2], "f_x": [3.0, None, 1.0]}), pd.DataFrame({"inst": [3, 0], "f_x": [2.0, 99.0]})]
+        out = list(made.handleInputRows((7,), iter(frames), None))
+        if n == 5:
+            assert out == [] and made.open.calls > 0 and made.closed.rows == {}
+            out = list(made.handleInputRows((7,), iter([pd.DataFrame({"inst": [4], "f_x": [None]})]), None))
+        else:
+            assert made.open.calls == 0
+        got = {r.inst: (r.f_x, r.w) for r in out[0].itertuples()}
+        assert got[0] == (3.0, 1.0) and got[2] == (1.0, 0.0) and got[3] == (2.0, 0.5) and got[1] == (None, None) and made.closed.exists()
