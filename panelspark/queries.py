@@ -84,6 +84,27 @@ def significant(x: Column) -> Column:
     return F.when(F.abs(x) < 1e-9, F.lit(0.0)).when(x.isNotNull(), F.format_string("%.6e", x * UNTIE).cast("double"))
 
 
+_POWERS = 22  #: powers of ten up to this one are doubles without an error
+
+
+def with_significant(frame: DataFrame, name: str = "value") -> DataFrame:
+    """``frame`` with ``significant`` of the double ``name`` in its place, for as many rows as a panel has.
+
+    Seven digits are had as a whole number of a power of ten: both are exact, so that one multiplication or division gives
+    the double that the text stands for.  What lies near a half, or beyond these powers, is written out as text.  Steps are
+    columns of their own, since Spark would work out a step again in every branch that uses it."""
+    x, y, size, exponent, power, scaled, whole = (F.col(c) for c in (name, "__y", "__size", "__exponent", "__power", "__scaled", "__whole"))
+    tens = F.array(*(F.lit(float(f"1e{k}")) for k in range(_POWERS + 1)))
+    steps = frame.withColumn("__y", x * UNTIE).withColumn("__size", F.abs(y))
+    steps = steps.withColumn("__exponent", F.when((size >= 1e-9) & (size < 1e28), F.floor(F.log10(size)).cast("int") - 6))
+    steps = steps.withColumn("__power", F.get(tens, F.abs(exponent)))
+    steps = steps.withColumn("__scaled", F.when(exponent <= 0, size * power).otherwise(size / power)).withColumn("__whole", F.rint(scaled))
+    sure = (scaled >= 1e6) & (whole < 1e7) & (F.abs(F.abs(scaled - whole) - 0.5) > 1e-4)
+    back = F.when(exponent <= 0, whole / power).otherwise(whole * power)
+    value = F.when(F.abs(x) < 1e-9, F.lit(0.0)).when(sure, F.when(y < 0, -back).otherwise(back)).otherwise(significant(x))
+    return steps.withColumn(name, value).select(*frame.columns)
+
+
 def _sql_significant(x: str) -> str:
     return f"CASE WHEN isnan({x}) THEN NULL WHEN abs({x}) < 1e-9 THEN 0.0 ELSE CAST(printf('%.6e', {x} * CAST('{UNTIE!r}' AS DOUBLE)) AS DOUBLE) END"
 
@@ -267,8 +288,13 @@ INFINITE: dict[str, tuple] = {
 
 
 def infinite_op(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    show = tidy if name == "ts_sum" else significant  # sums of both signs come near 0, where only decimals can be compared
-    return lambda spark, sf_dir: evaluate(day_panel(spark, sf_dir), {"value": INFINITE[name][0]}).select("t", "inst", show(F.col("value")).alias("value"))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = evaluate(day_panel(spark, sf_dir), {"value": INFINITE[name][0]})
+        if name == "ts_sum":  # sums of both signs come near 0, where only decimals can be compared
+            return out.withColumn("value", tidy(F.col("value")))
+        return with_significant(out)
+
+    return run
 
 
 def infinite_op_sql(name: str) -> str:
@@ -284,9 +310,8 @@ def gappy_op(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if name in SPARSE:
             cells, universe, n = day_cells(spark, sf_dir)
-            held = evaluate(panel_members(cells, universe), {"value": GAPPY[name][0]}).withColumn("value", significant(F.col("value")))
-            return dense(held, universe, n)
-        return evaluate(day_panel(spark, sf_dir), {"value": GAPPY[name][0]}).select("t", "inst", significant(F.col("value")).alias("value"))
+            return dense(with_significant(evaluate(panel_members(cells, universe), {"value": GAPPY[name][0]})), universe, n)
+        return with_significant(evaluate(day_panel(spark, sf_dir), {"value": GAPPY[name][0]}))
 
     return run
 
@@ -298,7 +323,7 @@ def gappy_op_sql(name: str) -> str:
 def rank_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The daily rank of volume with every date's values dealt to eight ranges."""
     out = ranked_by_ranges(day_panel(spark, sf_dir).select("t", "inst", "volume"), "volume", "value", ranges=8)
-    return out.select("t", "inst", significant(F.col("value")).alias("value"))
+    return with_significant(out.select("t", "inst", "value"))
 
 
 SPIKE = op("divide", VOLUME, op("ts_mean", VOLUME, 10))

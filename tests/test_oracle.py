@@ -53,3 +53,20 @@ def test_rounding_has_one_rule(spark, name):
     rows = spark.createDataFrame(list(enumerate(values)), "k int, v double").withColumn("r", tidy(F.col("v"))).toArrow()  # noqa: F841  DuckDB finds it by name
     rule = ORACLES[name].split("SELECT t, inst, ")[-2].split(" AS value")[0]
     assert duckdb.sql(f"SELECT k, v, r FROM rows WHERE r IS DISTINCT FROM ({rule})").fetchall() == []
+
+
+def test_seven_digits_without_text(spark):
+    """Numbers of all sizes, next to powers of ten and to halves of the seventh digit, infinities, zeros and nothing; and the
+    daily queries do not write every row as text."""
+    from pyspark.sql import functions as F
+
+    from panelspark.queries import UNTIE, significant, with_significant
+
+    edges = [s * d * 10.0**k / UNTIE for k in range(-12, 40) for s in (1, -1) for d in (1, 1.0000005, 1.2345675, 0.9999999499999999, 0.99999995, 0.9999999999999999)]
+    values = edges + [math.inf, -math.inf, None, 0.0, -0.0, 1e-9, 9.99e-10, 5e-324, 1.7e308, 1e22, 1e23] + [k / 7 - 500 for k in range(5000)]
+    rows = spark.createDataFrame(list(enumerate(values)), "k int, value double")
+    both = with_significant(rows.withColumn("text", significant(F.col("value"))))
+    assert both.columns == ["k", "value", "text"] and both.count() == len(values)
+    assert both.filter(~F.col("value").eqNullSafe(F.col("text"))).collect() == []
+    plan = QUERIES["op_ts_mean_day"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LOG10" in plan
