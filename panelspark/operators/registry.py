@@ -22,6 +22,8 @@ class Operator:
     #: For long windows: the same values as a function of (cache, whole series of an instrument ..., window's length);
     #: ``cache`` is one dict for all formulas of a wave over that instrument.
     series: Callable | None = None
+    #: Of a cell operator: the value is missing wherever a panel argument is.
+    keeps_gaps: bool = False
 
 
 OPERATORS: dict[str, Operator] = {}
@@ -29,11 +31,11 @@ OPERATORS: dict[str, Operator] = {}
 LONG = 32
 
 
-def register(name: str, kinds: tuple[str, ...], sees: str, build: Callable, lookback: Callable[..., int | None] = lambda *_: 0, *, series: Callable | None = None) -> Operator:
+def register(name: str, kinds: tuple[str, ...], sees: str, build: Callable, lookback: Callable[..., int | None] = lambda *_: 0, *, series: Callable | None = None, keeps_gaps: bool = False) -> Operator:
     """Adds an operator (users' own ones too).  ``build`` gets a Column per panel argument and Python scalars."""
     if sees not in (CELL, CROSS, TRAIL):
         raise ValueError(f"unknown view {sees!r}")
-    OPERATORS[name] = made = Operator(name, tuple(kinds), sees, build, lookback, series)
+    OPERATORS[name] = made = Operator(name, tuple(kinds), sees, build, lookback, series, keeps_gaps)
     return made
 
 

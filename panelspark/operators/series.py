@@ -15,6 +15,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from .registry import LONG
+
 State = tuple[np.ndarray, ...]
 
 
@@ -162,7 +164,14 @@ def long_corr(cache: dict, x: np.ndarray, y: np.ndarray, d: int) -> np.ndarray:
 
 
 def long_rank(cache: dict, x: np.ndarray, d: int) -> np.ndarray:
-    """ts_rank with the window kept sorted."""
+    """ts_rank: short windows row by row of the window, long ones kept sorted."""
+    if d <= LONG:
+        there = ~np.isnan(x)
+        below, n = np.zeros(len(x)), np.zeros(len(x))
+        for k in range(min(d, len(x))):
+            below[k:] += x[: len(x) - k] <= x[k:]
+            n[k:] += there[: len(x) - k]
+        return np.where(there, below / np.maximum(n, 1.0), np.nan)
     out, window, values = np.full(len(x), np.nan), [], x.tolist()
     for i, v in enumerate(values):
         if i >= d and (old := values[i - d]) == old:

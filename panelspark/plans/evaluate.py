@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import constant, nz
 from ..operators import operator
 from ..operators.registry import CELL, CROSS, LONG, PANEL, TRAIL
+from ..sources.panel import dense
 from .expr import Expr
 
 
@@ -127,3 +128,51 @@ def evaluate(panel: DataFrame, formulas: dict[str, Expr], *, t_from: int | None
             phase = (CELL, CROSS) if phase == (CELL, TRAIL) else (CELL, TRAIL)
     out = frame.select("t", "inst", *(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)), *(held[e.canonical()].alias(n) for n, e in formulas.items()))
     return out if t_from is None else out.filter(F.col("t") >= t_from)
+
+
+def _keeps_gaps(e) -> bool:
+    """Whether a formula's value is missing wherever there is no cell."""
+    return e.name == "data" or operator(e.name).keeps_gaps and bool(e.inputs) and all(map(_keeps_gaps, e.inputs))
+
+
+def _of_cells(e: Expr) -> bool:
+    """Whether an operator over series can work a formula off from the cells that are there.  Windows of one row have rules
+    of their own."""
+    return e.name != "data" and operator(e.name).series is not None and bool(e.inputs) and e.args[-1] > 1 and all(map(_keeps_gaps, e.inputs))
+
+
+def evaluate_cells(cells: DataFrame, universe: DataFrame, n: int, formulas: dict[str, Expr]) -> DataFrame:
+    """What ``evaluate(dense(cells, universe, n), formulas)`` gives, for cells that are one an ordinal of 0 ... n - 1 and
+    instrument.
+
+    Where all formulas are trailing operators over what is missing with its cell, only cells travel and are grouped by
+    instrument; the missing rows are made in the group that works the series off, so they are neither exploded, nor
+    sorted, nor kept by windows.  Other formulas are evaluated over the dense panel."""
+    if not formulas or not all(map(_of_cells, formulas.values())):
+        return evaluate(dense(cells, universe, n), formulas)
+    inputs = _distinct(a for e in formulas.values() for a in e.inputs)
+    columns = {key: f"__i{i}" for i, key in enumerate(inputs)}
+    held = evaluate(cells.filter(F.col("inst").isNotNull()), {columns[key]: e for key, e in inputs.items()}).withColumn("t", F.col("t").cast("int"))
+    rows = universe.select("inst").distinct().withColumn("t", F.lit(-1)).unionByName(held, allowMissingColumns=True)
+    used = dict.fromkeys(columns[a.canonical()] for e in formulas.values() for a in e.inputs)
+    todo = [(name, operator(e.name).series, [columns[a.canonical()] if isinstance(a, Expr) else float(a) for a in e.args[:-1]], e.args[-1]) for name, e in formulas.items()]
+    schema = f"t int, inst {rows.schema['inst'].dataType.simpleString()}, " + ", ".join(f"`{name}` double" for name in formulas)
+
+    def run(table: pa.Table) -> pa.Table:
+        at, cache = table.column("t").to_numpy(), {}
+        there = at >= 0
+        size = 0 if there.all() else n  # instruments out of the universe have no rows
+        series = {}
+        for column in used if size else ():
+            series[column] = np.full(size, np.nan)
+            series[column][at[there]] = table.column(column).to_numpy().astype(float)[there]
+        found = {"t": pa.array(np.arange(size, dtype=np.int32)), "inst": pa.repeat(table.column("inst")[0], size)}
+        for name, function, args, d in todo:
+            for a in args:
+                if isinstance(a, float) and a not in series:
+                    series[a] = np.full(size, a)
+            out = function(cache, *(series[a] for a in args), d) if size else np.empty(0)
+            found[name] = pa.array(out, pa.float64(), mask=np.isnan(out))
+        return pa.table(found)
+
+    return rows.select("t", "inst", *used).groupBy("inst").applyInArrow(run, schema)

@@ -20,7 +20,7 @@ from .operators import results as R
 from .operators.cross_section import rank_by_ranges as ranked_by_ranges
 from .operators.registry import INT, PANEL, TRAIL
 from .operators.time_series import trailing
-from .plans import SlotWeights, data, draw, evaluate, evaluate_batch, fill, grid, op, slot, weighted_fill
+from .plans import SlotWeights, data, draw, evaluate, evaluate_batch, evaluate_cells, fill, grid, op, slot, weighted_fill
 from .sources import matrices as M
 from .sources.panel import adv, day_cells, day_panel, dense, mask_universe, month_panel, reindex, wide_ordinals, with_returns
 from .sources.panel import members_only as panel_members
@@ -289,7 +289,7 @@ INFINITE: dict[str, tuple] = {
 
 def infinite_op(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = evaluate(day_panel(spark, sf_dir), {"value": INFINITE[name][0]})
+        out = evaluate_cells(*day_cells(spark, sf_dir), {"value": INFINITE[name][0]})
         if name == "ts_sum":  # sums of both signs come near 0, where only decimals can be compared
             return out.withColumn("value", tidy(F.col("value")))
         return with_significant(out)
@@ -308,10 +308,10 @@ SPARSE = {"rank", "cs_rank", "rank_add", "rank_sub", "rank_mul", "cs_zscore"}
 
 def gappy_op(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cells, universe, n = day_cells(spark, sf_dir)
         if name in SPARSE:
-            cells, universe, n = day_cells(spark, sf_dir)
             return dense(with_significant(evaluate(panel_members(cells, universe), {"value": GAPPY[name][0]})), universe, n)
-        return with_significant(evaluate(day_panel(spark, sf_dir), {"value": GAPPY[name][0]}))
+        return with_significant(evaluate_cells(cells, universe, n, {"value": GAPPY[name][0]}))
 
     return run
 

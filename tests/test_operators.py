@@ -237,6 +237,37 @@ def test_daily_ranks_sort_cells_only(spark, tmp_path, name):
     assert plan.index("Generate explode") < plan.index("rank(" if name != "cs_zscore" else "sum(")
 
 
+@pytest.mark.parametrize("d", [1, 2, 5, 33])
+def test_cells_alone_give_the_dense_panel(spark, d):
+    """Trailing operators over cells with gaps and infinities: instruments without cells, without a key and out of the
+    universe; only cells are shuffled and sorted, and no window goes over dense rows."""
+    from panelspark.plans import evaluate_cells
+    from panelspark.sources.panel import dense
+
+    rng = random.Random(d)
+    draw_one = lambda: rng.choice([None, math.inf, -math.inf, 3.0, 3.0, rng.uniform(-5, 5)])
+    rows = [(t, i, draw_one(), draw_one()) for t in range(60) for i in range(6) if rng.random() < (0.3, 0.9, 0.02, 0.5, 0.5, 0.5)[i]] + [(3, N, 1.0, 1.0)]
+    cells, universe = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i,) for i in (0, 1, 2, 3, 7, 7, N)], "inst long")
+    x, y = data("x"), op("pow", op("subtract", data("y"), 3.0), -1.0)
+    formulas = {n: op(n, *((x, y) if spec.kinds.count(PANEL) == 2 else (y,)), d) for n, spec in sorted(OPERATORS.items()) if spec.series} | {"flat": op("ts_cov", x, 2.0, d)}
+    for some in (formulas, {k: formulas[k] for k in ("ts_corr", "ts_argmax")}):
+        want = {(r.t, r.inst): r for r in evaluate(dense(cells, universe, 60), some).collect()}
+        out = evaluate_cells(cells, universe, 60, some)
+        rows_out = out.collect()
+        got = {(r.t, r.inst): r for r in rows_out}
+        assert out.columns == ["t", "inst", *some] and out.schema["t"].dataType.simpleString() == "int"
+        assert len(rows_out) == len(got) == 6 * 60 and set(got) == set(want)
+        for key, r in got.items():
+            for k in some:
+                assert same([r[k]], [want[key][k]], 1e-9), (key, k, r[k], want[key][k])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert d == 1 or "explode" not in plan and "Window" not in plan
+    mixed = {"v": op("ts_mean", op("divide", x, 2.0), 5), "w": op("ts_mean", op("rank", x), 5), "u": op("delay", x, 2)}
+    for k, e in mixed.items():  # missing cells have values, or dates are looked along: these need the dense panel
+        want = {(r.t, r.inst): r[k] for r in evaluate(dense(cells, universe, 60), {k: e}).collect()}
+        assert {(r.t, r.inst): r[k] for r in evaluate_cells(cells, universe, 60, {k: e}).collect()} == want
+
+
 def calls():
     """One call of every operator."""
     for name, spec in sorted((n, s) for n, s in OPERATORS.items() if n[0] != "_"):
