@@ -33,7 +33,8 @@ class Blocks:
         n = len(state[0])
         out = []
         for own, e in zip(state, self.empty):
-            moved = np.full(n, e, dtype=own.dtype)
+            moved = np.empty(n, dtype=own.dtype)
+            moved[:k] = e
             moved[k:] = own[: max(n - k, 0)]
             out.append(moved)
         return tuple(out)
@@ -57,6 +58,13 @@ def _with_values(x: np.ndarray, other: float) -> np.ndarray:
     return np.where(np.isfinite(x), x, other)
 
 
+def counts(there: np.ndarray, d: int) -> np.ndarray:
+    """How many of the last d rows are marked.  Whole numbers, so that taking away leaves no trace."""
+    found = np.cumsum(there, dtype=float)
+    found[d:] -= found[:-d].copy()
+    return found
+
+
 def sums(x: np.ndarray) -> Blocks:
     """(values that are there, sum of the finite ones)"""
     return Blocks(((~np.isnan(x)).astype(float), _with_values(x, 0.0)), (0.0, 0.0), lambda a, b: (a[0] + b[0], a[1] + b[1]))
@@ -67,36 +75,43 @@ def products(x: np.ndarray) -> Blocks:
 
 
 def extremes(x: np.ndarray, sign: float) -> Blocks:
-    """(values that are there, largest finite ``sign * x`` or -inf, its row; the later of equals)"""
+    """(largest finite ``sign * x`` or -inf)"""
+    return Blocks((_with_values(sign * x, -np.inf),), (-np.inf,), lambda a, b: (np.maximum(a[0], b[0]),))
+
+
+def placed_extremes(x: np.ndarray, sign: float) -> Blocks:
+    """(largest finite ``sign * x`` or -inf, its row; the later of equals)"""
 
     def merge(a: State, b: State) -> State:
-        later = b[1] >= a[1]
-        return a[0] + b[0], np.where(later, b[1], a[1]), np.where(later, b[2], a[2])
+        return np.maximum(a[0], b[0]), np.where(b[0] >= a[0], b[1], a[1])
 
-    return Blocks(((~np.isnan(x)).astype(float), _with_values(sign * x, -np.inf), np.arange(len(x), dtype=float)), (0.0, -np.inf, -1.0), merge)
+    return Blocks((_with_values(sign * x, -np.inf), np.arange(len(x), dtype=float)), (-np.inf, -1.0), merge)
 
 
 def moments(x: np.ndarray, y: np.ndarray) -> Blocks:
-    """(pairs of finite values, means of both, centred sums xx, xy, yy, pairs there, pairs with an infinity)"""
-    there = ~(np.isnan(x) | np.isnan(y))
+    """(pairs of finite values, means of both, centred sums xx, xy, yy); means of no values are 0"""
     finite = np.isfinite(x) & np.isfinite(y)
     zero = np.zeros(len(x))
-    rows = (finite.astype(float), np.where(finite, x, 0.0), np.where(finite, y, 0.0), zero, zero, zero, there.astype(float), (there & ~finite).astype(float))
 
     def merge(a: State, b: State) -> State:
         n = a[0] + b[0]
         share = b[0] / np.maximum(n, 1.0)
-        dx, dy = b[1] - a[1], b[2] - a[2]
         both = a[0] * share  # 0 where a side is empty
-        only_b = a[0] == 0
+        filled, only_b = (both > 0).astype(float), (a[0] == 0).astype(float)
         with np.errstate(over="ignore", invalid="ignore"):
+            dx, dy = (b[1] - a[1]) * filled, (b[2] - a[2]) * filled
             return (
-                n, np.where(only_b, b[1], a[1] + dx * share), np.where(only_b, b[2], a[2] + dy * share),
-                a[3] + b[3] + np.where(both > 0, dx * dx * both, 0.0), a[4] + b[4] + np.where(both > 0, dx * dy * both, 0.0), a[5] + b[5] + np.where(both > 0, dy * dy * both, 0.0),
-                a[6] + b[6], a[7] + b[7],
+                n, a[1] + dx * share + b[1] * only_b, a[2] + dy * share + b[2] * only_b,
+                a[3] + b[3] + dx * dx * both, a[4] + b[4] + dx * dy * both, a[5] + b[5] + dy * dy * both,
             )
 
-    return Blocks(rows, (0.0,) * 8, merge)
+    return Blocks((finite.astype(float), np.where(finite, x, 0.0), np.where(finite, y, 0.0), zero, zero, zero), (0.0,) * 6, merge)
+
+
+def _pairs(x: np.ndarray, y: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs that are there in the window, pairs with an infinity)"""
+    there = ~(np.isnan(x) | np.isnan(y))
+    return counts(there, d), counts(there & ~(np.isfinite(x) & np.isfinite(y)), d)
 
 
 def held(cache: dict, make: Callable[..., Blocks], *args) -> Blocks:
@@ -129,7 +144,7 @@ def long_prod(cache: dict, x: np.ndarray, d: int) -> np.ndarray:
 
 def long_extreme(sign: float) -> Callable:
     def run(cache: dict, x: np.ndarray, d: int) -> np.ndarray:
-        _, best, _ = held(cache, extremes, x, sign).last(d)
+        (best,) = held(cache, extremes, x, sign).last(d)
         return np.where(np.isinf(best), np.nan, sign * best)
 
     return run
@@ -139,27 +154,28 @@ def long_age(sign: float) -> Callable:
     """Rows since the extreme of the last d + 1 rows; 0 where only infinities are there."""
 
     def run(cache: dict, x: np.ndarray, d: int) -> np.ndarray:
-        n, best, at = held(cache, extremes, x, sign).last(d + 1)
-        return np.where(np.isfinite(best), np.arange(len(x)) - at, np.where(n > 0, 0.0, np.nan))
+        best, at = held(cache, placed_extremes, x, sign).last(d + 1)
+        return np.where(np.isfinite(best), np.arange(len(x)) - at, np.where(counts(~np.isnan(x), d + 1) > 0, 0.0, np.nan))
 
     return run
 
 
 def long_stddev(cache: dict, x: np.ndarray, d: int) -> np.ndarray:
     """Infinities count as values without a deviation."""
-    finite, mean, _, squares, _, _, n, _ = held(cache, moments, x, x).last(d)
+    finite, mean, _, squares, _, _ = held(cache, moments, x, x).last(d)
+    n, _ = _pairs(x, x, d)
     middle = finite * mean / np.maximum(n, 1.0)
     squares = squares + finite * (mean - middle) ** 2
     return np.sqrt(_divided(squares, n - 1))
 
 
 def long_cov(cache: dict, x: np.ndarray, y: np.ndarray, d: int) -> np.ndarray:
-    n, _, _, _, xy, _, _, bad = held(cache, moments, x, y).last(d)
+    (_, _, _, _, xy, _), (n, bad) = held(cache, moments, x, y).last(d), _pairs(x, y, d)
     return np.where(bad > 0, np.nan, _divided(xy, n - 1))
 
 
 def long_corr(cache: dict, x: np.ndarray, y: np.ndarray, d: int) -> np.ndarray:
-    n, _, _, xx, xy, yy, _, bad = held(cache, moments, x, y).last(d)
+    (n, _, _, xx, xy, yy), (_, bad) = held(cache, moments, x, y).last(d), _pairs(x, y, d)
     return np.where((bad > 0) | (n <= 1), np.nan, _divided(xy, np.sqrt(xx) * np.sqrt(yy)))
 
 

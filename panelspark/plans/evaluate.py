@@ -8,8 +8,12 @@ worked off by whole series in Arrow (one grouping by instrument, which has that
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,9 @@ from ..operators.registry import CELL, CROSS, LONG, PANEL, TRAIL
 from ..sources.panel import dense
 from .expr import Expr
 
+#: Rows of the panel that a task works off at once, if an instrument has not more.
+STACK = 16_384
+
 
 def lookback(expr: Expr) -> int | None:
     """Earlier rows of an instrument that a value of the formula can depend on; None: all."""
@@ -145,34 +152,49 @@ def evaluate_cells(cells: DataFrame, universe: DataFrame, n: int, formulas: dict
     """What ``evaluate(dense(cells, universe, n), formulas)`` gives, for cells that are one an ordinal of 0 ... n - 1 and
     instrument.
 
-    Where all formulas are trailing operators over what is missing with its cell, only cells travel and are grouped by
-    instrument; the missing rows are made in the group that works the series off, so they are neither exploded, nor
+    Where all formulas are trailing operators over what is missing with its cell, only cells travel, and lie by instrument; the
+    missing rows are made where the series are worked off, a few instruments at a time, so they are neither exploded, nor
     sorted, nor kept by windows.  Other formulas are evaluated over the dense panel."""
     if not formulas or not all(map(_of_cells, formulas.values())):
         return evaluate(dense(cells, universe, n), formulas)
     inputs = _distinct(a for e in formulas.values() for a in e.inputs)
     columns = {key: f"__i{i}" for i, key in enumerate(inputs)}
     held = evaluate(cells.filter(F.col("inst").isNotNull()), {columns[key]: e for key, e in inputs.items()}).withColumn("t", F.col("t").cast("int"))
-    rows = universe.select("inst").distinct().withColumn("t", F.lit(-1)).unionByName(held, allowMissingColumns=True)
-    used = dict.fromkeys(columns[a.canonical()] for e in formulas.values() for a in e.inputs)
-    todo = [(name, operator(e.name).series, [columns[a.canonical()] if isinstance(a, Expr) else float(a) for a in e.args[:-1]], e.args[-1]) for name, e in formulas.items()]
+    # A left join leaves all rows of a left row in one partition; merged, they are sorted as well.
+    rows = universe.select("inst").distinct().hint("merge").join(held, "inst", "left")
+    used = list(dict.fromkeys(columns[a.canonical()] for e in formulas.values() for a in e.inputs))
+    todo = [(operator(e.name).series, [columns[a.canonical()] if isinstance(a, Expr) else float(a) for a in e.args[:-1]], e.args[-1]) for e in formulas.values()]
     schema = f"t int, inst {rows.schema['inst'].dataType.simpleString()}, " + ", ".join(f"`{name}` double" for name in formulas)
 
-    def run(table: pa.Table) -> pa.Table:
-        at, cache = table.column("t").to_numpy(), {}
-        there = at >= 0
-        size = 0 if there.all() else n  # instruments out of the universe have no rows
-        series = {}
-        for column in used if size else ():
-            series[column] = np.full(size, np.nan)
-            series[column][at[there]] = table.column(column).to_numpy().astype(float)[there]
-        found = {"t": pa.array(np.arange(size, dtype=np.int32)), "inst": pa.repeat(table.column("inst")[0], size)}
-        for name, function, args, d in todo:
-            for a in args:
-                if isinstance(a, float) and a not in series:
-                    series[a] = np.full(size, a)
-            out = function(cache, *(series[a] for a in args), d) if size else np.empty(0)
-            found[name] = pa.array(out, pa.float64(), mask=np.isnan(out))
-        return pa.table(found)
-
-    return rows.select("t", "inst", *used).groupBy("inst").applyInArrow(run, schema)
+    def worked_off(insts: pa.Array, at: list[np.ndarray], cells: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        """All rows of these instruments, whose cells are at these ordinals."""
+        out = np.empty((len(todo), len(insts), n))
+        for i, (own, values) in enumerate(zip(at, cells)):
+            cache, series = {}, {}
+            for a in {a for _, args, _ in todo for a in args}:
+                series[a] = np.full(n, np.nan if isinstance(a, str) else a)
+                if isinstance(a, str):
+                    series[a][own] = values[a]
+            for k, (function, args, d) in enumerate(todo):
+                out[k, i] = function(cache, *(series[a] for a in args), d)
+        t, inst = pa.array(np.tile(np.arange(n, dtype=np.int32), len(insts))), insts.take(pa.array(np.repeat(np.arange(len(insts)), n)))
+        return pa.RecordBatch.from_arrays([t, inst, *(pa.array(x.ravel(), mask=np.isnan(x).ravel()) for x in out)], names=["t", "inst", *formulas])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, some = None, max(1, STACK // max(n, 1))
+        for batch in chain(batches, [None]):
+            table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if table is None or not table.num_rows:
+                continue
+            runs = pc.run_end_encode(table.column("inst").combine_chunks())
+            insts, ends = runs.values, runs.run_ends.to_numpy()
+            whole = len(ends) if batch is None else len(ends) - 1  # more of the last one may follow
+            there = table.column("t").is_valid().to_numpy()  # an instrument without cells has one row without an ordinal
+            at, values = table.column("t").to_numpy(), {c: table.column(c).to_numpy().astype(float) for c in used}
+            rows_of = [np.arange(start, end)[there[start:end]] for start, end in zip([0, *ends[:-1]], ends[:whole])]
+            for i in range(0, whole, some):
+                part = rows_of[i : i + some]
+                yield worked_off(insts[i : i + len(part)], [at[r].astype(int) for r in part], [{c: x[r] for c, x in values.items()} for r in part])
+            rest = table.slice(ends[whole - 1] if whole else 0)
+
+    return rows.select("t", "inst", *used).sortWithinPartitions("inst").mapInArrow(run, schema)

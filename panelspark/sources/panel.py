@@ -83,12 +83,36 @@ def adv(panel: DataFrame, volume: str = "volume", n: int = 20, name: str = "adv2
     return panel.withColumn(name, F.when(F.count(volume).over(w) == n, F.avg(volume).over(w)))
 
 
-def _lineitem_cells(spark: SparkSession, sf_dir: str, t: Column) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+#: Rows of a fact table that a task makes cells of, so that its tables stay small however large the input is.
+TASK_ROWS = 500_000
+
+
+def _cents(price: Column) -> Column:
+    """What ``cast(price AS decimal(18,2))`` counts in hundredths; the cast itself, which writes the number out, only near
+    halves and for large prices."""
+    near = price * 100
+    plain = (F.abs(price) < 1e11) & (F.abs(near - F.rint(near)) < 0.49)
+    return F.when(plain, F.rint(near).cast("long")).otherwise((price.cast("decimal(18,2)") * 100).cast("long"))
+
+
+def _amount(cents: str) -> Column:
+    """The double next to the exact sum of these hundredths, added up in two parts so that none overflows."""
+    high, low = F.sum(F.expr(f"{cents} div 1000000000")), F.sum(F.col(cents) % 1_000_000_000)
+    exact = high.cast("decimal(19,0)") * F.expr("10000000BD") + low.cast("decimal(19,0)") * F.expr("0.01BD")
+    return F.when((high == 0) & (F.abs(low) < 1 << 53), low / 100.0).otherwise(exact.cast("double"))
+
+
+def _lineitem_cells(spark: SparkSession, sf_dir: str, t: Column, by_inst: bool = False) -> DataFrame:
+    """With ``by_inst`` rows go to their instrument's task before they become cells, and what looks along instruments next
+    needs no exchange: for cells of so few rows each that adding up before the exchange would save none of it."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumns({"t": t, "inst": F.col("l_suppkey")})
+    if by_inst:
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))  # fewer would be dealt out anew by the join that follows
+        rows = rows.repartition(max(least, rows.count() // TASK_ROWS), "inst")
     price = F.col("l_extendedprice")
-    cells = rows.groupBy(t.alias("t"), F.col("l_suppkey").alias("inst")).agg(
+    cells = rows.withColumn("cents", _cents(price)).groupBy("t", "inst").agg(
         F.sum("l_quantity").alias("volume"),
-        F.sum(price.cast("decimal(18,2)")).cast("double").alias("amount"),
+        _amount("cents").alias("amount"),
         F.max(price).alias("high"), F.min(price).alias("low"),
         F.min(F.struct("l_orderkey", "l_linenumber", "l_partkey", price.alias("p"))).alias("first"),
     )
@@ -111,7 +135,7 @@ def day_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, i
     """The cells that ``day_panel`` has rows for, its universe and its number of days."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.to_date("l_shipdate").alias("date"))
     days = settled(ordinals(rows, "date", "t"))
-    cells = _lineitem_cells(spark, sf_dir, F.to_date("l_shipdate")).withColumnRenamed("t", "date").join(few(days), "date").drop("date")
+    cells = _lineitem_cells(spark, sf_dir, F.to_date("l_shipdate"), by_inst=True).withColumnRenamed("t", "date").join(few(days), "date").drop("date")
     return cells, _universe(spark, sf_dir), days.count()
 
 

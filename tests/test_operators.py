@@ -268,6 +268,60 @@ def test_cells_alone_give_the_dense_panel(spark, d):
         assert {(r.t, r.inst): r[k] for r in evaluate_cells(cells, universe, 60, {k: e}).collect()} == want
 
 
+def test_instruments_that_lie_across_batches(spark):
+    """Batches end within instruments and between them, keys are texts, one instrument has more cells than a batch; and there
+    may be no dates at all."""
+    from panelspark.plans import evaluate_cells
+    from panelspark.sources.panel import dense
+
+    rng = random.Random(5)
+    rows = [(t, f"i{i}", rng.uniform(-5, 5), rng.uniform(-5, 5)) for i in range(40) for t in range(50) if rng.random() < (1.0, 0.1, 0.02)[i % 3]]
+    cells, universe = spark.createDataFrame(rows, SCHEMA.replace("inst long", "inst string")), spark.createDataFrame([(f"i{i}",) for i in range(45)], "inst string")
+    formulas = {"a": op("ts_corr", data("x"), data("y"), 7), "b": op("ts_argmax", data("x"), 40), "c": op("ts_max", data("x"), 3)}
+    want = {(r.t, r.inst): list(r)[2:] for r in evaluate(dense(cells, universe, 50), formulas).collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 7, 10000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            out = evaluate_cells(cells, universe, 50, formulas).collect()
+            assert len(out) == len(want) == 45 * 50 and all(same(list(r)[2:], want[r.t, r.inst], 1e-9) for r in out)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert evaluate_cells(cells.limit(0), universe, 0, formulas).collect() == []
+
+
+def _lines(spark, path, prices):
+    rows = [(k, k, k % 7, 1, float(k % 11 + 1), float(p), f"2020-01-{k * k % 28 + 1:02d}") for k, p in enumerate(prices)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, d string")
+    lines.withColumn("l_shipdate", F.to_timestamp("d")).drop("d").write.parquet(f"{path}/lineitem.parquet")
+    spark.range(1, 9).select(F.col("id").alias("s_suppkey")).write.parquet(f"{path}/supplier.parquet")
+
+
+@pytest.mark.parametrize("name", ["ts_max_day", "ts_corr_long_day", "ts_rank_day", "ts_argmax_long_day", "ts_mean_long_day", "ts_mean_inf", "ts_max_long_day"])
+def test_trailing_daily_queries_shuffle_the_facts_once(spark, tmp_path, name):
+    """Facts go to their instrument's task, become cells and are worked off there."""
+    from panelspark.queries import QUERIES
+
+    _lines(spark, tmp_path, range(90))
+    plan = QUERIES[f"op_{name}"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert sum("Exchange hashpartitioning" in line for line in plan) == 2  # facts, universe
+    assert not any("FlatMapGroups" in line for line in plan) and not any("decimal(18,2)" in line and "sum(" in line for line in plan)
+
+
+def test_cents_are_those_of_the_decimal(spark):
+    """Near halves of a cent, of both signs, next to the limits, and sums beyond 64 bits."""
+    from panelspark.sources.panel import _amount, _cents
+
+    rng = random.Random(3)
+    some = [s * (k / 100 + h) for k in (0, 1, 57, 101, 12345, 99999999) for h in (0.0, 0.005, 0.0049999999, 0.0050000001, 0.00499, 0.00501) for s in (1, -1)]
+    some += [1.005, 2.675, 1e11, 1e11 - 0.005, 123456789012.345, 9999999999999998.0, -9999999999999998.0, None, 5e-324, 0.0, -0.0] + [rng.uniform(-1e6, 1e6) for _ in range(500)]
+    df = spark.createDataFrame([(i % 60, x) for i, x in enumerate(some)] + [(60, 9e15 + i) for i in range(50)] + [(61, None), (62, 9e13), (62, 0.01)], "k int, x double")
+    decimal = F.col("x").cast("decimal(18,2)")
+    assert df.filter(~_cents(F.col("x")).eqNullSafe((decimal * 100).cast("long"))).collect() == []
+    both = df.withColumn("cents", _cents(F.col("x"))).groupBy("k").agg(_amount("cents").alias("a"), F.sum(decimal).cast("double").alias("b"))
+    assert both.count() == 63 and both.filter("NOT a <=> b").collect() == []
+
+
 def calls():
     """One call of every operator."""
     for name, spec in sorted((n, s) for n, s in OPERATORS.items() if n[0] != "_"):
