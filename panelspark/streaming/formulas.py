@@ -4,7 +4,8 @@ A formula's sub-formulas fall into the same waves as in batch: those that need a
 need whole dates, and so on.  Each wave is one stateful operator:
 
 * by instrument, with a ring buffer for every trailing sub-formula: the rows of its inputs that later values can depend
-  on, and no more;
+  on, and no more.  Instruments are dealt to ``BUCKETS`` keys, and what is kept of a key's instruments is read and written
+  at once, so that calls of the state store do not grow with the instruments;
 * by date, with the rows of dates that are still open.  A date is worked off when all its instruments are there, without
   being kept if they come together; its rows go at once, and what is left is a mark that turns away repeats.  Dates are event time: once a later one has come by so
   much that the watermark is past a date, its rows are late and left out, and a timer removes its mark, or its rows if it
@@ -15,6 +16,7 @@ Waves hand over to each other through a streaming sink and source (``run_waves``
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -71,6 +73,12 @@ def _reach(e: Expr) -> int | None:
 #: A date's ordinal stands for a day of event time, counted from a day before which no watermark is.
 DAY_MS, DAY_0 = 86_400_000, 36_525
 
+#: Keys of state that instruments share.
+BUCKETS = 512
+#: A state partition is opened for so many instruments; there are ``FEWEST`` at least, and the session's shuffle partitions
+#: at most.
+PARTITION_INSTRUMENTS, FEWEST = 2000, 4
+
 
 class _Wave:
     """The sub-formulas of a wave over rows of arrays."""
@@ -78,54 +86,97 @@ class _Wave:
     def __init__(self, nodes: dict[str, Expr], inputs: dict[str, str], outputs: list[str]):
         self.nodes, self.inputs, self.outputs = nodes, inputs, outputs
 
-    def run(self, rows: pd.DataFrame, before: dict[str, list[list[float]]]) -> tuple[dict[str, np.ndarray], dict[str, list[list[float]]]]:
-        """The outputs of new rows, given the rows kept of trailing inputs; and the rows to keep from now on."""
-        held = {k: rows[c].to_numpy(dtype=float) for k, c in self.inputs.items()}
-        kept: dict[str, list[list[float]]] = {}
-        n = len(rows)
+    def run(self, rows: dict[str, np.ndarray], n: int, before: dict[str, list[np.ndarray]]) -> tuple[dict[str, np.ndarray], dict[str, list[np.ndarray]]]:
+        """The outputs of n new rows, given the rows kept of trailing inputs; and the rows to keep from now on."""
+        held = {k: rows[c] for k, c in self.inputs.items()}
+        kept: dict[str, list[np.ndarray]] = {}
         for key, e in self.nodes.items():
             args = [held[a.canonical()] if isinstance(a, Expr) else np.full(n, float(a)) if kind == PANEL else a for a, kind in zip(e.args, operator(e.name).kinds)]
             if operator(e.name).sees == TRAIL:
                 panels = [i for i, kind in enumerate(operator(e.name).kinds) if kind == PANEL]
-                old = before.get(key, [[] for _ in panels])
-                for i, own in zip(panels, old):
-                    args[i] = np.concatenate([np.array(own, dtype=float), args[i]])
+                for i, own in zip(panels, before.get(key, ())):
+                    args[i] = np.concatenate([own, args[i]])
                 reach = _reach(e)
                 if reach is None:  # the last value that is there
-                    kept[key] = [[v] for v in args[panels[0]][~np.isnan(args[panels[0]])][-1:]] or [[]]
+                    kept[key] = [args[panels[0]][~np.isnan(args[panels[0]])][-1:]]
                 else:
-                    kept[key] = [args[i][len(args[i]) - min(reach, len(args[i])) :].tolist() for i in panels]
+                    kept[key] = [args[i][len(args[i]) - min(reach, len(args[i])) :] for i in panels]
             held[key] = np.asarray(applied(e.name, args), dtype=float)[-n:] if n else np.zeros(0)
         return {k: held[k] for k in self.outputs}, kept
 
+    def rings(self) -> list[tuple[str, int]]:
+        """The trailing sub-formulas and how many series are kept of each."""
+        own = [(k, e) for k, e in self.nodes.items() if operator(e.name).sees == TRAIL]
+        return [(k, 1 if _reach(e) is None else operator(e.name).kinds.count(PANEL)) for k, e in own]
+
 
-def _table(t: list, inst: list, values: dict[str, np.ndarray]) -> pd.DataFrame:
+def _table(t: int | np.ndarray, inst: list | np.ndarray, values: dict[str, np.ndarray]) -> pd.DataFrame:
     """Rows to give out; what is missing is null there, not NaN."""
-    return pd.DataFrame({"t": t, "inst": inst} | {c: pd.Series([None if v != v else float(v) for v in x.tolist()], dtype=object) for c, x in values.items()})
+    out = pd.DataFrame({"inst": inst}).assign(t=t)
+    for c, x in values.items():
+        missing = np.isnan(x)
+        out[c] = np.where(missing, None, x.astype(object)) if missing.any() else x
+    return out
 
 
 class _ByInstrument(StatefulProcessor):
-    """Rows of an instrument in order of dates; a row at or before the last date seen is late and left out."""
+    """Rows of a bucket's instruments, each in order of dates; a row at or before the last date seen of its instrument is late
+    and left out."""
 
-    def __init__(self, wave: _Wave, names: list[str], carried: list[str]):
-        self.wave, self.names, self.carried = wave, names, carried
+    def __init__(self, wave: _Wave, names: list[str], carried: list[str], inst_type: str):
+        self.wave, self.names, self.carried, self.inst_type = wave, names, carried, inst_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rings = handle.getMapState("rings", "node string", "rows array<array<double>>")
-        self.last = handle.getValueState("last", "t long")
+        self.bucket = handle.getValueState("bucket", f"insts array<{self.inst_type}>, last binary, sizes binary, rings binary")
+
+    def before(self) -> tuple[dict, np.ndarray, list[dict[str, list[np.ndarray]]]]:
+        """Every instrument's place in the bucket; by place, the last date and the rows kept of each trailing sub-formula."""
+        if not self.bucket.exists():
+            return {}, np.zeros(0, dtype=np.int64), []
+        insts, last, sizes, values = self.bucket.get()
+        ends = np.cumsum(np.frombuffer(sizes, dtype=np.int32)).tolist()
+        values, at, begin, rings = np.frombuffer(values, dtype=float), iter(ends), 0, []
+        for _ in insts:
+            own: dict[str, list[np.ndarray]] = {}
+            for k, parts in self.wave.rings():
+                own[k] = []
+                for end in itertools.islice(at, parts):
+                    own[k].append(values[begin:end])
+                    begin = end
+            rings.append(own)
+        return {inst: place for place, inst in enumerate(insts)}, np.frombuffer(last, dtype=np.int64).copy(), rings
+
+    def keep(self, places: dict, last: np.ndarray, rings: list[dict[str, list[np.ndarray]]]) -> None:
+        series = [part for own in rings for k, _ in self.wave.rings() for part in own[k]]
+        sizes = np.array([len(x) for x in series], dtype=np.int32)
+        self.bucket.update((list(places), last.tobytes(), sizes.tobytes(), np.concatenate([np.zeros(0), *series]).tobytes()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values("t", kind="stable").drop_duplicates("t")
-        if self.last.exists():
-            new = new[new["t"] > self.last.get()[0]]
-        if not len(new):
+        new = pd.concat(list(rows), ignore_index=True)
+        places, last, rings = self.before()
+        codes, insts = pd.factorize(new["inst"], use_na_sentinel=False)
+        insts = [None if key[0] < 0 else inst for inst in insts.tolist()]
+        place = np.array([places.setdefault(inst, len(places)) for inst in insts])[codes]
+        last = np.concatenate([last, np.full(len(places) - len(last), np.iinfo(np.int64).min)])
+        rings += [{} for _ in range(len(places) - len(rings))]
+        t = new["t"].to_numpy(dtype=np.int64)
+        order = np.lexsort((t, place))  # stable: of rows of one date the first counts
+        place, t = place[order], t[order]
+        fresh = t > last[place]
+        fresh[1:] &= (place[1:] != place[:-1]) | (t[1:] != t[:-1])
+        order, place, t = order[fresh], place[fresh], t[fresh]
+        if not len(order):
             return
-        before = {k: self.rings.getValue((k,))[0] for k, e in self.wave.nodes.items() if operator(e.name).sees == TRAIL and self.rings.containsKey((k,))}
-        found, kept = self.wave.run(new, {k: [list(own) for own in rows] for k, rows in before.items()})
-        for k, own in kept.items():
-            self.rings.updateValue((k,), ([[None if v != v else v for v in part] for part in own],))
-        self.last.update((int(new["t"].iloc[-1]),))
-        yield _table(new["t"].tolist(), [key[0]] * len(new), {c: new[c].to_numpy(dtype=float) for c in self.carried} | dict(zip(self.names, found.values())))
+        columns = {c: new[c].to_numpy(dtype=float)[order] for c in {*self.carried, *self.wave.inputs.values()}}
+        made = {name: np.empty(len(order)) for name in self.names}
+        ends = (np.flatnonzero(np.diff(place, append=-1)) + 1).tolist()
+        for a, b in zip([0, *ends], ends):
+            found, rings[place[a]] = self.wave.run({c: x[a:b] for c, x in columns.items()}, b - a, rings[place[a]])
+            for name, x in zip(self.names, found.values()):
+                made[name][a:b] = x
+            last[place[a]] = t[b - 1]
+        self.keep(places, last, rings)
+        yield _table(t, new["inst"].to_numpy()[order], {c: columns[c] for c in self.carried} | made)
 
     def close(self) -> None:
         pass
@@ -166,8 +217,8 @@ class _ByDate(StatefulProcessor):
         yield self.finished(int(key[0]), list(held), pd.DataFrame([[*cells] for cells in held.values()], columns=columns, dtype=float))
 
     def finished(self, t: int, insts: list, table: pd.DataFrame) -> pd.DataFrame:
-        found, _ = self.wave.run(table, {})
-        return _table([t] * len(insts), insts, {c: table[c].to_numpy() for c in self.carried} | dict(zip(self.names, found.values())))
+        found, _ = self.wave.run({c: table[c].to_numpy() for c in self.wave.inputs.values()}, len(table), {})
+        return _table(t, insts, {c: table[c].to_numpy() for c in self.carried} | dict(zip(self.names, found.values())))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.closed.clear()
@@ -206,7 +257,8 @@ def formula_waves(formulas: dict[str, Expr], *, instruments: int, lag: int = 30)
                 dated = rows.withColumn("at", F.timestamp_seconds((F.col("t") + DAY_0) * (DAY_MS // 1000))).withWatermark("at", f"{lag} days")
                 out = dated.groupBy("t").transformWithStateInPandas(made, schema, "Append", "EventTime")
             else:
-                out = rows.groupBy("inst").transformWithStateInPandas(_ByInstrument(wave, names, carried), schema, "Append", "None")
+                bucket = F.when(F.col("inst").isNull(), -1).otherwise(F.pmod(F.xxhash64("inst"), F.lit(BUCKETS))).cast("int")
+                out = rows.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(_ByInstrument(wave, names, carried, kind), schema, "Append", "None")
             return out.select("t", "inst", *(F.col(c).alias(n) for c, n in zip(last, formulas))) if i == len(ready) - 1 else out
 
         return run
@@ -219,10 +271,15 @@ def run_waves(spark: SparkSession, source: DataFrame, formulas: dict[str, Expr],
     far.  State and rows between waves are in ``folder``; a further call with the same folder goes on where this ended."""
     if spark.conf.get(STORE[0]) != STORE[1]:
         raise ValueError(f"formula streams need {STORE[0]} = {STORE[1]}")
-    stream = source
+    stream, most = source, spark.conf.get("spark.sql.shuffle.partitions")
     for i, wave in enumerate(formula_waves(formulas, instruments=instruments, lag=lag)):
         made = wave(stream)
-        query = made.writeStream.format("parquet").option("path", f"{folder}/wave-{i}").option("checkpointLocation", f"{folder}/state-{i}").outputMode("append").trigger(availableNow=True).start()
+        writer = made.writeStream.format("parquet").option("path", f"{folder}/wave-{i}").option("checkpointLocation", f"{folder}/state-{i}").outputMode("append").trigger(availableNow=True)
+        spark.conf.set("spark.sql.shuffle.partitions", min(int(most), max(FEWEST, -(-instruments // PARTITION_INSTRUMENTS))))
+        try:
+            query = writer.start()  # has a copy of the settings
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", most)
         query.awaitTermination()
         stream = spark.readStream.schema(made.schema).parquet(f"{folder}/wave-{i}")
     return spark.read.schema(made.schema).parquet(f"{folder}/wave-{i}")

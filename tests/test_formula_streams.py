@@ -146,3 +146,69 @@ def test_dates_that_come_whole_are_not_kept():
             assert made.open.calls == 0
         got = {r.inst: (r.f_x, r.w) for r in out[0].itertuples()}
         assert got[0] == (3.0, 1.0) and got[2] == (1.0, 0.0) and got[3] == (2.0, 0.5) and got[1] == (None, None) and made.closed.exists()
+
+
+def test_instruments_share_calls_of_the_store():
+    """A bucket of many instruments, some new in a later batch, with late and repeated rows: read and written once a batch."""
+    import numpy as np
+    import pandas as pd
+
+    from panelspark.streaming.formulas import _ByInstrument, _Wave
+
+    class Store:
+        held, calls = None, 0
+
+        def exists(self):
+            self.calls += 1
+            return self.held is not None
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, v):
+            self.calls += 1
+            self.held = v
+
+    formulas = {"m": op("ts_mean", data("x"), 5), "o": op("observed_return", data("x")), "c": op("ts_cov", data("x"), data("y"), 3)}
+    wave = _Wave({e.canonical(): e for e in formulas.values()}, {data(f).canonical(): f"f_{f}" for f in "xy"}, [e.canonical() for e in formulas.values()])
+    made = _ByInstrument(wave, list(formulas), ["f_x"], "long")
+    made.bucket = Store()
+    rows = [(t, i, math.nan if x is None else x, math.nan if y is None else y) for t, i, x, y in cells(9, 30, 50) if t >= 10 or i % 2]
+    rng, got = random.Random(2), {}
+    for k in range(3):
+        part = [r for r in rows if r[0] // 10 == k]
+        late = [(0, 1, 5.0, 5.0), (part[0][0], part[0][1], 7.0, 7.0)]  # the second repeats a date of its batch
+        shuffled = [*rng.sample(part, len(part)), *late[0 if k else 1 :]]
+        frame = pd.DataFrame(shuffled, columns=["t", "inst", "f_x", "f_y"])
+        before = made.bucket.calls
+        for out in made.handleInputRows((3,), iter([frame[:100], frame[100:]]), None):
+            for r in out.astype(object).where(out.notna(), None).to_dict("records"):
+                assert (r["t"], r["inst"]) not in got
+                got[r["t"], r["inst"]] = r
+        assert made.bucket.calls - before <= 3
+    assert len(got) == len(rows)
+    for i in range(50):
+        own = [r for r in rows if r[1] == i]
+        found, _ = wave.run({"f_x": np.array([r[2] for r in own]), "f_y": np.array([r[3] for r in own])}, len(own), {})
+        for n, r in enumerate(own):
+            for name, x in zip(formulas, found.values()):
+                assert close(got[r[0], i][name], None if np.isnan(x[n]) else x[n])
+    nulls = _ByInstrument(wave, list(formulas), ["f_x"], "long")
+    nulls.bucket = Store()
+    for t in (1, 2):  # rows without an instrument are one of their own
+        (out,) = nulls.handleInputRows((-1,), iter([pd.DataFrame({"t": [t], "inst": [math.nan], "f_x": [2.0 * t], "f_y": [1.0]})]), None)
+    assert out["m"].tolist() == [3.0] and nulls.bucket.held[0] == [None]
+
+
+def test_partitions_of_the_session_stay(spark, store, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        spark.createDataFrame([(0, None, 1.0, 1.0), (0, 5, 3.0, 1.0)], SCHEMA).write.parquet(str(tmp_path / "in"))
+        out = run_waves(spark, spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), {"v": op("ts_sum", data("x"), 2)}, str(tmp_path / "out"), instruments=2)
+        assert sorted(map(tuple, out.collect()), key=str) == [(0, 5, 3.0), (0, None, 1.0)]
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "9"
+        assert spark.read.format("state-metadata").load(str(tmp_path / "out" / "state-0")).first().numPartitions == 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
