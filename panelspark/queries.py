@@ -686,12 +686,10 @@ def candles_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars of all users written as a CSV each, read, aligned on the union of their hours, with both axes numbered."""
     ticks = spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("user_id", "inst")
     path = fresh_folder(spark, "candles")
-    rows = bars(ticks).select(F.concat(F.lit("u"), F.col("inst")).alias("file"), F.col("ts").alias("timestamp"), "open", "high", "low", "close", "volume", F.lit("").alias("source"))
-    # tasks move their own files in place, since the driver would move one after the other
-    rows.repartition("file").write.partitionBy("file").option("header", True).option("mapreduce.fileoutputcommitter.algorithm.version", "2").csv(path)
-    read = settled(M.load_candles(spark, f"{path}/*"))  # five readers, and a file an instrument
-    times, ids = M.side_tables(read)
-    out = M.align_candles(read).join(F.broadcast(times), "ts").join(F.broadcast(ids), "inst")
+    name = F.coalesce(F.concat(F.lit("u"), F.col("inst")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    M.save_candles(bars(ticks).withColumn("inst", name).withColumn("source", F.lit("")), path)
+    read = settled(M.load_candles(spark, path))  # several readers, and a file an instrument
+    out = M.numbered_candles(read)
     return out.select("t", "column", "inst", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "open", "close", tidy(F.col("volume")).alias("volume"))
 
 

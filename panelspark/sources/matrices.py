@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -129,9 +135,57 @@ def save_panel(panel: DataFrame, path: str, date: str = "date") -> None:
     panel.withColumn("year", F.year(date)).write.partitionBy("year").parquet(path)
 
 
+#: Folders that the files of instruments are dealt to.
+CANDLE_FOLDERS = 256
+
+
+def _candle_files(path: str, header: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes the lines of (folder, inst, line), which come by instrument, to a file each, and gives its number of files."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = pyarrow.fs.FileSystem.from_uri(path)
+        current, out, n = None, None, 0
+        try:
+            for batch in batches:
+                rows = zip(*(batch.column(c).to_pylist() for c in ("folder", "inst", "line")))
+                for (folder, inst), own in groupby(rows, key=lambda r: r[:2]):
+                    if inst != current:
+                        if out:
+                            out.close()
+                        if re.search(r"[^A-Za-z0-9._-]", inst):
+                            raise ValueError(f"{inst} is no name for a file")
+                        if not n:
+                            files.create_dir(f"{base}/{folder}", recursive=True)
+                        current, n = inst, n + 1
+                        out = files.open_output_stream(f"{base}/{folder}/{inst}.csv", compression=None)
+                        out.write(f"{header}\n".encode())
+                    out.write("".join(f"{line}\n" for _, _, line in own).encode())
+        finally:
+            if out:
+                out.close()
+        yield pa.RecordBatch.from_pydict({"files": [n]}, schema=pa.schema([("files", pa.int64())]))
+
+    return write
+
+
+def save_candles(candles: DataFrame, path: str) -> int:
+    """(inst, ts, open, high, low, close, volume, source) as a CSV per instrument, in order of time; gives the number of files.
+
+    A task writes the files of its instruments side by side to a folder of its own, under their names: a folder an instrument,
+    as a partitioned write makes, would have to be made, moved and listed one by one.  A task that runs again writes the
+    same files again."""
+    cells = candles.select(F.col("inst").cast("string").alias("inst"), F.col("ts").alias("timestamp"), "open", "high", "low", "close", "volume", "source")
+    placed = cells.repartition(CANDLE_FOLDERS, "inst").sortWithinPartitions("inst", "timestamp")
+    lines = placed.select(F.spark_partition_id().cast("string").alias("folder"), "inst", F.to_csv(F.struct(*cells.columns[1:])).alias("line"))
+    files, base = pyarrow.fs.FileSystem.from_uri(path)
+    files.create_dir(base, recursive=True)
+    return lines.mapInArrow(_candle_files(path, ",".join(cells.columns[1:])), "files long").agg(F.sum("files")).first()[0]
+
+
 def load_candles(spark: SparkSession, path: str) -> DataFrame:
-    """(inst, ts, open, high, low, close, volume, source) from a CSV per instrument; the last record of a time stays."""
-    rows = spark.read.schema(CANDLE).option("header", True).csv(path)
+    """(inst, ts, open, high, low, close, volume, source) from a CSV per instrument, in folders at ``path`` or where it is a pattern;
+    the last record of a time stays."""
+    rows = spark.read.schema(CANDLE).option("header", True).option("recursiveFileLookup", True).csv(path)
     where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")]
     rows = rows.select(*where, "*").withColumn("inst", source_name(F.col("file")))
     last = F.max_by(F.struct("open", "high", "low", "close", "volume", F.coalesce("source", F.lit("")).alias("source")), F.struct("block", "id"))
@@ -145,6 +199,21 @@ def align_candles(candles: DataFrame) -> DataFrame:
     return reindex(candles, candles, candles, ("ts", "inst"))
 
 
+def numbered_candles(candles: DataFrame) -> DataFrame:
+    """``align_candles`` with the numbers of ``side_tables``: (t, ts, column, inst, ...).
+
+    Instruments have their numbers before missing cells are made, so the dense rows, of which there are times x instruments,
+    are joined with the times only."""
+    from .panel import dense
+
+    times, ids = (settled(table) for table in side_tables(candles))
+    times = few(times)
+    cells = candles.join(times, "ts").join(few(ids), "inst").withColumn("inst", F.struct("inst", "column")).drop("ts", "column")
+    whole = dense(cells, ids.select(F.struct("inst", "column").alias("inst")), times.count())
+    fields = [c for c in candles.columns if c not in ("inst", "ts")]
+    return whole.join(times, "t").select("t", "ts", F.col("inst.column").alias("column"), F.col("inst.inst").alias("inst"), *fields)
+
+
 def side_tables(candles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(t, ts) and (column, inst), numbered from 0 in order."""
     from .panel import wide_ordinals

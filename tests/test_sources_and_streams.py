@@ -1,5 +1,7 @@
+import datetime
 import gzip
 import math
+import os
 import time
 
 import pytest
@@ -142,6 +144,30 @@ def test_candles(spark, tmp_path):
     assert [r.t for r in times.orderBy("ts").collect()] == [0, 1] and [r.inst for r in ids.orderBy("column").collect()] == ["AA", "BB"]
 
 
+def test_candle_files_lie_side_by_side(spark, tmp_path):
+    """A file an instrument with what was to be written, without a folder each; aligned and numbered as by the single steps."""
+    rows = [(f"u{i}", datetime.datetime(2024, 1, 1, h), float(i), 9.0, 0.5, None if h == 3 else i + h / 10, 1e-7 * h, "a,b" if h == 2 else "") for i in range(300) for h in range(5) if (i + h) % 3]
+    candles = spark.createDataFrame(rows, "inst string, ts timestamp, open double, high double, low double, close double, volume double, source string")
+    path = str(tmp_path / "candles")
+    assert M.save_candles(candles, path) == 300
+    folders = [d for d in os.listdir(path) if os.path.isdir(f"{path}/{d}")]
+    names = [f for d in folders for f in os.listdir(f"{path}/{d}")]
+    assert len(folders) <= M.CANDLE_FOLDERS < 300 and sorted(names) == sorted(f"u{i}.csv" for i in range(300))
+    text = next(open(f"{path}/{d}/u4.csv").read() for d in folders if os.path.exists(f"{path}/{d}/u4.csv")).splitlines()
+    assert text[0] == "timestamp,open,high,low,close,volume,source" and len(text) == 5
+    read = M.load_candles(spark, path).cache()
+    assert sorted(map(tuple, read.collect())) == sorted(rows)
+    times, ids = M.side_tables(read)
+    want = M.align_candles(read).join(times, "ts").join(ids, "inst")
+    columns = ["t", "ts", "column", "inst", "open", "close", "source"]
+    got = M.numbered_candles(read)
+    assert got.columns == ["t", "ts", "column", "inst", "open", "high", "low", "close", "volume", "source"] and got.count() == 1500
+    assert sorted(map(tuple, got.select(columns).collect()), key=str) == sorted(map(tuple, want.select(columns).collect()), key=str)
+    assert M.save_candles(candles.limit(0), str(tmp_path / "none")) in (0, None) and M.load_candles(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="no name for a file"):
+        M.save_candles(candles.limit(1).withColumn("inst", F.lit("a/b")), str(tmp_path / "bad"))
+
+
 def test_names_of_files_are_cheap(spark):
     """The time does not grow with the square of a path's length."""
     names = {"file:/a/b/AA.csv": "AA", "/a/b.csv.gz": "b", "/x/inst=u7/part-0-1.csv": "u7", "/x/close.csv.gz/part-00001.csv.gz": "close", "a.csv.csv": "a.csv", "/d/.csv": ".csv", "/d/x.gz": "x", "/d/": ""}
